@@ -78,10 +78,10 @@ def o08(t):
 
 
 @query("o09_mirror_links", """
-WITH l AS (SELECT chrom, src_start, src_stop, dst_start, dst_stop, round(score, 6) AS score, timepoint FROM v_links)
+WITH l AS (SELECT chrom, src_start, src_stop, dst_start, dst_stop, round(score, 7) AS score, timepoint FROM v_links)
 SELECT * FROM l UNION SELECT chrom, dst_start, dst_stop, src_start, src_stop, score, timepoint FROM l""")
 def o09(t):
-    return sets.mirrored(t.links.withColumn("score", F.round("score", 6)))
+    return sets.mirrored(t.links.withColumn("score", F.round("score", 7)))
 
 
 @query("o10_membership", """

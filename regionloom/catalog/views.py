@@ -115,6 +115,49 @@ SELECT event_id, concat('region=chr', CAST(user_id % 8 + 1 AS STRING), ':', CAST
 FROM {events}
 """
 
+VIEWS["v_terms"] = """
+SELECT p_partkey AS term_id, CASE p_size % 3 WHEN 0 THEN 'BP' WHEN 1 THEN 'MF' ELSE 'BP' END AS domain,
+       concat(p_name, ' ', lower(p_type)) AS term_name, (p_partkey % 1000 + 1) / CAST(100000 AS DOUBLE) AS p_value,
+       p_brand AS motif_group
+FROM {part}
+"""
+
+VIEWS["v_pairs"] = """
+SELECT chrom AS chrom1, start AS start1, stop AS stop1, chrom AS chrom2,
+       CASE WHEN strand = '-' THEN start - 151 ELSE start + 150 + start % 7 END AS start2,
+       CASE WHEN strand = '-' THEN start - 115 ELSE start + 186 + start % 7 END AS stop2, strand AS strand1
+FROM v_reads
+"""
+
+VIEWS["v_genes"] = """
+SELECT chrom, start + 1 AS start, start + 1500 AS stop, strand, concat(gene_id, '.', CAST(start % 9 AS STRING)) AS gene_id
+FROM v_tss
+"""
+
+VIEWS["v_variants"] = """
+SELECT concat('chr', CAST(o_custkey % 8 + 1 AS STRING)) AS chrom, (o_orderkey * 97) % 3999000 + 1 AS pos,
+       concat('rs', CAST(o_orderkey % 9000 AS STRING)) AS id, substr('ACGT', CAST(o_orderkey % 4 + 1 AS INT), 1) AS ref,
+       CASE o_orderkey % 7 WHEN 0 THEN 'A,T' WHEN 1 THEN 'AT' ELSE substr('ACGT', CAST((o_orderkey + 1) % 4 + 1 AS INT), 1) END AS alt,
+       concat('GENE=', CAST(o_custkey AS STRING)) AS info, o_orderpriority AS source, o_orderkey AS line
+FROM {orders}
+"""
+
+VIEWS["v_sam"] = """
+SELECT concat('read', CAST(l_orderkey AS STRING), '.', CAST(l_linenumber AS STRING)) AS name, l_suppkey AS pos,
+       CAST(l_quantity AS BIGINT) AS mapq,
+       CASE l_partkey % 5 WHEN 0 THEN '20M2D16M' WHEN 1 THEN '10M1I25M' ELSE '36M' END AS cigar,
+       CASE l_partkey % 4 WHEN 0 THEN 'MD:Z:36' WHEN 1 THEN 'MD:Z:3A32' WHEN 2 THEN 'MD:Z:20C15' ELSE 'MD:Z:10A10T14' END AS md
+FROM {lineitem}
+"""
+
+VIEWS["v_pileup"] = """
+SELECT concat('chr', CAST(l_suppkey % 8 + 1 AS STRING)) AS chrom, l_orderkey AS pos,
+       substr('ACGT', CAST(l_partkey % 4 + 1 AS INT), 1) AS ref, substr('ACGT', CAST((l_partkey + 1) % 4 + 1 AS INT), 1) AS alt,
+       concat(repeat('.', CAST(l_quantity AS INT)), repeat(substr('ACGT', CAST((l_partkey + 1) % 4 + 1 AS INT), 1), l_linenumber),
+              CASE WHEN l_tax > CAST(0.07 AS DOUBLE) THEN '+1A' ELSE '' END, CASE WHEN l_discount > CAST(0.09 AS DOUBLE) THEN 'N' ELSE '' END) AS bases
+FROM {lineitem}
+"""
+
 
 class Tables:
     """Tables and views of one data folder as DataFrames, by attribute."""
@@ -129,6 +172,7 @@ class Tables:
                 self._seen[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             elif f"v_{name}" in VIEWS:
                 text = VIEWS[f"v_{name}"]
+                text = re.sub(r"\b(FROM|JOIN) v_(\w+)", r"\1 {\2}", text)
                 used = {t: getattr(self, t) for t in re.findall(r"\{(\w+)\}", text)}
                 self._seen[name] = self.spark.sql(text, **used)
             else:

@@ -31,12 +31,18 @@ def cut_site(df: DataFrame) -> DataFrame:
 
 
 def fragment_midpoint(df: DataFrame) -> DataFrame:
-    """One base at the middle of a read pair, measured from the upstream mate."""
-    plus = F.col("start1") + F.floor((F.col("stop2") - F.col("start1")) / 2)
-    minus = F.col("start2") + F.floor((F.col("stop1") - F.col("start2")) / 2)
-    mid = F.when(F.col("strand1") == "+", plus).otherwise(minus).cast("long")
-    return df.select(F.col("chrom1").alias("chrom"), mid.alias("start"), (mid + 1).alias("stop"),
-                     "name", F.col("strand1").alias("strand"))
+    """One base at the middle of a read pair, measured from the upstream mate.
+
+    Pairs without a strand keep the first mate's coordinates.
+    """
+    plus = F.col("start1") + ((F.col("stop2") - F.col("start1")) / 2).cast("long")
+    minus = F.col("start2") + ((F.col("stop1") - F.col("start2")) / 2).cast("long")
+    mid = F.when(F.col("strand1") == "+", plus).when(F.col("strand1") == "-", minus)
+    return df.select(
+        F.col("chrom1").alias("chrom"),
+        F.coalesce(mid, F.col("start1")).alias("start"), F.coalesce(mid + 1, F.col("stop1")).alias("stop"),
+        F.col("strand1").alias("strand"),
+    )
 
 
 def slop(df: DataFrame, sizes: DataFrame, left: int, right: int | None = None, stranded: bool = False) -> DataFrame:

@@ -9,6 +9,11 @@ def _d(x: float) -> Column:
     return F.lit(float(x))
 
 
+def let(c: Column, body) -> Column:
+    """Evaluate ``c`` once and hand it to ``body``; inside a lambda it would run per element."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def vsum(a: Column) -> Column:
     return F.aggregate(a, _d(0), lambda s, x: s + F.coalesce(x, _d(0)))
 
@@ -23,21 +28,19 @@ def vmean(a: Column) -> Column:
 
 
 def vsd(a: Column, ddof: int = 0) -> Column:
-    m = vmean(a)
-    ss = F.aggregate(a, _d(0), lambda s, x: s + F.coalesce((x - m) * (x - m), _d(0)))
     n = vcount(a) - ddof
+    ss = let(vmean(a), lambda m: F.aggregate(a, _d(0), lambda s, x: s + F.coalesce((x - m) * (x - m), _d(0))))
     return F.sqrt(ss / F.when(n > 0, n))
 
 
 def vcenter(a: Column) -> Column:
-    m = vmean(a)
-    return F.transform(a, lambda x: x - m)
+    return let(vmean(a), lambda m: F.transform(a, lambda x: x - m))
 
 
 def vzscore(a: Column, ddof: int = 0) -> Column:
     """(x - mean) / sd; nulls for a constant vector."""
-    m, s = vmean(a), F.nullif(vsd(a, ddof), _d(0))
-    return F.transform(a, lambda x: (x - m) / s)
+    stats = F.struct(vmean(a).alias("m"), F.nullif(vsd(a, ddof), _d(0)).alias("s"))
+    return let(stats, lambda z: F.transform(a, lambda x: (x - z["m"]) / z["s"]))
 
 
 def vbaseline(a: Column) -> Column:
@@ -52,8 +55,9 @@ def vdot(a: Column, b: Column) -> Column:
 
 def vpearson(a: Column, b: Column) -> Column:
     """Pearson r of two equally long vectors; null when one is constant."""
-    ca, cb = vcenter(a), vcenter(b)
-    return vdot(ca, cb) / F.nullif(F.sqrt(vdot(ca, ca) * vdot(cb, cb)), _d(0))
+    centred = F.struct(vcenter(a).alias("a"), vcenter(b).alias("b"))
+    return let(centred, lambda c: vdot(c["a"], c["b"]) / F.nullif(
+        F.sqrt(vdot(c["a"], c["a"]) * vdot(c["b"], c["b"])), _d(0)))
 
 
 def vranks(a: Column) -> Column:
@@ -78,8 +82,8 @@ def vclip(a: Column, low: Column, high: Column) -> Column:
 
 def vminmax(a: Column) -> Column:
     """Scale to 0..1; nulls for a constant vector."""
-    lo, span = F.array_min(a), F.array_max(a) - F.array_min(a)
-    return F.transform(a, lambda x: (x - lo) / F.nullif(span, _d(0)))
+    ends = F.struct(F.array_min(a).alias("lo"), F.nullif(F.array_max(a) - F.array_min(a), _d(0)).alias("span"))
+    return let(ends, lambda z: F.transform(a, lambda x: (x - z["lo"]) / z["span"]))
 
 
 def vflip_blocks(a: Column, strand: Column, n_bins: int, n_blocks: int) -> Column:
@@ -103,7 +107,7 @@ def vframe(a: Column, offset: Column, width: int, pad: float) -> Column:
 def vflank_normalise(a: Column, n: int = 10) -> Column:
     """Divide by the mean of the first and last ``n`` elements."""
     flank = vmean(F.concat(F.slice(a, 1, n), F.slice(a, -n, n)))
-    return F.transform(a, lambda x: x / F.nullif(flank, _d(0)))
+    return let(F.nullif(flank, _d(0)), lambda m: F.transform(a, lambda x: x / m))
 
 
 def vpick(a: Column, indices: list[int]) -> Column:
@@ -114,24 +118,24 @@ def vpick(a: Column, indices: list[int]) -> Column:
 def vfarthest(a: Column) -> Column:
     """The element farthest from zero, with its sign (the first of equals)."""
     far = F.array_max(F.transform(a, lambda x: F.abs(x)))
-    return F.element_at(F.filter(a, lambda x: F.abs(x) == far), 1)
+    return let(far, lambda m: F.element_at(F.filter(a, lambda x: F.abs(x) == m), 1))
 
 
 def vsoftmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / vsum(e))
+    e = let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return let(e, lambda v: let(vsum(v), lambda s: F.transform(v, lambda x: x / s)))
 
 
 def oriented_pair(fwd: Column, rev: Column, half: int) -> tuple[Column, Column, Column]:
-    """Keep the larger of two strand tracks per position, then orient by where the mass lies.
+    """Mask two strand tracks to the larger score and orient the row, forward hits upstream.
 
-    Returns (forward, reverse, flipped): when the upstream half of both masked tracks holds
-    less than the downstream half, both are reversed and swapped.
+    Returns (forward, reverse, flipped). The track with the larger half decides: a forward
+    track heavier downstream, or a reverse track heavier upstream, flips and swaps both.
     """
     f = F.zip_with(fwd, rev, lambda x, y: F.when(x >= y, x).otherwise(_d(0)))
-    r = F.zip_with(fwd, rev, lambda x, y: F.when(y > x, y).otherwise(_d(0)))
-    up = vsum(F.slice(f, 1, half)) + vsum(F.slice(r, 1, half))
-    down = vsum(F.slice(f, half + 1, half)) + vsum(F.slice(r, half + 1, half))
-    flip = up < down
+    r = F.zip_with(fwd, rev, lambda x, y: F.when(y >= x, y).otherwise(_d(0)))
+    mass = lambda a, start: F.aggregate(F.slice(a, start, half), _d(0), lambda s, x: s + F.greatest(x, _d(0)))
+    f_up, f_down = mass(f, 1), mass(f, half + 1)
+    r_up, r_down = mass(r, 1), mass(r, half + 1)
+    flip = F.when(F.greatest(f_up, f_down) > F.greatest(r_up, r_down), f_up <= f_down).otherwise(r_up > r_down)
     return (F.when(flip, F.reverse(r)).otherwise(f), F.when(flip, F.reverse(f)).otherwise(r), flip)

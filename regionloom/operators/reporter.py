@@ -11,3 +11,11 @@ def umi_counts(reads: DataFrame) -> DataFrame:
     Deduplicating (barcode, tag) first spreads a hot barcode over many tasks.
     """
     return reads.select("barcode", "umi").distinct().groupBy("barcode").agg(F.count("umi").alias("n_umi"))
+
+
+def trim_with_umi(reads: DataFrame, n: int) -> DataFrame:
+    """Move the first ``n`` bases of a read to its name and cut them off."""
+    return reads.withColumns({
+        "name": F.concat(F.col("name"), F.lit(":"), F.substring("bases", 1, n)),
+        "bases": F.expr(f"substring(bases, {n + 1})"),
+    })
