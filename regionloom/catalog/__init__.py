@@ -12,7 +12,7 @@ from regionloom.catalog.views import Tables, with_views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["aggregates", "sets", "joins", "transforms"]
+MODULES = ["aggregates", "sets", "joins", "transforms", "link_joins"]
 
 
 def query(name: str, sql: str | None = None):

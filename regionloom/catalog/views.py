@@ -158,6 +158,18 @@ SELECT concat('chr', CAST(l_suppkey % 8 + 1 AS STRING)) AS chrom, l_orderkey AS
 FROM {lineitem}
 """
 
+VIEWS["v_replinks"] = """
+SELECT chrom, src_start + 10 AS src_start, src_stop + 10 AS src_stop, dst_start, dst_stop, score * CAST(0.5 AS DOUBLE) AS score, 'b1' AS rep FROM v_links
+UNION ALL
+SELECT chrom, src_start, src_stop, dst_start + 20, dst_stop + 20, score * CAST(0.25 AS DOUBLE), 'b2' FROM v_links WHERE dst_start % 5 <> 0
+"""
+
+VIEWS["v_mapping"] = """
+SELECT concat('GENE', CAST(p_partkey AS STRING)) AS ensembl_gene_id,
+       concat(upper(substr(p_name, 1, 3)), CAST(p_partkey % 500 AS STRING)) AS hgnc_symbol, p_partkey * 3 AS entrezgene_id
+FROM {part}
+"""
+
 
 class Tables:
     """Tables and views of one data folder as DataFrames, by attribute."""

@@ -19,3 +19,8 @@ def trim_with_umi(reads: DataFrame, n: int) -> DataFrame:
         "name": F.concat(F.col("name"), F.lit(":"), F.substring("bases", 1, n)),
         "bases": F.expr(f"substring(bases, {n + 1})"),
     })
+
+
+def demultiplex(reads: DataFrame, index: DataFrame, key: str = "read_id") -> DataFrame:
+    """Sample of each read; reads without a sample keep null, so they can be counted."""
+    return reads.join(index, key, "left")
