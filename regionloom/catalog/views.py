@@ -170,6 +170,17 @@ SELECT concat('GENE', CAST(p_partkey AS STRING)) AS ensembl_gene_id,
 FROM {part}
 """
 
+VIEWS["v_marks"] = """
+SELECT m.*, 100 * h3k27ac + 10 * h3k4me1 + h3k27me3 AS state FROM (
+SELECT name AS id, CAST(q_value AS INT) % 3 + 1 AS cluster, CASE WHEN start % 7 < 3 THEN 9 ELSE start % 3 + 3 END AS h3k27ac,
+       CASE WHEN start % 5 < 3 THEN 9 ELSE 4 END AS h3k4me1, CASE WHEN start % 11 < 9 THEN 9 ELSE 5 END AS h3k27me3 FROM v_peaks) m
+"""
+
+VIEWS["v_histones"] = """
+SELECT chrom, dst_start AS start, dst_stop AS stop, dst_start % 10 AS code,
+       CASE timepoint WHEN 'd0' THEN 'h3k27ac' WHEN 'd3' THEN 'h3k4me1' ELSE 'h3k27me3' END AS mark FROM v_links
+"""
+
 
 class Tables:
     """Tables and views of one data folder as DataFrames, by attribute."""

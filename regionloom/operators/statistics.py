@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from regionloom.functions.tails import fisher_greater, normal_two_sided, student_two_sided
+from regionloom.plans.scan import numbered, running, value_ranks, with_avg_rank
 
 SMALL_LIMIT = 100_000
 
@@ -18,3 +21,213 @@ def small_grid(a: DataFrame, b: DataFrame, limit: int = SMALL_LIMIT) -> DataFram
     """Every row of ``a`` with every row of a small ``b`` (cluster tables); the size of ``b`` is checked at run time."""
     one = small_rows(b, limit)
     return a.join(F.broadcast(one)).select(*a.columns, F.inline("rows_"))
+
+
+def precision_recall(df: DataFrame, score: str, label: str, group: list[str] | None = None) -> DataFrame:
+    """Precision and recall at every distinct score, from high to low.
+
+    Each row also carries the trapezoid below the curve back to the previous score, which is
+    known from the row's own counts, so no row has to look at its neighbour.
+    """
+    group = group or []
+    counts = df.groupBy(*group, score).agg(F.sum(label).cast("long").alias("pos_"), F.count("*").alias("n_"))
+    order = [F.col(score).desc()]
+    cum = running(counts, group, order, F.col("pos_"), "sum", "tp")
+    cum = running(cum, group, order, F.col("n_"), "sum", "n_upto")
+    total = counts.groupBy(*group).agg(F.sum("pos_").alias("total_"))
+    cum = cum.join(total, group) if group else cum.join(F.broadcast(total))
+    prev_tp, prev_n = F.col("tp") - F.col("pos_"), F.col("n_upto") - F.col("n_")
+    all_pos = F.nullif(F.col("total_"), F.lit(0))
+    before = F.when(prev_n == 0, F.lit(1.0)).otherwise(prev_tp / F.nullif(prev_n, F.lit(0)))
+    return cum.select(
+        *group, score, (F.col("tp") / F.col("n_upto")).alias("precision"), (F.col("tp") / all_pos).alias("recall"),
+        (F.col("pos_") / all_pos * (F.col("tp") / F.col("n_upto") + before) / 2).alias("area"))
+
+
+def area_under_curve(curve: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Area under the precision-recall curve."""
+    return curve.groupBy(*(group or [])).agg(F.sum("area").alias("auc"))
+
+
+def rank_capture(df: DataFrame, scores: list[str], tie: str, label: str, step: int = 100, top: int = 20000) -> DataFrame:
+    """Labels captured in the first r rows of each score's ranking, every ``step`` ranks up to ``top``."""
+    long = df.unpivot([tie, label], scores, "score_name", "score")
+    ranked = numbered(long, ["score_name"], [F.col("score").desc(), F.col(tie)], "rank")
+    # only rows up to the top rank matter; their labels are few enough for a second scan
+    head = ranked.filter(F.col("rank") <= top)
+    captured = running(head, ["score_name"], ["rank"], F.col(label).cast("long"), "sum", "captured")
+    return captured.filter(F.col("rank") % step == 0).select("score_name", "rank", "captured")
+
+
+def benjamini_hochberg(df: DataFrame, p: str, group: list[str] | None = None, out: str = "q") -> DataFrame:
+    """Adjusted p-values: p*n/rank, then the running minimum from the largest p down."""
+    group = group or []
+    ranks = value_ranks(df, group, p).withColumn("raw_", F.least(F.lit(1.0), F.col(p) * F.col("n_group") / (F.col("n_before") + F.col("n_ties"))))
+    table = running(ranks.select(*group, p, "raw_"), group, [F.col(p).desc()], F.col("raw_"), "min", out).select(*group, p, out)
+    return df.join(table, [*group, p], "left")
+
+
+def significance_class(q: Column) -> Column:
+    """A68 tail: category of a q-value."""
+    return F.when(q < 0.01, "strong").when(q < 0.05, "moderate").when(q < 0.1, "weak").otherwise("none")
+
+
+def over_representation(genes: DataFrame, background: DataFrame, sets: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Overlap of gene lists with gene sets inside a background, hypergeometric p and BH-adjusted p.
+
+    ``genes`` may hold many lists, keyed by ``by``.
+    """
+    by = by or []
+    universe = background.select("gene_id").distinct()
+    members = sets.join(universe, "gene_id", "left_semi").select("set_name", "gene_id").distinct()
+    listed = genes.join(universe, "gene_id", "left_semi").select(*by, "gene_id").distinct()
+    hits = listed.join(members, "gene_id").groupBy(*by, "set_name").agg(F.count("*").alias("n_both"))
+    set_size = members.groupBy("set_name").agg(F.count("*").alias("n_set"))
+    list_size = listed.groupBy(*by).agg(F.count("*").alias("n_list"))
+    total = universe.agg(F.count("*").alias("n_total"))
+    rows = hits.join(set_size, "set_name")
+    rows = (rows.join(list_size, by) if by else rows.join(F.broadcast(list_size))).join(F.broadcast(total))
+    tested = rows.withColumn("p_value", fisher_greater(
+        "n_both", F.col("n_list") - F.col("n_both"), F.col("n_set") - F.col("n_both"),
+        F.col("n_total") - F.col("n_list") - F.col("n_set") + F.col("n_both")))
+    return benjamini_hochberg(tested, "p_value", by, "q_value")
+
+
+def ordered_over_representation(genes: DataFrame, background: DataFrame, sets: DataFrame) -> DataFrame:
+    """A66, ordered query: for each set the prefix of the ranked list with the smallest p.
+
+    Only prefixes that end at a member of the set can be best; a set's members are as many
+    rows as the set has genes.
+    """
+    universe = background.select("gene_id").distinct()
+    members = sets.join(universe, "gene_id", "left_semi").select("set_name", "gene_id").distinct()
+    ranked = numbered(genes.join(universe, "gene_id", "left_semi").select("gene_id", "position"), [], ["position", "gene_id"], "rank")
+    per_set = W.partitionBy("set_name").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    hits = ranked.join(members, "gene_id").withColumn("n_both", F.count("*").over(per_set))
+    set_size = members.groupBy("set_name").agg(F.count("*").alias("n_set"))
+    total = universe.agg(F.count("*").alias("n_total"))
+    rows = hits.join(set_size, "set_name").join(F.broadcast(total)).withColumn("p_value", fisher_greater(
+        "n_both", F.col("rank") - F.col("n_both"), F.col("n_set") - F.col("n_both"),
+        F.col("n_total") - F.col("rank") - F.col("n_set") + F.col("n_both")))
+    return rows.groupBy("set_name").agg(F.min("p_value").alias("p_value"), F.min(F.struct("p_value", "rank")).getField("rank").alias("prefix"))
+
+
+def enrichment_score(ranked: DataFrame, sets: DataFrame, group: str, score: str, low: int = 15, high: int = 1000) -> DataFrame:
+    """Classic pre-ranked enrichment score per gene set and contrast, stacked over contrasts.
+
+    The running sum peaks at a member or just before one, so only member ranks are needed;
+    sets are limited to ``low``..``high`` ranked members first.
+    """
+    ranks = numbered(ranked.select(group, "gene_id", score), [group], [F.col(score).desc(), F.col("gene_id")], "rank")
+    n_all = ranks.groupBy(group).agg(F.count("*").alias("n_all"))
+    hits = ranks.select(group, "gene_id", "rank").join(sets.select("set_name", "gene_id").distinct(), "gene_id")
+    sizes = hits.groupBy(group, "set_name").agg(F.count("*").alias("n_hit")).filter(F.col("n_hit").between(low, high))
+    kept = hits.join(sizes, [group, "set_name"]).join(n_all, group)
+    j = F.row_number().over(W.partitionBy(group, "set_name").orderBy("rank"))  # at most ``high`` rows
+    steps = kept.withColumn("j", j)
+    miss = (F.col("rank") - F.col("j")) / (F.col("n_all") - F.col("n_hit"))
+    after, before = F.col("j") / F.col("n_hit") - miss, (F.col("j") - 1) / F.col("n_hit") - miss
+    far = F.max(F.greatest(after, before)), F.min(F.least(after, before))
+    out = steps.groupBy(group, "set_name").agg(far[0].alias("hi"), far[1].alias("lo"), F.first("n_hit").alias("n_hit"))
+    return out.select(group, "set_name", "n_hit", F.when(F.col("hi") >= -F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("es"))
+
+
+def signed_rank(df: DataFrame, group: list[str], diff: str) -> DataFrame:
+    """Wilcoxon signed-rank of the differences per group (zeros left out), normal approximation with tie correction."""
+    rows = df.filter((F.col(diff) != 0)).select(*group, F.abs(F.col(diff)).alias("a_"), (F.col(diff) > 0).alias("up_"))
+    ranks = value_ranks(rows, group, "a_").select(*group, "a_", "avg_rank", "n_ties")
+    signed = rows.join(ranks, [*group, "a_"])
+    ties = ranks.groupBy(*group).agg(F.sum(F.pow("n_ties", F.lit(3)) - F.col("n_ties")).alias("t_"))
+    sums = signed.groupBy(*group).agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("up_"), F.col("avg_rank")).otherwise(0.0)).alias("w_up"),
+        F.sum(F.when(F.col("up_"), 0.0).otherwise(F.col("avg_rank"))).alias("w_down")).join(ties, group)
+    n = F.col("n").cast("double")
+    se = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("t_") / 2) / 24)
+    return sums.withColumn("z", (F.least("w_up", "w_down") - n * (n + 1) / 4) / F.nullif(se, F.lit(0.0))).drop("t_")
+
+
+def rank_sum(df: DataFrame, group: list[str], side: str, value: str) -> DataFrame:
+    """Rank-sum statistic of side True against side False per group."""
+    ranked = with_avg_rank(df.filter(F.col(value).isNotNull()), group, value, "r_")
+    sums = ranked.groupBy(*group).agg(
+        F.count_if(F.col(side)).cast("double").alias("n1"), F.count_if(~F.col(side)).cast("double").alias("n2"),
+        F.sum(F.when(F.col(side), F.col("r_")).otherwise(0.0)).alias("s_"))
+    n1, n2 = F.col("n1"), F.col("n2")
+    return sums.withColumn("z", (F.col("s_") - n1 * (n1 + n2 + 1) / 2) / F.nullif(F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12), F.lit(0.0))).drop("s_")
+
+
+def one_sample_t(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """T statistic of the mean against 0 per group."""
+    out = df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return out.withColumn("t", F.col("mean") / F.nullif(F.col("sd") / F.sqrt("n"), F.lit(0.0)))
+
+
+def with_p_values(tests: DataFrame, kind: str) -> DataFrame:
+    """Two-sided p next to a z or t statistic."""
+    return tests.withColumn("p_value", normal_two_sided("z") if kind == "z" else student_two_sided("t", (F.col("n") - 1).cast("double")))
+
+
+def replicate_quality(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """Totals, Pearson and Spearman of two replicates per timepoint."""
+    ranked = with_avg_rank(with_avg_rank(df, [group], x, "rx_"), [group], y, "ry_")
+    return ranked.groupBy(group).agg(
+        F.sum(x).alias("total_1"), F.sum(y).alias("total_2"), F.corr(x, y).alias("pearson"), F.corr("rx_", "ry_").alias("spearman"))
+
+
+def mean_and_error(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Mean and standard error per group."""
+    return df.groupBy(*group).agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("se"), F.count(value).alias("n"))
+
+
+def sample_pca(long: DataFrame, key: str, sample: str, samples: list[str], value: str, cv_share: float = 0.66) -> DataFrame:
+    """Principal components of samples over the most variable features.
+
+    Features above the ``cv_share`` percentile of the coefficient of variation are scaled; the
+    sample by sample Gram matrix is summed by Spark, and only that small matrix is decomposed.
+    """
+    import numpy as np
+    from regionloom.operators.transforms import exact_percentiles
+    spread = long.groupBy(key).agg(F.avg(value).alias("m_"), F.stddev_samp(value).alias("s_"), F.count("*").alias("n_"))
+    spread = spread.filter((F.col("n_") == len(samples)) & (F.col("s_") > 0) & (F.col("m_") != 0)).withColumn("cv_", F.col("s_") / F.col("m_"))
+    cut = exact_percentiles(spread, [], "cv_", {"cut_": cv_share})
+    kept = spread.join(F.broadcast(cut)).filter(F.col("cv_") > F.col("cut_"))
+    scaled = long.join(kept, key).select(key, sample, ((F.col(value) - F.col("m_")) / F.col("s_")).alias("x"))
+    wide = scaled.groupBy(key).pivot(sample, samples).agg(F.max("x"))
+    cells = [(i, j) for i in range(len(samples)) for j in range(i, len(samples))]
+    row = wide.agg(*[F.sum(F.col(f"`{samples[i]}`") * F.col(f"`{samples[j]}`")).alias(f"g{i}_{j}") for i, j in cells]).first()
+    gram = np.zeros((len(samples), len(samples)))
+    for i, j in cells:
+        gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
+    values, axes = np.linalg.eigh(gram)
+    order = np.argsort(values)[::-1]
+    values, axes = np.clip(values[order], 0, None), axes[:, order]
+    share = values / values.sum()
+    rows = [(s, k + 1, float(axes[i, k] * np.sqrt(values[k])), float(share[k])) for i, s in enumerate(samples) for k in range(min(3, len(samples)))]
+    return long.sparkSession.createDataFrame(rows, "sample string, component int, position double, variance_share double")
+
+
+def classify(df: DataFrame, features: list[str], label: str, seed: int = 42) -> DataFrame:
+    """Logistic classifier on an 80/20 split; label and score of the test rows."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    rows = VectorAssembler(inputCols=features, outputCol="features_", handleInvalid="skip").transform(df)
+    train, test = rows.randomSplit([0.8, 0.2], seed)
+    model = LogisticRegression(featuresCol="features_", labelCol=label).fit(train)
+    return model.transform(test).select(*df.columns, vector_to_array("probability")[1].alias("score"))
+
+
+def lasso_r2(df: DataFrame, features: list[str], target: str, seed: int = 42, folds: int = 5) -> DataFrame:
+    """Cross-validated lasso; R squared on the held-out fifth."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    rows = VectorAssembler(inputCols=features, outputCol="features_", handleInvalid="skip").transform(df)
+    train, test = rows.randomSplit([0.8, 0.2], seed)
+    lasso = LinearRegression(featuresCol="features_", labelCol=target, elasticNetParam=1.0)
+    grid = ParamGridBuilder().addGrid(lasso.regParam, [0.001, 0.01, 0.1]).build()
+    judge = RegressionEvaluator(labelCol=target, metricName="r2")
+    best = CrossValidator(estimator=lasso, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=seed).fit(train).bestModel
+    r2 = judge.evaluate(best.transform(test))
+    return df.sparkSession.createDataFrame([(float(r2), float(best.getRegParam()))], "r2 double, reg_param double")
