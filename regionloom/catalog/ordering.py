@@ -66,10 +66,10 @@ def w10(t):
 
 
 @query("w11_average_rank", """
-SELECT event_id, rank() OVER w + (count(*) OVER (PARTITION BY event_type, CAST(value AS INT)) - 1) / 2 AS avg_rank
-FROM events WINDOW w AS (PARTITION BY event_type ORDER BY CAST(value AS INT))""")
+SELECT event_id, rank() OVER w + (count(*) OVER (PARTITION BY event_type, floor(value)) - 1) / 2 AS avg_rank
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY floor(value))""")
 def w11(t):
-    rows = t.events.select("event_id", "event_type", F.round("value").cast("int").alias("v"))
+    rows = t.events.select("event_id", "event_type", F.floor("value").alias("v"))
     return with_avg_rank(rows, ["event_type"], "v", "avg_rank").select("event_id", "avg_rank")
 
 

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from regionloom.session import shared_path
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS: dict[str, str] = {}
@@ -181,6 +183,12 @@ SELECT chrom, dst_start AS start, dst_stop AS stop, dst_start % 10 AS code,
        CASE timepoint WHEN 'd0' THEN 'h3k27ac' WHEN 'd3' THEN 'h3k4me1' ELSE 'h3k27me3' END AS mark FROM v_links
 """
 
+VIEWS["v_gtf"] = """
+SELECT chrom, 'src' AS source, CASE WHEN start % 5 = 0 THEN 'transcript' ELSE 'gene' END AS feature, start, stop, '.' AS score, strand, '.' AS frame,
+       concat('gene_id "', gene_id, '"; gene_type "', CASE WHEN start % 4 = 0 THEN 'lincRNA' ELSE 'protein_coding' END, '"; level ', CAST(start % 3 + 1 AS STRING), ';') AS attributes
+FROM v_genes
+"""
+
 
 class Tables:
     """Tables and views of one data folder as DataFrames, by attribute."""
@@ -202,6 +210,10 @@ class Tables:
                 raise AttributeError(name)
         return self._seen[name]
 
+    def scratch(self, name: str) -> str:
+        """A new path in the shared folder for files a query writes and reads back."""
+        return shared_path(self.spark, name)
+
 
 def with_views(sql: str) -> str:
     """Put the views a statement names in front of it as common table expressions."""
