@@ -12,7 +12,8 @@ from regionloom.catalog.views import Tables, with_views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["aggregates", "sets", "joins", "transforms", "link_joins", "states", "motifs", "ordering", "statistics", "scans"]
+MODULES = ["aggregates", "sets", "joins", "transforms", "link_joins", "states", "motifs", "ordering", "statistics",
+           "reporter", "scans"]
 
 
 def query(name: str, sql: str | None = None):

@@ -229,10 +229,12 @@ def s23(t):
     for mate, seq in (("1", F.reverse("b")), ("2", F.col("b"))):
         record = F.concat(F.lit("@r"), "doc_id", F.lit(f" {mate}\n"), seq, F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("b")))
         path = t.scratch(f"fastq{mate}")
-        # a FASTQ file is one ordered file, so the sample is written as one
-        rows.select("doc_id", record.alias("value")).coalesce(1).sortWithinPartitions("doc_id").select("value").write.option("compression", "gzip").text(path)
-        paths.append(path)
-    out = rd.umi_reads(rd.read_fastq(t.spark, paths[0]), rd.read_fastq(t.spark, paths[1]))
+        # one ordered file per lane, as a sequencer writes them
+        lanes = rows.select("doc_id", (F.col("doc_id") % 16).alias("lane"), record.alias("value")).repartition("lane")
+        lanes.sortWithinPartitions("lane", "doc_id").select("value", "lane").write.partitionBy("lane").option("compression", "gzip").text(path)
+        paths.append(path + "/*")
+    first, second = (rd.read_fastq(t.spark, p, r"lane=(\d+)/") for p in paths)
+    out = rd.umi_reads(first, second)
     return out.select("name", "bases")
 
 

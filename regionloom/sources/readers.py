@@ -87,18 +87,19 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(blocks, ["file", "block"]).select("file", (F.col("before_") + F.col("i") - F.col("first_")).alias("line"), "value")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Records of four lines: record number, name, bases, quality."""
+def read_fastq(spark: SparkSession, path: str, lane: str = r"([^/]+)$") -> DataFrame:
+    """Records of four lines: lane (from the file path), record number in the file, name, bases, quality."""
     part = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
-    return numbered_lines(spark, path).groupBy(F.floor(F.col("line") / 4).alias("record")).agg(
+    lines = numbered_lines(spark, path).withColumn("lane", F.regexp_extract("file", lane, 1))
+    return lines.groupBy("lane", F.floor(F.col("line") / 4).alias("record")).agg(
         part(0).alias("name"), part(1).alias("bases"), part(3).alias("quality"))
 
 
 def umi_reads(first: DataFrame, second: DataFrame, umi: int = 15, trim: int = 17) -> DataFrame:
     """S23 with P41: read 2 cut by ``trim`` bases, the first ``umi`` bases of read 1 in its name."""
-    tags = first.select("record", F.substring("bases", 1, umi).alias("umi"))
-    return second.join(tags, "record").select(
-        "record", F.concat(F.split_part("name", F.lit(" "), F.lit(1)), F.lit(":"), "umi").alias("name"),
+    tags = first.select("lane", "record", F.substring("bases", 1, umi).alias("umi"))
+    return second.join(tags, ["lane", "record"]).select(
+        "lane", "record", F.concat(F.split_part("name", F.lit(" "), F.lit(1)), F.lit(":"), "umi").alias("name"),
         F.expr(f"substring(bases, {trim + 1})").alias("bases"), F.expr(f"substring(quality, {trim + 1})").alias("quality"))
 
 
