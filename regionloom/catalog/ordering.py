@@ -35,7 +35,7 @@ def w05(t):
 
 
 @query("w06_above_nth", """
-WITH n AS (SELECT o_totalprice AS x FROM orders ORDER BY x DESC LIMIT 1 OFFSET 2999) SELECT o_orderkey, o_totalprice FROM orders, n WHERE o_totalprice > x""")
+WITH n AS (SELECT o_totalprice AS x FROM orders ORDER BY x DESC LIMIT 1 OFFSET 2999) SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > coalesce((SELECT x FROM n), -1)""")
 def w06(t):
     return matrix.above_nth(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", 3000)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from regionloom.plans.small import small_side
+
 REGION_PATTERN = r"^([^:\s]+):(\d+)-(\d+)"
 
 
@@ -48,8 +50,9 @@ def fragment_midpoint(df: DataFrame) -> DataFrame:
 def slop(df: DataFrame, sizes: DataFrame, left: int, right: int | None = None, stranded: bool = False) -> DataFrame:
     """Grow (or shrink, with negative numbers) intervals, clamped to the chromosome.
 
-    ``sizes`` has one row per chromosome, a number fixed by the genome. Intervals that a
-    negative slop empties are dropped.
+    ``sizes`` has one row per chromosome, which is checked before it is broadcast, so a long
+    chromosome never becomes one join partition. Intervals that a negative slop empties are
+    dropped.
     """
     right = left if right is None else right
     lo, hi = F.lit(left), F.lit(right)
@@ -58,7 +61,7 @@ def slop(df: DataFrame, sizes: DataFrame, left: int, right: int | None = None, s
         lo, hi = F.when(minus, hi).otherwise(lo), F.when(minus, lo).otherwise(hi)
     cols = df.columns
     return (
-        df.join(sizes.select("chrom", F.col("size").alias("size_")), "chrom")
+        df.join(small_side(sizes.select("chrom", F.col("size").alias("size_"))), "chrom")
         .withColumns({
             "start": F.greatest(F.lit(0).cast("long"), F.col("start") - lo),
             "stop": F.least(F.col("size_"), F.col("stop") + hi),

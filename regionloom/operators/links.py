@@ -8,6 +8,7 @@ from regionloom.functions.coords import region_id, slop
 from regionloom.functions.vectors import vpearson
 from regionloom.operators.sets import mirrored
 from regionloom.plans.bins import KEY, merge_intervals, overlap_pairs
+from regionloom.plans.small import small_grid
 
 END = {"src": ["src_start", "src_stop"], "dst": ["dst_start", "dst_stop"]}
 
@@ -161,7 +162,6 @@ def cluster_confusion(a: DataFrame, b: DataFrame, universe: int | None = None) -
     Pair counts come from a join on the gene and are combined before the shuffle; only the
     small grid of cluster pairs is crossed. A zero cell b*c gives a null ratio.
     """
-    from regionloom.operators.statistics import small_grid
     both = a.select("gene_id", F.col("cluster").alias("a_cluster")).distinct().join(
         b.select("gene_id", F.col("cluster").alias("b_cluster")).distinct(), "gene_id")
     n_both = both.groupBy("a_cluster", "b_cluster").agg(F.count("*").alias("n11"))

@@ -353,6 +353,9 @@ def connected_groups(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -
     raise RuntimeError("groups did not settle; raise max_rounds")
 
 
-def group_names(labels: DataFrame, names: DataFrame) -> DataFrame:
-    """A86 tail: group name from its sorted member names; a redundancy group is a handful of motifs."""
-    return labels.join(names, "id").groupBy("label").agg(F.concat_ws(";", F.sort_array(F.collect_list("name"))).alias("group_name"), F.count("*").alias("size"))
+def group_names(labels: DataFrame, names: DataFrame, limit: int = 10_000) -> DataFrame:
+    """A86 tail: group name from its sorted member names; a group past ``limit`` members is an error, found before anything is gathered."""
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    big = F.when(F.col("size") > limit, F.raise_error(F.lit("a group is too large for a joined name"))).otherwise(F.col("size"))
+    fine = labels.join(sizes.withColumn("size", big), "label").filter("size > 0")
+    return fine.join(names, "id").groupBy("label").agg(F.concat_ws(";", F.sort_array(F.collect_list("name"))).alias("group_name"), F.count("*").alias("size"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from regionloom.operators.statistics import signed_rank, with_p_values
 from regionloom.operators.transforms import exact_percentiles
+from regionloom.plans.small import small_side
+from regionloom.session import checkpointed
 
 
 def umi_counts(reads: DataFrame) -> DataFrame:
@@ -39,13 +41,13 @@ def library_normalise(counts: DataFrame, plasmid: str = "plasmid") -> DataFrame:
     ``counts``: barcode, sample, n. A barcode missing in the plasmid library gets 0.
     """
     totals = counts.groupBy("sample").agg(F.sum("n").alias("total_"))
-    shares = counts.join(F.broadcast(totals), "sample").withColumn("share_", F.col("n") / F.col("total_"))
+    shares = counts.join(small_side(totals), "sample").withColumn("share_", F.col("n") / F.col("total_"))
     base = shares.filter(F.col("sample") == plasmid).select("barcode", F.col("share_").alias("p_"))
     mixed = shares.filter(F.col("sample") != plasmid).join(base, "barcode", "left").withColumn(
         "x_", F.col("share_") * F.coalesce(F.col("p_"), F.lit(0.0)))
     again = mixed.groupBy("sample").agg(F.sum("x_").alias("sum_"))
     share = F.col("x_") / F.nullif(F.col("sum_"), F.lit(0.0))
-    return mixed.join(F.broadcast(again), "sample").select(
+    return mixed.join(small_side(again), "sample").select(
         "barcode", "sample", (share * F.col("total_")).alias("normalised"),
         F.when(share * 1e6 > 1, F.log2(share * 1e6)).otherwise(0.0).alias("log2_signal"))
 
@@ -100,10 +102,11 @@ def call_rules(rows: DataFrame, rule_days: DataFrame, threshold: float = 0.5, p_
     (day 3 and day 6 may stand for each other) or no two days differ, when no example has a
     background, or when the endogenous mean lies below the background.
     """
-    avg = average_signal(rows, threshold)
-    traj = trajectory_signal(avg).filter(F.col("value").isNotNull())
+    # read several times below: stored once, so the assay rows are scanned once
+    avg = checkpointed(average_signal(rows, threshold))
+    traj = checkpointed(trajectory_signal(avg).filter(F.col("value").isNotNull()))
     endog = traj.filter(F.col("combos") == "0,0")
-    medians = exact_percentiles(endog, ["rule", "day"], "value", {"median": 0.5})
+    medians = checkpointed(exact_percentiles(endog, ["rule", "day"], "value", {"median": 0.5}))
     wide = medians.groupBy("rule").agg(*[F.max(F.when(F.col("day") == d, F.col("median"))).alias(f"traj_{d}") for d in DAYS])
     others = medians.select("rule", F.col("day").alias("other"), "median")
     day_diffs = endog.join(others, "rule").filter("day <> other").select("rule", "day", "other", (F.col("value") - F.col("median")).alias("d"))

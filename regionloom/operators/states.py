@@ -9,6 +9,7 @@ from regionloom.functions.vectors import vflank_normalise
 from regionloom.operators.annotate import decimal_code
 from regionloom.operators.transforms import exact_percentiles
 from regionloom.plans.bins import KEY, overlap_anti, overlap_pairs
+from regionloom.session import checkpointed
 
 NO_MARK = 9  # fixed value: code of a region without the mark
 MIDDLE = 4   # fixed value: code of a mark that does not change
@@ -140,7 +141,8 @@ def profiles(points: DataFrame, reads: DataFrame, sizes: DataFrame, group: str,
 def profile_summary(rows: DataFrame, group: str, flank: int) -> DataFrame:
     """Flank-normalised profiles, then median and population sd per group and bin."""
     normal = rows.withColumn("p_", vflank_normalise(F.col("profile"), flank)).select(group, F.posexplode("p_").alias("bin", "x"))
-    normal = normal.filter(F.col("x").isNotNull())
+    # stored once: the median and the spread would each repeat the range join behind it
+    normal = checkpointed(normal.filter(F.col("x").isNotNull()))
     medians = exact_percentiles(normal, [group, "bin"], "x", {"median": 0.5})
     spread = normal.groupBy(group, "bin").agg(F.stddev_pop("x").alias("sd"))
     return medians.join(spread, [group, "bin"])

@@ -7,22 +7,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from regionloom.functions.tails import fisher_greater, normal_two_sided, student_two_sided
 from regionloom.plans.scan import numbered, running, value_ranks, with_avg_rank
 
-SMALL_LIMIT = 100_000
-
-
-def small_rows(df: DataFrame, limit: int = SMALL_LIMIT) -> DataFrame:
-    """The rows of a small table as one array in one row; more rows than ``limit`` is an error, not a slow plan."""
-    rows = F.collect_list(F.struct(*df.columns))
-    checked = F.when(F.size("r_") > limit, F.raise_error(F.lit(f"more than {limit} rows on the small side"))).otherwise(F.col("r_"))
-    return df.agg(rows.alias("r_")).select(checked.alias("rows_"))
-
-
-def small_grid(a: DataFrame, b: DataFrame, limit: int = SMALL_LIMIT) -> DataFrame:
-    """Every row of ``a`` with every row of a small ``b`` (cluster tables); the size of ``b`` is checked at run time."""
-    one = small_rows(b, limit)
-    return a.join(F.broadcast(one)).select(*a.columns, F.inline("rows_"))
-
-
 def precision_recall(df: DataFrame, score: str, label: str, group: list[str] | None = None) -> DataFrame:
     """Precision and recall at every distinct score, from high to low.
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from regionloom.functions.tails import chi2_pdf, mvn_density, r_critical
 from regionloom.functions.vectors import vargmax, vpearson, vspearman, vzscore
 from regionloom.operators.matrix import vectors
-from regionloom.operators.statistics import small_rows
+from regionloom.plans.small import small_grid
 
 
 def ternary_code(contrasts: DataFrame, order: list[str], fdr: float) -> DataFrame:
@@ -41,8 +41,7 @@ def cluster_mean_zscores(rows: DataFrame, n: int) -> DataFrame:
 def cluster_correlation(a: DataFrame, b: DataFrame, n: int = 10) -> DataFrame:
     """Pearson r of every pair of cluster mean vectors of two assays."""
     other = cluster_means(b, n).select(F.col("cluster").alias("b_cluster"), F.col("mean").alias("b_mean"))
-    one = F.broadcast(small_rows(other))
-    pairs = cluster_means(a, n).withColumnRenamed("cluster", "a_cluster").join(one).select("a_cluster", "mean", F.inline("rows_"))
+    pairs = small_grid(cluster_means(a, n).withColumnRenamed("cluster", "a_cluster"), other)
     return pairs.select("a_cluster", "b_cluster", vpearson(F.col("mean"), F.col("b_mean")).alias("r"))
 
 
@@ -72,8 +71,7 @@ def drop_null_clusters(stats: DataFrame, n: int, share: float, ci: float) -> Dat
 
 def compare_to_clusters(rows: DataFrame, stats: DataFrame) -> DataFrame:
     """Every row next to every cluster; the cluster table is checked to be small."""
-    named = stats.select(F.col("cluster").alias("cluster"), "mean", "cov")
-    return rows.join(F.broadcast(small_rows(named))).select(*rows.columns, F.inline("rows_"))
+    return small_grid(rows, stats.select("cluster", "mean", "cov"))
 
 
 def consistent_clusters(aligned: DataFrame, stats: DataFrame, n: int, density_cut: float, alpha: float = 0.05,

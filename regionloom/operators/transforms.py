@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from regionloom.functions.coords import parse_region
 from regionloom.functions.text import any_of, joined_max
 from regionloom.plans.scan import value_ranks
+from regionloom.plans.small import small_side
 
 
 def ids_to_intervals(df: DataFrame, col: str = "id") -> DataFrame:
@@ -70,7 +71,7 @@ def log2_cpm(long: DataFrame, sample: list[str], value: str = "n") -> DataFrame:
     """log2 counts per million of the sample, never below 0."""
     totals = long.groupBy(*sample).agg(F.sum(value).alias("total_"))
     cpm = F.col(value) / F.nullif(F.col("total_"), F.lit(0)) * 1e6
-    return long.join(totals, sample).withColumn(
+    return long.join(small_side(totals), sample).withColumn(
         "log2_cpm", F.when(cpm > 1, F.log2(cpm)).otherwise(F.lit(0.0))).drop("total_")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from regionloom.functions.coords import slop
+from regionloom.functions.text import metadata_field
 from regionloom.plans.bins import overlap_pairs
 
 
@@ -16,11 +17,13 @@ def in_lookup(variants: DataFrame, lookup: DataFrame, key: str = "id") -> DataFr
 def merge_same_id(variants: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row per variant id, INFO texts joined with ``|`` in file order, and the conflict counts.
 
-    ``variants`` carries chrom, pos, id, ref, alt, info; equal rows count once. The first row by
-    (chrom, pos, ref, alt, info) gives the coordinates.
+    ``variants`` carries chrom, pos, id, ref, alt, info; equal rows count once. A row whose id is
+    ``.`` goes by the ``gtex_id`` of its INFO, so unnamed variants never meet in one group. The
+    first row by (chrom, pos, ref, alt, info) gives the coordinates.
     """
     cols = ["chrom", "pos", "ref", "alt", "info"]
-    rows = variants.select("id", *cols).distinct()
+    named = F.when(F.col("id") == ".", metadata_field(F.col("info"), "gtex_id")).otherwise(F.col("id"))
+    rows = variants.select(named.alias("id"), *cols).distinct()
     infos = F.transform(F.array_sort(F.collect_list(F.struct(*cols))), lambda s: s["info"])
     merged = rows.groupBy("id").agg(
         F.min(F.struct(*cols)).alias("f_"), F.concat_ws("|", infos).alias("info"), F.count("*").alias("n_rows"),
