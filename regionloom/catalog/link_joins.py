@@ -500,7 +500,7 @@ def j51(t):
 
 
 @query("j26_align_replicates", f"""
-WITH {SIG} SELECT id, a.t AS pos, round(a.value, 6) AS rep1, round(b.value, 6) AS rep2, round(a.value + b.value, 6) AS pooled FROM (SELECT * FROM sig WHERE rep = 'b1') a JOIN (SELECT * FROM sig WHERE rep = 'b2') b USING (id, t)""")
+WITH {SIG} SELECT id, CAST(a.t AS INT) AS pos, round(a.value, 6) AS rep1, round(b.value, 6) AS rep2, round(a.value + b.value, 6) AS pooled FROM (SELECT * FROM sig WHERE rep = 'b1') a JOIN (SELECT * FROM sig WHERE rep = 'b2') b USING (id, t)""")
 def j26(t):
     rows = trajectories.align_replicates(t.signal, list(range(10)))
     flat = rows.select("id", F.posexplode(F.arrays_zip("rep1", "rep2", "pooled")).alias("pos", "z"))

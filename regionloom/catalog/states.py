@@ -86,11 +86,11 @@ def peak_signal(t):
 
 
 @query("a18_set_signal", f"""
-WITH {SET_SIGNAL} SELECT cluster, state, count(*) AS num_regions, round(sum(t0) / count(*), 6) + 0.0 AS t0, round(sum(t1) / count(*), 6) + 0.0 AS t1,
- round(greatest(sum(t0), sum(t1)) / count(*), 6) AS max FROM v_marks JOIN ps USING (id) GROUP BY cluster, state""")
+WITH {SET_SIGNAL} SELECT cluster, state, count(*) AS num_regions, round(sum(t0) / count(*), 9) AS t0, round(sum(t1) / count(*), 9) AS t1,
+ round(greatest(sum(t0), sum(t1)) / count(*), 9) AS max FROM v_marks JOIN ps USING (id) GROUP BY cluster, state""")
 def a18(t):
     out = st.set_signal(t.marks, peak_signal(t), ["cluster", "state"])
-    return out.select("cluster", "state", "num_regions", r6("t0"), r6("t1"), r6("max"))
+    return out.select("cluster", "state", "num_regions", *[F.round(c, 9).alias(c) for c in ("t0", "t1", "max")])
 
 
 @query("a19_chromatin_states", f"""
@@ -102,11 +102,11 @@ u AS (SELECT *, count(*) OVER (PARTITION BY cluster, grp) AS n FROM m QUALIFY n
 r AS (SELECT id, cluster FROM l WHERE (cluster, id) NOT IN (SELECT (cluster, id) FROM u)),
 n AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM r QUALIFY n >= 150),
 a AS (SELECT cluster, grp, id FROM s UNION ALL SELECT cluster, grp, id FROM u UNION ALL SELECT cluster, 'Null', id FROM n), {SET_SIGNAL}
-SELECT cluster, grp AS "group", count(*) AS num_regions, round(sum(t0) / count(*), 6) AS t0, round(sum(t1) / count(*), 6) AS t1 FROM a JOIN ps USING (id) GROUP BY cluster, grp""")
+SELECT cluster, grp AS "group", count(*) AS num_regions, round(sum(t0) / count(*), 9) AS t0, round(sum(t1) / count(*), 9) AS t1 FROM a JOIN ps USING (id) GROUP BY cluster, grp""")
 def a19(t):
     members = st.state_membership(t.marks, MARKS, min_group=400, min_left=150)
     out = st.set_signal(members, peak_signal(t), ["cluster", "group"])
-    return out.select("cluster", "group", "num_regions", r6("t0"), r6("t1"))
+    return out.select("cluster", "group", "num_regions", F.round("t0", 9).alias("t0"), F.round("t1", 9).alias("t1"))
 
 
 @query("a20_relative_signal", f"""
@@ -152,7 +152,7 @@ def a23(t):
 
 @query("a26_cluster_means", f"""
 WITH {SIG}, m AS (SELECT cluster, t, avg(value) AS x FROM sig JOIN v_clusters USING (id) WHERE rep = 'b1' GROUP BY ALL)
-SELECT cluster, t AS pos, round((x - avg(x) OVER w) / stddev_pop(x) OVER w, 6) AS z FROM m WINDOW w AS (PARTITION BY cluster)""")
+SELECT cluster, CAST(t AS INT) AS pos, round((x - avg(x) OVER w) / stddev_pop(x) OVER w, 6) AS z FROM m WINDOW w AS (PARTITION BY cluster)""")
 def a26(t):
     out = tr.cluster_mean_zscores(vecs(t, "b1").join(t.clusters, "id"), 10)
     return out.select("cluster", F.posexplode("z").alias("pos", "z")).select("cluster", "pos", r6("z"))
@@ -239,7 +239,7 @@ def a81(t):
 @query("a87_order_by_peak", f"""
 WITH {SIG}, m AS (SELECT cluster, t, avg(value) AS x FROM sig JOIN v_clusters USING (id) WHERE rep = 'b1' GROUP BY ALL),
 p AS (SELECT cluster, t + 1 AS peak FROM m QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY x DESC, t) = 1)
-SELECT cluster, peak, row_number() OVER (ORDER BY peak, cluster) AS number FROM p""")
+SELECT cluster, peak, CAST(row_number() OVER (ORDER BY peak, cluster) AS INT) AS number FROM p""")
 def a87(t):
     return tr.order_by_peak(vecs(t, "b1").join(t.clusters, "id"), 10)
 

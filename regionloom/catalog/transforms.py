@@ -234,7 +234,7 @@ def p28(t):
 
 
 @query("p29_joined_max", """
-SELECT l_orderkey, l_linenumber, greatest(l_linenumber, CAST(l_quantity AS INT), l_partkey % 60) AS max_value FROM lineitem
+SELECT l_orderkey, l_linenumber, CAST(greatest(l_linenumber, CAST(l_quantity AS INT), l_partkey % 60) AS INT) AS max_value FROM lineitem
 WHERE greatest(l_linenumber, CAST(l_quantity AS INT), l_partkey % 60) <> 0""")
 def p29(t):
     joined = F.concat_ws(",", "l_linenumber", F.col("l_quantity").cast("int"), F.col("l_partkey") % 60)
@@ -262,9 +262,9 @@ def p32(t):
 
 @query("p33_allele_counts", """
 WITH c AS (SELECT * FROM v_pileup WHERE NOT regexp_matches(bases, '[+<>*-]') QUALIFY count(*) OVER (PARTITION BY chrom, pos) = 1)
-SELECT chrom, pos, ref, alt, length(regexp_replace(bases, '[^.,]', '', 'g')) AS n_ref,
- length(bases) - length(replace(bases, alt, '')) AS n_alt,
- length(replace(regexp_replace(bases, '[.,]', '', 'g'), alt, '')) AS n_err FROM c""")
+SELECT chrom, pos, ref, alt, CAST(length(regexp_replace(bases, '[^.,]', '', 'g')) AS INT) AS n_ref,
+ CAST(length(bases) - length(replace(bases, alt, '')) AS INT) AS n_alt,
+ CAST(length(replace(regexp_replace(bases, '[.,]', '', 'g'), alt, '')) AS INT) AS n_err FROM c""")
 def p33(t):
     return x.allele_counts(t.pileup)
 
@@ -386,7 +386,7 @@ def p46(t):
 
 
 @query("p47_pick_tasks", """
-SELECT vec_id, round(embedding[1], 6) AS d0, round(embedding[7], 6) AS d3, round(embedding[13], 6) AS d6 FROM embeddings""")
+SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS d0, round(CAST(embedding[7] AS DOUBLE), 6) AS d3, round(CAST(embedding[13] AS DOUBLE), 6) AS d6 FROM embeddings""")
 def p47(t):
     picked = vec(t).select("vec_id", v.vpick(F.col("a"), [0, 6, 12]).alias("p"))
     return picked.select("vec_id", *[r6(F.element_at("p", i + 1), d) for i, d in enumerate(["d0", "d3", "d6"])])
