@@ -76,21 +76,22 @@ def a17(t):
     return st.split_by_dynamics(t.marks, 300).select("id", "state", "kind")
 
 
-SET_SIGNAL = """ps AS (SELECT name AS id, CASE WHEN timepoint = 'd00' THEN signal_value ELSE 0 END AS t0, CASE WHEN timepoint <> 'd00' THEN signal_value ELSE 0 END AS t1 FROM v_peaks)"""
+SET_SIGNAL = """ps AS (SELECT name AS id, CASE WHEN timepoint = 'd00' THEN round(signal_value * 100) ELSE 0 END AS t0, CASE WHEN timepoint <> 'd00' THEN round(signal_value * 100) ELSE 0 END AS t1 FROM v_peaks)"""
 
 
 def peak_signal(t):
-    first = F.col("timepoint") == "d00"
-    return t.peaks.select(F.col("name").alias("id"), F.when(first, F.col("signal_value")).otherwise(0.0).alias("t0"),
-                          F.when(~first, F.col("signal_value")).otherwise(0.0).alias("t1"))
+    """Whole-numbered signal: its sums are exact, so means compare without rounding."""
+    first, whole = F.col("timepoint") == "d00", F.round(F.col("signal_value") * 100)
+    return t.peaks.select(F.col("name").alias("id"), F.when(first, whole).otherwise(0.0).alias("t0"),
+                          F.when(~first, whole).otherwise(0.0).alias("t1"))
 
 
 @query("a18_set_signal", f"""
-WITH {SET_SIGNAL} SELECT cluster, state, count(*) AS num_regions, round(sum(t0) / count(*), 9) AS t0, round(sum(t1) / count(*), 9) AS t1,
- round(greatest(sum(t0), sum(t1)) / count(*), 9) AS max FROM v_marks JOIN ps USING (id) GROUP BY cluster, state""")
+WITH {SET_SIGNAL} SELECT cluster, state, count(*) AS num_regions, sum(t0) / count(*) AS t0, sum(t1) / count(*) AS t1,
+ greatest(sum(t0), sum(t1)) / count(*) AS max FROM v_marks JOIN ps USING (id) GROUP BY cluster, state""")
 def a18(t):
     out = st.set_signal(t.marks, peak_signal(t), ["cluster", "state"])
-    return out.select("cluster", "state", "num_regions", *[F.round(c, 9).alias(c) for c in ("t0", "t1", "max")])
+    return out.select("cluster", "state", "num_regions", "t0", "t1", "max")
 
 
 @query("a19_chromatin_states", f"""
@@ -102,11 +103,11 @@ u AS (SELECT *, count(*) OVER (PARTITION BY cluster, grp) AS n FROM m QUALIFY n
 r AS (SELECT id, cluster FROM l WHERE (cluster, id) NOT IN (SELECT (cluster, id) FROM u)),
 n AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM r QUALIFY n >= 150),
 a AS (SELECT cluster, grp, id FROM s UNION ALL SELECT cluster, grp, id FROM u UNION ALL SELECT cluster, 'Null', id FROM n), {SET_SIGNAL}
-SELECT cluster, grp AS "group", count(*) AS num_regions, round(sum(t0) / count(*), 9) AS t0, round(sum(t1) / count(*), 9) AS t1 FROM a JOIN ps USING (id) GROUP BY cluster, grp""")
+SELECT cluster, grp AS "group", count(*) AS num_regions, sum(t0) / count(*) AS t0, sum(t1) / count(*) AS t1 FROM a JOIN ps USING (id) GROUP BY cluster, grp""")
 def a19(t):
     members = st.state_membership(t.marks, MARKS, min_group=400, min_left=150)
     out = st.set_signal(members, peak_signal(t), ["cluster", "group"])
-    return out.select("cluster", "group", "num_regions", F.round("t0", 9).alias("t0"), F.round("t1", 9).alias("t1"))
+    return out.select("cluster", "group", "num_regions", "t0", "t1")
 
 
 @query("a20_relative_signal", f"""
