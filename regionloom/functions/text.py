@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# fixed values: the unit table of an id is its text form
+# fixed value: a timepoint label counts tenths of a day
 TIMEPOINT_PATTERN = r"d(\d+)"
 
 
