@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from regionloom.catalog import query
-from regionloom.catalog.sqlparts import ID, REGION_COUNTS, SAMPLES, TIMEPOINTS, merged
+from regionloom.catalog.sqlparts import ID, REGION_COUNTS, SAMPLES, merged
 from regionloom.catalog.views import r6
 from regionloom.functions.coords import slop
 from regionloom.operators import counting, reporter

@@ -40,14 +40,14 @@ def trim_extremes(df: DataFrame, key: list[str], value: str, times: int = 2) ->
     out = df
     for _ in range(times):
         ends = out.groupBy(*key).agg(F.max(value).alias("hi_"), F.min(value).alias("lo_"))
-        out = out.join(ends, key).filter((F.col(value) < F.col("hi_")) & (F.col(value) > F.col("lo_"))).drop("hi_", "lo_")
+        out = (out.join(ends, key) if key else out.join(F.broadcast(ends))).filter((F.col(value) < F.col("hi_")) & (F.col(value) > F.col("lo_"))).drop("hi_", "lo_")
     return out
 
 
 def shares(df: DataFrame, key: list[str], value: str) -> DataFrame:
     """Share of the group's total."""
     totals = df.groupBy(*key).agg(F.sum(value).alias("t_"))
-    return df.join(totals, key).withColumn("share", F.col(value) / F.col("t_")).drop("t_")
+    return (df.join(totals, key) if key else df.join(F.broadcast(totals))).withColumn("share", F.col(value) / F.col("t_")).drop("t_")
 
 
 def best_task(df: DataFrame, key: list[str], task: str, value: str) -> DataFrame:

@@ -124,7 +124,8 @@ def signed_rank(df: DataFrame, group: list[str], diff: str) -> DataFrame:
     ties = ranks.groupBy(*group).agg(F.sum(F.pow("n_ties", F.lit(3)) - F.col("n_ties")).alias("t_"))
     sums = signed.groupBy(*group).agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("up_"), F.col("avg_rank")).otherwise(0.0)).alias("w_up"),
-        F.sum(F.when(F.col("up_"), 0.0).otherwise(F.col("avg_rank"))).alias("w_down")).join(ties, group)
+        F.sum(F.when(F.col("up_"), 0.0).otherwise(F.col("avg_rank"))).alias("w_down"))
+    sums = sums.join(ties, group) if group else sums.join(F.broadcast(ties))
     n = F.col("n").cast("double")
     se = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("t_") / 2) / 24)
     return sums.withColumn("z", (F.least("w_up", "w_down") - n * (n + 1) / 4) / F.nullif(se, F.lit(0.0))).drop("t_")
