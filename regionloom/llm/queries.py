@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regionloom.llm import toxicity
+from regionloom.llm import simhash, toxicity
 from regionloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -14,3 +14,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "n_segments", "segments")
+
+
+@query("op2_simhash_near_duplicates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
