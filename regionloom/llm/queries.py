@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regionloom.llm import simhash, toxicity
+from regionloom.llm import mixing, simhash, toxicity
 from regionloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -19,3 +19,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_simhash_near_duplicates")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
