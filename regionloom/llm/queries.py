@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regionloom.llm import mixing, simhash, toxicity
+from regionloom.llm import mixing, sharding, simhash, toxicity
 from regionloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -24,3 +24,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+@query("op7_label_propagation_shards")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents")).drop("g1", "n_row")
