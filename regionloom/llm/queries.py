@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regionloom.llm import mixing, sharding, simhash, toxicity
+from regionloom.llm import decontamination, mixing, sharding, simhash, toxicity
 from regionloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -29,3 +29,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_label_propagation_shards")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents")).drop("g1", "n_row")
+
+
+@query("op1_template_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
