@@ -154,7 +154,8 @@ def drawn_pieces(placed: DataFrame, drawn: DataFrame, block: int = BLOCK) -> Dat
     """Join of blocks by index: source_no, begin (names a document), pass_, shard, lo, hi (its words taken)."""
     first, last = F.floor(F.col("begin") / F.lit(block)), F.floor((F.col("stop") - 1) / F.lit(block))
     pieces = placed.filter("size > 0").select("source_no", "begin", "stop", F.explode(F.sequence(first, last)).alias("block"))
-    got = pieces.join(drawn, ["source_no", "block"])
+    # the planner takes the drawn slots for as few as the sources they come from; both sides grow with the corpus
+    got = pieces.join(drawn.hint("merge"), ["source_no", "block"])
     at = F.col("block") * block
     lo, hi = F.greatest(at, F.col("begin")), F.least(at + F.col("take"), F.col("stop"))
     return got.filter(hi > lo).select("source_no", "begin", "pass_", "shard", (lo - F.col("begin")).alias("lo"), (hi - F.col("begin")).alias("hi"))
@@ -186,7 +187,7 @@ def taken_words(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: in
     taken = pieces.groupBy("source_no", "begin").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
     # an empty document shares its begin with the next one
     full, empty = placed.filter("size > 0"), placed.filter("size = 0")
-    out = full.join(taken, ["source_no", "begin"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+    out = full.join(taken.hint("merge"), ["source_no", "begin"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
     cols = ["doc_id", "size", "source_size", "target", "taken"]
     return out.select(*cols).union(empty.withColumn("taken", F.lit(0).cast("long")).select(*cols))
 
@@ -200,8 +201,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block
     placed, pieces = plan(docs, weights, block)
     parts = pieces.groupBy("source_no", "begin", "pass_").agg(
         F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("parts_"), F.sum(F.col("hi") - F.col("lo")).alias("got_"))
-    chosen = placed.filter("size > 0").join(parts, ["source_no", "begin"]).select("key", "size", "parts_", "got_")
-    rows = _row_key(docs).join(chosen, "key")
+    chosen = placed.filter("size > 0").join(parts.hint("merge"), ["source_no", "begin"]).select("key", "size", "parts_", "got_")
+    rows = _row_key(docs).join(chosen.hint("merge"), "key")
     words = F.filter(F.split("text", _GAPS), lambda w: w != "")
     cut = F.array_join(F.flatten(F.transform("parts_", lambda p: F.slice(F.col("words_"), p["lo"].cast("int") + 1, (p["hi"] - p["lo"]).cast("int")))), " ")
     rows = rows.withColumn("words_", F.when(F.col("got_") < F.col("size"), words))
