@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regionloom.llm import decontamination, mixing, sharding, simhash, toxicity
+from regionloom.llm import decontamination, mixing, sharding, simhash, suffix_dedup, toxicity
 from regionloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -34,3 +34,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_template_decontamination")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
