@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regionloom.llm import decontamination, mixing, sharding, simhash, suffix_dedup, toxicity
+from regionloom.llm import decontamination, mixing, phrase_dedup, sharding, simhash, suffix_dedup, toxicity
 from regionloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -39,3 +39,23 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_array_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+_OP5_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM words WHERE len(ws) >= 50),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS s FROM places),
+earliest AS (SELECT s, min(doc_id) AS lo FROM windows GROUP BY s),
+late AS (SELECT doc_id, i FROM windows JOIN earliest USING (s) WHERE lo < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i, unnest(range(0, 50)) AS j FROM late)),
+single AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM words),
+kept AS (SELECT s.doc_id, string_agg(s.w, ' ' ORDER BY s.p) AS t, count(*) AS n
+         FROM single s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.p = s.p WHERE g.p IS NULL GROUP BY s.doc_id)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(len(w.ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""
+
+
+@query("op5_phrase_automata", _OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.deduplicate(table(spark, sf_dir, "documents"))

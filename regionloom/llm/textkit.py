@@ -93,12 +93,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class ByteHash:
-    """Hashes of any byte ranges of one buffer in constant time each."""
+    """Hashes of any ranges of one buffer in constant time each."""
 
     def __init__(self, data: np.ndarray, lower: bool = False):
+        """``data`` is bytes, or 64-bit hashes of symbols."""
         power, self.inverse = _powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _BYTE)[data] * power[:-1], out=self.sums[1:])
+        values = (_LOWER if lower else _BYTE)[data] if data.dtype == np.uint8 else data
+        np.cumsum(values * power[:-1], out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
