@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regionloom.llm import decontamination, mixing, phrase_dedup, sharding, simhash, suffix_dedup, toxicity
+from regionloom.llm import decontamination, minhash, mixing, phrase_dedup, sharding, simhash, suffix_dedup, toxicity
+from regionloom.session import checkpointed
 from regionloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -59,3 +60,11 @@ FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id
 @query("op5_phrase_automata", _OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+@query("op4_minhash_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prints = checkpointed(minhash.fingerprints(docs))
+    classes = minhash.near_duplicate_classes(docs, prints.select("doc_id", "sig"))
+    return prints.drop("sig").join(classes.hint("merge"), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))

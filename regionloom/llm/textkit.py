@@ -129,11 +129,12 @@ def run_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray
     out = np.zeros(starts[-1], np.uint64)
     whole = (n >= k)[row]
     out[whole] = runs[at[whole]]
-    for i in np.flatnonzero((n > 0) & (n < k)):
-        h = np.uint64(n[i])
-        for w in words[first[i]:first[i + 1]]:
-            h = h * mult + w
-        out[starts[i]] = h
+    short = np.flatnonzero((n > 0) & (n < k))
+    h = n[short].astype(np.uint64)
+    for j in range(k - 1):
+        more = np.flatnonzero(n[short] > j)
+        h[more] = h[more] * mult + words[first[:-1][short[more]] + j]
+    out[starts[:-1][short]] = h
     return mix(out), starts
 
 
