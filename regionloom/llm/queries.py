@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regionloom.llm import decontamination, minhash, mixing, phrase_dedup, quality, sharding, simhash, suffix_dedup, toxicity
+from regionloom.llm import decontamination, minhash, mixing, phrase_dedup, pii, quality, sharding, simhash, suffix_dedup, toxicity
 from regionloom.session import checkpointed
 from regionloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -75,3 +75,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~quality.held_out())
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op6_pii_surrogates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"))
