@@ -61,7 +61,7 @@ def _kinds(words: Column) -> Column:
 
 
 def windows(df: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame:
-    """(key, n_windows, pos, hash, slots): every template window of every text.
+    """(key, pos, hash, slots): every template window of every text.
 
     ``slots`` holds the values behind the window's placeholders, joined in order ('' for none).
     """
@@ -73,14 +73,14 @@ def windows(df: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame
         count = F.when(n >= size, n - size + 1).otherwise(F.least(n, F.lit(1)))
         # places beyond a short text are null, so its window is its whole
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(
-            count.alias("n_windows"), i.alias("pos"), F.xxhash64(*at(hashes, i), F.least(n, F.lit(size))).alias("hash"),
+            F.xxhash64(*at(hashes, i), F.least(n, F.lit(size))).alias("hash"),
             F.when(slots.isNull(), "").otherwise(F.concat_ws(_SEP, *at(slots, i))).alias("slots"))))
 
     found = _let(_tokens(F.coalesce(F.col(text), F.lit(""))), lambda words: _let(_kinds(words), lambda kinds: _let(
         F.transform(words, lambda w, i: F.xxhash64(F.coalesce(F.get(kinds, i), w), F.get(kinds, i).isNull())), lambda hashes: _let(
             F.when(F.exists(kinds, lambda k: k.isNotNull()), F.transform(words, lambda w, i: F.when(F.get(kinds, i).isNotNull(), w))),
             lambda slots: of(words, kinds, hashes, slots)))))
-    return df.select(key, F.explode(found).alias("w_")).select(key, "w_.*")
+    return df.select(key, F.posexplode(found).alias("pos", "w_")).select(key, "pos", "w_.hash", "w_.slots")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -90,13 +90,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     as_name = benchmark.withColumn("text", F.regexp_replace("text", r"^(\p{Lu})(?=\p{Ll})", _NAME + "$1"))
     plain, named = windows(benchmark, "item_id", "text"), windows(as_name, "item_id", "text")
     items = plain.withColumn("own", F.lit(1)).union(named.filter(F.col("pos") == 0).withColumn("own", F.lit(0))).select(
-        "item_id", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), F.col("n_windows").alias("item_windows"), "own")
+        "item_id", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "own")
     # a window that an item repeats stands for itself once
     items = items.groupBy("item_id", "hash").agg(
-        F.min(F.struct("item_pos", "item_slots", "item_windows")).alias("s_"), F.greatest(F.sum("own"), F.lit(1)).alias("times")).select(
-        "item_id", "hash", "s_.*", "times")
+        F.min(F.struct("item_pos", "item_slots")).alias("s_"), F.greatest(F.sum("own"), F.lit(1)).alias("times")).select("item_id", "hash", "s_.*", "times")
+    items = items.join(plain.groupBy("item_id").agg(F.count("*").alias("item_windows")), "item_id")
     few = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    found = windows(docs, "doc_id", "text").drop("n_windows")
+    found = windows(docs, "doc_id", "text")
     return found.join(F.broadcast(items) if few else items, "hash").drop("hash")
 
 

@@ -81,14 +81,14 @@ def _fingerprint_batches(k: int, keep: bool):
     def run(batches):
         for batch in batches:
             fp = pa.array(fingerprint_array(batch["text"].to_pylist(), k).view(np.int64))
-            yield with_columns(batch if keep else batch.select(["doc_id"]), ["fp"], [fp])
+            yield with_columns(batch if keep else batch.select(["doc_id"]), ["fp_"], [fp])
     return run
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, fp) per row; fp is the fingerprint's bits as a signed number."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())])
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint_batches(k, False), schema)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp_", T.LongType())])
+    return docs.select("doc_id", "text").mapInArrow(_fingerprint_batches(k, False), schema).withColumnRenamed("fp_", "fp")
 
 
 def _cell_links(fps: np.ndarray, left: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +192,7 @@ def one_per_group(docs: DataFrame, k: int = 3, max_bits: int = MAX_BITS) -> Data
     kept = docs.join(known, "doc_id", "left_semi")
     kept = kept.withColumn("n_", F.row_number().over(W.partitionBy("doc_id").orderBy(order))).filter("n_ = 1").drop("n_")
     unnamed = docs.filter("doc_id is null")
-    unnamed = unnamed.mapInArrow(_fingerprint_batches(k, True), T.StructType([*docs.schema, T.StructField("fp", T.LongType())]))
-    unnamed = unnamed.join(lost, "fp", "left_semi")
-    unnamed = unnamed.withColumn("n_", F.row_number().over(W.partitionBy("fp").orderBy(order))).filter("n_ = 1")
+    unnamed = unnamed.mapInArrow(_fingerprint_batches(k, True), T.StructType([*docs.schema, T.StructField("fp_", T.LongType())]))
+    unnamed = unnamed.join(lost.withColumnRenamed("fp", "fp_"), "fp_", "left_semi")
+    unnamed = unnamed.withColumn("n_", F.row_number().over(W.partitionBy("fp_").orderBy(order))).filter("n_ = 1")
     return kept.select(*docs.columns).union(unnamed.select(*docs.columns))
