@@ -32,7 +32,7 @@ MAX_PASSES = 3.0
 OUTPUT_SHARDS = 16
 SEED = 17
 #: Documents per bucket, the unit within which word offsets are summed.
-BUCKET_DOCS = 4096
+BUCKET_DOCS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 _GAPS = r"[\x20\x09-\x0D]+"
 
@@ -161,19 +161,12 @@ def drawn_pieces(placed: DataFrame, drawn: DataFrame, block: int = BLOCK) -> Dat
     return got.filter(hi > lo).select("source_no", "begin", "pass_", "shard", (lo - F.col("begin")).alias("lo"), (hi - F.col("begin")).alias("hi"))
 
 
-def _row_key(docs: DataFrame) -> DataFrame:
-    """Adds ``key``, which names a row: doc_id, a hash of the whole row, and a number among equal rows."""
-    w = W.partitionBy("doc_id", "h_row").orderBy(F.lit(0))
-    return docs.withColumn("h_row", F.xxhash64(*docs.columns)).withColumn("n_row", F.row_number().over(w)).withColumn(
-        "key", F.struct("doc_id", "h_row", "n_row")).drop("h_row", "n_row")
-
-
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shards: int = OUTPUT_SHARDS,
          cap: float = MAX_PASSES) -> tuple[DataFrame, DataFrame]:
     """(documents with key, doc_id, size, source_no, source_size, target, begin, stop; drawn pieces)."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(*docs.columns).alias("h_row"))
-    numbered = sized.withColumn("n_row", F.row_number().over(W.partitionBy("doc_id", "h_row").orderBy(F.lit(0))))
-    sized = checkpointed(numbered.withColumn("key", F.struct("doc_id", "h_row", "n_row")).drop("h_row", "n_row"))
+    numbered = sized.withColumn("n_row", F.row_number().over(W.partitionBy("h_row").orderBy("doc_id")))
+    sized = checkpointed(numbered.withColumn("key", F.struct("h_row", "n_row")).drop("h_row", "n_row"))
     sources = checkpointed(source_table(sized, weights, cap))
     by_source = sources.select(F.col("source").alias("s_"), "source_no", "source_size", "target")
     placed = placed_documents(sized).join(by_source, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
@@ -201,13 +194,14 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block
     placed, pieces = plan(docs, weights, block)
     parts = pieces.groupBy("source_no", "begin", "pass_").agg(
         F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("parts_"), F.sum(F.col("hi") - F.col("lo")).alias("got_"))
-    chosen = placed.filter("size > 0").join(parts.hint("merge"), ["source_no", "begin"]).select("key", "size", "parts_", "got_")
-    rows = _row_key(docs).join(chosen.hint("merge"), "key")
+    chosen = placed.filter("size > 0").join(parts.hint("merge"), ["source_no", "begin"])
+    chosen = chosen.select(F.col("key.h_row").alias("h_"), F.col("key.n_row").alias("n_"), F.col("size").alias("size_"), "parts_", "got_")
+    keyed = docs.withColumn("h_", F.xxhash64(*docs.columns))
+    keyed = keyed.withColumn("n_", F.row_number().over(W.partitionBy("h_").orderBy("doc_id")))
     words = F.filter(F.split("text", _GAPS), lambda w: w != "")
     cut = F.array_join(F.flatten(F.transform("parts_", lambda p: F.slice(F.col("words_"), p["lo"].cast("int") + 1, (p["hi"] - p["lo"]).cast("int")))), " ")
-    rows = rows.withColumn("words_", F.when(F.col("got_") < F.col("size"), words))
-    text = F.when(F.col("got_") < F.col("size"), cut).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
+    rows = keyed.join(chosen.hint("merge"), ["h_", "n_"]).withColumn("words_", F.when(F.col("got_") < F.col("size_"), words))
+    rows = rows.withColumn("text", F.when(F.col("got_") < F.col("size_"), cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns and dict(docs.dtypes)["n_chars"] in ("int", "bigint"):
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
