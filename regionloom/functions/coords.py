@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from regionloom.plans.small import small_side
 
 REGION_PATTERN = r"^([^:\s]+):(\d+)-(\d+)"
 
@@ -61,9 +60,10 @@ def slop(df: DataFrame, sizes: DataFrame, left: int, right: int | None = None, s
         lo, hi = F.when(minus, hi).otherwise(lo), F.when(minus, lo).otherwise(hi)
     cols = df.columns
     return (
-        df.join(small_side(sizes.select("chrom", F.col("size").alias("size_"))), "chrom")
+        df.join(sizes.select("chrom", F.col("size").alias("size_")), "chrom", "left")
         .withColumns({
             "start": F.greatest(F.lit(0).cast("long"), F.col("start") - lo),
+            # least() passes over a null: a chromosome without a size has no right end
             "stop": F.least(F.col("size_"), F.col("stop") + hi),
         })
         .filter(F.col("start") < F.col("stop"))

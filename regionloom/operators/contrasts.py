@@ -11,7 +11,7 @@ def timepoint_pairs(points: DataFrame, col: str) -> DataFrame:
     """All ordered timepoint pairs; ``sequential`` marks neighbours. The timepoints are checked to be few."""
     numbered = points.withColumn("i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(col)))
     a, b = numbered.select(F.col(col).alias("first"), F.col("i").alias("i1")), numbered.select(F.col(col).alias("second"), F.col("i").alias("i2"))
-    return small_grid(a, b, 1000).filter(F.col("i1") < F.col("i2")).select("first", "second", (F.col("i2") == F.col("i1") + 1).alias("sequential"))
+    return small_grid(a, b).filter(F.col("i1") < F.col("i2")).select("first", "second", (F.col("i2") == F.col("i1") + 1).alias("sequential"))
 
 
 def significant_ids(contrasts: DataFrame, fdr: float) -> DataFrame:

@@ -150,7 +150,11 @@ def correlated_genes(genes: DataFrame, gene_vectors: DataFrame, mean_vector: Dat
     row per ``by`` group.
     """
     rows = genes.join(gene_vectors, "gene_id")
-    rows = rows.join(mean_vector, by) if by else rows.join(F.broadcast(mean_vector.limit(1)))
+    if by:
+        rows = rows.join(mean_vector, by)
+    else:
+        single = F.when(F.count("*") > 1, F.raise_error(F.lit("more than one mean vector; name the groups in by"))).otherwise(F.first("mean_vector"))
+        rows = rows.join(F.broadcast(mean_vector.agg(single.alias("mean_vector"))))
     rows = rows.withColumn("r", vpearson(F.col("vector"), F.col("mean_vector"))).drop("vector", "mean_vector")
     side = (F.col("r") > r_min) if positive else (F.col("r") < r_min)
     return rows.filter(side & (F.abs("r") >= r_sig))

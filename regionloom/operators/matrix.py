@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from regionloom.operators.transforms import exact_percentiles
 from regionloom.plans.scan import carried, numbered, running, value_ranks, with_avg_rank
-from regionloom.plans.small import small_side
 
 
 def vectors(long: DataFrame, key: str, axis: str, points: list, value: str = "value", fill: float | None = 0.0,
@@ -61,7 +60,7 @@ def size_factors(counts: DataFrame, key: str, sample: str, value: str, n_samples
 
 def log2_normalised(counts: DataFrame, factors: DataFrame, sample: str, value: str) -> DataFrame:
     """A42 tail: log2(count / size factor + 1)."""
-    return counts.join(small_side(factors), sample).withColumn("log2_signal", F.log2(F.col(value) / F.col("size_factor") + 1))
+    return counts.join(factors, sample).withColumn("log2_signal", F.log2(F.col(value) / F.col("size_factor") + 1))
 
 
 def correlation_matrix(long: DataFrame, key: str, sample: str, samples: list, value: str) -> DataFrame:
@@ -116,7 +115,7 @@ def renumber(df: DataFrame, key: str, by: Column | None = None, out: str = "numb
 def feature_shares(counts: DataFrame, key: str, sample: str, value: str) -> DataFrame:
     """Share of the sample's total, then scaled per feature to mean 0 and sample sd 1."""
     totals = counts.groupBy(sample).agg(F.sum(value).alias("t_"))
-    shares = counts.join(small_side(totals), sample).withColumn("share", F.col(value) / F.col("t_")).drop("t_")
+    shares = counts.join(totals, sample).withColumn("share", F.col(value) / F.col("t_")).drop("t_")
     stats = shares.groupBy(key).agg(F.avg("share").alias("m_"), F.stddev_samp("share").alias("s_"))
     return shares.join(stats, key).withColumn("scaled", (F.col("share") - F.col("m_")) / F.nullif(F.col("s_"), F.lit(0.0))).drop("m_", "s_")
 

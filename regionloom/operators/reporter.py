@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from regionloom.operators.statistics import signed_rank, with_p_values
 from regionloom.operators.transforms import exact_percentiles
-from regionloom.plans.small import small_side
 from regionloom.session import checkpointed
 
 
@@ -41,13 +40,13 @@ def library_normalise(counts: DataFrame, plasmid: str = "plasmid") -> DataFrame:
     ``counts``: barcode, sample, n. A barcode missing in the plasmid library gets 0.
     """
     totals = counts.groupBy("sample").agg(F.sum("n").alias("total_"))
-    shares = counts.join(small_side(totals), "sample").withColumn("share_", F.col("n") / F.col("total_"))
+    shares = counts.join(totals, "sample").withColumn("share_", F.col("n") / F.col("total_"))
     base = shares.filter(F.col("sample") == plasmid).select("barcode", F.col("share_").alias("p_"))
     mixed = shares.filter(F.col("sample") != plasmid).join(base, "barcode", "left").withColumn(
         "x_", F.col("share_") * F.coalesce(F.col("p_"), F.lit(0.0)))
     again = mixed.groupBy("sample").agg(F.sum("x_").alias("sum_"))
     share = F.col("x_") / F.nullif(F.col("sum_"), F.lit(0.0))
-    return mixed.join(small_side(again), "sample").select(
+    return mixed.join(again, "sample").select(
         "barcode", "sample", (share * F.col("total_")).alias("normalised"),
         F.when(share * 1e6 > 1, F.log2(share * 1e6)).otherwise(0.0).alias("log2_signal"))
 
@@ -206,6 +205,15 @@ def library_quality(rows: DataFrame) -> DataFrame:
     return per_sample.join(spread, "sample").withColumn("uniform_reads", F.col("reads") / F.col("sequences"))
 
 
+def sequence_presence(rows: DataFrame) -> DataFrame:
+    """Distinct barcodes and samples that each sequence is present in, over all samples; absent ones count zero.
+
+    ``rows``: sample, sequence, barcode, n.
+    """
+    seen = F.col("n") > 0
+    return rows.groupBy("sequence").agg(F.count_distinct(F.when(seen, F.col("barcode"))).alias("barcodes"), F.count_distinct(F.when(seen, F.col("sample"))).alias("samples"))
+
+
 def category_means(rows: DataFrame, category: str) -> DataFrame:
     """Mean signal per category (genomic, shuffled, ...) and day."""
     return rows.groupBy(category, "day").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regionloom.plans.scan import carried
-from regionloom.plans.small import small_side
 
 KEY = ["chrom", "start", "stop"]
 BIN_WIDTH = 1024
@@ -122,10 +121,13 @@ def merge_intervals(df: DataFrame, min_overlap: int = 0, shift: int = MERGE_SHIF
 
 
 def gaps(df: DataFrame, sizes: DataFrame, shift: int = MERGE_SHIFT) -> DataFrame:
-    """Stretches of each chromosome (``sizes``: chrom, size) that no interval covers."""
+    """Stretches of each chromosome (``sizes``: chrom, size) that no interval covers.
+
+    A chromosome without a size has no stretch after its last interval.
+    """
     merged = merge_intervals(df, shift=shift).withColumn("bin_", F.shiftright("start", shift))
     prev = carried(merged, ["chrom"], "bin_", ["start"], F.col("stop"), "max", "prev_", inclusive=False)
-    inner = prev.join(small_side(sizes.select("chrom")), "chrom", "left_semi").select(
+    inner = prev.select(
         "chrom", F.coalesce("prev_", F.lit(0).cast("long")).alias("start"), F.col("start").alias("stop"))
     last = df.groupBy("chrom").agg(F.max("stop").alias("last_"))
     tail = sizes.join(last, "chrom", "left").select(

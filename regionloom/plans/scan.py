@@ -34,24 +34,21 @@ def carried(df: DataFrame, group: list[str], part: str, order: list, value: Colu
     frame = UPTO if inclusive else BEFORE
     flip = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
     order = [(flip(o) if isinstance(o, str) else o) for o in order]
-    local = W.partitionBy(*group, part).orderBy(*order).rowsBetween(*frame)
-    across = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
-    across = across.orderBy(flip(part)).rowsBetween(*BEFORE)
-    # the join below drops null keys anyway; said here, both branches keep the same filters
-    # and Spark reuses one shuffle for them
-    for key in (*group, part):
-        df = df.filter(F.col(key).isNotNull())
-    df = df.withColumn("v_", value)
+    local = W.partitionBy("g_", part).orderBy(*order).rowsBetween(*frame)
+    across = W.partitionBy("g_").orderBy(flip(part)).rowsBetween(*BEFORE)
+    # a struct of the group's columns is equal to another with nulls in the same places, so the
+    # null group is kept; windows, totals and join share one partitioning
+    df = df.withColumn("g_", F.struct(*group) if group else F.lit(0)).withColumn("v_", value)
     parts = (
-        df.groupBy(*group, part).agg(agg("v_").alias("total_"))
+        df.groupBy("g_", part).agg(agg("v_").alias("total_"))
         .withColumn("carry_", agg("total_").over(across))
         .drop("total_")
     )
     return (
         df.withColumn("local_", agg("v_").over(local))
-        .join(parts, [*group, part])
+        .join(parts, ["g_", part])
         .withColumn(out, combine(F.col("carry_"), F.col("local_")))
-        .drop("v_", "local_", "carry_")
+        .drop("g_", "v_", "local_", "carry_")
     )
 
 

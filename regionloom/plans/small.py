@@ -1,28 +1,19 @@
-"""Tables that must be small: their size is checked at run time before they are broadcast."""
+"""Every row of one table with every row of another, dealt evenly to cells."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-SMALL_LIMIT = 100_000
+#: Cells that the right side is dealt to; the left side goes to all of them.
+CELLS = 8
 
 
-def small_rows(df: DataFrame, limit: int = SMALL_LIMIT) -> DataFrame:
-    """The rows of a small table as one array in one row (column ``rows_``).
+def small_grid(a: DataFrame, b: DataFrame, cells: int = CELLS) -> DataFrame:
+    """Every row of ``a`` with every row of ``b`` (clusters, contrasts), as an equi-join on cells.
 
-    More rows than ``limit`` is an error, not a slow plan; the guard reads one row past the
-    limit, so even a wrong input stays bounded.
+    The result has rows(a) * rows(b) rows by definition; neither side has to fit one task, and
+    the planner may still broadcast a side that it finds small.
     """
-    rows = df.limit(limit + 1).agg(F.collect_list(F.struct(*df.columns)).alias("r_"))
-    checked = F.when(F.size("r_") > limit, F.raise_error(F.lit(f"more than {limit} rows on the small side"))).otherwise(F.col("r_"))
-    return rows.select(checked.alias("rows_"))
-
-
-def small_side(df: DataFrame, limit: int = SMALL_LIMIT) -> DataFrame:
-    """The same rows behind a broadcast hint; for tables with a row per chromosome, sample or cluster."""
-    return F.broadcast(small_rows(df, limit).select(F.inline("rows_")))
-
-
-def small_grid(a: DataFrame, b: DataFrame, limit: int = SMALL_LIMIT) -> DataFrame:
-    """Every row of ``a`` with every row of a small ``b`` (cluster tables)."""
-    return a.join(F.broadcast(small_rows(b, limit))).select(*a.columns, F.inline("rows_"))
+    left = a.withColumn("cell_", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    right = b.withColumn("cell_", F.pmod(F.xxhash64(*b.columns), F.lit(cells)).cast("int"))
+    return left.join(right, "cell_").drop("cell_")

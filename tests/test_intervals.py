@@ -186,9 +186,21 @@ def test_repair_link(spark):
         repair_link(rows, strict=True).collect()
 
 
-def test_small_side_is_checked(spark):
+def test_small_grid_has_every_pair_once(spark):
     from regionloom.plans.small import small_grid
-    a = spark.range(3).toDF("x")
-    assert small_grid(a, spark.range(4).toDF("y"), limit=4).count() == 12
-    with pytest.raises(Exception, match="more than 4 rows"):
-        small_grid(a, spark.range(5).toDF("y"), limit=4).collect()
+    a, b = spark.range(7).toDF("x"), spark.range(19).toDF("y")
+    assert got(small_grid(a, b)) == sorted((x, y) for x in range(7) for y in range(19))
+
+
+def test_slop_keeps_contigs_without_a_size(spark):
+    from regionloom.functions.coords import slop
+    rows = spark.createDataFrame([("chr1", 5, 20), ("chrUn", 5, 20), ("chr1", 90, 100)], "chrom string, start long, stop long")
+    sizes = spark.createDataFrame([("chr1", 100)], "chrom string, size long")
+    assert got(slop(rows, sizes, 10)) == [("chr1", 0, 30), ("chr1", 80, 100), ("chrUn", 0, 30)]
+
+
+def test_running_sum_keeps_the_null_group(spark):
+    from regionloom.plans.scan import running
+    rows = spark.createDataFrame([("a", 1, 2), (None, 1, 3), (None, 2, 4), ("a", 2, 5)], "g string, o long, v long")
+    out = running(rows, ["g"], ["o"], F.col("v"), "sum", "total")
+    assert sorted((r["g"] or "", r["o"], r["total"]) for r in out.collect()) == [("", 1, 3), ("", 2, 7), ("a", 1, 2), ("a", 2, 7)]
