@@ -52,6 +52,14 @@ SIG = """grid AS (SELECT id, rep, p.t FROM (SELECT DISTINCT id, rep FROM v_signa
  sig AS (SELECT g.id, g.rep, g.t, coalesce(s.value, 0) AS value FROM grid g LEFT JOIN v_signal s ON g.id = s.id AND g.rep = s.rep AND g.t = s.t)"""
 
 
+#: Both replicates added up, as the trajectories are clustered.
+POOLED = "pooled AS (SELECT id, t, sum(value) AS value FROM sig GROUP BY id, t)"
+
+
+def pooled_vecs(t):
+    return matrix.vectors(t.signal.groupBy("id", "t").agg(F.sum("value").alias("value")), "id", "t", list(range(10)))
+
+
 def vecs(t, rep):
     return matrix.vectors(t.signal.filter(F.col("rep") == rep), "id", "t", list(range(10)))
 
@@ -523,6 +531,15 @@ def j35(t):
     return variants.merge_same_id(t.variants)[0]
 
 
+@query("j35_conflicts", """
+WITH r AS (SELECT DISTINCT id, chrom, pos, ref, alt, info FROM v_variants),
+m AS (SELECT count(*) AS n, count(DISTINCT chrom) AS c, count(DISTINCT pos) AS p, count(DISTINCT ref) AS r, count(DISTINCT alt) AS a FROM r GROUP BY id)
+SELECT CAST(sum(n - 1) AS BIGINT) AS overlaps, count(*) FILTER (c > 1) AS chrom_conflicts, count(*) FILTER (p > 1) AS pos_conflicts,
+ count(*) FILTER (r > 1) AS ref_conflicts, count(*) FILTER (a > 1) AS alt_conflicts FROM m""")
+def j35_conflicts(t):
+    return variants.merge_same_id(t.variants)[1]
+
+
 @query("j36_in_windows", """
 SELECT name, id, pos - start AS "offset" FROM v_peaks a JOIN v_variants b ON a.chrom = b.chrom AND pos >= start + 20 AND pos < stop - 20""")
 def j36(t):

@@ -246,18 +246,22 @@ def u02(t):
     return pairs.withColumn("s", mo.motif_correlation("weights", "other")).select("motif", "next", "s.cor", "s.ncor")
 
 
-EDGES = "SELECT o_custkey AS src, (o_orderkey * 7 + o_custkey) % 1501 AS dst FROM {orders} WHERE o_totalprice > 470000"
+EDGES = "SELECT o_custkey AS src, (o_orderkey * 7 + o_custkey) % 1501 AS dst FROM {orders}"
+
+
+def label_rounds(n):
+    """SQL of n rounds of smallest labels over neighbours, enough for paths of n edges."""
+    step = ("l{k} AS (SELECT l.id, least(l.label, coalesce(min(m.label), l.label)) AS label FROM l{j} l "
+            "LEFT JOIN b ON b.src = l.id LEFT JOIN l{j} m ON m.id = b.dst GROUP BY l.id, l.label)")
+    return ", ".join(step.format(k=k + 1, j=k) for k in range(n))
 
 
 @query("a86_redundancy_groups", f"""
-WITH RECURSIVE ed AS ({EDGES.format(orders='orders')}), b AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed), nd AS (SELECT src AS id FROM b UNION SELECT dst FROM b),
-reach AS (SELECT id, id AS other FROM nd UNION SELECT r.id, b.dst FROM reach r JOIN b ON r.other = b.src),
-l AS (SELECT id, min(other) AS label FROM reach GROUP BY id)
-SELECT label, string_agg(concat('M', CAST(id AS VARCHAR)), ';' ORDER BY concat('M', CAST(id AS VARCHAR))) AS group_name, count(*) AS size FROM l GROUP BY label""")
+WITH ed AS MATERIALIZED ({EDGES.format(orders='orders')}), b AS MATERIALIZED (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed),
+l0 AS (SELECT src AS id, src AS label FROM b GROUP BY src), {label_rounds(10)}
+SELECT label, concat('M', CAST(id AS VARCHAR)) AS name, count(*) OVER (PARTITION BY label) AS size FROM l10""")
 def a86(t):
     edges = t.spark.sql(EDGES, orders=t.orders)
     nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     labels = mo.connected_groups(nodes, edges)
-    return mo.group_names(labels, nodes.withColumn("name", F.concat(F.lit("M"), "id")))
-
-
+    return mo.group_members(labels, nodes.withColumn("name", F.concat(F.lit("M"), "id")))

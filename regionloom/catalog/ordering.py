@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regionloom.catalog import query
-from regionloom.catalog.link_joins import SIG, vecs
+from regionloom.catalog.link_joins import POOLED, SIG, pooled_vecs
 from regionloom.catalog.views import r6
 from regionloom.operators import matrix, ordering as od
 from regionloom.plans.bins import KEY
@@ -124,9 +124,9 @@ def l05(t):
 
 
 @query("l06_peak_sorted", f"""
-WITH {SIG} SELECT id, t + 1 AS peak FROM sig WHERE rep = 'b1' QUALIFY row_number() OVER (PARTITION BY id ORDER BY value DESC, t) = 1""")
+WITH {SIG}, {POOLED} SELECT id, t + 1 AS peak FROM pooled QUALIFY row_number() OVER (PARTITION BY id ORDER BY value DESC, t) = 1""")
 def l06(t):
-    return od.peak_sorted(vecs(t, "b1"), "vector", "id").select("id", "peak")
+    return od.peak_sorted(pooled_vecs(t), "vector", "id").select("id", "peak")
 
 
 @query("l07_random_subset")
@@ -148,10 +148,10 @@ def r01(t):
     return od.melt(t.lineitem, ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "name", "value")
 
 
-@query("r02_widen", "SELECT id, " + ", ".join(f'max(value) FILTER (t = {i} AND rep = \'b1\') AS t{i}' for i in range(10)) + " FROM v_signal WHERE rep = 'b1' GROUP BY id")
+@query("r02_widen", "SELECT id, rep, " + ", ".join(f'max(value) FILTER (t = {i}) AS t{i}' for i in range(10)) + " FROM v_signal GROUP BY id, rep")
 def r02(t):
-    rows = t.signal.filter("rep = 'b1'").select("id", F.concat(F.lit("t"), "t").alias("name"), "value")
-    return od.widen(rows, "id", "name", [f"t{i}" for i in range(10)], "value")
+    rows = t.signal.select("id", "rep", F.concat(F.lit("t"), "t").alias("name"), "value")
+    return od.widen(rows, ["id", "rep"], "name", [f"t{i}" for i in range(10)], "value")
 
 
 @query("r03_explode_list", "SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents")

@@ -114,6 +114,13 @@ def a75(t):
     return rp.library_quality(rows).withColumns({"mean_barcodes": r6("mean_barcodes"), "uniform_reads": r6("uniform_reads")})
 
 
+@query("a75_sequence_presence", """
+SELECT l_partkey AS sequence, count(DISTINCT l_orderkey) FILTER (CAST(l_quantity AS BIGINT) > 9) AS barcodes, count(DISTINCT l_returnflag) FILTER (CAST(l_quantity AS BIGINT) > 9) AS samples FROM lineitem GROUP BY l_partkey""")
+def a75_presence(t):
+    n = F.when(F.col("l_quantity").cast("long") > 9, F.col("l_quantity").cast("long")).otherwise(0)
+    return rp.sequence_presence(t.lineitem.select(F.col("l_returnflag").alias("sample"), F.col("l_partkey").alias("sequence"), F.col("l_orderkey").alias("barcode"), n.alias("n")))
+
+
 @query("a75_category_means", "SELECT rep AS category, day, round(avg(value), 6) AS mean, count(*) AS n FROM v_reporter GROUP BY rep, day")
 def a75_category(t):
     return rp.category_means(t.reporter.withColumnRenamed("rep", "category"), "category").withColumn("mean", r6("mean"))

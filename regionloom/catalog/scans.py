@@ -248,15 +248,15 @@ def s24(t):
 
 
 @query("s25_profile_matrix", """
-SELECT concat('v', CAST(vec_id AS VARCHAR)) AS gene_id, round(list_sum(embedding[1:8]), 5) AS total FROM (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS embedding FROM embeddings)""")
+SELECT concat('v', CAST(vec_id AS VARCHAR)) AS gene_id, round(list_sum(embedding), 5) AS total FROM (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS embedding FROM embeddings)""")
 def s25(t):
     a = F.col("embedding").cast("array<double>")
     line = F.concat_ws("\t", F.lit("chr1"), F.col("vec_id"), F.col("vec_id") + 1, F.concat(F.lit("v"), "vec_id"), F.lit("0"), F.lit("+"),
-                       *[F.element_at(a, i + 1).cast("string") for i in range(8)])
+                       *[F.element_at(a, i + 1).cast("string") for i in range(64)])
     path = t.scratch("matrix")
     head = t.region.select(F.concat(F.lit('@{"r":"'), "r_name", F.lit('"}')).alias("value"))
     t.embeddings.select(line.alias("value")).unionByName(head).write.option("compression", "gzip").text(path)
-    rows = rd.read_profile_matrix(t.spark, path, 8)
+    rows = rd.read_profile_matrix(t.spark, path, 64)
     return rows.select("gene_id", F.round(F.aggregate("profile", F.lit(0.0), lambda s, v: s + v), 5).alias("total"))
 
 
@@ -270,6 +270,25 @@ def s26(t):
     return out.select(F.col("file").cast("int").alias("nation"), "num_input_reads", F.round("num_unique", 2).alias("num_unique"), "n_lines")
 
 
+@query("s26_flagstat", """
+SELECT s_nationkey AS nation, CAST(max(s_suppkey) AS DOUBLE) AS total, 2 * count(*) AS n_lines FROM supplier GROUP BY s_nationkey""")
+def s26_flagstat(t):
+    lines = F.array(F.concat("s_suppkey", F.lit(" + 0 in total (QC-passed reads + QC-failed reads)")), F.concat("s_suppkey", F.lit(" + 0 mapped")))
+    path = t.scratch("flagstat")
+    t.supplier.select(F.explode(lines).alias("value"), F.col("s_nationkey").alias("nation")).write.partitionBy("nation").text(path)
+    return rd.qc_metrics(t.spark, path + "/*", {"total": "in total"}, r"nation=(\d+)/").select(F.col("file").cast("int").alias("nation"), "total", "n_lines")
+
+
+@query("s26_last_line", """
+SELECT s_nationkey AS nation, CAST(arg_max(s_suppkey * 3, s_suppkey) AS DOUBLE) AS nrf, CAST(arg_max(s_suppkey + 1, s_suppkey) AS DOUBLE) AS pbc1 FROM supplier GROUP BY s_nationkey""")
+def s26_last(t):
+    line = F.concat_ws("\t", F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d"), F.col("s_suppkey") * 3, F.col("s_suppkey") + 1)
+    path = t.scratch("lastline")
+    rows = t.supplier.select(line.alias("value"), F.col("s_nationkey").alias("nation"), "s_suppkey").repartition("nation").sortWithinPartitions("nation", "s_suppkey")
+    rows.drop("s_suppkey").write.partitionBy("nation").text(path)
+    return rd.last_line_fields(t.spark, path + "/*", {"nrf": 5, "pbc1": 6}, r"nation=(\d+)/").select(F.col("file").cast("int").alias("nation"), "nrf", "pbc1")
+
+
 @query("s27_manifest")
 def s27(t):
     return rd.manifest(t.spark, peak_files(t))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regionloom.catalog import query
-from regionloom.catalog.link_joins import SIG, vecs
+from regionloom.catalog.link_joins import POOLED, SIG, pooled_vecs, vecs
 from regionloom.catalog.sqlparts import merged
 from regionloom.catalog.views import r6
 from regionloom.functions.tails import mvn_density, r_critical
@@ -152,19 +152,19 @@ def a23(t):
 
 
 @query("a26_cluster_means", f"""
-WITH {SIG}, m AS (SELECT cluster, t, avg(value) AS x FROM sig JOIN v_clusters USING (id) WHERE rep = 'b1' GROUP BY ALL)
+WITH {SIG}, {POOLED}, m AS (SELECT cluster, t, avg(value) AS x FROM pooled JOIN v_clusters USING (id) GROUP BY ALL)
 SELECT cluster, CAST(t AS INT) AS pos, round((x - avg(x) OVER w) / stddev_pop(x) OVER w, 6) AS z FROM m WINDOW w AS (PARTITION BY cluster)""")
 def a26(t):
-    out = tr.cluster_mean_zscores(vecs(t, "b1").join(t.clusters, "id"), 10)
+    out = tr.cluster_mean_zscores(pooled_vecs(t).join(t.clusters, "id"), 10)
     return out.select("cluster", F.posexplode("z").alias("pos", "z")).select("cluster", "pos", r6("z"))
 
 
-ZS = f"""{SIG}, z AS (SELECT id, t, (value - avg(value) OVER (PARTITION BY id)) / stddev_pop(value) OVER (PARTITION BY id) AS z FROM sig WHERE rep = 'b1'),
+ZS = f"""{SIG}, {POOLED}, z AS (SELECT id, t, (value - avg(value) OVER (PARTITION BY id)) / stddev_pop(value) OVER (PARTITION BY id) AS z FROM pooled),
  zc AS (SELECT cluster, id, t, z FROM z JOIN v_clusters USING (id))"""
 
 
 def stats(t):
-    return tr.cluster_stats(vecs(t, "b1").join(t.clusters, "id"), 10)
+    return tr.cluster_stats(pooled_vecs(t).join(t.clusters, "id"), 10)
 
 
 @query("a27_cluster_stats", f"""
@@ -195,7 +195,7 @@ def a28(t):
 
 @query("u01_normal_density")
 def u01(t):
-    z = vecs(t, "b1").select("id", vzscore(F.col("vector")).alias("z"))
+    z = pooled_vecs(t).select("id", vzscore(F.col("vector")).alias("z"))
     rows = z.join(t.clusters, "id").join(stats(t), "cluster")
     return rows.select("id", "cluster", mvn_density("z", "mean", "cov").alias("density"))
 
@@ -215,7 +215,7 @@ WITH {ZS}, m AS (SELECT cluster, t, avg(z) AS mean FROM zc GROUP BY ALL)
 SELECT id, m.cluster, round(corr(z, mean), 6) + 0.0 AS r FROM z JOIN m USING (t) GROUP BY id, m.cluster""")
 def j27(t):
     from regionloom.functions.vectors import vpearson
-    rows = vecs(t, "b1").select("id", vzscore(F.col("vector")).alias("z"))
+    rows = pooled_vecs(t).select("id", vzscore(F.col("vector")).alias("z"))
     return tr.compare_to_clusters(rows, stats(t)).select("id", "cluster", r6(vpearson(F.col("z"), F.col("mean")), "r"))
 
 
@@ -238,11 +238,11 @@ def a81(t):
 
 
 @query("a87_order_by_peak", f"""
-WITH {SIG}, m AS (SELECT cluster, t, avg(value) AS x FROM sig JOIN v_clusters USING (id) WHERE rep = 'b1' GROUP BY ALL),
+WITH {SIG}, {POOLED}, m AS (SELECT cluster, t, avg(value) AS x FROM pooled JOIN v_clusters USING (id) GROUP BY ALL),
 p AS (SELECT cluster, t + 1 AS peak FROM m QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY x DESC, t) = 1)
 SELECT cluster, peak, CAST(row_number() OVER (ORDER BY peak, cluster) AS INT) AS number FROM p""")
 def a87(t):
-    return tr.order_by_peak(vecs(t, "b1").join(t.clusters, "id"), 10)
+    return tr.order_by_peak(pooled_vecs(t).join(t.clusters, "id"), 10)
 
 
 MASTER = f"m AS (SELECT * FROM {merged('v_peaks')})"
@@ -258,10 +258,10 @@ def a33(t):
 
 
 @query("a34_best_summits", f"""
-WITH {MASTER} SELECT m.chrom, m.start, m.stop, p.start + summit_offset AS summit FROM m LEFT JOIN (SELECT * FROM v_peaks WHERE timepoint <> 'd60') p
+WITH {MASTER} SELECT m.chrom, m.start, m.stop, p.start + summit_offset AS summit FROM m LEFT JOIN v_peaks p
  ON m.chrom = p.chrom AND p.start < m.stop AND m.start < p.stop QUALIFY row_number() OVER (PARTITION BY m.chrom, m.start, m.stop ORDER BY q_value DESC, p.start, p.stop) = 1""")
 def a34(t):
-    return st.best_summits(counting.master_regions(t.peaks), t.peaks.filter("timepoint <> 'd60'"))
+    return st.best_summits(counting.master_regions(t.peaks), t.peaks)
 
 
 DOMS = f"""g AS (SELECT chrom, greatest(0, start - 1500) AS start, least(4000000, stop + 1500) AS stop FROM v_peaks), d AS (SELECT * FROM {merged('g')})"""

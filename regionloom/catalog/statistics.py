@@ -179,15 +179,15 @@ def a69(t):
     return out.select("cluster", r6("r_a"), r6("r_b"))
 
 
-SAMPLES = [f"t{i}_{r}" for i in range(4) for r in ("b1", "b2")]
+SAMPLES = [f"t{i}_{r}" for i in range(10) for r in ("b1", "b2")]
 
 
 def sample_rows(t):
-    return t.signal.filter("t < 4").select("id", F.concat(F.lit("t"), "t", F.lit("_"), "rep").alias("sample"), "value")
+    return t.signal.select("id", F.concat(F.lit("t"), "t", F.lit("_"), "rep").alias("sample"), "value")
 
 
 @query("a74_sample_correlation", """
-WITH s AS (SELECT id, concat('t', CAST(t AS VARCHAR), '_', rep) AS sample, value FROM v_signal WHERE t < 4)
+WITH s AS (SELECT id, concat('t', CAST(t AS VARCHAR), '_', rep) AS sample, value FROM v_signal)
 SELECT x.sample AS a, y.sample AS b, round(corr(x.value, y.value), 6) + 0.0 AS r, round(corr(x.value, y.value) * corr(x.value, y.value), 6) AS r2 FROM s x JOIN s y ON x.id = y.id AND x.sample <= y.sample GROUP BY ALL""")
 def a74(t):
     out = matrix.correlation_matrix(sample_rows(t), "id", "sample", SAMPLES, "value")

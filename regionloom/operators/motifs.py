@@ -333,7 +333,7 @@ def compare_motifs(motifs: DataFrame, cor_min: float = 0.6, ncor_min: float = 0.
     return kept.unionByName(kept.filter("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "cor", "ncor"))
 
 
-def connected_groups(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Group of each node in an undirected graph, named by its smallest node.
 
     Each round takes the smallest label among the neighbours and then the label of that label,
@@ -342,7 +342,7 @@ def connected_groups(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
     both = checkpointed(both)
     labels = nodes.select("id", F.col("id").alias("label"))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("n_"))
         step = labels.join(near, "id", "left").select("id", F.col("label").alias("old_"), F.least("label", "n_").alias("label"))
         jump = step.select(F.col("id").alias("label"), F.col("label").alias("up_"))
@@ -350,12 +350,15 @@ def connected_groups(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -
         labels = done.select("id", "label")
         if done.filter("label <> old_").limit(1).count() == 0:
             return labels
-    raise RuntimeError("groups did not settle; raise max_rounds")
 
 
-def group_names(labels: DataFrame, names: DataFrame, limit: int = 10_000) -> DataFrame:
-    """A86 tail: group name from its sorted member names; a group past ``limit`` members is an error, found before anything is gathered."""
+def group_members(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """A86 tail: one row per member: label of its group, name, and the group's size."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    big = F.when(F.col("size") > limit, F.raise_error(F.lit("a group is too large for a joined name"))).otherwise(F.col("size"))
-    fine = labels.join(sizes.withColumn("size", big), "label").filter("size > 0")
-    return fine.join(names, "id").groupBy("label").agg(F.concat_ws(";", F.sort_array(F.collect_list("name"))).alias("group_name"), F.count("*").alias("size"))
+    return labels.join(sizes, "label").join(names, "id").select("label", "name", "size")
+
+
+def group_name(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """A86 tail: the joined, sorted member names of the groups in ``asked`` (label); one text per group."""
+    chosen = members.join(asked.select("label").distinct(), "label", "left_semi")
+    return chosen.groupBy("label").agg(F.concat_ws(";", F.sort_array(F.collect_list("name"))).alias("group_name"), F.count("*").alias("size"))

@@ -16,9 +16,9 @@ def rows_at_max(df: DataFrame, key: list[str], value: str) -> DataFrame:
 
 
 def row_of_max(df: DataFrame, key: list[str], value: str, tie: list[str]) -> DataFrame:
-    """The row of each group's maximum, the first by ``tie`` among equals."""
+    """The row of each group's maximum, the first by ``tie`` among equals; a null is below every value."""
     rest = [c for c in df.columns if c not in key]
-    best = df.groupBy(*key).agg(F.min(F.struct((-F.col(value)).alias("v_"), *[F.col(c).alias(f"t{i}_") for i, c in enumerate(tie)],
+    best = df.groupBy(*key).agg(F.min(F.struct(F.col(value).isNull().alias("n_"), (-F.col(value)).alias("v_"), *[F.col(c).alias(f"t{i}_") for i, c in enumerate(tie)],
                                                F.struct(*rest).alias("r_"))).alias("b_"))
     return best.select(*key, *[F.col(f"b_.r_.{c}").alias(c) for c in rest])
 
@@ -52,7 +52,7 @@ def shares(df: DataFrame, key: list[str], value: str) -> DataFrame:
 
 def best_task(df: DataFrame, key: list[str], task: str, value: str) -> DataFrame:
     """Each group's best task (smallest task among equals), next to every row of the group."""
-    best = df.groupBy(*key).agg(F.min(F.struct((-F.col(value)).alias("v"), F.col(task).alias("t"))).alias("b_"))
+    best = df.groupBy(*key).agg(F.min(F.struct(F.col(value).isNull().alias("n"), (-F.col(value)).alias("v"), F.col(task).alias("t"))).alias("b_"))
     return df.join(best.select(*key, F.col("b_.t").alias("best_task")), key)
 
 
@@ -102,9 +102,9 @@ def melt(df: DataFrame, ids: list[str], columns: list[str], name: str, value: st
     return df.unpivot(ids, columns, name, value)
 
 
-def widen(df: DataFrame, key: str, name: str, names: list, value: str) -> DataFrame:
+def widen(df: DataFrame, key: list[str], name: str, names: list, value: str) -> DataFrame:
     """Pivot with stated values, so no extra job looks for them."""
-    return df.groupBy(key).pivot(name, names).agg(F.max(value))
+    return df.groupBy(*key).pivot(name, names).agg(F.max(value))
 
 
 def explode_list(df: DataFrame, col: str, sep: str, out: str) -> DataFrame:

@@ -167,7 +167,7 @@ def consensus_summits(master: DataFrame, peaks: DataFrame, file: str) -> DataFra
     pairs = overlap_pairs(keys, peaks.select(*KEY, "summit_offset", "signal_value", file))
     summit = F.col("b_start") + F.col("b_summit_offset")
     per_file = pairs.groupBy(*KEY, f"b_{file}").agg(
-        F.min(F.struct((-F.col("b_signal_value")).alias("s"), "b_start", "b_stop", summit.alias("summit"))).getField("summit").alias("summit"))
+        F.min(F.struct(F.col("b_signal_value").isNull().alias("n"), (-F.col("b_signal_value")).alias("s"), "b_start", "b_stop", summit.alias("summit"))).getField("summit").alias("summit"))
     mean = per_file.groupBy(*KEY).agg(F.floor(F.avg("summit")).cast("long").alias("summit"))
     return mean.select(*KEY, "summit")
 
@@ -177,7 +177,7 @@ def best_summits(regions: DataFrame, peaks: DataFrame) -> DataFrame:
     keys = regions.select(*KEY).distinct()
     pairs = overlap_pairs(keys, peaks.select(*KEY, "summit_offset", "q_value"))
     best = pairs.groupBy(*KEY).agg(F.min(F.struct(
-        (-F.col("b_q_value")).alias("q"), "b_start", "b_stop", (F.col("b_start") + F.col("b_summit_offset")).alias("summit"))).getField("summit").alias("summit"))
+        F.col("b_q_value").isNull().alias("n"), (-F.col("b_q_value")).alias("q"), "b_start", "b_stop", (F.col("b_start") + F.col("b_summit_offset")).alias("summit"))).getField("summit").alias("summit"))
     return keys.join(best, KEY, "left")
 
 
@@ -194,7 +194,7 @@ def spread_genes(domains: DataFrame, initial: DataFrame, receiving: DataFrame, t
     Keeps domain and initial peak pairs whose domain reaches more than ``threshold`` bases past
     the peak, receiving regions that change in the wanted direction (code below or above the
     middle) and TSS within ``spread_bp`` of them. One row per gene, by the best initial score;
-    the distance to the initial midpoint is positive upstream.
+    the distance to the initial midpoint is positive upstream, and rows come ordered by it.
     """
     pairs = overlap_pairs(domains.select(*KEY), initial.select(*KEY, "score"))
     grown = (F.col("b_start") - F.col("start")) + (F.col("stop") - F.col("b_stop"))
@@ -208,7 +208,7 @@ def spread_genes(domains: DataFrame, initial: DataFrame, receiving: DataFrame, t
     away = F.when(F.col("strand") == "-", mid - F.col("start")).otherwise(F.col("start") - mid)
     best = hits.groupBy("gene_id").agg(F.min(F.struct(
         (-F.col("b_score")).alias("s"), "b_init_start", "b_init_stop", "chrom", "start", "strand", away.alias("init_to_tss"))).alias("b_"))
-    return best.select("gene_id", "b_.chrom", "b_.start", "b_.strand", (-F.col("b_.s")).alias("score"), "b_.init_to_tss")
+    return best.select("gene_id", "b_.chrom", "b_.start", "b_.strand", (-F.col("b_.s")).alias("score"), "b_.init_to_tss").orderBy("init_to_tss", "gene_id")
 
 
 def flag_counts(df: DataFrame, flags: list[str]) -> DataFrame:

@@ -196,7 +196,7 @@ def classify(df: DataFrame, features: list[str], label: str, seed: int = 42) ->
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
-    rows = VectorAssembler(inputCols=features, outputCol="features_", handleInvalid="skip").transform(df)
+    rows = VectorAssembler(inputCols=features, outputCol="features_", handleInvalid="error").transform(df)
     train, test = rows.randomSplit([0.8, 0.2], seed)
     model = LogisticRegression(featuresCol="features_", labelCol=label).fit(train)
     return model.transform(test).select(*df.columns, vector_to_array("probability")[1].alias("score"))
@@ -208,7 +208,7 @@ def lasso_r2(df: DataFrame, features: list[str], target: str, seed: int = 42, fo
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    rows = VectorAssembler(inputCols=features, outputCol="features_", handleInvalid="skip").transform(df)
+    rows = VectorAssembler(inputCols=features, outputCol="features_", handleInvalid="error").transform(df)
     train, test = rows.randomSplit([0.8, 0.2], seed)
     lasso = LinearRegression(featuresCol="features_", labelCol=target, elasticNetParam=1.0)
     grid = ParamGridBuilder().addGrid(lasso.regParam, [0.001, 0.01, 0.1]).build()

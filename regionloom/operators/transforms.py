@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from regionloom.functions.coords import parse_region
 from regionloom.functions.text import any_of, joined_max
 from regionloom.plans.scan import value_ranks
-from regionloom.plans.small import small_side
 
 
 def ids_to_intervals(df: DataFrame, col: str = "id") -> DataFrame:
@@ -71,7 +70,7 @@ def log2_cpm(long: DataFrame, sample: list[str], value: str = "n") -> DataFrame:
     """log2 counts per million of the sample, never below 0."""
     totals = long.groupBy(*sample).agg(F.sum(value).alias("total_"))
     cpm = F.col(value) / F.nullif(F.col("total_"), F.lit(0)) * 1e6
-    return long.join(small_side(totals), sample).withColumn(
+    return long.join(totals, sample).withColumn(
         "log2_cpm", F.when(cpm > 1, F.log2(cpm)).otherwise(F.lit(0.0))).drop("total_")
 
 
@@ -138,15 +137,15 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, shares: dict[
 
 
 def percentile_clip(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
-    """Clip to two percentiles of all values."""
+    """Clip to two percentiles of all values; a null stays null."""
     limits = exact_percentiles(df, [], value, {"lo_": low, "hi_": high})
-    clipped = F.greatest(F.col("lo_"), F.least(F.col("hi_"), F.col(value)))
+    clipped = F.when(F.col(value).isNotNull(), F.greatest(F.col("lo_"), F.least(F.col("hi_"), F.col(value))))
     return df.join(F.broadcast(limits)).withColumn(value, clipped).drop("lo_", "hi_")
 
 
 def fixed_clip(df: DataFrame, value: str, limit: float) -> DataFrame:
-    """P35."""
-    return df.withColumn(value, F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col(value))))
+    """P35; a null stays null."""
+    return df.withColumn(value, F.when(F.col(value).isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col(value)))))
 
 
 def unit_max(df: DataFrame, row_max: Column) -> DataFrame:

@@ -118,13 +118,22 @@ def read_profile_matrix(spark: SparkSession, path: str, bins: int) -> DataFrame:
 
 
 def qc_metrics(spark: SparkSession, path: str, labels: dict[str, str], pattern: str) -> DataFrame:
-    """``text | number`` lines of log files as one row per file; ``labels`` maps column to line text."""
+    """``text | number`` and ``number + number text`` lines of log files as one row per file; ``labels`` maps column to line text."""
     rows = spark.read.text(path).select("value", from_path(pattern).alias("file"))
-    number = F.trim(F.split_part("value", F.lit("|"), F.lit(2))).try_cast("double")
+    after, before = F.split_part("value", F.lit("|"), F.lit(2)), F.split_part("value", F.lit("+"), F.lit(1))
+    number = F.coalesce(F.trim(after).try_cast("double"), F.trim(before).try_cast("double"))
     return rows.groupBy("file").agg(
         *[F.max(F.when(F.contains("value", F.lit(text)), number)).alias(c) for c, text in labels.items()], F.count("*").alias("n_lines"))
 
 
+def last_line_fields(spark: SparkSession, path: str, fields: dict[str, int], pattern: str) -> DataFrame:
+    """Fields (1-based, by white space) of the last line of each log file; a log is read as one text."""
+    rows = spark.read.text(path, wholetext=True).select("value", from_path(pattern).alias("file"))
+    lines = F.filter(F.split("value", "\n"), lambda line: F.trim(line) != "")
+    cells = F.split(F.trim(F.try_element_at(lines, F.lit(-1))), r"\s+")
+    return rows.select("file", *[F.try_element_at(cells, F.lit(n)).try_cast("double").alias(c) for c, n in fields.items()])
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """File name, size and checksum, sorted by name. One file is one row, up to Spark's 2 GB limit."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
