@@ -18,7 +18,7 @@ from regionloom.catalog.views import TABLES  # noqa: E402
 SF = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
 NAMES = sorted(ORACLES)
-CHOSEN = NAMES if os.environ.get("REGIONLOOM_ALL") else NAMES[::6]
+CHOSEN = NAMES if os.environ.get("REGIONLOOM_ALL") else NAMES[::3]
 
 
 @pytest.fixture(scope="module")
