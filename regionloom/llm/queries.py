@@ -37,7 +37,25 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op3_suffix_array_dedup")
+_OP3_SQL = r"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+places AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM docs WHERE len(x) >= 400),
+windows AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS m FROM places),
+twice AS (SELECT m FROM windows GROUP BY m HAVING count(*) > 1),
+hits AS (SELECT doc_id, i FROM windows JOIN twice USING (m)),
+steps AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM hits),
+isles AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM steps),
+spans AS (SELECT doc_id, min(i) AS s, max(i) + 200 AS t FROM isles GROUP BY doc_id, g),
+edges AS (SELECT doc_id, coalesce(lag(t) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS b FROM spans
+          UNION ALL SELECT d.doc_id, coalesce(max(t), 0), len(any_value(x)) // 2 FROM docs d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM edges JOIN docs USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(t - s) AS removed, count(*) AS n FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM docs d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
+
+@query("op3_suffix_array_dedup", _OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
