@@ -212,10 +212,11 @@ def a77(t):
 
 @query("a78_classifier_curve")
 def a78(t):
-    rows = t.documents.join(t.labels, "doc_id").select("doc_id", F.col("quality").cast("double").alias("label"), F.col("n_chars").cast("double").alias("n"),
-                                                       (F.col("doc_id") % 97).cast("double").alias("m"))
-    scored = ss.classify(rows, ["n", "m"], "label")
-    return ss.precision_recall(scored, "score", "label").select("score", "precision", "recall")
+    share = lambda chars: F.length(F.regexp_replace("text", f"[^{chars}]", "")) / F.greatest(F.length("text"), F.lit(1))
+    features = {"length": F.log1p(F.length("text").cast("double")), "capitals": share(r"\p{Lu}"), "symbols": share(r"!*$#&%|"), "spaces": share(r"\s")}
+    rows = t.documents.join(t.labels, "doc_id").select(
+        "doc_id", F.col("quality").cast("double").alias("label"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in features.items()])
+    return ss.classifier_curves(rows, "doc_id", {"features": list(features), "baseline": ["length"]}, "label")
 
 
 @query("a79_lasso_r2")

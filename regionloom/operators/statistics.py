@@ -191,15 +191,36 @@ def sample_pca(long: DataFrame, key: str, sample: str, samples: list[str], value
     return long.sparkSession.createDataFrame(rows, "sample string, component int, position double, variance_share double")
 
 
-def classify(df: DataFrame, features: list[str], label: str, seed: int = 42) -> DataFrame:
-    """Logistic classifier on an 80/20 split; label and score of the test rows."""
+def classify(df: DataFrame, key: str, features: list[str], label: str, folds: int = 5, test_fold: int = 0) -> DataFrame:
+    """Logistic classifier on all folds but one; label, fold and score of that fold's rows.
+
+    A row's fold is a hash of its key, so it stays the same for every model and rerun. A null feature is an error.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
     rows = VectorAssembler(inputCols=features, outputCol="features_", handleInvalid="error").transform(df)
-    train, test = rows.randomSplit([0.8, 0.2], seed)
-    model = LogisticRegression(featuresCol="features_", labelCol=label).fit(train)
-    return model.transform(test).select(*df.columns, vector_to_array("probability")[1].alias("score"))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
+    model = LogisticRegression(featuresCol="features_", labelCol=label).fit(rows.filter(F.col("fold") != test_fold))
+    scored = model.transform(rows.filter(F.col("fold") == test_fold))
+    return scored.select(*df.columns, "fold", vector_to_array("probability")[1].alias("score"))
+
+
+def classifier_curves(df: DataFrame, key: str, models: dict[str, list[str]], label: str, steps: int = 100) -> DataFrame:
+    """Precision and recall of several feature sets (the model and its baseline) on one held-out fold.
+
+    Curves are thinned to at most ``steps`` points per model: the last point of each equal stretch.
+    """
+    scored = None
+    for name, features in models.items():
+        part = classify(df, key, features, label).select(F.lit(name).alias("model"), "fold", F.col(label).alias("label"), "score")
+        scored = part if scored is None else scored.unionByName(part)
+    group = ["model", "fold"]
+    curve = numbered(precision_recall(scored, "score", "label", group), group, [F.col("score").desc()], "place_")
+    sizes = curve.groupBy(*group).agg(F.count("*").alias("n_"))
+    upto = lambda place: F.floor(place * steps / F.greatest(F.col("n_"), F.lit(steps)))
+    kept = curve.join(sizes, group).filter(upto(F.col("place_")) > upto(F.col("place_") - 1))
+    return kept.select(*group, "score", "precision", "recall")
 
 
 def lasso_r2(df: DataFrame, features: list[str], target: str, seed: int = 42, folds: int = 5) -> DataFrame:
