@@ -2,15 +2,15 @@
 
 A document's set is its shingles of five words (fewer words: the whole sequence). ``PERMS``
 functions of a universal family (multiply-shift) take the place of random permutations; the
-signature holds the smallest value of each, the fingerprint the lowest byte of each (b-bit MinHash).
-The likeness of two fingerprints is the share of equal bytes, corrected for chance agreement.
+signature is the lowest byte of the smallest value of each (b-bit MinHash), the fingerprint its
+hexadecimal text. The likeness of two is the share of equal bytes, corrected for chance agreement.
 
 *Edited texts.* A document's second half gives way to the beginning of the next document by
 doc_id. Documents are dealt to ranges of doc_id of about ``RANGE_BYTES`` of text; the first document
 of a range also goes to the range before it, the very first to the last. So the texts move once.
 
-*Classes.* Signatures are cut into ``BANDS`` bands of ``ROWS``; documents that agree in a band meet in a
-cell, where their whole signatures are compared; links of a spanning forest per cell are verified by
+*Classes.* Signatures are cut into ``BANDS`` bands of ``ROWS`` bytes; documents that agree in a band meet
+in a cell, where their whole signatures are compared; links of a spanning forest per cell are verified by
 the exact Jaccard index of the shingles and joined to components. Equal signatures are one entry.
 
 Defined cases: a null text is empty; texts without words have the same fingerprint, ff in all
@@ -28,19 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from regionloom.llm.components import star_components
-from regionloom.llm.textkit import run_hashes, slices, text_buffer, word_hashes
+from regionloom.llm.textkit import run_hashes, slices, text_buffer, with_columns, word_hashes
 from regionloom.session import checkpointed
 
 PERMS = 128
 SHINGLE = 5
-BANDS, ROWS = 25, 5
+BANDS, ROWS = 20, 6
 THRESHOLD = 0.8
 RANGE_BYTES = 4 << 20
 CELL = 512
 _RNG = np.random.default_rng(4)
 _MUL = _RNG.integers(1, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, PERMS, dtype=np.uint64)
-_EMPTY = np.uint32(0xFFFFFFFF)
+_EMPTY = 255
 _LAST = (1 << 63) - 1
 
 
@@ -53,8 +53,8 @@ def _shingles(texts: pa.Array):
 
 
 def signatures(texts: pa.Array) -> np.ndarray:
-    """One row of PERMS 32-bit minima per text."""
-    out = np.full((len(texts), PERMS), _EMPTY, np.uint32)
+    """One row of PERMS bytes per text: the lowest byte of each function's minimum."""
+    out = np.full((len(texts), PERMS), _EMPTY, np.uint8)
     for a, b, hashes, first in _shingles(texts):
         full = np.flatnonzero(np.diff(first))
         if not len(full):
@@ -62,18 +62,17 @@ def signatures(texts: pa.Array) -> np.ndarray:
         starts = first[:-1][full]
         for p in range(PERMS):
             value = ((hashes * _MUL[p] + _ADD[p]) >> np.uint64(32)).astype(np.uint32)
-            out[a + full, p] = np.minimum.reduceat(value, starts)
+            out[a + full, p] = (np.minimum.reduceat(value, starts) & np.uint32(255)).astype(np.uint8)
     return out
 
 
 def fingerprint_strings(sig: np.ndarray) -> list[str]:
-    low = np.ascontiguousarray((sig & np.uint32(255)).astype(np.uint8))
-    return [row.tobytes().hex() for row in low]
+    return [row.tobytes().hex() for row in sig]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard index of two arrays of signatures from their fingerprints' bytes."""
-    same = ((a & np.uint32(255)) == (b & np.uint32(255))).mean(axis=1)
+    """Estimated Jaccard index of two arrays of signatures (the last axis holds the bytes)."""
+    same = (a == b).mean(axis=-1)
     return np.clip((same - 1 / 256) / (1 - 1 / 256), 0.0, 1.0)
 
 
@@ -104,45 +103,77 @@ def _deal(bounds: list[int]):
     return run
 
 
-_COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, sig binary"
+_COLUMNS = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
+            "class_id long")
 
 
-def _compare(rows: pd.DataFrame) -> pd.DataFrame:
+def _compare(rows: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
     """Fingerprints of a range's documents, their edited texts and their next documents."""
     rows = rows.assign(key=rows["doc_id"].fillna(_LAST).astype("int64"), text=rows["text"].fillna(""))
-    own = rows[~rows["follows"]].sort_values(["key", "text"], kind="stable")
-    after = rows[rows["follows"]].sort_values(["key", "text"], kind="stable")
-    texts = own["text"].tolist() + after["text"].tolist()[:1]
+    own = rows[~rows["follows"].astype(bool)].sort_values(["key", "text"], kind="stable")
+    after = rows[rows["follows"].astype(bool)].sort_values(["key", "text"], kind="stable")
     if not len(own):
         return pd.DataFrame(columns=[c.split()[0] for c in _COLUMNS.split(", ")])
+    texts = own["text"].tolist() + after["text"].tolist()[:1]
     n = len(own)
-    following = [texts[i + 1] if i + 1 < len(texts) else texts[0] for i in range(n)]
-    edited = [t[:len(t) - len(t) // 2] + f[:len(t) // 2] for t, f in zip(texts, following)]
+    following = [i + 1 if i + 1 < len(texts) else 0 for i in range(n)]
+    edited = [texts[i][:len(texts[i]) - len(texts[i]) // 2] + texts[j][:len(texts[i]) // 2] for i, j in enumerate(following)]
     sig = signatures(pa.array(texts, pa.large_string()))
     new = signatures(pa.array(edited, pa.large_string()))
-    next_sig = sig[[i + 1 if i + 1 < len(texts) else 0 for i in range(n)]]
+    named = dict(zip(classes["doc_id"], classes["class_id"]))
+    ids = [None if pd.isna(d) else int(d) for d in own["doc_id"]]
     return pd.DataFrame({
-        "doc_id": own["doc_id"].to_numpy(), "n_chars": [len(t) for t in texts[:n]],
+        "doc_id": pd.array(ids, "Int64"), "n_chars": [len(t) for t in texts[:n]],
         "edited_sha256": [hashlib.sha256(e.encode()).hexdigest() for e in edited],
         "fingerprint": fingerprint_strings(sig[:n]), "edited_fingerprint": fingerprint_strings(new),
-        "near_edited": likeness(sig[:n], new), "near_next": likeness(sig[:n], next_sig), "sig": [s.tobytes() for s in sig[:n]]})
+        "near_edited": likeness(sig[:n], new), "near_next": likeness(sig[:n], sig[following]),
+        "class_id": pd.array([None if d is None else int(named.get(d, d)) for d in ids], "Int64")})
+
+
+def _placed(bounds: list[int]):
+    edges = np.array(bounds, np.int64)
 
+    def run(batches):
+        for batch in batches:
+            part = np.maximum(np.searchsorted(edges, batch["doc_id"].to_numpy(), "right") - 1, 0)
+            yield with_columns(batch, ["part"], [pa.array(part)])
+    return run
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (and sig) per row."""
+
+def fingerprints(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id per row.
+
+    ``classes`` (doc_id, class_id) names the classes; a document that it lacks is a class of its own.
+    """
     docs = docs.select("doc_id", "text")
-    dealt = docs.mapInArrow(_deal(_ranges(docs)), "doc_id long, text string, part long, follows boolean")
-    return dealt.groupBy("part").applyInPandas(_compare, _COLUMNS)
+    if classes is None:
+        classes = docs.sparkSession.createDataFrame([], "doc_id long, class_id long")
+    bounds = _ranges(docs)
+    dealt = docs.mapInArrow(_deal(bounds), "doc_id long, text string, part long, follows boolean")
+    named = classes.mapInArrow(_placed(bounds), "doc_id long, class_id long, part long")
+    return dealt.groupBy("part").cogroup(named.groupBy("part")).applyInPandas(_compare, _COLUMNS)
+
+
+def _print_batches(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].cast(pa.int64()), "sig": pa.array([r.tobytes() for r in signatures(batch["text"])], pa.binary())})
+
+
+def prints(docs: DataFrame) -> DataFrame:
+    """(doc_id, sig) per row, without moving a text."""
+    return docs.select("doc_id", "text").mapInArrow(_print_batches, "doc_id long, sig binary")
 
 
 def _band_batches(batches):
+    """The bands of each signature: number of the band and its bytes in one key."""
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint32).reshape(-1, PERMS)
-        keys = np.zeros((len(sig), BANDS), np.uint64)
+        sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint8).reshape(-1, PERMS)
+        keys = np.zeros((len(sig), BANDS), np.int64)
         for b in range(BANDS):
+            keys[:, b] = b
             for c in range(ROWS):
-                keys[:, b] = keys[:, b] * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * ROWS + c] + np.uint64(b + 1)
-        yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(batch["node"].to_numpy(), BANDS)), "key": pa.array(keys.ravel().view(np.int64))})
+                keys[:, b] = keys[:, b] << 8 | sig[:, b * ROWS + c]
+        yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(batch["node"].to_numpy(), BANDS)), "key": pa.array(keys.ravel())})
 
 
 def _cell_links(rows: pd.DataFrame) -> pd.DataFrame:
@@ -150,7 +181,7 @@ def _cell_links(rows: pd.DataFrame) -> pd.DataFrame:
     out: set[tuple[int, int]] = set()
     for _, cell in rows.groupby(["key", "x", "y"], sort=False):
         node, block, x = cell["node"].to_numpy(), cell["block"].to_numpy(), cell["x"].iloc[0]
-        sig = np.frombuffer(b"".join(cell["sig"]), np.uint32).reshape(-1, PERMS)
+        sig = np.frombuffer(b"".join(cell["sig"]), np.uint8).reshape(-1, PERMS)
         left, right = np.flatnonzero(block == x), np.flatnonzero(block != x)
         right = right if len(right) else left
         root = {i: i for i in range(len(node))}
@@ -162,9 +193,8 @@ def _cell_links(rows: pd.DataFrame) -> pd.DataFrame:
             return i
 
         for i in left:
-            same = (sig[right] == sig[i]).mean(axis=1)
             # a margin of three standard errors: the exact index decides afterwards
-            for j in right[same >= THRESHOLD - 0.11]:
+            for j in right[likeness(sig[right], sig[i]) >= THRESHOLD - 0.11]:
                 a, b = top(int(i)), top(int(j))
                 if a != b:
                     root[a] = b
@@ -191,11 +221,11 @@ def _jaccard_batches(batches):
         yield rows.loc[keep, ["u", "v"]]
 
 
-def near_duplicate_classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """(doc_id, class_id): documents with a near duplicate; ``prints`` has doc_id and sig."""
-    named = prints.filter("doc_id is not null")
+def near_duplicate_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id) of the documents that have an equal or near duplicate with a smaller doc_id."""
+    named = checkpointed(prints(docs).filter("doc_id is not null"))
     per_sig = checkpointed(named.groupBy("sig").agg(F.min("doc_id").alias("node")))
-    bands = checkpointed(per_sig.select("node", "sig").mapInArrow(_band_batches, "node long, key long"))
+    bands = per_sig.select("node", "sig").mapInArrow(_band_batches, "node long, key long")
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(CELL)).cast("int")
     cells = (bands.join(sizes.hint("merge"), "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -213,4 +243,4 @@ def near_duplicate_classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
     good = pairs.mapInPandas(_jaccard_batches, "u long, v long")
     roots = star_components(good, "u", "v")
     of_sig = per_sig.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("class_id"))
-    return named.select("doc_id", "sig").join(of_sig.hint("merge"), "sig").select("doc_id", "class_id")
+    return named.join(of_sig.hint("merge"), "sig").filter("class_id <> doc_id").select("doc_id", "class_id")

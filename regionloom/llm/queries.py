@@ -83,9 +83,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_minhash_fingerprints")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    prints = checkpointed(minhash.fingerprints(docs))
-    classes = minhash.near_duplicate_classes(docs, prints.select("doc_id", "sig"))
-    return prints.drop("sig").join(classes.hint("merge"), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    return minhash.fingerprints(docs, checkpointed(minhash.near_duplicate_classes(docs)))
 
 
 @query("op9_quality")

@@ -175,7 +175,8 @@ def test_minhash_of_texts_and_their_edits(spark, documents, monkeypatch, sf):
     assert np.mean([abs(g - jaccard(a, b)) for g, a, b in zip(got["near_next"], texts, after)]) < 0.02
     same = got.groupby(documents["text"])["fingerprint"].nunique()
     assert (same == 1).all()
-    classes = minhash.near_duplicate_classes(docs, got_prints(spark, docs)).toPandas().set_index("doc_id")["class_id"]
+    named = minhash.fingerprints(docs, minhash.near_duplicate_classes(docs)).toPandas().set_index("doc_id")
+    classes = named["class_id"]
     root = list(range(len(texts)))
     holders = collections.defaultdict(list)
     for i, t in enumerate(texts):
@@ -196,10 +197,6 @@ def test_minhash_of_texts_and_their_edits(spark, documents, monkeypatch, sf):
     assert [classes[d] for d in ids] == [ids[top(i)] for i in range(len(ids))]
 
 
-def got_prints(spark, docs):
-    return minhash.fingerprints(docs).select("doc_id", "sig")
-
-
 def test_minhash_odd_rows(spark, odd_rows, empty):
     docs = frame(spark, odd_rows)
     got = minhash.fingerprints(docs).collect()
@@ -209,4 +206,4 @@ def test_minhash_odd_rows(spark, odd_rows, empty):
     single = minhash.fingerprints(frame(spark, [(5, "one two three four five six")])).collect()
     assert single[0]["near_next"] == 1.0
     assert minhash.fingerprints(empty).count() == 0
-    assert minhash.near_duplicate_classes(empty, got_prints(spark, empty)).count() == 0
+    assert minhash.near_duplicate_classes(empty).count() == 0
