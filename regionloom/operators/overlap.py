@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from regionloom.functions.coords import slop
 from regionloom.plans.bins import (
-    KEY, nearest_first, nearest_k, overlap_counts, overlap_left, overlap_pairs, overlap_semi,
+    BIN_WIDTH, KEY, nearest_first, nearest_k, overlap_counts, overlap_left, overlap_pairs, overlap_semi,
 )
 
 
@@ -48,8 +48,8 @@ def nearest_within(a: DataFrame, b: DataFrame, payload: list[str], limit: int) -
 
 
 def neighbourhood(a: DataFrame, b: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
-    """Rows of ``b`` within ``n`` bases of ``a``."""
-    return overlap_semi(b, slop(a, sizes, n))
+    """Rows of ``b`` within ``n`` bases of ``a``; bins are as wide as the search, so a window is copied twice or so."""
+    return overlap_semi(b, slop(a, sizes, n), max(BIN_WIDTH, 2 * n))
 
 
 def marked_downstream(tss: DataFrame, marks: DataFrame, sizes: DataFrame, n: int) -> DataFrame:

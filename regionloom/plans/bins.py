@@ -23,7 +23,7 @@ def overlap_pairs(a: DataFrame, b: DataFrame, width: int = BIN_WIDTH, hot_rows:
     ``b`` columns come back with the prefix ``b_``. Both sides are exploded to fixed bins and
     joined by (chrom, bin); a pair is kept only in the bin of the larger start, so each pair
     appears once without a ``distinct``. The adaptive planner splits a hot bin; with
-    ``hot_rows`` set, bins with more ``a`` rows than that are salted as well.
+    ``hot_rows`` set, bins with more rows than that on either side are salted as well.
     """
     right = b.select(*[F.col(c).alias(c if c == "chrom" else f"b_{c}") for c in b.columns])
     left, right = binned(a, width), binned(right, width, "b_start", "b_stop")
@@ -41,18 +41,25 @@ def overlap_pairs(a: DataFrame, b: DataFrame, width: int = BIN_WIDTH, hot_rows:
 
 
 def _salt(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    # at most rows / hot_rows bins can be hot, so this table stays small
-    hot = (
-        left.groupBy(*keys).agg(F.count("*").alias("n_"))
-        .filter(F.col("n_") > hot_rows)
-        .select(*keys, F.ceil(F.col("n_") / hot_rows).alias("n_salt"))
-    )
-    # a hash, not a random number: a recomputed task must send its rows to the same place
-    spread = F.pmod(F.xxhash64(*[c for c in left.columns if c not in keys]), F.col("n_salt"))
-    left = left.join(hot, keys, "left").withColumn("salt_", F.coalesce(spread, F.lit(0).cast("long")))
-    copies = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("n_salt"), F.lit(1).cast("long")) - 1)
-    right = right.join(hot, keys, "left").withColumn("salt_", F.explode(copies))
-    return left.drop("n_salt"), right.drop("n_salt")
+    """Cut the rows of a hot bin into parts of about ``hot_rows`` on either side; every left part meets every right part."""
+    def hot(df: DataFrame, name: str) -> DataFrame:
+        # at most rows / hot_rows bins can be hot, so this table stays small
+        n = df.groupBy(*keys).agg(F.count("*").alias("n_")).filter(F.col("n_") > hot_rows)
+        return n.select(*keys, F.ceil(F.col("n_") / hot_rows).alias(name))
+
+    one = F.lit(1).cast("long")
+    parts = hot(left, "l_parts").join(hot(right, "r_parts"), keys, "full").select(
+        *keys, F.coalesce("l_parts", one).alias("l_parts"), F.coalesce("r_parts", one).alias("r_parts"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        # a hash, not a random number: a recomputed task must send its rows to the same place
+        place = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.coalesce(own, one))
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, one) - 1))
+        out = df.join(parts, keys, "left").withColumn("own_", place).withColumn("other_", copies)
+        pair = ("own_", "other_") if own == "l_parts" else ("other_", "own_")
+        return out.withColumn("salt_", F.struct(F.col(pair[0]).alias("l"), F.col(pair[1]).alias("r"))).drop("own_", "other_", "l_parts", "r_parts")
+
+    return dealt(left, "l_parts", "r_parts"), dealt(right, "r_parts", "l_parts")
 
 
 def hit_intervals(a: DataFrame, b: DataFrame, width: int = BIN_WIDTH) -> DataFrame:
