@@ -156,14 +156,16 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, k: int = PHRASE, shar
     """(id, start, stop): ranges of words of documents (id, doc_id, text) that an earlier document has."""
     known = docs.filter("doc_id is not null").select("id", "doc_id", "text")
     found = known.mapInArrow(_anchor_batches(window, k), "id long, doc_id long, gram long, span long, at int, low int, high int")
-    again = found.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram")
+    # written first, so that the join below has plain shuffles on both sides and a hot phrase can be split
+    again = checkpointed(found.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram"))
     found = checkpointed(found.join(again.hint("merge"), "gram"))
     spans = checkpointed(found.groupBy("gram", "span").agg(F.min(F.struct("doc_id", "id", "at", "low", "high")).alias("r"), F.max("doc_id").alias("last")))
     owners = spans.select("gram", "span", F.col("r.doc_id").alias("owner"))
     late = spans.filter(F.col("last") > F.col("r.doc_id")).select("gram", "span", F.col("r.doc_id").alias("owner"))
     reach = ((F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + window).alias("stop"))
     covered = found.join(late.hint("merge"), ["gram", "span"]).filter("doc_id > owner").select("id", *reach)
-    groups = owners.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("owner").alias("a"), F.max("owner").alias("b")).filter("kinds > 1 and a < b").select("gram", "kinds")
+    groups = owners.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("owner").alias("a"), F.max("owner").alias("b"))
+    groups = checkpointed(groups.filter("kinds > 1 and a < b").select("gram", "kinds"))
     chosen = spans.join(groups.hint("merge"), "gram")
     shards = max(1, -(-chosen.count() // (shard_spans // 2)))
     parts = F.ceil(F.col("kinds") / F.lit(shard_spans))

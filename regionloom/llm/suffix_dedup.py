@@ -165,14 +165,15 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, k: int = GRAM, shard_
     """(id, start, stop): byte ranges of documents (id, text) that are covered by repeated strings."""
     schema = "id long, gram long, span long, at int, low int, high int"
     found = docs.select("id", "text").mapInArrow(_anchor_batches(window, k), schema)
-    again = found.groupBy("gram").agg(F.count("*").alias("n_")).filter("n_ > 1").drop("n_")
+    # written first, so that the join below has plain shuffles on both sides and a hot anchor can be split
+    again = checkpointed(found.groupBy("gram").agg(F.count("*").alias("n_")).filter("n_ > 1").drop("n_"))
     found = checkpointed(found.join(again.hint("merge"), "gram"))
     # spans by content: how often, and one place
     spans = found.groupBy("gram", "span").agg(F.count("*").alias("copies"), F.min(F.struct("id", "at", "low", "high")).alias("r"))
     spans = checkpointed(spans)
     whole = spans.filter("copies > 1").select("gram", "span")
     covered = found.join(whole.hint("merge"), ["gram", "span"]).select("id", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + window).alias("stop"))
-    groups = spans.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    groups = checkpointed(spans.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     chosen = spans.join(groups.hint("merge"), "gram")
     shards = max(1, -(-chosen.count() // (shard_spans // 2)))
     # a small part of the shard numbers would do for most anchors; one with many spans gets several
