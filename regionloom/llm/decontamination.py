@@ -23,6 +23,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from regionloom.session import checkpointed
+
 WINDOW = 5
 SHARE = 0.8
 RUN = 13
@@ -118,7 +120,8 @@ def consistent(matched: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, share, run) of contaminated documents and the items that they hold."""
-    good = consistent(matches(docs.filter("doc_id is not null"), benchmark))
+    # the few matches are read several times; the documents only once
+    good = consistent(checkpointed(matches(docs.filter("doc_id is not null"), benchmark)))
     order = W.partitionBy("doc_id", "item_id", "diag").orderBy("pos")
     island = good.withColumn("isle", F.col("pos") - F.row_number().over(order))
     length = island.groupBy("doc_id", "item_id", "diag", "isle").agg(F.count("*").alias("n"))
