@@ -44,10 +44,11 @@ _IP = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 _CARD = r"\b[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}\b"
 _SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 _PHONE = r"(?:\+[0-9]{1,3}[ .-]?|\b)\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}\b"
-_GIVEN = rf"(?<![\p{{L}}\p{{N}}])(?:{_NAMES})(?![\p{{L}}\p{{N}}])"
-_SURNAME = rf"(?:(?<=(?<![\p{{L}}])(?:{_NAMES}) )|(?<=(?<![\p{{L}}])(?:{'|'.join(TITLES)})\.? ))\p{{Lu}}\p{{Ll}}+(?![\p{{L}}])"
+_GIVEN = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:{_NAMES})(?![\p{{L}}\p{{N}}])"
+_SURNAME = rf"(?=\p{{Lu}}\p{{Ll}})(?<= )(?:(?<=(?<![\p{{L}}])(?:{_NAMES}) )|(?<=(?<![\p{{L}}])(?:{'|'.join(TITLES)})\.? ))\p{{Lu}}\p{{Ll}}+(?![\p{{L}}])"
 PATTERN = f"{_EMAIL}|{_SECRET}|{_CARD.replace(chr(92) + '1', '[ -]?').replace('([ -]?)', '[ -]?')}|{_SSN}|{_PHONE}|{_IP}|{_GIVEN}|{_SURNAME}"
-QUICK = rf"[0-9@]|{_NAMES}|(?:{'|'.join(TITLES)})\.? \p{{Lu}}"
+# a look ahead for a capital lets nearly every place of a text fail at once
+QUICK = rf"[0-9@]|(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:{_NAMES}|(?:{'|'.join(TITLES)})\.? \p{{Lu}})"
 
 
 def _kind(value: Column) -> Column:
