@@ -10,8 +10,10 @@ doc_id. Documents are dealt to ranges of doc_id of about ``RANGE_BYTES`` of text
 of a range also goes to the range before it, the very first to the last. So the texts move once.
 
 *Classes.* Signatures are cut into ``BANDS`` bands of ``ROWS`` bytes; documents that agree in a band meet
-in a cell, where their whole signatures are compared; links of a spanning forest per cell are verified by
-the exact Jaccard index of the shingles and joined to components. Equal signatures are one entry.
+in a cell, where their whole signatures are compared. The links of a maximum spanning forest per cell are
+verified by the exact Jaccard index of the shingles and joined to components. A link that fails may have
+hidden others: its cells choose anew among the pairs that are neither joined nor checked, and after
+``FORESTS`` rounds all that are left are checked. Equal signatures are one entry.
 
 Defined cases: a null text is empty; texts without words have the same fingerprint, ff in all
 bytes, which is alike to itself (1.0). Repeated doc_ids are ordered by their text; a null doc_id
@@ -37,6 +39,11 @@ BANDS, ROWS = 20, 6
 THRESHOLD = 0.8
 RANGE_BYTES = 4 << 20
 CELL = 512
+#: A margin of three standard errors of the estimate: the exact index decides.
+LIKELY = THRESHOLD - 0.11
+#: Rounds that check one forest per cell; after them all pairs left are checked.
+FORESTS = 3
+MARKS = 1 << 26
 _RNG = np.random.default_rng(4)
 _MUL = _RNG.integers(1, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, PERMS, dtype=np.uint64)
@@ -176,49 +183,93 @@ def _band_batches(batches):
         yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(batch["node"].to_numpy(), BANDS)), "key": pa.array(keys.ravel())})
 
 
-def _cell_links(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a shard's cells whose signatures agree enough, less those that a forest makes needless."""
-    out: set[tuple[int, int]] = set()
-    for _, cell in rows.groupby(["key", "x", "y"], sort=False):
-        node, block, x = cell["node"].to_numpy(), cell["block"].to_numpy(), cell["x"].iloc[0]
-        sig = np.frombuffer(b"".join(cell["sig"]), np.uint8).reshape(-1, PERMS)
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block != x)
-        right = right if len(right) else left
-        root = {i: i for i in range(len(node))}
-
-        def top(i, root=root):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i in left:
-            # a margin of three standard errors: the exact index decides afterwards
-            for j in right[likeness(sig[right], sig[i]) >= THRESHOLD - 0.11]:
-                a, b = top(int(i)), top(int(j))
-                if a != b:
-                    root[a] = b
-                    out.add((int(min(node[i], node[j])), int(max(node[i], node[j]))))
-    return pd.DataFrame(sorted(out), columns=["u", "v"], dtype="int64")
-
-
-def _set_batches(batches):
-    for batch in batches:
-        sets: list = [b""] * batch.num_rows
-        for a, b, hashes, first in _shingles(batch["text"]):
-            for i in range(b - a):
-                sets[a + i] = np.unique(hashes[first[i]:first[i + 1]]).tobytes()
-        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "shingles": pa.array(sets, pa.binary())})
+def _forest(sig: np.ndarray, left: np.ndarray, right: np.ndarray, root: np.ndarray, bad: list) -> list[tuple[int, int]]:
+    """Edges of a maximum spanning forest over likely pairs, by Prim's algorithm; equal roots are joined at no cost."""
+    n = len(sig)
+    best, via, open_ = np.full(n, -1.0), np.full(n, -1), np.ones(n, bool)
+    out = []
+    for _ in range(n):
+        at = int(np.where(open_, best, -2.0).argmax())
+        if best[at] >= LIKELY and root[at] != root[via[at]]:
+            out.append((int(via[at]), at))
+        open_[at] = False
+        near = np.where((left[at] & right) | (right[at] & left), likeness(sig, sig[at]), -1.0)
+        near[bad[at]] = -1.0
+        near[root == root[at]] = 2.0
+        better = open_ & (near > best)
+        best[better], via[better] = near[better], at
+    return out
+
+
+def _rest(sig: np.ndarray, left: np.ndarray, right: np.ndarray, root: np.ndarray, bad: list) -> list[tuple[int, int]]:
+    """All likely pairs of different roots."""
+    out = []
+    for at in np.flatnonzero(left):
+        likely = right & (likeness(sig, sig[at]) >= LIKELY) & (root != root[at])
+        likely[bad[at]] = False
+        out += [(int(at), int(j)) for j in np.flatnonzero(likely)]
+    return out
+
+
+def _cell_links(choose):
+    """Pairs of a shard's cells that ``choose`` sends to the check."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out: set[tuple[int, int]] = set()
+        for (_, x, _), cell in rows.groupby(["key", "x", "y"], sort=False):
+            node, block = cell["node"].to_numpy(), cell["block"].to_numpy()
+            sig = np.frombuffer(b"".join(cell["sig"]), np.uint8).reshape(-1, PERMS)
+            left, right = block == x, block != x
+            right = right if right.any() else left
+            bad = [np.flatnonzero(np.isin(node, f)) if f is not None and len(f) else np.zeros(0, np.int64) for f in cell["failed"]]
+            for i, j in choose(sig, left, right, cell["root"].to_numpy(), bad):
+                out.add((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+        return pd.DataFrame(sorted(out), columns=["u", "v"], dtype="int64")
+    return run
+
+
+def _marked(ids: DataFrame) -> np.ndarray:
+    """A table of ``MARKS`` bits, set at the hashes of the ids: what a text must pass before it is moved."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)) + 1
+    rows = ids.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    width = 4096
+    table = np.zeros(MARKS // 8, np.uint8)
+    for r in rows:
+        table[(r["b"] - 1) * width:r["b"] * width] = np.frombuffer(r["bits"], np.uint8)
+    return table
+
+
+def _keep_marked(table: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            at = batch["at"].to_numpy()
+            yield batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).select(["doc_id", "text"])
+    return run
 
 
 def _jaccard_batches(batches):
-    for rows in batches:
-        keep = []
-        for a, b in zip(rows["a"], rows["b"]):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(common >= THRESHOLD * (len(a) + len(b) - common))
-        yield rows.loc[keep, ["u", "v"]]
+    for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):  # few sets at a time
+        sets: list[list[np.ndarray]] = []
+        for name in ("a", "b"):
+            sets.append([])
+            for i, j, hashes, first in _shingles(batch[name]):
+                sets[-1] += [np.unique(hashes[first[r]:first[r + 1]]) for r in range(j - i)]
+        common = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*sets)]
+        good = [c >= THRESHOLD * (len(a) + len(b) - c) for c, a, b in zip(common, *sets)]
+        yield pa.RecordBatch.from_pydict({"u": batch["u"], "v": batch["v"], "good": pa.array(good, pa.bool_())})
+
+
+def _checked(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """(u, v, good): whether the exact Jaccard index of the linked documents' shingles is high enough.
+
+    Only texts of linked documents are moved (and the few whose mark another id has set).
+    """
+    ends = links.select(F.col("u").alias("doc_id")).union(links.select("v")).distinct()
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)))
+    texts = rows.mapInArrow(_keep_marked(_marked(ends)), "doc_id long, text string").dropDuplicates(["doc_id"])
+    pairs = links.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")).hint("merge"), "u").join(
+        texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")).hint("merge"), "v")
+    return checkpointed(pairs.mapInArrow(_jaccard_batches, "u long, v long, good boolean"))
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -232,15 +283,33 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("key", "node", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")))
     cells = checkpointed(cells)
-    shards = max(1, -(-cells.count() // 4000))
-    full = cells.join(per_sig.hint("merge"), "node").withColumn("shard", F.pmod(F.xxhash64("key", "x", "y"), F.lit(shards)))
-    links = checkpointed(full.groupBy("shard").applyInPandas(_cell_links, "u long, v long").distinct())
-    ends = links.select(F.col("u").alias("doc_id")).union(links.select("v")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends, "doc_id").dropDuplicates(["doc_id"])
-    sets = checkpointed(texts.mapInArrow(_set_batches, "doc_id long, shingles binary"))
-    pairs = links.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")).hint("merge"), "u").join(
-        sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")).hint("merge"), "v")
-    good = pairs.mapInPandas(_jaccard_batches, "u long, v long")
-    roots = star_components(good, "u", "v")
-    of_sig = per_sig.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("class_id"))
-    return named.join(of_sig.hint("merge"), "sig").filter("class_id <> doc_id").select("doc_id", "class_id")
+    good, failed, roots = None, None, None
+    active = cells
+    for turn in range(FORESTS + 1):
+        full = active.join(per_sig.hint("merge"), "node")
+        if turn:
+            over = failed.union(failed.select("v", "u")).groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("failed"))
+            full = full.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(over, "node", "left")
+        else:
+            full = full.withColumn("root", F.col("node")).withColumn("failed", F.lit(None).cast("array<long>"))
+        shards = max(1, -(-active.count() // 4000))
+        full = full.withColumn("shard", F.pmod(F.xxhash64("key", "x", "y"), F.lit(shards)))
+        choose = _forest if turn < FORESTS else _rest
+        links = checkpointed(full.groupBy("shard").applyInPandas(_cell_links(choose), "u long, v long").distinct())
+        if turn and not links.limit(1).count():
+            break
+        checked = _checked(docs, links)
+        bad = checked.filter("not good").select("u", "v")
+        passed = checked.filter("good").select("u", "v")
+        good, failed = (good.union(passed), failed.union(bad)) if turn else (passed, bad)
+        roots = star_components(good, "u", "v")
+        if turn == FORESTS or not bad.limit(1).count():
+            break
+        # a failed link may have hidden others, in the cells that hold both its ends
+        ends = bad.select(F.col("u").alias("node"), F.struct("u", "v").alias("pair")).union(bad.select("v", F.struct("u", "v")))
+        torn = cells.join(ends, "node").groupBy("key", "x", "y", "pair").agg(F.count("*").alias("n")).filter("n > 1")
+        active = checkpointed(cells.join(torn.select("key", "x", "y").distinct(), ["key", "x", "y"], "left_semi"))
+    key = [F.xxhash64("sig").alias("s1"), F.hash("sig").alias("s2")]
+    names = per_sig.join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("class_id"))
+    return (named.select("doc_id", *key).join(names.hint("merge"), ["s1", "s2"])
+            .filter("class_id <> doc_id").select("doc_id", "class_id"))

@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -207,3 +208,45 @@ def test_minhash_odd_rows(spark, odd_rows, empty):
     assert single[0]["near_next"] == 1.0
     assert minhash.fingerprints(empty).count() == 0
     assert minhash.near_duplicate_classes(empty).count() == 0
+
+
+def test_the_forest_of_a_cell_prefers_the_likeliest_links():
+    """a-b and b-c are alike enough, a-c nearly: whatever the order, b holds both."""
+    a = np.zeros(minhash.PERMS, np.uint8)
+    b, c = a.copy(), a.copy()
+    b[:18], c[:32] = 1, 1
+    for order in itertools.permutations([(1, a), (2, b), (3, c)]):
+        rows = pd.DataFrame({"key": 0, "x": 0, "y": 0, "block": 0, "node": [n for n, _ in order], "root": [n for n, _ in order],
+                             "failed": None, "sig": [s.tobytes() for _, s in order]})
+        got = minhash._cell_links(minhash._forest)(rows)
+        assert list(zip(got["u"], got["v"])) == [(1, 2), (2, 3)]
+
+
+@pytest.mark.parametrize("rounds", [3, 1])
+def test_links_hidden_by_a_failed_one_are_checked(spark, monkeypatch, rounds):
+    """Forests in the order of the ids take the link 1-3, which fails, and leave out 2-3."""
+    words = [f"w{i}" for i in range(204)]
+    texts = {1: words, 2: words[:-1 * 22] + ["x", *"abcdefghi"], 3: words[16:-22] + ["x", *"abcdefghi"]}
+    texts = {d: " ".join(w) for d, w in texts.items()}
+    assert jaccard(texts[1], texts[2]) >= 0.8 <= jaccard(texts[2], texts[3]) and jaccard(texts[1], texts[3]) < 0.8
+
+    def by_id(sig, left, right, root, bad):
+        tree, out = {i: i for i in range(len(sig))}, []
+        for i, j in itertools.combinations(np.lexsort((root,)).tolist(), 2):
+            if tree[i] != tree[j] and root[i] != root[j] and j not in bad[i]:
+                out.append((i, j))
+                tree = {k: tree[i] if t == tree[j] else t for k, t in tree.items()}
+        return out
+
+    monkeypatch.setattr(minhash, "FORESTS", rounds)
+    monkeypatch.setattr(minhash, "_forest", by_id)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(frame(spark, list(texts.items()))).collect()}
+    assert got == {2: 1, 3: 1}
+
+
+def test_the_query_names_the_classes(spark):
+    from regionloom.llm.queries import op4
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r["class_id"] for r in op4(spark, "/root/testdata/sf0.01").collect() if r["class_id"] != r["doc_id"]}
+    assert got and got == {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(docs).collect()}
