@@ -31,14 +31,19 @@ def anchors(grams: np.ndarray, first: np.ndarray, window: int, k: int) -> tuple[
     """Places p of anchors and the first and last window start that picked each.
 
     ``grams`` has the hash of the k symbols from every place on; rows begin at ``first``. Windows
-    that cross the end of a row are left out. Slices hold fewer than 2**24 places.
+    that cross the end of a row are left out. A key holds a place in its lowest bits, so long texts are
+    searched in stretches of 2**24 places, which overlap by a window.
     """
     none = np.zeros(0, np.int64)
     if not len(grams):
         return none, none, none
     mask = np.uint64((1 << _PLACE_BITS) - 1)
-    keys = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
-    picked = (sliding_min(keys, window - k + 1) & mask).astype(np.int64)
+    step, found = (1 << _PLACE_BITS) - (window - k), []
+    for s in range(0, max(1, len(grams) - (window - k)), step):
+        part = grams[s:s + (1 << _PLACE_BITS)]
+        keys = (part & ~mask) | np.arange(len(part), dtype=np.uint64)
+        found.append((sliding_min(keys, window - k + 1) & mask).astype(np.int64) + s)
+    picked = np.concatenate(found)
     starts = np.arange(len(picked))
     room = np.repeat(first[1:], np.diff(first))[:len(picked)]
     inside = starts + window <= room

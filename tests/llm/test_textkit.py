@@ -51,6 +51,17 @@ def test_anchors_of_equal_windows_are_at_the_same_place():
         assert by_text.setdefault(data[s:s + 20].tobytes(), offset) == offset
 
 
+def test_anchors_of_texts_longer_than_a_key_can_place(monkeypatch):
+    rng = random.Random(6)
+    data = np.array([rng.randrange(4) for _ in range(500)], np.uint8)
+    data[400:460] = data[10:70]
+    places = np.arange(len(data) - 3)
+    grams, rows = ByteHash(data).of(places, places + 4), np.array([0, len(data)])
+    want = [a.tolist() for a in repeats.anchors(grams, rows, 20, 4)]
+    monkeypatch.setattr(repeats, "_PLACE_BITS", 6)
+    assert [a.tolist() for a in repeats.anchors(grams, rows, 20, 4)] == want
+
+
 def test_deep_shallow_order_and_common_prefixes():
     rng = random.Random(2)
     rows = [bytes(rng.choice(b"ab") for _ in range(24)) for _ in range(200)] + [b"a" * 24] * 5 + [b"a" * 23 + b"b"]
