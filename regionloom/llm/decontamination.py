@@ -6,10 +6,13 @@ tokens of all documents are hash-joined with those of the benchmark items. A pla
 what a question was filled with, so re-parameterised copies still match; the hidden values (slots)
 travel with the window. For each document and item the matched windows must agree on one
 one-to-one mapping of the item's slot values to the document's: windows that break it do not count.
+A capital where a sentence may begin can be that of a name or of any word. Such a word has both
+readings, on either side; a window is emitted for every choice of them and counts once per place.
 
 A document is contaminated by an item if the consistent windows are at least ``SHARE`` of the item's
 windows, or if ``RUN`` consecutive tokens match, which catches parts of longer items. Items of
-fewer tokens than a window are one window of their own length; items without tokens match nothing.
+fewer tokens than a window are one window of their own length, which matches only documents that hold
+nothing else; items without tokens match nothing.
 
 DataFrame operations only. Documents are not shuffled: the benchmark's windows are broadcast if
 their counted number is at most ``BROADCAST_WINDOWS`` and joined by hash otherwise. Only matched
@@ -37,15 +40,18 @@ UNITS = ["%", "percent", "km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "fe
 
 _NAME = "\u0001"
 _SEP = "\u0002"
+_MAYBE = "\u0003"
 
 
 def _tokens(text: Column) -> Column:
-    """Lower-case words of letters and digits in order; names carry a mark, numbers keep no separators."""
+    """Lower-case words of letters and digits in order; names and words that may be names carry a mark, numbers keep no separators."""
     # a capital after a letter or a comma and one space begins a name, as it begins no sentence
     marked = F.regexp_replace(text, r"(?<=[\p{Ll},;:] )(\p{Lu})(?=\p{Ll})", _NAME + "$1")
+    # any other capital that begins a word may begin a sentence or a name
+    marked = F.regexp_replace(marked, r"(?<![\p{L}\p{M}\p{N}" + _NAME + r"])(\p{Lu})(?=\p{Ll})", _MAYBE + "$1")
     joined = F.regexp_replace(marked, r"(?<=[0-9])[.,](?=[0-9])", "")
     parted = F.regexp_replace(joined, r"(?<=[0-9])(?=[\p{L}%])", " ")
-    return F.filter(F.split(F.lower(parted), r"[^\p{L}\p{M}\p{N}%" + _NAME + "]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(parted), r"[^\p{L}\p{M}\p{N}%" + _NAME + _MAYBE + "]+"), lambda w: w != "")
 
 
 def _let(value: Column, body) -> Column:
@@ -63,59 +69,79 @@ def _kinds(words: Column) -> Column:
 
 
 def windows(df: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame:
-    """(key, pos, hash, slots): every template window of every text.
+    """(key, pos, hash, slots): every template window of every text, once for each reading of its words.
 
     ``slots`` holds the values behind the window's placeholders, joined in order ('' for none).
     """
+    named = F.xxhash64(F.lit("N"), F.lit(False))
+
     def at(array, i):
         return [F.get(array, i + F.lit(j)) for j in range(size)]
 
-    def of(words, kinds, hashes, slots):
+    def of(marked, words, kinds, hashes, slots):
         n = F.size(hashes)
         count = F.when(n >= size, n - size + 1).otherwise(F.least(n, F.lit(1)))
+        maybe = lambda w: F.substring(w, 1, 1) == _MAYBE
+
         # places beyond a short text are null, so its window is its whole
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(
-            F.xxhash64(*at(hashes, i), F.least(n, F.lit(size))).alias("hash"),
-            F.when(slots.isNull(), "").otherwise(F.concat_ws(_SEP, *at(slots, i))).alias("slots"))))
+        def window(i, its_hashes, its_slots):
+            return F.struct(i.alias("pos"), F.xxhash64(*its_hashes, F.least(n, F.lit(size))).alias("hash"), its_slots.alias("slots"))
+
+        def reading(i, m):
+            """The window in which the words of the bits of m are names."""
+            bits = [m.bitwiseAND(F.lit(1 << j)) != 0 for j in range(size)]
+            return window(i, [F.when(b, named).otherwise(h) for b, h in zip(bits, at(hashes, i))], F.concat_ws(_SEP, *(
+                F.when(b, F.concat(F.lit(_NAME), w)).otherwise(F.get(slots, i + F.lit(j))) for j, (b, w) in enumerate(zip(bits, at(words, i))))))
+
+        def readings(i):
+            open_ = sum((F.when(maybe(w), 1 << j).otherwise(0) for j, w in enumerate(at(marked, i))), F.lit(0))
+            return F.transform(F.array(open_), lambda o: F.transform(F.filter(
+                F.sequence(F.lit(1), o), lambda m: m.bitwiseAND(o) == m), lambda m: reading(i, m)))
+
+        every = F.sequence(F.lit(0), count - 1)
+        plain = F.transform(every, lambda i: window(i, at(hashes, i), F.when(slots.isNull(), "").otherwise(F.concat_ws(_SEP, *at(slots, i)))))
+        unsure = F.filter(every, lambda i: F.exists(F.slice(marked, i + 1, F.lit(size)), maybe))
+        return F.when(n > 0, F.concat(plain, F.flatten(F.flatten(F.transform(unsure, readings)))))
+
+    def bare(marked):
+        return F.transform(marked, lambda w: F.ltrim(w, F.lit(_MAYBE)))
 
-    found = _let(_tokens(F.coalesce(F.col(text), F.lit(""))), lambda words: _let(_kinds(words), lambda kinds: _let(
-        F.transform(words, lambda w, i: F.xxhash64(F.coalesce(F.get(kinds, i), w), F.get(kinds, i).isNull())), lambda hashes: _let(
-            F.when(F.exists(kinds, lambda k: k.isNotNull()), F.transform(words, lambda w, i: F.when(F.get(kinds, i).isNotNull(), w))),
-            lambda slots: of(words, kinds, hashes, slots)))))
-    return df.select(key, F.posexplode(found).alias("pos", "w_")).select(key, "pos", "w_.hash", "w_.slots")
+    # a unit keeps its kind wherever it stands
+    found = _let(_tokens(F.coalesce(F.col(text), F.lit(""))), lambda raw: _let(bare(raw), lambda words: _let(_kinds(words), lambda kinds: _let(
+        F.transform(raw, lambda w, i: F.when(F.get(kinds, i).isNull(), w)), lambda marked: _let(
+            F.transform(words, lambda w, i: F.xxhash64(F.coalesce(F.get(kinds, i), w), F.get(kinds, i).isNull())), lambda hashes: _let(
+                F.when(F.exists(kinds, lambda k: k.isNotNull()), F.transform(words, lambda w, i: F.when(F.get(kinds, i).isNotNull(), w))),
+                lambda slots: of(marked, words, kinds, hashes, slots)))))))
+    return df.select(key, F.explode(found).alias("w_")).select(key, "w_.pos", "w_.hash", "w_.slots")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, pos, item_pos, slots, item_slots, item_windows) of equal template windows."""
+    """(doc_id, item_id, pos, hash, slots, item_pos, item_slots, places, item_windows) of equal template windows."""
     benchmark = benchmark.filter("item_id is not null and text is not null").select("item_id", "text")
-    # inside a document the capital that begins an item may look like that of a name
-    as_name = benchmark.withColumn("text", F.regexp_replace("text", r"^(\p{Lu})(?=\p{Ll})", _NAME + "$1"))
-    plain, named = windows(benchmark, "item_id", "text"), windows(as_name, "item_id", "text")
-    items = plain.withColumn("own", F.lit(1)).union(named.filter(F.col("pos") == 0).withColumn("own", F.lit(0))).select(
-        "item_id", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "own")
-    # a window that an item repeats stands for itself once
-    items = items.groupBy("item_id", "hash").agg(
-        F.min(F.struct("item_pos", "item_slots")).alias("s_"), F.greatest(F.sum("own"), F.lit(1)).alias("times")).select("item_id", "hash", "s_.*", "times")
-    items = items.join(plain.groupBy("item_id").agg(F.count("*").alias("item_windows")), "item_id")
+    own = windows(benchmark, "item_id", "text")
+    # a window that an item repeats stands for all its places
+    items = own.groupBy("item_id", "hash").agg(
+        F.min(F.struct(F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))).alias("s_"), F.collect_set("pos").alias("places")).select("item_id", "hash", "s_.*", "places")
+    items = items.join(own.groupBy("item_id").agg(F.countDistinct("pos").alias("item_windows")), "item_id")
     few = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     found = windows(docs, "doc_id", "text")
-    return found.join(F.broadcast(items) if few else items, "hash").drop("hash")
+    return found.join(F.broadcast(items) if few else items, "hash")
 
 
 def consistent(matched: DataFrame) -> DataFrame:
-    """``matched`` without the windows whose slots break the one-to-one mapping of their document and item."""
+    """``matched`` without the readings of windows whose slots break the one-to-one mapping of their document and item."""
     pair = ["doc_id", "item_id", "diag"]
     matched = matched.withColumn("diag", F.col("pos") - F.col("item_pos"))
     # equal templates have as many slots on either side
-    slot = matched.filter("item_slots <> ''").select(*pair, "pos", F.explode(F.arrays_zip(
+    slot = matched.filter("item_slots <> ''").select(*pair, "pos", "hash", F.explode(F.arrays_zip(
         F.split("item_slots", _SEP).alias("item"), F.split("slots", _SEP).alias("doc"))).alias("z"))
-    slot = slot.select(*pair, "pos", F.col("z.item").alias("item"), F.col("z.doc").alias("doc"))
-    votes = slot.groupBy(*pair, "item", "doc").agg(F.count("*").alias("n"))
+    slot = slot.select(*pair, "pos", "hash", F.col("z.item").alias("item"), F.col("z.doc").alias("doc"))
+    votes = slot.drop("hash").distinct().groupBy(*pair, "item", "doc").agg(F.count("*").alias("n"))
     # a value keeps the counterpart seen most often; a counterpart taken by another value breaks
     by_item = votes.groupBy(*pair, "item").agg(F.max(F.struct("n", "doc")).alias("m")).select(*pair, "item", F.col("m.doc").alias("doc"), F.col("m.n").alias("n"))
     chosen = by_item.groupBy(*pair, "doc").agg(F.max(F.struct("n", "item")).alias("m")).select(*pair, F.col("m.item").alias("item"), "doc", F.lit(True).alias("good"))
-    broken = slot.join(chosen, [*pair, "item", "doc"], "left").filter("good is null").select(*pair, "pos").distinct()
-    return matched.join(broken, [*pair, "pos"], "left_anti")
+    broken = slot.join(chosen, [*pair, "item", "doc"], "left").filter("good is null").select(*pair, "pos", "hash").distinct()
+    return matched.join(broken, [*pair, "pos", "hash"], "left_anti")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int = RUN) -> DataFrame:
@@ -123,11 +149,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int
     # the few matches are read several times; the documents only once
     good = consistent(checkpointed(matches(docs.filter("doc_id is not null"), benchmark)))
     order = W.partitionBy("doc_id", "item_id", "diag").orderBy("pos")
-    island = good.withColumn("isle", F.col("pos") - F.row_number().over(order))
+    island = good.select("doc_id", "item_id", "diag", "pos").distinct().withColumn("isle", F.col("pos") - F.row_number().over(order))
     length = island.groupBy("doc_id", "item_id", "diag", "isle").agg(F.count("*").alias("n"))
     length = length.groupBy("doc_id", "item_id").agg((F.max("n") + WINDOW - 1).alias("run"))
-    cover = good.groupBy("doc_id", "item_id", "item_pos").agg(F.max("times").alias("times"), F.max("item_windows").alias("item_windows"))
-    cover = cover.groupBy("doc_id", "item_id").agg((F.sum("times") / F.max("item_windows")).alias("share"))
+    cover = good.select("doc_id", "item_id", "item_windows", F.explode("places").alias("place")).groupBy("doc_id", "item_id").agg(
+        (F.countDistinct("place") / F.max("item_windows")).alias("share"))
     return cover.join(length, ["doc_id", "item_id"]).filter((F.col("share") >= share) | (F.col("run") >= run))
 
 

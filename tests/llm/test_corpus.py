@@ -48,6 +48,16 @@ def test_templates_and_slots(spark, odd_rows, empty):
     assert decontamination.clean_documents(docs.withColumnRenamed("lang", "hash"), bench).count() == len(odd_rows) + 3
 
 
+def test_names_that_begin_sentences(spark):
+    item = "Anna has 12 apples. Anna gives 5 apples to Ben. How many apples does Anna have left?"
+    other = "Carl has 9 apples. Carl gives 4 apples to Dan. How many apples does Carl have left?"
+    docs = frame(spark, [(1, f"Read this first. {other} Good luck."), (2, other.replace("Carl gives 4", "Eve gives 9")),
+                         (3, f"so we say that {item[0].lower() + item[1:]}"), (4, "Carl has 9 apples. Nobody asks. How many pears are left?")])
+    got = {r["doc_id"]: r for r in decontamination.contamination(docs, spark.createDataFrame([(0, item)], BENCH)).collect()}
+    assert got[1]["share"] == 1.0 and got[1]["contaminated"]
+    assert not got[2]["contaminated"] and not got[4]["contaminated"] and got[3]["contaminated"]
+
+
 def test_windows_joined_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 1)
     docs = frame(spark, [(1, f"well {ITEM} yes"), (2, "something else entirely and quite long too")])
