@@ -174,6 +174,13 @@ def test_a_group_larger_than_shards_fills_them(spark):
     assert copies["shard"].nunique() <= 11  # nine hold them all, if full
 
 
+def test_a_full_shard_cuts_at_most_one_small_group(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 64)
+    rows = [(3 * g + i, f"text {g} " + "x" * (g % 40)) for g in range(3000) for i in range(3)]
+    got = sharding.assign(frame(spark, rows), 2).toPandas()
+    assert (got.groupby(got["doc_id"] // 3)["shard"].nunique() > 1).sum() <= 3
+
+
 def test_shards_of_odd_rows(spark, odd_rows, empty):
     docs = frame(spark, odd_rows).withColumnRenamed("lang", "shard").withColumnRenamed("source", "g1")
     got = sharding.shard_documents(docs).toPandas()
