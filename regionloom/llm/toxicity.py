@@ -186,7 +186,7 @@ def log_odds(counts: np.ndarray, docs: np.ndarray) -> Model:
 
 def _sample_batches(model: Model):
     def run(batches):
-        hist = np.zeros(_HIST, np.int64)
+        hist, sums = np.zeros(_HIST, np.int64), np.zeros(3)  # clean texts, their best runs, the logarithms of their words
         for batch in batches:
             data, offsets = text_buffer(batch["text"])
             y = batch["y_"].to_numpy(zero_copy_only=False)
@@ -198,11 +198,14 @@ def _sample_batches(model: Model):
                 clean = np.repeat(y[a:b] == 0, np.diff(first))
                 cell = np.where(scores > 0, np.ceil(scores / _STEP), 0).astype(np.int64)
                 hist += np.bincount(np.minimum(cell[clean], _HIST - 1), minlength=_HIST)
+            told = (y == 0) & (words > 0)
+            sums += told.sum(), best[told].sum(), np.log(words[told]).sum()
+            pick = batch["pick_"].to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_pydict({
-                "y": pa.array(y.astype(np.int32)), "best": pa.array(best), "words": pa.array(words),
-                "hist": pa.array([None] * len(y), pa.binary())})
-        yield pa.RecordBatch.from_pydict({"y": pa.array([-1], pa.int32()), "best": pa.array([0.0]),
-                                          "words": pa.array([0], pa.int64()), "hist": pa.array([hist.tobytes()], pa.binary())})
+                "y": pa.array(y[pick].astype(np.int32)), "best": pa.array(best[pick]), "words": pa.array(words[pick]),
+                "hist": pa.array([None] * int(pick.sum()), pa.binary()), "sums": pa.array([None] * int(pick.sum()), pa.binary())})
+        yield pa.RecordBatch.from_pydict({"y": pa.array([-1], pa.int32()), "best": pa.array([0.0]), "words": pa.array([0], pa.int64()),
+                                          "hist": pa.array([hist.tobytes()], pa.binary()), "sums": pa.array([sums.tobytes()], pa.binary())})
     return run
 
 
@@ -260,18 +263,19 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
         return model
     total = int(rows[-1].sum())
     rate = min(1.0, SAMPLE / total)
-    pick = marks if rate == 1.0 else marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    sample = labelled(docs, pick).filter(F.col("y_").isNotNull())
+    # only the rows of the logistic curve are sampled
+    pick = F.lit(True) if rate == 1.0 else F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(rate * (1 << 20))
+    sample = marked.filter(F.col("y_").isNotNull()).withColumn("pick_", pick)
     sent = model
-    got = sample.mapInArrow(_sample_batches(sent), "y int, best double, words bigint, hist binary").toPandas()
+    got = sample.mapInArrow(_sample_batches(sent), "y int, best double, words bigint, hist binary, sums binary").toPandas()
     hist = sum((np.frombuffer(h, np.int64) for h in got["hist"].dropna()), np.zeros(_HIST, np.int64))
+    clean, runs, logs = sum((np.frombuffer(x) for x in got["sums"].dropna()), np.zeros(3))
     got = got[got["y"] >= 0]
     y, best, words = got["y"].to_numpy() > 0, got["best"].to_numpy(), got["words"].to_numpy()
     model.lam = _lambda(hist, model.base)
-    clean = ~y & (words > 0)
-    if clean.any():
+    if clean:
         # Gumbel: the mean of lambda S is log(K n) plus Euler's constant
-        model.k = float(np.exp(np.clip((model.lam * best[clean] - np.log(words[clean])).mean() - np.euler_gamma, -30, 5)))
+        model.k = float(np.exp(np.clip((model.lam * runs - logs) / clean - np.euler_gamma, -30, 5)))
     model.weights = tuple(_logistic(features(best, words, model), y.astype(float))) if y.any() and (~y).any() else (-5.0, 0.0, 0.0)
     return model
 

@@ -76,3 +76,12 @@ def test_odd_rows(spark, odd_rows, empty, module, label):
         rows = module.score(docs, model).collect()
         assert len(rows) == len(odd_rows) and all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in rows)
     assert module.score(empty, module.fit(empty, labels, ~module.held_out(), label)).count() == 0
+
+
+def test_the_calibration_is_not_sampled(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    whole = toxicity.fit(docs, labels, ~toxicity.held_out())
+    monkeypatch.setattr(toxicity, "SAMPLE", 100)
+    few = toxicity.fit(docs, labels, ~toxicity.held_out())
+    assert few.lam == whole.lam and abs(few.k / whole.k - 1) < 1e-9 and few.weights != whole.weights
