@@ -317,14 +317,15 @@ def motif_correlation(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"cor": out[:, 0], "ncor": out[:, 1]})
 
 
-def compare_motifs(motifs: DataFrame, cor_min: float = 0.6, ncor_min: float = 0.4, block_rows: int = 500) -> DataFrame:
+def compare_motifs(motifs: DataFrame, cor_min: float = 0.6, ncor_min: float = 0.4, block_rows: int = 500,
+                   blocks: int | None = None) -> DataFrame:
     """Pairs of motifs (i, j) that pass both thresholds, mirrored.
 
-    The comparison needs each unordered pair once. Motifs are dealt to blocks of about
-    ``block_rows``, at least 8, and joined by pair of blocks, so a cell's pairs stay bounded and
-    are spread evenly over the tasks.
+    The comparison needs each unordered pair once. Motifs are dealt to ``blocks`` blocks, by
+    default of about ``block_rows`` motifs and at least 8, and joined by pair of blocks, so a
+    cell's pairs stay bounded and are spread evenly over the tasks.
     """
-    blocks = max(8, -(-motifs.count() // block_rows))
+    blocks = blocks or max(8, -(-motifs.count() // block_rows))
     cell = F.pmod(F.xxhash64("motif"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = motifs.select(F.col("motif").alias("i"), F.col("weights").alias("wi"), cell.alias("p"), every.alias("q"))

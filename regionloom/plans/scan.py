@@ -37,8 +37,9 @@ def carried(df: DataFrame, group: list[str], part: str, order: list, value: Colu
     local = W.partitionBy("g_", part).orderBy(*order).rowsBetween(*frame)
     across = W.partitionBy("g_").orderBy(flip(part)).rowsBetween(*BEFORE)
     # a struct of the group's columns is equal to another with nulls in the same places, so the
-    # null group is kept; windows, totals and join share one partitioning
-    df = df.withColumn("g_", F.struct(*group) if group else F.lit(0)).withColumn("v_", value)
+    # null group is kept; windows, totals and join share one partitioning. Rows without a part have
+    # no place in the order; the filter stands above both branches, so they read one shuffle
+    df = df.filter(F.col(part).isNotNull()).withColumn("g_", F.struct(*group) if group else F.lit(0)).withColumn("v_", value)
     parts = (
         df.groupBy("g_", part).agg(agg("v_").alias("total_"))
         .withColumn("carry_", agg("total_").over(across))
