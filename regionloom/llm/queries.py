@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regionloom.llm import decontamination, licenses, minhash, mixing, phrase_dedup, pii, quality, sharding, simhash, suffix_dedup, toxicity
+from regionloom.llm import decontamination, dialogue_repair, licenses, minhash, mixing, phrase_dedup, pii, quality, sharding, simhash, suffix_dedup, toxicity
 from regionloom.session import checkpointed
 from regionloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -101,3 +101,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_license_scan", licenses.scan_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op12_dialogue_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue_repair.repair(table(spark, sf_dir, "conversations"))
