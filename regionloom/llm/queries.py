@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regionloom.llm import decontamination, dialogue_repair, licenses, minhash, mixing, phrase_dedup, pii, quality, sharding, simhash, suffix_dedup, toxicity
+from regionloom.llm import decontamination, dialogue_repair, hard_negatives, licenses, minhash, mixing, phrase_dedup, pii, quality, sharding, simhash, suffix_dedup, toxicity
 from regionloom.session import checkpointed
 from regionloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -106,3 +106,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_dialogue_repair")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_hard_negatives", hard_negatives.MINE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), labels=moved)

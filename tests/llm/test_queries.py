@@ -37,11 +37,12 @@ def test_query_returns_one_row_per_document(spark, prefix):
     assert sorted(ids) == sorted(r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
 
 
-@pytest.mark.parametrize("prefix", ["op3_", "op5_", "op11_"])
+@pytest.mark.parametrize("prefix", ["op3_", "op5_", "op11_", "op13_"])
 def test_query_equals_its_sql(spark, prefix):
     [name] = [k for k in entry.oracle_sql() if k.startswith(prefix)]
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name_ in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{SF}/{name_}.parquet'")
     rel = con.execute(entry.oracle_sql()[name])
     names = [d[0] for d in rel.description]
     out = entry.queries()[name](spark, SF)
