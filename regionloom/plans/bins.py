@@ -8,26 +8,62 @@ from regionloom.plans.scan import carried
 
 KEY = ["chrom", "start", "stop"]
 BIN_WIDTH = 1024
+LEVEL_FACTOR = 8
+LEVELS = 9  # the widest bins of the default width hold 2**34 positions
 MERGE_SHIFT = 16  # positions per carry bin, as a power of two
 
 
-def binned(df: DataFrame, width: int, start: str = "start", stop: str = "stop") -> DataFrame:
-    """One row per bin an interval touches; empty intervals have no bin."""
-    bins = F.sequence(F.floor(F.col(start) / width), F.floor((F.col(stop) - 1) / width))
-    return df.filter(F.col(stop) > F.col(start)).withColumn("bin_", F.explode(bins))
+def _level(width: int, start: str = "start", stop: str = "stop") -> Column:
+    """The first level whose bins are at least as wide as the interval is long, so that it touches two of them at most."""
+    size, out = F.col(stop) - F.col(start), F.lit(LEVELS - 1)
+    for level in reversed(range(LEVELS - 1)):
+        out = F.when(size <= width * LEVEL_FACTOR ** level, F.lit(level)).otherwise(out)
+    return out
+
+
+def _levels_in_use(df: DataFrame, width: int) -> Column:
+    """The levels that intervals of ``df`` have, as one array; it reads two columns."""
+    return df.filter(F.col("stop") > F.col("start")).agg(F.collect_set(_level(width))).scalar()
+
+
+def _slots(df: DataFrame, width: int, other: Column, indexed: bool, start: str = "start", stop: str = "stop") -> DataFrame:
+    """One row per (slot_, bin_) that an interval has: at its own level, and at each higher one that ``other`` has.
+
+    A slot is a level and which side is at home there: both or the left side (even), or only the right side (odd).
+    So two intervals that are both finer than a level never meet in its wide bins.
+    """
+    widths = F.array(*[F.lit(width * LEVEL_FACTOR ** n).cast("long") for n in range(LEVELS)])
+    df = df.filter(F.col(stop) > F.col(start)).withColumn("own_", _level(width, start, stop)).withColumn("other_", other)
+    levels = F.array_append(F.filter("other_", lambda n: n > F.col("own_")), F.col("own_"))
+    df = df.withColumn("level_", F.explode(levels))
+    home = F.col("level_") == F.col("own_")
+    if indexed:
+        finer = F.exists("other_", lambda n: n < F.col("own_"))
+        odd = F.when(home & finer, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        df = df.withColumn("odd_", F.explode(odd))
+    else:
+        df = df.withColumn("odd_", F.when(home, 0).otherwise(1))
+    df = df.withColumn("slot_", F.col("level_") * 2 + F.col("odd_")).withColumn("w_", F.get(widths, F.col("level_")))
+    bins = F.sequence(F.floor(F.col(start) / F.col("w_")), F.floor((F.col(stop) - 1) / F.col("w_")))
+    df = df.withColumn("bin_", F.explode(bins))
+    return df.drop("own_", "other_", "level_", "odd_", *(["w_"] if indexed else []))
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, width: int = BIN_WIDTH, hot_rows: int | None = None) -> DataFrame:
     """All pairs of ``a`` and ``b`` rows that share at least one base, with the shared length.
 
-    ``b`` columns come back with the prefix ``b_``. Both sides are exploded to fixed bins and
-    joined by (chrom, bin); a pair is kept only in the bin of the larger start, so each pair
-    appears once without a ``distinct``. The adaptive planner splits a hot bin; with
-    ``hot_rows`` set, bins with more rows than that on either side are salted as well.
+    ``b`` columns come back with the prefix ``b_``. Bins come in levels, each ``LEVEL_FACTOR`` times
+    as wide as the one below. An interval has at most two rows at its own level, and two at every
+    higher level at which the other side has intervals, whatever its length. Two intervals meet at
+    the higher one of their levels, in an equi-join by (chrom, level, bin); a pair is kept only in
+    the bin of the larger start, so it appears once without a ``distinct``. The adaptive planner
+    splits a hot bin; with ``hot_rows`` set, bins with more rows than that on either side are
+    salted as well.
     """
     right = b.select(*[F.col(c).alias(c if c == "chrom" else f"b_{c}") for c in b.columns])
-    left, right = binned(a, width), binned(right, width, "b_start", "b_stop")
-    keys = ["chrom", "bin_"]
+    left = _slots(a, width, _levels_in_use(b, width), False)
+    right = _slots(right, width, _levels_in_use(a, width), True, "b_start", "b_stop")
+    keys = ["chrom", "slot_", "bin_"]
     if hot_rows is not None:
         left, right = _salt(left, right, keys, hot_rows)
         keys = [*keys, "salt_"]
@@ -35,9 +71,9 @@ def overlap_pairs(a: DataFrame, b: DataFrame, width: int = BIN_WIDTH, hot_rows:
     pairs = left.join(right, keys).filter(
         (F.col("start") < F.col("b_stop"))
         & (F.col("b_start") < F.col("stop"))
-        & (F.col("bin_") == F.floor(first / width))
+        & (F.col("bin_") == F.floor(first / F.col("w_")))
     )
-    return pairs.withColumn("overlap", F.least("stop", "b_stop") - first).drop("bin_", "salt_")
+    return pairs.withColumn("overlap", F.least("stop", "b_stop") - first).drop("slot_", "bin_", "w_", "salt_")
 
 
 def _salt(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -79,10 +115,13 @@ def overlap_anti(a: DataFrame, b: DataFrame, width: int = BIN_WIDTH) -> DataFram
 
 
 def overlap_left(a: DataFrame, b: DataFrame, width: int = BIN_WIDTH) -> DataFrame:
-    """Overlap pairs, plus the ``a`` rows without a partner (nulls, length 0)."""
-    pairs = overlap_pairs(a, b, width)
-    alone = a.join(pairs.select(*KEY).distinct(), KEY, "left_anti").withColumn("overlap", F.lit(0).cast("long"))
-    return pairs.unionByName(alone, allowMissingColumns=True)
+    """Overlap pairs, plus the ``a`` rows without a partner (nulls, length 0).
+
+    The range join runs once, on the distinct intervals of ``a``; its pairs go back to the rows by an equi-join.
+    """
+    pairs = overlap_pairs(a.select(*KEY).distinct(), b, width)
+    out = a.join(pairs, KEY, "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long")))
+    return out.select(*a.columns, *[c for c in pairs.columns if c not in KEY])
 
 
 def overlap_counts(a: DataFrame, b: DataFrame, by: list[str] | None = None, width: int = BIN_WIDTH,
@@ -130,23 +169,23 @@ def merge_intervals(df: DataFrame, min_overlap: int = 0, shift: int = MERGE_SHIF
 def gaps(df: DataFrame, sizes: DataFrame, shift: int = MERGE_SHIFT) -> DataFrame:
     """Stretches of each chromosome (``sizes``: chrom, size) that no interval covers.
 
-    A chromosome without a size has no stretch after its last interval.
+    A gap lies before each interval that starts beyond all stops before it, so one running
+    maximum finds the gaps and nothing has to be merged. A chromosome without a size has no
+    stretch after its last interval.
     """
-    merged = merge_intervals(df, shift=shift).withColumn("bin_", F.shiftright("start", shift))
-    prev = carried(merged, ["chrom"], "bin_", ["start"], F.col("stop"), "max", "prev_", inclusive=False)
-    inner = prev.select(
-        "chrom", F.coalesce("prev_", F.lit(0).cast("long")).alias("start"), F.col("start").alias("stop"))
-    last = df.groupBy("chrom").agg(F.max("stop").alias("last_"))
-    tail = sizes.join(last, "chrom", "left").select(
-        "chrom", F.coalesce("last_", F.lit(0).cast("long")).alias("start"), F.col("size").alias("stop"))
+    heads = df.groupBy("chrom", "start").agg(F.max("stop").alias("stop")).withColumn("bin_", F.shiftright("start", shift))
+    reach = carried(heads, ["chrom"], "bin_", ["start"], F.col("stop"), "max", "reach_", inclusive=False)
+    zero = F.lit(0).cast("long")
+    inner = reach.select("chrom", F.coalesce("reach_", zero).alias("start"), F.col("start").alias("stop"))
+    last = heads.groupBy("chrom").agg(F.max("stop").alias("last_"))
+    tail = sizes.join(last, "chrom", "left").select("chrom", F.coalesce("last_", zero).alias("start"), F.col("size").alias("stop"))
     return inner.unionByName(tail).filter(F.col("stop") > F.col("start"))
 
 
 def subtract(a: DataFrame, b: DataFrame, width: int = BIN_WIDTH) -> DataFrame:
-    """Pieces of ``a`` that ``b`` leaves over: ``a`` cut with the gaps of ``b``."""
+    """Pieces of ``a`` that ``b`` leaves over: ``a`` cut with the gaps of ``b``, long as these may be."""
     ends = a.groupBy("chrom").agg(F.max("stop").alias("size"))
-    free = gaps(b, ends)
-    pairs = overlap_pairs(a, free, width)
+    pairs = overlap_pairs(a, gaps(b, ends), width)
     return pairs.select(
         *[c for c in a.columns if c not in ("start", "stop")],
         F.greatest("start", "b_start").alias("start"),

@@ -1,12 +1,14 @@
 """Interval algebra against hand cases and brute force."""
 
 import random
+from collections import Counter
 
 import pytest
 
 from regionloom.functions.coords import cut_site, midpoint_extend, repair_link, slop, tss_point
 from regionloom.operators import overlap, sets
 from regionloom.operators.links import best_direction, canonical_pairs, most_overlapping
+from regionloom.plans import bins
 from regionloom.plans.bins import (
     gaps, merge_intervals, nearest_first, nearest_k, overlap_anti, overlap_counts, overlap_left, overlap_pairs,
     overlap_semi, subtract,
@@ -204,3 +206,39 @@ def test_running_sum_keeps_the_null_group(spark):
     rows = spark.createDataFrame([("a", 1, 2), (None, 1, 3), (None, 2, 4), ("a", 2, 5)], "g string, o long, v long")
     out = running(rows, ["g"], ["o"], F.col("v"), "sum", "total")
     assert sorted((r["g"] or "", r["o"], r["total"]) for r in out.collect()) == [("", 1, 3), ("", 2, 7), ("a", 1, 2), ("a", 2, 7)]
+
+
+def test_wide_intervals_take_few_rows_and_lose_no_pair(spark):
+    r = random.Random(17)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            start = r.randrange(3_000_000)
+            out.append((r.choice("xy"), start, start + r.choice([0, 1, 30, 1024, 1025, 9_000, 70_000, 600_000, 3_000_000]), i))
+        return out
+
+    a, b = some(250), some(250) + [("x", 0, 2 ** 33, 900), ("y", 0, 250_000_000, 901)]
+    want = {(p[3], q[3]) for p in a for q in b if p[0] == q[0] and p[1] < q[2] and q[1] < p[2]}
+    da, db = (spark.createDataFrame(x, "chrom string, start long, stop long, id int") for x in (a, b))
+    for kw in ({}, {"width": 5000}, {"hot_rows": 20}):
+        pairs = [(x.id, x.b_id) for x in overlap_pairs(da, db, **kw).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want, kw
+    long = db.filter("id >= 900")
+    for indexed in (False, True):
+        slots = bins._slots(long, bins.BIN_WIDTH, bins._levels_in_use(da, bins.BIN_WIDTH), indexed)
+        assert slots.count() <= 8
+    left = {(x.id, x.b_id) for x in bins.overlap_left(da, db).collect()}
+    assert left == want | {(p[3], None) for p in a if p[3] not in {i for i, _ in want}}
+
+
+def test_gaps_and_subtraction_equal_a_walk_over_positions(spark):
+    r = random.Random(18)
+    a = [("x", s, s + r.randrange(1, 40)) for s in (r.randrange(400) for _ in range(40))] + [("z", 5, 9)]
+    b = [("x", s, s + r.randrange(0, 12)) for s in (r.randrange(420) for _ in range(45))]
+    covered = {p for _, s, t in b for p in range(s, t)}
+    da, db = (spark.createDataFrame(x, "chrom string, start long, stop long") for x in (a, b))
+    free = {p for x in bins.gaps(db, spark.createDataFrame([("x", 500)], "chrom string, size long"), shift=4).collect() for p in range(x.start, x.stop)}
+    assert free == set(range(500)) - covered
+    left = Counter((x.chrom, p) for x in bins.subtract(da, db).collect() for p in range(x.start, x.stop))
+    assert left == Counter((c, p) for c, s, t in a for p in range(s, t) if c == "z" or p not in covered)
