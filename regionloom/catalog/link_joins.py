@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regionloom.catalog import query
-from regionloom.catalog.sqlparts import merged
+from regionloom.catalog.sqlparts import merged, fisher_sql
 from regionloom.catalog.views import r6
 from regionloom.functions.coords import region_id
 from regionloom.functions.tails import fisher_greater, r_critical
@@ -248,7 +248,8 @@ def a24(t):
     return out.select("a_cluster", "b_cluster", r6("odds_ratio"), r6("share"))
 
 
-@query("u04_fisher_greater")
+@query("u04_fisher_greater", f"""
+WITH {CONF} SELECT a_cluster, b_cluster, n11, n10, n01, n00, odds_ratio, round({fisher_sql('n11', '(n11 + n10)', '(n11 + n01)', '(n11 + n10 + n01 + n00)')}, 6) + 0.0 AS p_value FROM o""")
 def u04(t):
     return confusion(t).withColumn("p_value", r6(fisher_greater("n11", "n10", "n01", "n00")))
 

@@ -21,3 +21,10 @@ REGION_COUNTS = f"""cut AS {CUT_SITES}, m AS (SELECT * FROM {merged('v_peaks')})
 TIMEPOINTS = ["d00", "d30", "d60"]
 SAMPLES = [f"{t}_{r}" for t in TIMEPOINTS for r in ("b1", "b2")]
 ID = "concat(chrom, ':', CAST(start AS VARCHAR), '-', CAST(stop AS VARCHAR))"
+
+
+def fisher_sql(k: str, drawn: str, marked: str, total: str) -> str:
+    """P(X >= k) of a hypergeometric count, all terms added up; lists keep the terms."""
+    term = f"exp(lgamma({marked} + 1) - lgamma(x + 1) - lgamma({marked} - x + 1) + lgamma({total} - {marked} + 1) - lgamma({drawn} - x + 1) - lgamma({total} - {marked} - {drawn} + x + 1)"
+    term += f" - lgamma({total} + 1) + lgamma({drawn} + 1) + lgamma({total} - {drawn} + 1))"
+    return f"least(1.0, coalesce(list_sum([{term} for x in range(CAST(greatest({k}, {drawn} + {marked} - {total}, 0) AS BIGINT), CAST(least({drawn}, {marked}) AS BIGINT) + 1)]), 0))"

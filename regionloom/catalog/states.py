@@ -8,7 +8,7 @@ from regionloom.catalog import query
 from regionloom.catalog.link_joins import POOLED, SIG, pooled_vecs, vecs
 from regionloom.catalog.sqlparts import merged
 from regionloom.catalog.views import r6
-from regionloom.functions.tails import mvn_density, r_critical
+from regionloom.functions.tails import chi2_pdf, log_density, r_critical, whitening
 from regionloom.functions.vectors import vzscore
 from regionloom.operators import counting, states as st, trajectories as tr
 from regionloom.operators.annotate import decimal_code
@@ -187,17 +187,63 @@ def trend_stats(t):
     return tr.cluster_stats(members.join(t.clusters, "id"), 10)
 
 
-@query("a28_drop_null_clusters")
+#: Mean vector and covariance cells of each cluster over the z-scored rows of ``zc`` (cluster, id, t, z).
+MOMENTS = """m AS (SELECT cluster, t, avg(z) AS mean, count(*) AS size FROM zc GROUP BY ALL),
+c AS (SELECT a.cluster, a.t AS i, b.t AS j, covar_samp(a.z, b.z) AS cov FROM zc a JOIN zc b ON a.id = b.id AND a.cluster = b.cluster GROUP BY ALL)"""
+
+#: Inverse and log determinant by ten sweeps. Scaled rows add up to zero, so 1/10 in every cell turns the one
+#: eigenvalue that is zero into one and changes no distance between them.
+INVERSE = """sw AS (SELECT 0 AS k, cluster, i, j, cov + 0.1 AS v, CAST(0 AS DOUBLE) AS ld FROM c UNION ALL
+ SELECT k + 1, cluster, i, j, CASE WHEN i = k AND j = k THEN -1 / d WHEN i = k OR j = k THEN v / d ELSE v - a * b / d END, ld + ln(d)
+ FROM (SELECT *, max(v) FILTER (i = k AND j = k) OVER (PARTITION BY cluster) AS d, max(v) FILTER (j = k) OVER (PARTITION BY cluster, i) AS a,
+  max(v) FILTER (i = k) OVER (PARTITION BY cluster, j) AS b FROM sw WHERE k < 10)),
+inv AS (SELECT cluster, i, j, -v AS v, ld FROM sw WHERE k = 10)"""
+LOG_DENSITY = "-0.5 * (9 * ln(2 * pi()) + any_value(ld) + sum(x.dz * inv.v * y.dz))"
+
+TRENDS = f"""tv AS (SELECT s.id, rep, t, value / 10 + CASE WHEN cluster < 5 THEN 40 * abs((t + 2 * cluster) % 10 - 5) ELSE 0 END AS value FROM v_signal s JOIN v_clusters USING (id)),
+{SIG.replace('v_signal', 'tv')},
+r3 AS (SELECT id, 'rep1' AS rep, t, value FROM sig WHERE rep = 'b1' UNION ALL SELECT id, 'rep2', t, value FROM sig WHERE rep = 'b2'
+ UNION ALL SELECT id, 'pooled', t, a.value + b.value FROM (SELECT * FROM sig WHERE rep = 'b1') a JOIN (SELECT * FROM sig WHERE rep = 'b2') b USING (id, t)),
+z3 AS (SELECT id, rep, t, (value - avg(value) OVER (PARTITION BY id, rep)) / nullif(stddev_pop(value) OVER (PARTITION BY id, rep), 0) AS z FROM r3
+ WHERE id IN (SELECT id FROM r3 WHERE rep = 'pooled')),
+zc AS (SELECT cluster, id, t, z FROM z3 JOIN v_clusters USING (id) WHERE rep = 'pooled' AND z IS NOT NULL), {MOMENTS}, {INVERSE},
+zero AS (SELECT cluster, exp({LOG_DENSITY}) AS at_zero FROM inv JOIN (SELECT cluster, t, -mean AS dz FROM m) x USING (cluster) JOIN (SELECT cluster, t, -mean AS dz FROM m) y USING (cluster)
+ WHERE x.t = i AND y.t = j GROUP BY cluster),
+kept AS (SELECT cluster, CAST(row_number() OVER (ORDER BY cluster) AS INT) AS number, size FROM (SELECT DISTINCT cluster, size FROM m) JOIN zero USING (cluster)
+ WHERE size > 0.05 * (SELECT sum(size) FROM m WHERE t = 0) AND at_zero <= {chi2_pdf(1 - 0.999, 10)!r})"""
+
+
+def assigned(clusters: str) -> str:
+    """SQL of the soft and hard clusters over the relation ``clusters`` (cluster, number)."""
+    return f"""dz AS (SELECT id, rep, k.number, k.cluster, z3.t, z - mean AS dz, z, mean FROM z3 CROSS JOIN ({clusters}) k JOIN m ON m.cluster = k.cluster AND m.t = z3.t),
+rk AS (SELECT *, rank() OVER (PARTITION BY id, rep, number ORDER BY z) + (count(*) OVER (PARTITION BY id, rep, number, z) - 1) / 2 AS rz,
+ rank() OVER (PARTITION BY id, rep, number ORDER BY mean) + (count(*) OVER (PARTITION BY id, rep, number, mean) - 1) / 2 AS rm FROM dz),
+fine AS (SELECT id, number FROM (SELECT id, rep, number, abs(corr(z, mean)) AS r, abs(corr(rz, rm)) AS s FROM rk GROUP BY ALL) GROUP BY id, number
+ HAVING min(r) >= {r_critical(10, 0.05)!r} AND min(s) >= {r_critical(10, 0.05)!r} AND count(r) = 3),
+dn AS (SELECT x.id, x.rep, x.number, {LOG_DENSITY} AS ln_d FROM dz x JOIN fine f ON f.id = x.id AND f.number = x.number JOIN inv ON inv.cluster = x.cluster AND inv.i = x.t
+ JOIN dz y ON y.id = x.id AND y.rep = x.rep AND y.number = x.number AND y.t = inv.j GROUP BY ALL),
+ok AS (SELECT id, number, max(ln_d) FILTER (rep = 'pooled') AS ln_d FROM dn GROUP BY id, number HAVING min(ln_d) >= ln(1e-12)),
+b AS (SELECT *, max(ln_d) OVER (PARTITION BY id) AS top, row_number() OVER (PARTITION BY id ORDER BY ln_d DESC, number) = 1 AS hard FROM ok)
+SELECT id, number AS cluster, round(ln_d, 4) + 0.0 AS log_density, hard FROM b WHERE hard OR exp(top) - exp(ln_d) < 0.1 * exp(top)"""
+
+
+def with_log_density(out):
+    return out.select("id", "cluster", (F.round(F.ln("density"), 4) + 0.0).alias("log_density"), "hard")
+
+
+@query("a28_drop_null_clusters", f"WITH RECURSIVE {TRENDS} SELECT * FROM kept")
 def a28(t):
     out = tr.drop_null_clusters(trend_stats(t), 10, 0.05, 0.999)
     return out.select("cluster", "number", "size")
 
 
-@query("u01_normal_density")
+@query("u01_normal_density", f"""
+WITH RECURSIVE {ZS}, {MOMENTS}, {INVERSE}, dz AS (SELECT id, cluster, t, z - mean AS dz FROM zc JOIN m USING (cluster, t))
+SELECT x.id, x.cluster, round({LOG_DENSITY}, 4) + 0.0 AS log_density FROM dz x JOIN inv ON inv.cluster = x.cluster AND inv.i = x.t JOIN dz y ON y.id = x.id AND y.cluster = x.cluster AND y.t = inv.j GROUP BY x.id, x.cluster""")
 def u01(t):
     z = pooled_vecs(t).select("id", vzscore(F.col("vector")).alias("z"))
-    rows = z.join(t.clusters, "id").join(stats(t), "cluster")
-    return rows.select("id", "cluster", mvn_density("z", "mean", "cov").alias("density"))
+    rows = z.join(t.clusters, "id").join(stats(t).select("cluster", whitening("mean", "cov").alias("white")), "cluster")
+    return rows.select("id", "cluster", (F.round(log_density(F.col("z"), F.col("white")), 4) + 0.0).alias("log_density"))
 
 
 @query("u03_significant_r", f"""
@@ -219,14 +265,14 @@ def j27(t):
     return tr.compare_to_clusters(rows, stats(t)).select("id", "cluster", r6(vpearson(F.col("z"), F.col("mean")), "r"))
 
 
-@query("a29_consistent_clusters")
+@query("a29_consistent_clusters", f"WITH RECURSIVE {TRENDS}, {assigned('SELECT DISTINCT cluster, cluster AS number FROM m')}")
 def a29(t):
-    return tr.consistent_clusters(tr.align_replicates(trends(t), list(range(10))), trend_stats(t), 10, 1e-12)
+    return with_log_density(tr.consistent_clusters(tr.align_replicates(trends(t), list(range(10))), trend_stats(t), 10, 1e-12))
 
 
-@query("a90_trajectory_job")
+@query("a90_trajectory_job", f"WITH RECURSIVE {TRENDS}, {assigned('SELECT cluster, number FROM kept')}")
 def a90(t):
-    return tr.trajectory_job(trends(t), t.clusters, list(range(10)), 0.05, 0.999, 1e-12, 0.05)
+    return with_log_density(tr.trajectory_job(trends(t), t.clusters, list(range(10)), 0.05, 0.999, 1e-12, 0.05))
 
 
 @query("a81_cluster_bands", """

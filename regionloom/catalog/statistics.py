@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from regionloom.catalog import query
 from regionloom.catalog.link_joins import SIG, vecs
+from regionloom.catalog.sqlparts import fisher_sql
 from regionloom.catalog.views import r6
 from regionloom.functions.vectors import vpearson
 from regionloom.operators import contrasts as ct, matrix, statistics as ss
@@ -117,12 +118,24 @@ def a63_t(t):
     return out.select("event_type", "n", r6("mean"), r6("t"))
 
 
-@query("u05_test_p_values")
+#: Two-sided tails by series over gamma functions. Normal: of 1/2 - Q; t: of the incomplete beta at t^2 / (df + t^2).
+NORMAL_P = "1 - 2 * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum([exp((2 * k + 1) * ln(z) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2) for k in range(0, 400)])"
+STUDENT_P = """1 - exp(0.5 * ln(y) + df / 2 * ln(1 - y) + lgamma(df / 2 + 0.5) - lgamma(df / 2) - lgamma(0.5)) / 0.5
+ * list_sum([exp(lgamma(df / 2 + 0.5 + k) - lgamma(df / 2 + 0.5) - lgamma(1.5 + k) + lgamma(1.5) + k * ln(y)) for k in range(0, 600)])"""
+
+
+@query("u05_test_p_values", f"""
+WITH d AS (SELECT event_type AS g, value - 80 AS d FROM events), r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY abs(d)) + (count(*) OVER (PARTITION BY g, abs(d)) - 1) / 2 AS rk FROM d WHERE d <> 0),
+t AS (SELECT g, sum(pow(c, 3) - c) AS t FROM (SELECT g, abs(d), count(*) AS c FROM d WHERE d <> 0 GROUP BY ALL) GROUP BY g),
+s AS (SELECT g, count(*) AS n, coalesce(sum(rk) FILTER (d > 0), 0) AS up, coalesce(sum(rk) FILTER (d < 0), 0) AS down FROM r GROUP BY g),
+z AS (SELECT s.g, abs((least(up, down) - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1.0) - t / 2) / 24)) AS z FROM s JOIN t ON s.g = t.g),
+o AS (SELECT g, count(*) - 1 AS df, pow(avg(d) / (stddev_samp(d) / sqrt(count(*))), 2) AS t2 FROM d GROUP BY g), y AS (SELECT g, df, t2 / (df + t2) AS y FROM o)
+SELECT g AS event_type, 'signed_rank' AS test, round(CASE WHEN z > 8 THEN 0 ELSE {NORMAL_P} END, 6) + 0.0 AS p_value FROM z UNION ALL SELECT g, 't', round({STUDENT_P}, 6) + 0.0 FROM y""")
 def u05(t):
     rows = t.events.select("event_type", (F.col("value") - 80).alias("v"))
     z = ss.with_p_values(ss.signed_rank(rows, ["event_type"], "v"), "z").select("event_type", F.lit("signed_rank").alias("test"), "p_value")
     p = ss.with_p_values(ss.one_sample_t(rows, ["event_type"], "v"), "t").select("event_type", F.lit("t").alias("test"), "p_value")
-    return z.unionByName(p)
+    return z.unionByName(p).withColumn("p_value", r6("p_value"))
 
 
 LISTED = "SELECT DISTINCT id AS gene_id FROM v_contrasts WHERE padj < 0.01 AND contrast = 'd6_over_d0'"
@@ -137,16 +150,31 @@ def a66(t):
     return ss.over_representation(genes, t.tss, t.gene_sets).select("set_name", "n_both", "n_set", "n_list", "n_total")
 
 
-@query("a66_over_representation")
+MEMBERS = "u AS (SELECT DISTINCT gene_id FROM v_tss), m AS (SELECT DISTINCT set_name, gene_id FROM v_gene_sets WHERE gene_id IN (SELECT gene_id FROM u))"
+
+
+@query("a66_over_representation", f"""
+WITH {MEMBERS}, l AS (SELECT DISTINCT contrast, id AS gene_id FROM v_contrasts WHERE padj < 0.01 AND id IN (SELECT gene_id FROM u)),
+h AS (SELECT contrast, set_name, count(*) AS n_both FROM l JOIN m USING (gene_id) GROUP BY ALL),
+n AS (SELECT contrast, set_name, n_both, s.n_set, k.n_list, (SELECT count(*) FROM u) AS n_total FROM h JOIN (SELECT set_name, count(*) AS n_set FROM m GROUP BY ALL) s USING (set_name)
+ JOIN (SELECT contrast, count(*) AS n_list FROM l GROUP BY ALL) k USING (contrast)),
+p AS (SELECT *, {fisher_sql('n_both', 'n_list', 'n_set', 'n_total')} AS p_value FROM n), r AS (SELECT *, count(*) OVER (PARTITION BY contrast ORDER BY p_value) AS k, count(*) OVER (PARTITION BY contrast) AS c FROM p)
+SELECT contrast, set_name, n_both, n_set, n_list, n_total, round(p_value, 6) + 0.0 AS p_value, round(min(least(1, p_value * c / k)) OVER (PARTITION BY contrast ORDER BY p_value DESC), 5) AS q_value FROM r""")
 def a66_p(t):
     genes = t.contrasts.filter("padj < 0.01").select(F.col("id").alias("gene_id"), "contrast")
-    return ss.over_representation(genes, t.tss, t.gene_sets, ["contrast"])
+    out = ss.over_representation(genes, t.tss, t.gene_sets, ["contrast"])
+    return out.withColumns({"p_value": r6("p_value"), "q_value": F.round("q_value", 5)})
 
 
-@query("a66_ordered_query")
+@query("a66_ordered_query", f"""
+WITH {MEMBERS}, l AS (SELECT id AS gene_id, row_number() OVER (ORDER BY padj, id) AS rank FROM v_contrasts WHERE contrast = 'd6_over_d0' AND id IN (SELECT gene_id FROM u)),
+h AS (SELECT set_name, rank, row_number() OVER (PARTITION BY set_name ORDER BY rank) AS n_both FROM l JOIN m USING (gene_id)), s AS (SELECT set_name, count(*) AS n_set FROM m GROUP BY ALL),
+n AS (SELECT *, (SELECT count(*) FROM u) AS n_total FROM h JOIN s USING (set_name)),
+p AS (SELECT set_name, rank, {fisher_sql('n_both', 'rank', 'n_set', 'n_total')} AS p FROM n)
+SELECT set_name, round(min(p), 6) + 0.0 AS p_value, arg_min(rank, p) AS prefix FROM p GROUP BY set_name""")
 def a66_ordered(t):
     genes = t.contrasts.filter("contrast = 'd6_over_d0'").select(F.col("id").alias("gene_id"), F.col("padj").alias("position"))
-    return ss.ordered_over_representation(genes, t.tss, t.gene_sets)
+    return ss.ordered_over_representation(genes, t.tss, t.gene_sets).withColumn("p_value", r6("p_value"))
 
 
 @query("a67_enrichment_score", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from regionloom.functions.tails import chi2_pdf, mvn_density, r_critical
+from regionloom.functions.tails import chi2_pdf, mvn_density, r_critical, whitening
 from regionloom.functions.vectors import vargmax, vpearson, vspearman, vzscore
 from regionloom.operators.matrix import vectors
 from regionloom.plans.small import small_grid
@@ -62,16 +62,16 @@ def drop_null_clusters(stats: DataFrame, n: int, share: float, ci: float) -> Dat
     """Drop small clusters and those whose density at the zero vector is too high; number the rest 1..n."""
     total = stats.agg(F.sum("size").alias("total_"))
     zero = F.array(*[F.lit(0.0)] * n)
-    dens = stats.join(F.broadcast(total)).withColumn("at_zero", mvn_density(zero, "mean", "cov"))
+    dens = stats.join(F.broadcast(total)).withColumn("white_", whitening("mean", "cov")).withColumn("at_zero", mvn_density(zero, F.col("white_")))
     kept = dens.filter((F.col("size") > share * F.col("total_")) & (F.col("at_zero") <= chi2_pdf(1 - ci, n)))
     # one row per cluster: a small table, so its window is small too
     number = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("cluster"))
-    return kept.withColumn("number", number).drop("total_", "at_zero")
+    return kept.withColumn("number", number).drop("total_", "at_zero", "white_")
 
 
 def compare_to_clusters(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    """Every row next to every cluster; the cluster table is checked to be small."""
-    return small_grid(rows, stats.select("cluster", "mean", "cov"))
+    """Every row next to every cluster's mean."""
+    return small_grid(rows, stats.select("cluster", "mean"))
 
 
 def consistent_clusters(aligned: DataFrame, stats: DataFrame, n: int, density_cut: float, alpha: float = 0.05,
@@ -80,8 +80,8 @@ def consistent_clusters(aligned: DataFrame, stats: DataFrame, n: int, density_cu
 
     A cluster is consistent when rep1, rep2 and pooled all pass the density cut and correlate
     significantly by value and by rank. The hard cluster has the best pooled density; soft
-    clusters lie within ``epsilon`` of it. Correlations run first, in the JVM, so the density
-    UDF sees few rows.
+    clusters lie within ``epsilon`` of it. Correlations run first, so only pairs that pass them
+    meet the cluster's whitening axes.
     """
     names = ["rep1", "rep2", "pooled"]
     z = aligned.select("id", *[vzscore(F.col(c)).alias(c) for c in names])
@@ -89,8 +89,8 @@ def consistent_clusters(aligned: DataFrame, stats: DataFrame, n: int, density_cu
     need = r_critical(n, alpha)
     for c in names:
         pairs = pairs.filter((F.abs(vpearson(F.col(c), F.col("mean"))) >= need) & (F.abs(vspearman(F.col(c), F.col("mean"))) >= need))
-    for c in names:
-        pairs = pairs.withColumn(f"d_{c}", mvn_density(c, "mean", "cov"))
+    axes = stats.select("cluster", whitening("mean", "cov").alias("white_"))
+    pairs = pairs.join(axes, "cluster").select(*pairs.columns, *[mvn_density(F.col(c), F.col("white_")).alias(f"d_{c}") for c in names])
     ok = pairs.filter(F.least(*[F.col(f"d_{c}") for c in names]) >= density_cut)
     per_id = W.partitionBy("id")  # at most one row per cluster
     best = ok.withColumns({

@@ -108,11 +108,30 @@ def test_density_of_a_singular_normal(spark):
     cov = np.array([[2.0, 2.0], [2.0, 2.0]])
     df = spark.createDataFrame([([1.0, 1.0], [0.0, 0.0], cov.flatten().tolist()), ([0.5, 0.0], [0.0, 0.0], [1.0, 0.0, 0.0, 4.0])],
                                "x array<double>, m array<double>, c array<double>")
-    out = [r.d for r in df.select(tails.mvn_density("x", "m", "c").alias("d")).collect()]
+    out = [r.d for r in df.select(tails.mvn_density(F.col("x"), tails.whitening("m", "c")).alias("d")).collect()]
     assert math.isclose(out[0], math.exp(-0.5 * 2 / 4) / math.sqrt(2 * math.pi * 4))
     assert math.isclose(out[1], math.exp(-0.125) / (2 * math.pi * 2))
 
 
+def test_tails_in_the_jvm(spark):
+    r = random.Random(4)
+    tables = [(a, b, c, d) for a in range(5) for b in range(4) for c in range(4) for d in (0, 1, 6)]
+    tables += [tuple(r.randrange(1, 400) for _ in range(4)) for _ in range(60)] + [(0, 0, 0, 0), (5, 0, 0, 0), (900, 5000, 4000, 90_000), (9_000, 500_000, 40_000, 900_000)]
+    df = spark.createDataFrame([(*t, i) for i, t in enumerate(tables)], "a long, b long, c long, d long, i int")
+    out = {x.i: x.p for x in df.select("i", tails.fisher_greater("a", "b", "c", "d").alias("p")).collect()}
+    for i, (a, b, c, d) in enumerate(tables):
+        want = tails.hypergeometric_tail(a, a + b, a + c, a + b + c + d)
+        assert math.isclose(out[i], want, rel_tol=1e-8, abs_tol=1e-12), (tables[i], out[i], want)
+    zs = [0.0, 0.1, 1.0, 1.959964, 2.9999, 3.0, 5.5, 12.0, -2.0]
+    df = spark.createDataFrame([(z,) for z in zs] + [(float("nan"),), (None,)], "z double")
+    out = [x.p for x in df.select(tails.normal_two_sided("z").alias("p")).collect()]
+    assert all(math.isclose(p, math.erfc(abs(z) / math.sqrt(2)), rel_tol=1e-9, abs_tol=1e-15) for p, z in zip(out, zs)) and out[-2:] == [None, None]
+    cases = [(t, float(n)) for t in (0.0, 0.3, -1.7, 2.228139, 6.0, 40.0) for n in (1, 2, 10, 155, 20_000)]
+    df = spark.createDataFrame(cases + [(None, 3.0), (1.0, 0.0)], "t double, n double")
+    out = [x.p for x in df.select(tails.student_two_sided("t", "n").alias("p")).collect()]
+    assert all(math.isclose(p, tails.t_two_sided(t, n), rel_tol=1e-7, abs_tol=1e-14) for p, (t, n) in zip(out, cases)) and out[-2:] == [None, None]
+
+
 def test_signed_rank_and_rank_sum(spark):
     d = [1.5, -0.5, 2.0, 3.0, -1.5, 0.0, 4.0]
     row = ss.signed_rank(spark.createDataFrame([("g", x) for x in d], "g string, d double"), ["g"], "d").first()
