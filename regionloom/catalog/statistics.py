@@ -28,43 +28,19 @@ def a31(t):
 
 
 @query("a32_quantile_normalise", """
-WITH l AS (SELECT l_orderkey, l_linenumber, sample, value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS q, l_extendedprice / 1000 AS p, l_tax AS x FROM lineitem) ON q, p, x INTO NAME sample VALUE value)),
-r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY value) AS rn, count(*) OVER (PARTITION BY sample ORDER BY value) AS k FROM l),
-m AS (SELECT rn, avg(value) AS normalised FROM r GROUP BY rn)
-SELECT l_orderkey, l_linenumber, sample, round(normalised, 9) AS normalised FROM r JOIN m ON r.k = m.rn""")
+WITH l AS (SELECT l_orderkey, l_linenumber, 'q' AS sample, l_quantity AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'p', CASE WHEN l_linenumber < 6 THEN l_extendedprice / 1000 END FROM lineitem
+ UNION ALL SELECT l_orderkey, l_linenumber, 'x', CASE WHEN l_suppkey % 9 > 0 THEN l_tax END FROM lineitem),
+r AS (SELECT *, count(*) OVER (PARTITION BY sample ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY sample) - 1 AS n FROM l WHERE value IS NOT NULL),
+v AS (SELECT sample, list(value ORDER BY value) AS vs, max(n) AS n FROM r GROUP BY sample), g AS (SELECT unnest(range(0, (SELECT max(n) + 1 FROM v))) AS g),
+x AS (SELECT g, avg(vs[f + 1] + (g * n - f * t) / t * coalesce(vs[f + 2] - vs[f + 1], 0)) AS m FROM (SELECT g, vs, n, t, CAST((g * n) // t AS BIGINT) AS f FROM g, v, (SELECT max(n) AS t FROM v)) GROUP BY g),
+ms AS (SELECT list(m ORDER BY g) AS ms, max(g) AS t FROM x), y AS (SELECT l_orderkey, l_linenumber, sample, k * t / n AS place, ms FROM r, ms),
+z AS (SELECT l_orderkey, l_linenumber, sample, ms[CAST(floor(place) AS BIGINT) + 1] AS a, ms[CAST(floor(place) AS BIGINT) + 2] AS b, place - floor(place) AS w FROM y)
+SELECT l_orderkey, l_linenumber, sample, round(a + w * coalesce(b - a, 0), 6) + 0.0 AS normalised FROM z UNION ALL SELECT l_orderkey, l_linenumber, sample, NULL FROM l WHERE value IS NULL""")
 def a32(t):
-    wide = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / 1000).alias("p"), F.col("l_tax").alias("x"))
+    price, tax = F.when(F.col("l_linenumber") < 6, F.col("l_extendedprice") / 1000), F.when(F.col("l_suppkey") % 9 > 0, F.col("l_tax"))
+    wide = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), price.alias("p"), tax.alias("x"))
     long = wide.unpivot(["l_orderkey", "l_linenumber"], ["q", "p", "x"], "sample", "value")
-    return matrix.quantile_normalise(long, ["q", "p", "x"]).select("l_orderkey", "l_linenumber", "sample", F.round("normalised", 9).alias("normalised"))
-
-
-@query("a39_expressed_counts", "SELECT t AS timepoint, count(*) FILTER (value > 200) AS n_expressed FROM v_signal GROUP BY t")
-def a39(t):
-    return matrix.expressed_counts(t.signal.withColumnRenamed("t", "timepoint"), 200)
-
-
-@query("a40_contrast_pairs", """
-WITH p AS (SELECT DISTINCT t, dense_rank() OVER (ORDER BY t) AS i FROM v_signal)
-SELECT a.t AS first, b.t AS second, b.i = a.i + 1 AS sequential FROM p a JOIN p b ON a.i < b.i""")
-def a40(t):
-    return ct.timepoint_pairs(t.signal.select("t").distinct(), "t")
-
-
-@query("a41_significant_counts", """
-SELECT contrast, count(*) FILTER (padj < 0.02 AND log2_fold_change > 0) AS up, count(*) FILTER (padj < 0.02 AND log2_fold_change < 0) AS down FROM v_contrasts GROUP BY contrast""")
-def a41(t):
-    return ct.significant_counts(t.contrasts, 0.02)
-
-
-@query("a42_size_factors", """
-WITH c AS (SELECT l_partkey AS id, l_linenumber AS sample, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2),
-g AS (SELECT id, avg(ln(n)) AS m FROM c WHERE n > 0 GROUP BY id HAVING count(*) = 7),
-f AS (SELECT sample, exp(quantile_cont(ln(n) - m, 0.5)) AS size_factor FROM c JOIN g USING (id) WHERE n > 0 GROUP BY sample)
-SELECT id, sample, round(size_factor, 6) AS size_factor, round(log2(n / size_factor + 1), 6) AS log2_signal FROM c JOIN f USING (sample)""")
-def a42(t):
-    counts = t.lineitem.groupBy(F.col("l_partkey").alias("id"), F.col("l_linenumber").alias("sample")).agg(F.sum("l_quantity").cast("long").alias("n"))
-    out = matrix.log2_normalised(counts, matrix.size_factors(counts, "id", "sample", "n", 7), "sample", "n")
-    return out.select("id", "sample", r6("size_factor"), r6("log2_signal"))
+    return matrix.quantile_normalise(long, ["q", "p", "x"]).select("l_orderkey", "l_linenumber", "sample", r6("normalised"))
 
 
 PR = """c AS (SELECT score_a, sum(label) AS p, count(*) AS n FROM v_scores GROUP BY 1),

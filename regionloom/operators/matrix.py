@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from regionloom.operators.transforms import exact_percentiles
-from regionloom.plans.scan import carried, numbered, running, value_ranks, with_avg_rank
+from regionloom.plans.scan import PART, Running, carried, carried_all, numbered, ordered_parts, value_ranks, with_avg_rank
 
 
 def vectors(long: DataFrame, key: str, axis: str, points: list, value: str = "value", fill: float | None = 0.0,
@@ -19,24 +19,39 @@ def vectors(long: DataFrame, key: str, axis: str, points: list, value: str = "va
 def quantile_normalise(long: DataFrame, samples: list[str]) -> DataFrame:
     """Give each value the mean, over the samples, of the values at its rank.
 
-    Long rows with ``sample`` and ``value``; every sample has the same number of rows. Ties take
-    the highest tied rank. Adds ``normalised``. Values are counted per sample first; the value
-    a sample has at a rank of another sample is found by one ordered scan over rank bins.
+    Long rows with ``sample`` and ``value``; those of other samples are left out. Adds ``normalised``.
+    Ties take the highest tied rank. A null has no rank and stays, with a null. Where a sample
+    has fewer values than the longest, both are read off by linear interpolation, first values at first
+    ranks and last at last; a single value stands for every rank and gets the mean in the middle.
+
+    Rows are put in order once and carry their part along: the value behind, the number of values
+    and the last of equal values come from it, and no row is joined by its value.
     """
-    ranks = running(
-        long.groupBy("sample", "value").agg(F.count("*").alias("n_")), ["sample"], ["value"], F.col("n_"), "sum", "k",
-    ).select("sample", "value", "k")
-    asked = ranks.select("k").distinct().withColumn("sample", F.explode(F.array(*[F.lit(s) for s in samples])))
-    steps = (
-        ranks.select("sample", "k", F.col("value").alias("x"), F.lit(1).alias("kind_"))
-        .unionByName(asked.select("sample", "k", F.lit(None).cast("double").alias("x"), F.lit(0).alias("kind_")))
-        .withColumn("bin_", F.shiftright("k", 16))
-    )
-    # the value at rank k is the smallest value whose last rank is at least k
-    filled = carried(steps, ["sample"], "bin_", ["k", "kind_"], F.col("x"), "min", "at_k", reverse=True)
-    means = filled.filter("kind_ = 0").groupBy("k").agg(F.avg("at_k").alias("normalised"))
-    table = ranks.join(means, "k").select("sample", "value", "normalised")
-    return long.join(table, ["sample", "value"])
+    one = F.lit(1).cast("long")
+    mine = long.filter(F.col("sample").isin(samples))
+    rows = mine.filter(F.col("value").isNotNull()).withColumn("h_", F.xxhash64(*long.columns)).withColumn("value_", F.col("value").cast("double"))
+    parts = ordered_parts(rows, ["sample", "value_", "h_"])
+    ranked = carried_all(parts, ["sample"], PART, ["value_", "h_"], [Running(one, "sum", "k_"), Running(one, "total", "n_")])
+    ranked = ranked.withColumn("last_", F.col("n_") - 1).withColumn("at_", F.col("k_") - 1).drop("n_")
+    longest = ranked.agg(F.max("last_").alias("top_"))
+    ranked = carried(ranked.join(F.broadcast(longest)), ["sample"], PART, ["at_"], F.col("value_"), "min", "next_", inclusive=False, reverse=True)
+    at, last, top = F.col("at_"), F.col("last_"), F.col("top_")
+    # places 0..top that a row answers for: those that fall on it or between it and the next one
+    first = lambda n: F.floor((n * top + last - 1) / last)
+    spots = F.when(last == 0, F.sequence(F.lit(0).cast("long"), top)).when(at == last, F.array(top)).otherwise(
+        F.when(first(at) < first(at + 1), F.sequence(first(at), first(at + 1) - 1)))
+    share = F.when((last == 0) | (at == last), 0.0).otherwise((F.col("spot_") * last - at * top) / top)
+    read = ranked.withColumn("spot_", F.explode(spots)).withColumn("x_", F.col("value_") + share * F.coalesce(F.col("next_") - F.col("value_"), F.lit(0.0)))
+    means = read.groupBy("spot_").agg(F.avg("x_").alias("m_"))
+    pairs = means.select("spot_", "m_", F.lit(None).cast("double").alias("n_")).unionByName(means.select((F.col("spot_") - 1).alias("spot_"), F.lit(None).cast("double").alias("m_"), F.col("m_").alias("n_")))
+    means = pairs.groupBy("spot_").agg(F.max("m_").alias("m_"), F.max("n_").alias("n_"))
+    place = F.when(last == 0, top / 2).otherwise(at * top / last)
+    level = F.col("m_") + (F.col("place_") - F.col("spot_")) * (F.coalesce(F.col("n_"), F.col("m_")) - F.col("m_"))
+    here = ranked.withColumn("place_", place).withColumn("spot_", F.floor("place_")).join(means, "spot_").withColumn("level_", level)
+    ties = F.struct("value_", (-at).alias("k"), "level_")  # the smallest from here on is the last equal value
+    out = carried(here, ["sample"], PART, ["at_"], ties, "min", "tie_", reverse=True)
+    found = out.select(*long.columns, F.col("tie_.level_").alias("normalised"))
+    return found.unionByName(mine.filter(F.col("value").isNull()).withColumn("normalised", F.lit(None).cast("double")))
 
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str, out: str = "rho") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from regionloom.functions.vectors import vargmax
 from regionloom.operators.matrix import every_kth
-from regionloom.plans.scan import numbered, running
+from regionloom.plans.scan import Running, numbered, running_all
 
 
 def rows_at_max(df: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -30,9 +30,8 @@ def sequential_ids(df: DataFrame, order: list, out: str = "unique_id") -> DataFr
 
 def cumulative_labels(df: DataFrame, score: str, tie: str, label: str) -> DataFrame:
     """Rank by descending score and the running sum of labels."""
-    order = [F.col(score).desc(), F.col(tie)]
-    ranked = numbered(df, [], order, "rank")
-    return running(ranked, [], ["rank"], F.col(label).cast("long"), "sum", "captured")
+    return running_all(df, [], [f"-{score}", tie], [
+        Running(F.lit(1).cast("long"), "sum", "rank"), Running(F.col(label).cast("long"), "sum", "captured")])
 
 
 def trim_extremes(df: DataFrame, key: list[str], value: str, times: int = 2) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regionloom.functions.tails import fisher_greater, normal_two_sided, student_two_sided
-from regionloom.plans.scan import numbered, running, value_ranks, with_avg_rank
+from regionloom.plans.scan import PART, Running, carried, carried_all, numbered, ordered_parts, running_all, value_ranks, with_avg_rank
+
 
 def precision_recall(df: DataFrame, score: str, label: str, group: list[str] | None = None) -> DataFrame:
     """Precision and recall at every distinct score, from high to low.
@@ -15,11 +16,9 @@ def precision_recall(df: DataFrame, score: str, label: str, group: list[str] | N
     """
     group = group or []
     counts = df.groupBy(*group, score).agg(F.sum(label).cast("long").alias("pos_"), F.count("*").alias("n_"))
-    order = [F.col(score).desc()]
-    cum = running(counts, group, order, F.col("pos_"), "sum", "tp")
-    cum = running(cum, group, order, F.col("n_"), "sum", "n_upto")
-    total = counts.groupBy(*group).agg(F.sum("pos_").alias("total_"))
-    cum = cum.join(total, group) if group else cum.join(F.broadcast(total))
+    pos = F.col("pos_")
+    cum = running_all(counts, group, [f"-{score}"], [
+        Running(pos, "sum", "tp"), Running(F.col("n_"), "sum", "n_upto"), Running(pos, "total", "total_")])
     prev_tp, prev_n = F.col("tp") - F.col("pos_"), F.col("n_upto") - F.col("n_")
     all_pos = F.nullif(F.col("total_"), F.lit(0))
     before = F.when(prev_n == 0, F.lit(1.0)).otherwise(prev_tp / F.nullif(prev_n, F.lit(0)))
@@ -36,19 +35,25 @@ def area_under_curve(curve: DataFrame, group: list[str] | None = None) -> DataFr
 def rank_capture(df: DataFrame, scores: list[str], tie: str, label: str, step: int = 100, top: int = 20000) -> DataFrame:
     """Labels captured in the first r rows of each score's ranking, every ``step`` ranks up to ``top``."""
     long = df.unpivot([tie, label], scores, "score_name", "score")
-    ranked = numbered(long, ["score_name"], [F.col("score").desc(), F.col(tie)], "rank")
-    # only rows up to the top rank matter; their labels are few enough for a second scan
-    head = ranked.filter(F.col("rank") <= top)
-    captured = running(head, ["score_name"], ["rank"], F.col(label).cast("long"), "sum", "captured")
-    return captured.filter(F.col("rank") % step == 0).select("score_name", "rank", "captured")
+    ranked = running_all(long, ["score_name"], ["-score", tie], [
+        Running(F.lit(1).cast("long"), "sum", "rank"), Running(F.col(label).cast("long"), "sum", "captured")])
+    return ranked.filter((F.col("rank") % step == 0) & (F.col("rank") <= top)).select("score_name", "rank", "captured")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, group: list[str] | None = None, out: str = "q") -> DataFrame:
-    """Adjusted p-values: p*n/rank, then the running minimum from the largest p down."""
-    group = group or []
-    ranks = value_ranks(df, group, p).withColumn("raw_", F.least(F.lit(1.0), F.col(p) * F.col("n_group") / (F.col("n_before") + F.col("n_ties"))))
-    table = running(ranks.select(*group, p, "raw_"), group, [F.col(p).desc()], F.col("raw_"), "min", out).select(*group, p, out)
-    return df.join(table, [*group, p], "left")
+    """Adjusted p-values: p*n/rank, then the running minimum from the largest p down.
+
+    The rows themselves are put in order, so none is joined back by its value. Among ties the last
+    has the smallest p*n/rank, and all of them see it. Rows without a p-value are not ranked and stay, without
+    an adjusted one.
+    """
+    group, one = group or [], F.lit(1).cast("long")
+    rows = df.filter(F.col(p).isNotNull()).withColumn("h_", F.xxhash64(*df.columns))
+    parts = ordered_parts(rows, [*group, p, "h_"])
+    ranked = carried_all(parts, group, PART, [p, "h_"], [Running(one, "sum", "k_"), Running(one, "total", "n_")])
+    raw = F.least(F.lit(1.0), F.col(p) * F.col("n_") / F.col("k_"))
+    found = carried(ranked, group, PART, ["k_"], raw, "min", out, reverse=True).select(*df.columns, out)
+    return found.unionByName(df.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def significance_class(q: Column) -> Column:

@@ -2,11 +2,14 @@
 
 A window over a whole chromosome, contrast or table would run in a single task. Here rows
 are first cut into consecutive *parts* of the order; the window runs per part, and one small
-table with a row per part carries the running value from part to part.
+table with a row per part carries the running values from part to part. Several running values,
+from either end, share one range partition.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regionloom.session import checkpointed
@@ -20,37 +23,64 @@ _COMBINE = {
     "max": F.greatest,
     "min": F.least,
 }
-_AGG = {"sum": F.sum, "max": F.max, "min": F.min}
+_AGG = {"total": F.sum, "sum": F.sum, "max": F.max, "min": F.min}
 
 
-def carried(df: DataFrame, group: list[str], part: str, order: list, value: Column, how: str, out: str,
-            inclusive: bool = True, reverse: bool = False) -> DataFrame:
-    """Running ``how`` of ``value`` over (group, part, order), added as column ``out``.
+class Running(NamedTuple):
+    """A running aggregate: of what, how (sum, max or min), its name, with the row itself or not, from which end.
+
+    ``total`` is the group's sum, the same for all its rows. Rows that the order leaves equal may stand
+    differently in each aggregate, so two that have to fit together need an order without ties.
+    """
+
+    value: Column
+    how: str
+    out: str
+    inclusive: bool = True
+    reverse: bool = False
+
+
+def _directed(order: list, reverse: bool) -> list[Column]:
+    """Sort columns of an order; a name is ascending, with a minus before it descending."""
+    out = []
+    for o in order:
+        if isinstance(o, str):
+            down = o.startswith("-") != reverse
+            out.append(F.col(o.removeprefix("-")).desc() if down else F.col(o.removeprefix("-")).asc())
+        elif reverse:
+            raise ValueError("an order that is followed backwards is given by names")
+        else:
+            out.append(o)
+    return out
+
+
+def carried_all(df: DataFrame, group: list[str], part: str, order: list, values: list[Running]) -> DataFrame:
+    """Running aggregates over (group, part, order), each added as a column, by one shuffle of the rows.
 
     ``part`` must follow the order: all rows of a lower part come before those of a higher one.
-    The part table holds one row per (group, part), so its own window stays small.
+    The part table holds one row per (group, part), so its own windows stay small.
     """
-    agg, combine = _AGG[how], _COMBINE[how]
-    frame = UPTO if inclusive else BEFORE
-    flip = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
-    order = [(flip(o) if isinstance(o, str) else o) for o in order]
-    local = W.partitionBy("g_", part).orderBy(*order).rowsBetween(*frame)
-    across = W.partitionBy("g_").orderBy(flip(part)).rowsBetween(*BEFORE)
     # a struct of the group's columns is equal to another with nulls in the same places, so the
     # null group is kept; windows, totals and join share one partitioning. Rows without a part have
     # no place in the order; the filter stands above both branches, so they read one shuffle
-    df = df.filter(F.col(part).isNotNull()).withColumn("g_", F.struct(*group) if group else F.lit(0)).withColumn("v_", value)
-    parts = (
-        df.groupBy("g_", part).agg(agg("v_").alias("total_"))
-        .withColumn("carry_", agg("total_").over(across))
-        .drop("total_")
-    )
-    return (
-        df.withColumn("local_", agg("v_").over(local))
-        .join(parts, ["g_", part])
-        .withColumn(out, combine(F.col("carry_"), F.col("local_")))
-        .drop("g_", "v_", "local_", "carry_")
-    )
+    df = df.filter(F.col(part).isNotNull()).withColumn("g_", F.struct(*group) if group else F.lit(0))
+    df = df.withColumns({f"v{n}_": r.value for n, r in enumerate(values)})
+    frames = [UPTO if r.inclusive else BEFORE for r in values]
+    local = [W.partitionBy("g_", part).orderBy(*_directed(order, r.reverse)).rowsBetween(*f) for r, f in zip(values, frames)]
+    whole = W.partitionBy("g_")
+    across = [whole if r.how == "total" else whole.orderBy(*_directed([part], r.reverse)).rowsBetween(*BEFORE) for r in values]
+    parts = df.groupBy("g_", part).agg(*[_AGG[r.how](f"v{n}_").alias(f"t{n}_") for n, r in enumerate(values)])
+    parts = parts.select("g_", part, *[_AGG[r.how](f"t{n}_").over(w).alias(f"c{n}_") for n, (r, w) in enumerate(zip(values, across))])
+    rows = df.select("*", *[_AGG[r.how](f"v{n}_").over(w).alias(f"l{n}_") for n, (r, w) in enumerate(zip(values, local)) if r.how != "total"])
+    out = rows.join(parts, ["g_", part]).withColumns({
+        r.out: F.col(f"c{n}_") if r.how == "total" else _COMBINE[r.how](F.col(f"c{n}_"), F.col(f"l{n}_")) for n, r in enumerate(values)})
+    return out.drop("g_", *[f"{x}{n}_" for x in "vcl" for n in range(len(values))])
+
+
+def carried(df: DataFrame, group: list[str], part: str, order: list, value: Column, how: str, out: str,
+            inclusive: bool = True, reverse: bool = False) -> DataFrame:
+    """Running ``how`` of ``value`` over (group, part, order), added as column ``out``; see ``carried_all``."""
+    return carried_all(df, group, part, order, [Running(value, how, out, inclusive, reverse)])
 
 
 def ordered_parts(df: DataFrame, order: list) -> DataFrame:
@@ -63,12 +93,16 @@ def ordered_parts(df: DataFrame, order: list) -> DataFrame:
     return checkpointed(ranged)
 
 
+def running_all(df: DataFrame, group: list[str], order: list, values: list[Running]) -> DataFrame:
+    """Running aggregates over a total order inside each group, spread over all tasks; one range partition for all."""
+    keys = [*(F.col(g) for g in group), *_directed(order, False)]
+    return carried_all(ordered_parts(df, keys), group, PART, order, values).drop(PART)
+
+
 def running(df: DataFrame, group: list[str], order: list, value: Column, how: str, out: str,
             inclusive: bool = True) -> DataFrame:
-    """Running aggregate over a total order inside each group, spread over all tasks."""
-    keys = [*(F.col(g) for g in group), *(F.col(o) if isinstance(o, str) else o for o in order)]
-    parts = ordered_parts(df, keys)
-    return carried(parts, group, PART, order, value, how, out, inclusive).drop(PART)
+    """One running aggregate over a total order inside each group."""
+    return running_all(df, group, order, [Running(value, how, out, inclusive)])
 
 
 def numbered(df: DataFrame, group: list[str], order: list, out: str = "rn") -> DataFrame:
@@ -83,11 +117,9 @@ def value_ranks(df: DataFrame, group: list[str], value: str, descending: bool =
     of all rows share costs one row here.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n_ties"))
-    key = F.col(value).desc() if descending else F.col(value).asc()
-    cum = running(counts, group, [key], F.col("n_ties"), "sum", "n_upto")
-    totals = cum.groupBy(*group).agg(F.sum("n_ties").alias("n_group"))
-    # without groups the total is a single row
-    cum = cum.join(totals, group) if group else cum.join(F.broadcast(totals))
+    n = F.col("n_ties")
+    order = [f"-{value}" if descending else value]
+    cum = running_all(counts, group, order, [Running(n, "sum", "n_upto"), Running(n, "total", "n_group")])
     before = F.col("n_upto") - F.col("n_ties")
     return (
         cum.withColumn("n_before", before)

@@ -11,7 +11,7 @@ from regionloom.functions.vectors import vcenter, vfarthest, vflank_normalise, v
 from regionloom.operators import matrix, ordering, statistics as ss
 from regionloom.operators.trajectories import cluster_stats, consistent_clusters, ternary_code
 from regionloom.operators.transforms import exact_percentiles, filter_terms
-from regionloom.plans.scan import numbered, running, value_ranks
+from regionloom.plans.scan import Running, numbered, running, running_all, value_ranks
 
 
 def test_running_sum_and_numbers_with_a_hot_key(spark):
@@ -55,6 +55,45 @@ def test_quantile_normalisation_with_ties(spark):
         assert np.allclose([out[s, i] for i in range(50)], means[top])
 
 
+def test_quantile_normalisation_of_uneven_samples_and_nulls(spark):
+    r = random.Random(6)
+    for sizes in ((3, 2), (30, 17, 5), (9, 1, 4), (6, 6)):
+        cols = {f"s{j}": [float(r.randrange(12)) for _ in range(n)] for j, n in enumerate(sizes)}
+        rows = [(s, i, x) for s, xs in cols.items() for i, x in enumerate(xs)] + [("s0", 900, None), ("s1", 901, None), ("other", 902, 1.0)]
+        df = spark.createDataFrame(rows, "sample string, id int, value double").repartition(3)
+        twice = matrix.quantile_normalise(df.drop("id"), list(cols))  # rows that are copies of each other
+        assert twice.count() == len(rows) - 1 and twice.distinct().groupBy("sample", "value").count().filter("count > 1").count() == 0
+        out = {(x["sample"], x.id): x.normalised for x in matrix.quantile_normalise(df, list(cols)).collect()}
+        top = max(sizes) - 1
+        means = np.mean([np.interp(np.arange(top + 1) * (len(xs) - 1) / top, np.arange(len(xs)), sorted(xs)) for xs in cols.values()], axis=0)
+        want = {("s0", 900): None, ("s1", 901): None}
+        for s, xs in cols.items():
+            for i, x in enumerate(xs):
+                k = sum(y <= x for y in xs) - 1
+                want[s, i] = float(np.interp(k * top / (len(xs) - 1) if len(xs) > 1 else top / 2, np.arange(top + 1), means))
+        assert out.keys() == want.keys()
+        assert all(out[k] is None if v is None else math.isclose(out[k], v, abs_tol=1e-9) for k, v in want.items()), sizes
+
+
+def test_several_running_values_share_one_range_partition(spark):
+    r = random.Random(7)
+    rows = [(r.choice("ab") if i % 9 else None, r.randrange(40), i, r.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, k int, i int, v double").repartition(5)
+    out = running_all(df, ["g"], ["-k", "i"], [Running(F.lit(1), "sum", "n"), Running(F.col("v"), "max", "top", False), Running(F.col("v"), "min", "low", True, True)]).collect()
+    for g in ("a", "b", None):
+        mine = sorted([x for x in rows if x[0] == g], key=lambda x: (-x[1], x[2]))
+        got = {x.i: x for x in out if x.g == g}
+        for n, row in enumerate(mine):
+            x = got[row[2]]
+            assert x.n == n + 1 and x.top == max((y[3] for y in mine[:n]), default=None) and x.low == min(y[3] for y in mine[n:])
+
+
+def test_nulls_keep_their_rows_beside_adjusted_p_values(spark):
+    df = spark.createDataFrame([(1, 0.01), (2, None), (3, 0.5), (4, 0.01), (5, 0.01)], "i int, p double")
+    out = {x.i: x.q for x in ss.benjamini_hochberg(df, "p").collect()}
+    assert out[2] is None and math.isclose(out[1], 0.04 / 3) and out[1] == out[4] == out[5] and out[3] == 0.5
+
+
 def test_benjamini_hochberg_with_repeats(spark):
     p = [0.01, 0.02, 0.02, 0.5, 0.9, 0.03]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(p)], "i int, p double")
