@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regionloom.catalog import query
-from regionloom.catalog.link_joins import HOPS
-from regionloom.catalog.sqlparts import merged
+from regionloom.catalog.link_joins import GENE_SIG, HOPS, SIG, gene_vectors, vecs
+from regionloom.catalog.sqlparts import MEMBERS, fisher_sql, merged
 from regionloom.catalog.views import r6
 from regionloom.operators import links as lk, motifs as mo
 from regionloom.plans.bins import KEY, nearest_first
@@ -148,9 +148,31 @@ def a54_sets(t):
     return mo.multiplicity_sets(motif_hits(t), min_regions=700).select(*KEY, "motif", "n")
 
 
-@query("a54_multiplicity_enrichment")
+def with_vectors(t, regions):
+    return regions.withColumn("id", F.concat(F.lit("R"), F.col("start") % 150)).join(vecs(t, "b1"), "id").drop("id")
+
+
+REGION_SETS = """rs AS (SELECT chrom, start, stop, motif, n, motif * 10 + n AS cluster FROM (SELECT chrom, start, stop, start % 4 AS motif, start % 6 AS hits FROM v_peaks) JOIN (SELECT unnest(range(1, 6)) AS n) ON hits >= n
+ QUALIFY count(*) OVER (PARTITION BY motif, n) >= 50)"""
+SET_HOPS = HOPS.replace("(SELECT chrom, start, stop, start % 5 + 1 AS cluster FROM v_peaks)", "rs")
+
+
+@query("a54_nested_means", f"""
+WITH {SIG}, {REGION_SETS} SELECT motif, CAST(n AS INT) AS n, CAST(t AS INT) AS pos, round(avg(value), 6) AS mean FROM rs JOIN sig ON rep = 'b1' AND id = concat('R', CAST(start % 150 AS VARCHAR)) GROUP BY motif, n, t""")
+def a54_means(t):
+    out = mo.nested_means(with_vectors(t, motif_hits(t)), "vector", 10)
+    return out.select("motif", "n", F.posexplode("mean_vector").alias("pos", "mean")).withColumn("mean", r6("mean"))
+
+
+@query("a54_multiplicity_enrichment", f"""
+WITH {SIG}, {GENE_SIG}, {REGION_SETS}, {SET_HOPS}, mv AS (SELECT cluster, t, avg(value) AS m FROM rs JOIN sig ON rep = 'b1' AND id = concat('R', CAST(start % 150 AS VARCHAR)) GROUP BY ALL),
+sc AS (SELECT cluster, gene_id FROM g GROUP BY ALL HAVING sum(score) > 0.5),
+l AS (SELECT sc.cluster, sc.gene_id FROM sc JOIN gs ON gs.gene_id = sc.gene_id JOIN mv ON mv.cluster = sc.cluster AND mv.t = gs.t GROUP BY ALL HAVING corr(value, m) > 0),
+{MEMBERS}, hb AS (SELECT cluster, set_name, count(*) AS n_both FROM l JOIN m USING (gene_id) GROUP BY ALL), k AS (SELECT cluster, count(*) AS n_list FROM l WHERE gene_id IN (SELECT gene_id FROM u) GROUP BY cluster),
+n AS (SELECT hb.*, n_list, n_set, (SELECT count(*) FROM u) AS n_total FROM hb JOIN k USING (cluster) JOIN (SELECT set_name, count(*) AS n_set FROM m GROUP BY set_name) USING (set_name))
+SELECT cluster // 10 AS motif, CAST(max(cluster % 10) AS INT) AS max_enriched FROM n WHERE {fisher_sql('n_both', 'n_list', 'n_set', 'n_total')} < 0.2 GROUP BY 1""")
 def a54(t):
-    return mo.multiplicity_enrichment(motif_hits(t), t.links, t.tss, t.chromsizes, t.tss, t.gene_sets, 0.2, extend=300)
+    return mo.multiplicity_enrichment(with_vectors(t, motif_hits(t)), t.links, t.tss, t.chromsizes, t.tss, t.gene_sets, 0.2, gene_vectors(t), 10, extend=300)
 
 
 PAIRS = """SELECT l_orderkey, l_linenumber, CASE l_partkey % 4 WHEN 0 THEN 'FWD_FWD' WHEN 1 THEN 'FWD_REV' WHEN 2 THEN 'REV_FWD' ELSE 'REV_REV' END AS orientation,
@@ -167,6 +189,37 @@ def a55(t):
     return out.withColumn("mean_score", r6("mean_score"))
 
 
+VECTOR_PAIRS = "CASE vec_id % 4 WHEN 0 THEN 'FWD_FWD' WHEN 1 THEN 'FWD_REV' WHEN 2 THEN 'REV_FWD' ELSE 'REV_REV' END AS orientation, vec_id % 21 - 10 AS distance"
+
+
+@query("a55_syntax_profile", f"""
+WITH p AS (SELECT vec_id, {VECTOR_PAIRS}, generate_subscripts(embedding, 1) - 33 AS position, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), k(class, orientation, side) AS (VALUES {_classes}),
+j AS (SELECT class, position, avg(abs(x)) AS m, count(*) AS n FROM p JOIN k USING (orientation) WHERE side = '.' OR (side = '+' AND distance > 0) OR (side = '-' AND distance < 0) GROUP BY ALL),
+z AS (SELECT class, position, n, CASE WHEN position = 0 THEN 0 ELSE m END AS m FROM j)
+SELECT class, CAST(position AS INT) AS position, round(m / sum(m) OVER (PARTITION BY class), 6) AS active, n FROM z""")
+def a55_profile(t):
+    pairs = t.embeddings.select("vec_id", F.expr(VECTOR_PAIRS.split(" AS orientation")[0]).alias("orientation"), (F.col("vec_id") % 21 - 10).alias("distance"),
+                                F.transform(F.col("embedding").cast("array<double>"), F.abs).alias("scores"))
+    return mo.syntax_profile(pairs, "scores", 32).withColumn("active", r6("active"))
+
+
+PEAK_PAIRS = "CASE start % 4 WHEN 0 THEN 'FWD_FWD' WHEN 1 THEN 'FWD_REV' WHEN 2 THEN 'REV_FWD' ELSE 'REV_REV' END AS orientation, start % 21 - 10 AS distance"
+
+
+@query("a55_syntax_enrichment", f"""
+WITH p AS (SELECT chrom, start, stop, {PEAK_PAIRS} FROM v_peaks), k(class, orientation, side) AS (VALUES {_classes}),
+j AS (SELECT class, chrom, start, stop FROM p JOIN k USING (orientation) WHERE side = '.' OR (side = '+' AND distance > 0) OR (side = '-' AND distance < 0)),
+rs AS (SELECT DISTINCT class AS cluster, chrom, start, stop FROM (SELECT * FROM j QUALIFY count(*) OVER (PARTITION BY class) >= 1500)), {SET_HOPS},
+{MEMBERS}, l AS (SELECT cluster, gene_id FROM g WHERE gene_id IN (SELECT gene_id FROM u) GROUP BY ALL HAVING sum(score) > 0.5), hb AS (SELECT cluster, set_name, count(*) AS n_both FROM l JOIN m USING (gene_id) GROUP BY ALL),
+n AS (SELECT hb.*, n_list, n_set, (SELECT count(*) FROM u) AS n_total FROM hb JOIN (SELECT cluster, count(*) AS n_list FROM l GROUP BY cluster) USING (cluster) JOIN (SELECT set_name, count(*) AS n_set FROM m GROUP BY set_name) USING (set_name)),
+q AS (SELECT *, {fisher_sql('n_both', 'n_list', 'n_set', 'n_total')} AS p FROM n), r AS (SELECT *, count(*) OVER (PARTITION BY cluster ORDER BY p) AS k, count(*) OVER (PARTITION BY cluster) AS c FROM q)
+SELECT cluster AS class, set_name, n_both, n_set, n_list, round(p, 6) + 0.0 AS p_value, round(min(least(1, p * c / k)) OVER (PARTITION BY cluster ORDER BY p DESC), 5) AS q_value FROM r""")
+def a55_enrichment(t):
+    pairs = t.peaks.select(*KEY, F.expr(PEAK_PAIRS.split(" AS orientation")[0]).alias("orientation"), (F.col("start") % 21 - 10).alias("distance"))
+    out = mo.syntax_enrichment(pairs, t.links, t.tss, t.chromsizes, t.tss, t.gene_sets, 1500, extend=300)
+    return out.select("class", "set_name", "n_both", "n_set", "n_list", r6("p_value"), F.round("q_value", 5).alias("q_value"))
+
+
 @query("a56_distance_ranges", f"""
 WITH {HITS}, r(lo, hi) AS (VALUES (2, 5), (4, 9), (8, 20)), x AS (SELECT DISTINCT vec_id, lo, hi FROM h, r WHERE x > 0 AND ((pos - 33 >= lo AND pos - 33 < hi) OR (pos - 33 >= -hi AND pos - 33 < -lo)))
 SELECT vec_id, lo, hi, count(*) OVER (PARTITION BY lo, hi) AS n_rows FROM x QUALIFY n_rows > 100""")

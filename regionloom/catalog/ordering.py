@@ -129,7 +129,7 @@ def l06(t):
     return od.peak_sorted(pooled_vecs(t), "vector", "id").select("id", "peak")
 
 
-@query("l07_random_subset")
+@query("l07_random_subset", "SELECT name, chrom FROM v_peaks ORDER BY md5(concat('42:', name)), name LIMIT 5000")
 def l07(t):
     return od.random_subset(t.peaks.select("name", "chrom"), "name", 5000)
 

@@ -28,3 +28,7 @@ def fisher_sql(k: str, drawn: str, marked: str, total: str) -> str:
     term = f"exp(lgamma({marked} + 1) - lgamma(x + 1) - lgamma({marked} - x + 1) + lgamma({total} - {marked} + 1) - lgamma({drawn} - x + 1) - lgamma({total} - {marked} - {drawn} + x + 1)"
     term += f" - lgamma({total} + 1) + lgamma({drawn} + 1) + lgamma({total} - {drawn} + 1))"
     return f"least(1.0, coalesce(list_sum([{term} for x in range(CAST(greatest({k}, {drawn} + {marked} - {total}, 0) AS BIGINT), CAST(least({drawn}, {marked}) AS BIGINT) + 1)]), 0))"
+
+
+#: Genes with a TSS (u) and the members of gene sets among them (m).
+MEMBERS = "u AS (SELECT DISTINCT gene_id FROM v_tss), m AS (SELECT DISTINCT set_name, gene_id FROM v_gene_sets WHERE gene_id IN (SELECT gene_id FROM u))"

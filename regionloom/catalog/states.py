@@ -110,6 +110,35 @@ def a19(t):
     return out.select("cluster", "group", "num_regions", "t0", "t1")
 
 
+@query("a19_stable_states", """
+WITH f AS (SELECT id, 'a-active' AS grp FROM v_marks WHERE h3k27ac <> 9 UNION ALL SELECT id, 'b-primed' FROM v_marks WHERE h3k4me1 <> 9 UNION ALL SELECT id, 'c-silent' FROM v_marks WHERE h3k27me3 <> 9),
+m AS (SELECT DISTINCT grp, id FROM f JOIN v_marks v USING (id) WHERE v.cluster = 3)
+SELECT grp AS "group", id, grp = min(grp) OVER (PARTITION BY id) AS fresh FROM m""")
+def a19_stable(t):
+    return st.stable_states(stable_files(t), t.marks.filter("cluster = 3"))
+
+
+def stable_files(t):
+    names = [("a-active", "h3k27ac"), ("b-primed", "h3k4me1"), ("c-silent", "h3k27me3")]
+    states = F.array_compact(F.array(*[F.when(F.col(c) != 9, F.lit(n)) for n, c in names]))
+    return t.marks.select("id", F.explode(states).alias("state"))
+
+
+@query("a19_state_table", f"""
+WITH {SET_SIGNAL}, a AS (SELECT cluster, CAST(state AS VARCHAR) AS grp, id FROM v_marks WHERE cluster < 3),
+f AS (SELECT id, 'a-active' AS grp FROM v_marks WHERE h3k27ac <> 9 UNION ALL SELECT id, 'b-primed' FROM v_marks WHERE h3k4me1 <> 9 UNION ALL SELECT id, 'c-silent' FROM v_marks WHERE h3k27me3 <> 9),
+m AS (SELECT DISTINCT grp, id FROM f JOIN v_marks v USING (id) WHERE v.cluster = 3),
+w AS (SELECT cluster, grp, id FROM a UNION ALL SELECT NULL, grp, id FROM m),
+s AS (SELECT cluster, grp, count(*) AS num_regions, sum(t0) / count(*) AS t0, sum(t1) / count(*) AS t1, greatest(sum(t0), sum(t1)) / count(*) AS max FROM w JOIN ps USING (id) GROUP BY cluster, grp)
+SELECT cluster, grp AS "group", num_regions, t0, t1, max, coalesce(CAST(cluster = 1 AS INT), 0) AS traj_1, coalesce(CAST(cluster = 2 AS INT), 0) AS traj_2,
+ row_number() OVER (ORDER BY coalesce(CAST(cluster = 1 AS INT), 0) DESC, coalesce(CAST(cluster = 2 AS INT), 0) DESC, max DESC, t1 DESC, grp) AS position FROM s""")
+def a19_table(t):
+    signal = peak_signal(t)
+    dynamic = st.set_signal(t.marks.filter("cluster < 3").select("cluster", F.col("state").cast("string").alias("group"), "id"), signal, ["cluster", "group"])
+    stable = st.set_signal(st.stable_states(stable_files(t), t.marks.filter("cluster = 3")), signal, ["group"])
+    return st.state_table(dynamic, stable, 2, ["max", "t1"])
+
+
 @query("a20_relative_signal", f"""
 WITH {SET_SIGNAL} SELECT id, CAST(0 AS DOUBLE) AS t0, round(t1 - t0, 6) + 0.0 AS t1 FROM ps WHERE id IN
  (SELECT concat('peak', CAST(CAST(substr(id, 5) AS BIGINT) + 1 AS VARCHAR)) FROM v_marks WHERE h3k27ac = 9)""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from regionloom.catalog import query
 from regionloom.catalog.link_joins import SIG, vecs
-from regionloom.catalog.sqlparts import fisher_sql
+from regionloom.catalog.sqlparts import MEMBERS, fisher_sql
 from regionloom.catalog.views import r6
 from regionloom.functions.vectors import vpearson
 from regionloom.operators import contrasts as ct, matrix, statistics as ss
@@ -126,9 +126,6 @@ def a66(t):
     return ss.over_representation(genes, t.tss, t.gene_sets).select("set_name", "n_both", "n_set", "n_list", "n_total")
 
 
-MEMBERS = "u AS (SELECT DISTINCT gene_id FROM v_tss), m AS (SELECT DISTINCT set_name, gene_id FROM v_gene_sets WHERE gene_id IN (SELECT gene_id FROM u))"
-
-
 @query("a66_over_representation", f"""
 WITH {MEMBERS}, l AS (SELECT DISTINCT contrast, id AS gene_id FROM v_contrasts WHERE padj < 0.01 AND id IN (SELECT gene_id FROM u)),
 h AS (SELECT contrast, set_name, count(*) AS n_both FROM l JOIN m USING (gene_id) GROUP BY ALL),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from regionloom.functions.coords import parse_region
 from regionloom.operators.matrix import above_nth
@@ -143,14 +143,39 @@ def multiplicity_sets(hits: DataFrame, max_count: int = 5, min_regions: int = 50
     return rows.join(big, ["motif", "n"], "left_semi")
 
 
+def nested_means(hits: DataFrame, vector: str, points: int, max_count: int = 5) -> DataFrame:
+    """Mean vector of each motif's regions with at least n hits, for every n.
+
+    Regions are added up once per motif and hit count; a region set holds the sets of all higher
+    counts, so the sums run from the highest count down over at most ``max_count`` rows.
+    """
+    rows = hits.filter("hits >= 1").withColumn("n", F.least(F.lit(max_count), F.col("hits").cast("int")))
+    one = rows.groupBy("motif", "n").agg(F.count("*").alias("c_"), *[F.sum(F.get(vector, F.lit(i))).alias(f"s{i}_") for i in range(points)])
+    # a count that no region has stands for the set of the next higher one
+    every = one.select("motif").distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(max_count))))
+    one = every.join(one, ["motif", "n"], "left")
+    down = W.partitionBy("motif").orderBy(F.col("n").desc())
+    size = F.sum("c_").over(down)
+    means = one.select("motif", "n", size.alias("size"), F.array(*[F.sum(f"s{i}_").over(down) / size for i in range(points)]).alias("mean_vector"))
+    return means.filter("size > 0").drop("size")
+
+
 def multiplicity_enrichment(hits: DataFrame, links: DataFrame, tss: DataFrame, sizes: DataFrame, background: DataFrame,
-                            sets: DataFrame, p_max: float, extend: int = 0, min_regions: int = 50) -> DataFrame:
-    """Largest hit count per motif whose linked genes are still enriched in some gene set."""
-    from regionloom.operators.links import gene_scores, linked_genes
+                            sets: DataFrame, p_max: float, gene_vectors: DataFrame, points: int, r_min: float = 0.0, r_sig: float = 0.0,
+                            min_score: float = 0.5, extend: int = 0, max_count: int = 5, min_regions: int = 50) -> DataFrame:
+    """Largest hit count per motif whose linked genes are still enriched in some gene set.
+
+    ``hits`` has the region's ``vector``, ``gene_vectors`` those of genes. A gene counts for (motif, n) when
+    its link score is above ``min_score`` and its vector follows the mean of the regions with at least n hits (J31).
+    All motifs and counts are one job.
+    """
+    from regionloom.operators.links import correlated_genes, gene_scores, linked_genes
     from regionloom.operators.statistics import over_representation
-    regions = multiplicity_sets(hits, min_regions=min_regions)
-    genes = gene_scores(linked_genes(regions, links, tss, sizes, extend, ["motif", "n"]), ["motif", "n"])
-    tested = over_representation(genes, background, sets, ["motif", "n"])
+    by = ["motif", "n"]
+    regions = multiplicity_sets(hits.drop("vector"), max_count, min_regions)
+    genes = gene_scores(linked_genes(regions, links, tss, sizes, extend, by), by, min_score=min_score)
+    kept = correlated_genes(genes, gene_vectors, nested_means(hits, "vector", points, max_count), r_min, r_sig, by=by)
+    tested = over_representation(kept, background, sets, by)
     return tested.filter(F.col("p_value") < p_max).groupBy("motif").agg(F.max("n").alias("max_enriched"))
 
 
@@ -172,6 +197,34 @@ def syntax_classes(pairs: DataFrame) -> DataFrame:
     return joined.filter((F.col("side") == ".") | (F.col("side") == side)).drop("side")
 
 
+def syntax_profile(pairs: DataFrame, scores: str, centre: int) -> DataFrame:
+    """How the second motif's scores lie around the anchor in each arrangement.
+
+    Score vectors are aligned, the anchor at index ``centre``. Their mean per position, without the anchor's own
+    place, is divided by its total: class, position, active, n (examples).
+    """
+    rows = syntax_classes(pairs).select("class", F.posexplode(scores).alias("i_", "x_"))
+    mean = rows.groupBy("class", (F.col("i_") - centre).alias("position")).agg(F.avg("x_").alias("m_"), F.count("*").alias("n"))
+    mean = mean.withColumn("m_", F.when(F.col("position") == 0, 0.0).otherwise(F.col("m_")))
+    total = F.sum("m_").over(W.partitionBy("class"))  # a row per position
+    return mean.select("class", "position", (F.col("m_") / F.nullif(total, F.lit(0.0))).alias("active"), "n")
+
+
+def syntax_enrichment(pairs: DataFrame, links: DataFrame, tss: DataFrame, sizes: DataFrame, background: DataFrame, sets: DataFrame,
+                      min_rows: int, min_score: float = 0.5, extend: int = 0) -> DataFrame:
+    """Gene sets over-represented among the genes linked to the regions of each arrangement, all arrangements in one job.
+
+    ``pairs`` has the region's place. Arrangements with fewer than ``min_rows`` examples are left out.
+    """
+    from regionloom.operators.links import gene_scores, linked_genes
+    from regionloom.operators.statistics import over_representation
+    rows = syntax_classes(pairs)
+    big = rows.groupBy("class").agg(F.count("*").alias("n_")).filter(F.col("n_") >= min_rows).drop("n_")
+    regions = rows.join(big, "class").select("chrom", "start", "stop", "class").distinct()
+    genes = gene_scores(linked_genes(regions, links, tss, sizes, extend, ["class"]), ["class"], min_score=min_score)
+    return over_representation(genes, background, sets, ["class"])
+
+
 def syntax_summary(pairs: DataFrame, min_rows: int) -> DataFrame:
     """A55 tail: examples and score distribution per arrangement, where enough examples have it."""
     rows = syntax_classes(pairs)

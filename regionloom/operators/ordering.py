@@ -86,8 +86,8 @@ def peak_sorted(df: DataFrame, vector: str, key: str) -> DataFrame:
 
 
 def random_subset(df: DataFrame, row: str, n: int, seed: int = 42) -> DataFrame:
-    """A reproducible random subset of ``n`` rows."""
-    return df.orderBy(F.xxhash64(F.col(row), F.lit(seed)), row).limit(n)
+    """A reproducible random subset of ``n`` rows, in the order of a digest of seed and key; any engine draws the same."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(row).cast("string"), F.lit("")))), row).limit(n)
 
 
 def ordered_joint_label(clusters: DataFrame, marks: DataFrame, k_target: int) -> DataFrame:

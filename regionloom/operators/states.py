@@ -9,6 +9,7 @@ from regionloom.functions.vectors import vflank_normalise
 from regionloom.operators.annotate import decimal_code
 from regionloom.operators.transforms import exact_percentiles
 from regionloom.plans.bins import KEY, overlap_anti, overlap_pairs
+from regionloom.plans.scan import numbered
 from regionloom.session import checkpointed
 
 NO_MARK = 9  # fixed value: code of a region without the mark
@@ -115,6 +116,29 @@ def state_membership(regions: DataFrame, names: list[str], min_group: int = 100,
     return states.unionByName(used).unionByName(null)
 
 
+def stable_states(files: DataFrame, stable: DataFrame) -> DataFrame:
+    """Members of each state of the stable regions, and those that no state before it has.
+
+    ``files``: state and id, states taken by name; ``stable``: the stable ids. Rows: group, id, fresh.
+    """
+    members = files.join(stable.select("id").distinct(), "id", "left_semi").select(F.col("state").alias("group"), "id").distinct()
+    first = members.groupBy("id").agg(F.min("group").alias("first_"))
+    return members.join(first, "id").select("group", "id", (F.col("group") == F.col("first_")).alias("fresh"))
+
+
+def state_table(dynamic: DataFrame, stable: DataFrame, total: int, sort: list[str]) -> DataFrame:
+    """The stable states under the dynamic table, and the whole sorted from the largest down.
+
+    ``dynamic`` has a cluster, which becomes one column of 0 and 1 each (``traj_1``..``traj_total``, none for stable
+    rows); then the ``sort`` columns decide, the group's name last. ``position`` counts from 1.
+    """
+    both = dynamic.unionByName(stable.withColumn("cluster", F.lit(None).cast("long")), allowMissingColumns=True)
+    flags = {f"traj_{k}": F.coalesce((F.col("cluster") == k).cast("int"), F.lit(0)) for k in range(1, total + 1)}
+    flagged = both.withColumns(flags)
+    order = [F.col(c).desc() for c in [*flags, *sort]]
+    return numbered(flagged, [], [*order, F.col("group")], "position")
+
+
 def relative_signal(ids: DataFrame, mapping: DataFrame, signal: DataFrame) -> DataFrame:
     """Signal of the mark regions mapped to a region set, relative to the first timepoint."""
     values = [c for c in signal.columns if c != "id"]
