@@ -1,25 +1,30 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes a sequence of template tokens: numbers, names and units of measure are replaced by
-typed placeholders, other words are lower-cased, punctuation goes. Windows of ``WINDOW`` template
-tokens of all documents are hash-joined with those of the benchmark items. A placeholder hides
-what a question was filled with, so re-parameterised copies still match; the hidden values (slots)
-travel with the window. For each document and item the matched windows must agree on one
-one-to-one mapping of the item's slot values to the document's: windows that break it do not count.
-A capital where a sentence may begin can be that of a name or of any word. Such a word has both
-readings, on either side; a window is emitted for every choice of them and counts once per place.
+A text becomes a sequence of template tokens: words in lower case, numbers and units of measure as
+typed placeholders; punctuation goes. The *item* alone says which further places are names: a capital inside
+a sentence, or one that begins a sentence. Its windows of ``WINDOW`` tokens are read plain, with the sure names
+open, and with all names open (at most ``MOST_NAMES``); an open place takes any word. So a verbatim copy is
+found in any case of letters, and a re-parameterised one whatever its names look like.
+
+A document's windows are made where they can match: every word must be one of the benchmark's
+(a bitmap of hashes of fixed size says so) but for places that some item window leaves open. Such a window
+is hashed once for each pattern of open places that the benchmark has and that fits, and joined
+with the item windows by hash. The values behind placeholders and open places (slots) of an alignment (a
+document's window place less the item's) must map the item's values to the document's one to one:
+readings of windows that break the mapping do not count.
 
 A document is contaminated by an item if the consistent windows are at least ``SHARE`` of the item's
-windows, or if ``RUN`` consecutive tokens match, which catches parts of longer items. Items of
-fewer tokens than a window are one window of their own length, which matches only documents that hold
-nothing else; items without tokens match nothing.
+windows, or if ``RUN`` consecutive tokens match, which catches parts of longer items. A window that an item
+repeats stands for all its places. An item of fewer tokens than a window matches a whole document, or a
+stretch between ends of sentences or lines that has just its tokens, numbers included; items without
+tokens match nothing.
 
 DataFrame operations only. Documents are not shuffled: the benchmark's windows are broadcast if
-their counted number is at most ``BROADCAST_WINDOWS`` and joined by hash otherwise. Only matched
+their counted bytes are at most ``BROADCAST_BYTES`` and joined by hash otherwise. Only matched
 windows are shuffled, and grouped by document and item.
 
-Defined cases: null or empty documents are clean; null items are ignored; repeated documents
-each get a row; rows of one doc_id are judged together; an empty benchmark finds nothing.
+Defined cases: null or empty documents are clean; null items are ignored; each row is judged by its own
+text, also without a doc_id, and repeated rows alike; an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -31,7 +36,10 @@ from regionloom.session import checkpointed
 WINDOW = 5
 SHARE = 0.8
 RUN = 13
-BROADCAST_WINDOWS = 500_000
+MOST_NAMES = 3
+BROADCAST_BYTES = 64 << 20
+#: Bits of the token bitmap: 16 for each different token, between these bounds.
+BITMAP = (1 << 12, 1 << 22)
 
 # fixed values: units of measure that follow a number
 UNITS = ["%", "percent", "km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "feet", "foot", "inch", "inches", "kg", "g", "mg", "lb", "lbs",
@@ -41,96 +49,154 @@ UNITS = ["%", "percent", "km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "fe
 _NAME = "\u0001"
 _SEP = "\u0002"
 _MAYBE = "\u0003"
+_NUMBER, _UNIT, _OPEN = -1, -2, 0
+#: Ends of sentences and lines, and what may close a sentence.
+_EDGE = r"[.!?](?=[\s\p{P}]|$)|[\r\n]+"
 
 
-def _tokens(text: Column) -> Column:
-    """Lower-case words of letters and digits in order; names and words that may be names carry a mark, numbers keep no separators."""
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _tokens(text: Column, marks: str = "") -> Column:
+    """Lower-case words of letters and digits in order; numbers keep no separators and stand apart from their unit."""
+    joined = F.regexp_replace(F.lower(text), r"(?<=[0-9])[.,](?=[0-9])", "")
+    parted = F.regexp_replace(joined, r"(?<=[0-9])(?=[\p{L}%])", " ")
+    return F.array_remove(F.split(parted, r"[^\p{L}\p{M}\p{N}%" + marks + "]+"), "")
+
+
+def _marked_tokens(text: Column) -> Column:
+    """Tokens of an item; names and words that may be names carry a mark."""
     # a capital after a letter or a comma and one space begins a name, as it begins no sentence
     marked = F.regexp_replace(text, r"(?<=[\p{Ll},;:] )(\p{Lu})(?=\p{Ll})", _NAME + "$1")
     # any other capital that begins a word may begin a sentence or a name
     marked = F.regexp_replace(marked, r"(?<![\p{L}\p{M}\p{N}" + _NAME + r"])(\p{Lu})(?=\p{Ll})", _MAYBE + "$1")
-    joined = F.regexp_replace(marked, r"(?<=[0-9])[.,](?=[0-9])", "")
-    parted = F.regexp_replace(joined, r"(?<=[0-9])(?=[\p{L}%])", " ")
-    return F.filter(F.split(F.lower(parted), r"[^\p{L}\p{M}\p{N}%" + _NAME + _MAYBE + "]+"), lambda w: w != "")
+    return _tokens(marked, _NAME + _MAYBE)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _codes(words: Column) -> Column:
+    """A number for each token: of the word, or that of its placeholder. A unit is one only behind a number."""
+    numeric = lambda w: F.substring(w, 1, 1).between("0", "9")
+    return F.transform(words, lambda w, i: F.when(numeric(w), _NUMBER).when(
+        w.isin(UNITS) & (i > 0) & numeric(F.get(words, i - 1)), _UNIT).otherwise(F.xxhash64(w)))
 
 
-def _kinds(words: Column) -> Column:
-    """Placeholder of each word (n: number, N: name, u: unit of the number before, null: plain word)."""
-    first = lambda w: F.substring(w, 1, 1)
-    numeric = lambda w: first(w).between("0", "9")
-    return F.transform(words, lambda w, i: (
-        F.when(numeric(w), "n").when(first(w) == _NAME, "N")
-        .when((i > 0) & numeric(F.get(words, i - 1)) & w.isin(UNITS), "u")))
+def _is_slot(code: Column) -> Column:
+    return code.isin(_NUMBER, _UNIT)
 
 
-def windows(df: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame:
-    """(key, pos, hash, slots): every template window of every text, once for each reading of its words.
+def _window_hash(codes: Column, open_: Column, n: Column) -> Column:
+    """Of the window's first ``n`` codes (at most WINDOW): an open place counts as open if a word stands there."""
+    at = [F.get(codes, F.lit(j)) for j in range(WINDOW)]
+    seen = [F.when((open_.bitwiseAND(1 << j) != 0) & ~_is_slot(c), F.lit(_OPEN).cast("long")).otherwise(c) for j, c in enumerate(at)]
+    return F.xxhash64(open_, n, *seen)
 
-    ``slots`` holds the values behind the window's placeholders, joined in order ('' for none).
-    """
-    named = F.xxhash64(F.lit("N"), F.lit(False))
 
-    def at(array, i):
-        return [F.get(array, i + F.lit(j)) for j in range(size)]
+def _slots(words: Column, codes: Column, open_: Column) -> Column:
+    """The values behind placeholders and open places, joined in order ('' for none); the kind stands before each."""
+    parts = []
+    for j in range(WINDOW):
+        c, w = F.get(codes, F.lit(j)), F.get(words, F.lit(j))
+        parts.append(F.when(_is_slot(c), w).when(open_.bitwiseAND(1 << j) != 0, F.concat(F.lit(_NAME), w)))
+    return F.concat_ws(_SEP, *parts)
 
-    def of(marked, words, kinds, hashes, slots):
-        n = F.size(hashes)
-        count = F.when(n >= size, n - size + 1).otherwise(F.least(n, F.lit(1)))
-        maybe = lambda w: F.substring(w, 1, 1) == _MAYBE
 
-        # places beyond a short text are null, so its window is its whole
-        def window(i, its_hashes, its_slots):
-            return F.struct(i.alias("pos"), F.xxhash64(*its_hashes, F.least(n, F.lit(size))).alias("hash"), its_slots.alias("slots"))
+def _starts(words: Column) -> Column:
+    """Places of a text's windows; a shorter text has one of its own length."""
+    n = F.size(words)
+    return F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).when(n > 0, F.array(F.lit(0)))
 
-        def reading(i, m):
-            """The window in which the words of the bits of m are names."""
-            bits = [m.bitwiseAND(F.lit(1 << j)) != 0 for j in range(size)]
-            return window(i, [F.when(b, named).otherwise(h) for b, h in zip(bits, at(hashes, i))], F.concat_ws(_SEP, *(
-                F.when(b, F.concat(F.lit(_NAME), w)).otherwise(F.get(slots, i + F.lit(j))) for j, (b, w) in enumerate(zip(bits, at(words, i))))))
 
-        def readings(i):
-            open_ = sum((F.when(maybe(w), 1 << j).otherwise(0) for j, w in enumerate(at(marked, i))), F.lit(0))
-            return F.transform(F.array(open_), lambda o: F.transform(F.filter(
-                F.sequence(F.lit(1), o), lambda m: m.bitwiseAND(o) == m), lambda m: reading(i, m)))
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item_pos, n, open, hash, item_slots): the windows of the items in all their readings."""
+    rows = benchmark.filter("item_id is not null and text is not null").select("item_id", _marked_tokens(F.col("text")).alias("raw_"))
+    rows = rows.withColumn("words_", F.transform("raw_", lambda w: F.ltrim(F.ltrim(w, F.lit(_NAME)), F.lit(_MAYBE))))
+    rows = rows.withColumn("codes_", _codes(F.col("words_"))).select("*", F.explode(_starts(F.col("words_"))).alias("item_pos"))
+    cut = lambda c: F.slice(c, F.col("item_pos") + 1, F.lit(WINDOW))
+    rows = rows.select("item_id", "item_pos", *[cut(c).alias(c) for c in ("raw_", "words_", "codes_")]).withColumn("n", F.size("words_"))
 
-        every = F.sequence(F.lit(0), count - 1)
-        plain = F.transform(every, lambda i: window(i, at(hashes, i), F.when(slots.isNull(), "").otherwise(F.concat_ws(_SEP, *at(slots, i)))))
-        unsure = F.filter(every, lambda i: F.exists(F.slice(marked, i + 1, F.lit(size)), maybe))
-        return F.when(n > 0, F.concat(plain, F.flatten(F.flatten(F.transform(unsure, readings)))))
+    def bits(marks: list[str]) -> Column:
+        first = [F.substring(F.get("raw_", F.lit(j)), 1, 1) for j in range(WINDOW)]
+        return sum((F.when(c.isin(marks) & ~_is_slot(F.get("codes_", F.lit(j))), 1 << j).otherwise(0) for j, c in enumerate(first)), F.lit(0))
 
-    def bare(marked):
-        return F.transform(marked, lambda w: F.ltrim(w, F.lit(_MAYBE)))
+    readings = F.array(F.lit(0), bits([_NAME]), bits([_NAME, _MAYBE]))
+    allowed = F.when(F.col("n") < WINDOW, F.array(F.lit(0))).otherwise(F.filter(F.array_distinct(readings), lambda m: F.bit_count(m) <= MOST_NAMES))
+    rows = rows.withColumn("open", F.explode(allowed))
+    return rows.select("item_id", "item_pos", "n", "open", "codes_", _window_hash(F.col("codes_"), F.col("open"), F.col("n")).alias("hash"),
+                       _slots(F.col("words_"), F.col("codes_"), F.col("open")).alias("item_slots"))
 
-    # a unit keeps its kind wherever it stands
-    found = _let(_tokens(F.coalesce(F.col(text), F.lit(""))), lambda raw: _let(bare(raw), lambda words: _let(_kinds(words), lambda kinds: _let(
-        F.transform(raw, lambda w, i: F.when(F.get(kinds, i).isNull(), w)), lambda marked: _let(
-            F.transform(words, lambda w, i: F.xxhash64(F.coalesce(F.get(kinds, i), w), F.get(kinds, i).isNull())), lambda hashes: _let(
-                F.when(F.exists(kinds, lambda k: k.isNotNull()), F.transform(words, lambda w, i: F.when(F.get(kinds, i).isNotNull(), w))),
-                lambda slots: of(marked, words, kinds, hashes, slots)))))))
-    return df.select(key, F.explode(found).alias("w_")).select(key, "w_.pos", "w_.hash", "w_.slots")
+
+def _bitmap(codes: DataFrame) -> list[int]:
+    """A bitmap of the numbers in ``c_``, as long integers; its size follows their count within ``BITMAP``."""
+    n = codes.select(F.approx_count_distinct("c_")).first()[0]
+    size = BITMAP[0]
+    while size < min(16 * n, BITMAP[1]):
+        size *= 2
+    bit = F.pmod("c_", F.lit(size))
+    words = codes.select(F.shiftright(bit, 6).alias("w"), F.pmod(bit, F.lit(64)).cast("int").alias("b")).distinct()
+    words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m"))
+    out = [0] * (size // 64)
+    for r in words.collect():  # at most the bitmap's size
+        out[r["w"]] = r["m"]
+    return out
+
+
+def document_windows(docs: DataFrame, key: str, text: str, patterns: list[int], bitmap: list[int]) -> DataFrame:
+    """(key, pos, n, open, hash, slots): the windows of documents that can match, for each pattern of open places that fits."""
+    known = F.array(*[F.lit(x) for x in bitmap])
+    size = 64 * len(bitmap)
+
+    def missing(c: Column) -> Column:
+        bit = F.pmod(c, F.lit(size))
+        return 1 - F.getbit(F.get(known, F.shiftright(bit, 6).cast("int")), F.pmod(bit, F.lit(64)).cast("int")).cast("int")
+
+    most = max(m.bit_count() for m in patterns)
+
+    def unknown(flags: Column, i: Column) -> Column:
+        return sum((F.coalesce(F.get(flags, i + j), F.lit(0)) * (1 << j) for j in range(1, WINDOW)), F.get(flags, i))
+
+    def candidates(words: Column, codes: Column, flags: Column) -> Column:
+        fit = F.filter(F.transform(_starts(words), lambda i: F.struct(i.alias("pos"), unknown(flags, i).alias("unknown"))), lambda x: F.bit_count(x["unknown"]) <= most)
+        return F.transform(fit, lambda x: F.struct(x["pos"].alias("pos"), x["unknown"].alias("unknown"), F.slice(words, x["pos"] + 1, F.lit(WINDOW)).alias("words"), F.slice(codes, x["pos"] + 1, F.lit(WINDOW)).alias("codes")))
+
+    found = _let(_tokens(F.coalesce(F.col(text), F.lit(""))), lambda words: _let(_codes(words), lambda codes: _let(
+        F.transform(codes, missing), lambda flags: candidates(words, codes, flags))))
+    rows = docs.select(key, F.explode(found).alias("w_")).select(key, "w_.*").withColumn("n", F.size("words"))
+    fits = F.filter(F.array(*[F.lit(m) for m in patterns]), lambda m: F.col("unknown").bitwiseAND(F.bitwise_not(m)) == 0)
+    rows = rows.withColumn("open", F.explode(fits))
+    return rows.select(key, "pos", "n", "open", _window_hash(F.col("codes"), F.col("open"), F.col("n")).alias("hash"), _slots(F.col("words"), F.col("codes"), F.col("open")).alias("slots"))
+
+
+def short_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(key_, item_id): stretches between ends of sentences or lines that are a short item, word for word."""
+    line = lambda words: F.concat_ws(" ", words)
+    items = benchmark.filter("item_id is not null and text is not null").select("item_id", _tokens(F.col("text")).alias("t_"))
+    items = items.filter(F.size("t_").between(1, WINDOW - 1)).select("item_id", line(F.col("t_")).alias("t_"))
+    if items.limit(1).count() == 0:
+        return docs.sparkSession.createDataFrame([], "key_ long, item_id long")
+    longest = items.agg(F.max(F.length("t_"))).first()[0]
+    stretches = docs.select("key_", F.explode(F.split("text", _EDGE)).alias("s_")).filter(F.length("s_").between(1, 4 * longest + 16))
+    return stretches.select("key_", line(_tokens(F.col("s_"))).alias("t_")).join(items, "t_").select("key_", "item_id").distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, pos, hash, slots, item_pos, item_slots, places, item_windows) of equal template windows."""
-    benchmark = benchmark.filter("item_id is not null and text is not null").select("item_id", "text")
-    own = windows(benchmark, "item_id", "text")
+    """(key_, item_id, pos, hash, slots, item_pos, item_slots, places, item_windows) of equal template windows."""
+    own = checkpointed(item_windows(benchmark))
+    patterns = sorted(r["open"] for r in own.select("open").distinct().collect()) or [0]  # at most 32
+    bitmap = _bitmap(own.select(F.explode("codes_").alias("c_")))
     # a window that an item repeats stands for all its places
     items = own.groupBy("item_id", "hash").agg(
-        F.min(F.struct(F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))).alias("s_"), F.collect_set("pos").alias("places")).select("item_id", "hash", "s_.*", "places")
-    items = items.join(own.groupBy("item_id").agg(F.countDistinct("pos").alias("item_windows")), "item_id")
-    few = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    found = windows(docs, "doc_id", "text")
-    return found.join(F.broadcast(items) if few else items, "hash")
+        F.min(F.struct("item_pos", "item_slots")).alias("s_"), F.collect_set("item_pos").alias("places")).select("item_id", "hash", "s_.*", "places")
+    items = items.join(own.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows")), "item_id")
+    weight = items.agg(F.sum(F.octet_length("item_slots") + 8 * F.size("places") + 64)).first()[0] or 0
+    found = document_windows(docs, "key_", "text", patterns, bitmap)
+    return found.join(F.broadcast(items) if weight <= BROADCAST_BYTES else items, "hash")
 
 
 def consistent(matched: DataFrame) -> DataFrame:
     """``matched`` without the readings of windows whose slots break the one-to-one mapping of their document and item."""
-    pair = ["doc_id", "item_id", "diag"]
+    pair = ["key_", "item_id", "diag"]
     matched = matched.withColumn("diag", F.col("pos") - F.col("item_pos"))
     # equal templates have as many slots on either side
     slot = matched.filter("item_slots <> ''").select(*pair, "pos", "hash", F.explode(F.arrays_zip(
@@ -144,25 +210,33 @@ def consistent(matched: DataFrame) -> DataFrame:
     return matched.join(broken, [*pair, "pos", "hash"], "left_anti")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with ``key_``, which rows of equal doc_id and text share."""
+    return docs.withColumn("key_", F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int = RUN) -> DataFrame:
-    """(doc_id, item_id, share, run) of contaminated documents and the items that they hold."""
+    """(key_, item_id, share, run) of contaminated rows and the items that they hold."""
+    docs = _keyed(docs).select("key_", "text")
     # the few matches are read several times; the documents only once
-    good = consistent(checkpointed(matches(docs.filter("doc_id is not null"), benchmark)))
-    order = W.partitionBy("doc_id", "item_id", "diag").orderBy("pos")
-    island = good.select("doc_id", "item_id", "diag", "pos").distinct().withColumn("isle", F.col("pos") - F.row_number().over(order))
-    length = island.groupBy("doc_id", "item_id", "diag", "isle").agg(F.count("*").alias("n"))
-    length = length.groupBy("doc_id", "item_id").agg((F.max("n") + WINDOW - 1).alias("run"))
-    cover = good.select("doc_id", "item_id", "item_windows", F.explode("places").alias("place")).groupBy("doc_id", "item_id").agg(
+    good = consistent(checkpointed(matches(docs, benchmark)))
+    order = W.partitionBy("key_", "item_id", "diag").orderBy("pos")
+    island = good.select("key_", "item_id", "diag", "pos", "n").distinct().withColumn("isle", F.col("pos") - F.row_number().over(order))
+    length = island.groupBy("key_", "item_id", "diag", "isle").agg((F.count("*") + F.max("n") - 1).alias("n"))
+    length = length.groupBy("key_", "item_id").agg(F.max("n").alias("run"))
+    cover = good.select("key_", "item_id", "item_windows", F.explode("places").alias("place")).groupBy("key_", "item_id").agg(
         (F.countDistinct("place") / F.max("item_windows")).alias("share"))
-    return cover.join(length, ["doc_id", "item_id"]).filter((F.col("share") >= share) | (F.col("run") >= run))
+    found = cover.join(length, ["key_", "item_id"]).filter((F.col("share") >= share) | (F.col("run") >= run))
+    short = short_matches(docs.filter("text is not null"), benchmark).select("key_", "item_id", F.lit(1.0).alias("share"), F.lit(0).cast("long").alias("run"))
+    return found.unionByName(short).groupBy("key_", "item_id").agg(F.max("share").alias("share"), F.max("run").alias("run"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, contaminated, n_items, item_id (best), share, run."""
     found = leaks(docs, benchmark)
-    best = found.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max(F.struct("share", "run", -F.col("item_id"))).alias("b"))
-    best = best.select("doc_id", "n_items", (-F.col("b.col3")).alias("item_id"), F.col("b.share").alias("share"), F.col("b.run").alias("run"))
-    out = docs.select("doc_id").join(best, "doc_id", "left")
+    best = found.groupBy("key_").agg(F.count("*").alias("n_items"), F.max(F.struct("share", "run", -F.col("item_id"))).alias("b"))
+    best = best.select("key_", "n_items", (-F.col("b.col3")).alias("item_id"), F.col("b.share").alias("share"), F.col("b.run").alias("run"))
+    out = _keyed(docs).select("key_", "doc_id").join(best, "key_", "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", zero).alias("n_items"), "item_id",
                       F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("run", zero).alias("run"))
@@ -170,4 +244,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their own columns."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return _keyed(docs).join(leaks(docs, benchmark).select("key_").distinct(), "key_", "left_anti").select(*docs.columns)

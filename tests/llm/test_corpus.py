@@ -219,3 +219,42 @@ def test_pipeline_on_odd_rows(spark, odd_rows, tmp_path):
         spark.createDataFrame([(0, ITEM)], BENCH).write.mode("overwrite").parquet(f"{path}/benchmark.parquet")
         out = corpus_pipeline.run(spark, path).collect()
         assert bool(out) == bool(rows)
+
+
+def test_copies_in_another_case_and_short_items(spark):
+    long = "How many apples does Anna have left over?"
+    bench = spark.createDataFrame([(0, ITEM), (1, long), (2, "What is 17 + 25?")], BENCH)
+    rows = [(1, f"well, {ITEM.lower()} he said"), (2, f"NOTE {ITEM.upper()} END"), (3, long.lower()), (4, long.upper() + " Well."), (5, long.replace("Anna", "Bob")),
+            (6, "First this. What is 17 + 25? Then that."), (7, "What is 17 + 26?"), (8, "Tell me what is 17 + 25 now"), (9, "a list\nwhat is 17+25\nof lines"),
+            (None, f"hidden {ITEM}"), (None, "clean"), (10, "how few apples does it have left for us today")]
+    got = decontamination.contamination(frame(spark, rows), bench).collect()
+    assert sorted((r["doc_id"], r["contaminated"]) for r in got if r["doc_id"]) == [(i, i not in (8, 10)) for i in range(1, 11)]
+    assert sorted(r["contaminated"] for r in got if r["doc_id"] is None) == [False, True]
+    assert decontamination.clean_documents(frame(spark, rows), bench).count() == 3
+
+
+def test_templates_equal_brute_force(spark):
+    """Re-parameterised items inside other words, and the same with one slot used for two values."""
+    import random
+
+    r = random.Random(21)
+    names, units = ["Anna", "Carl", "Priya", "Zoë", "Mei", "Omar"], ["km", "kg", "miles", "hours"]
+    shapes = ["{0} drives {3} {5} to meet {1} and then walks {4} {5} back home with {2} before dinner is served",
+              "Yesterday {0} bought {3} pens while {1} sold {4} pens, so how many pens did {0} need to give {2} today"]
+    fill = lambda s, who, x, y, u: s.format(*who, x, y, u)
+    items = [fill(s, r.sample(names, 3), 12, 345, "km") for s in shapes]
+    rows, want = [], set()
+    for i in range(120):
+        s, who = r.choice(shapes), r.sample(names, 3)
+        x, y = r.sample(range(1, 999), 2)
+        text = fill(s, who, x, y, r.choice(units) if s is shapes[0] else "")
+        if i % 3 == 1:
+            text = r.choice([str.lower, str.upper])(text)
+        if i % 3 == 2:  # every second word is another: no window is left
+            text = " ".join(w if k % 2 else f"other{k}" for k, w in enumerate(text.split()))
+        else:
+            want.add(i)
+        rows.append((i, " ".join(r.choices(["some", "plain", "words", "7", "home"], k=r.randrange(9))) + " " + text + " and so on"))
+    bench = spark.createDataFrame(list(enumerate(items)), BENCH)
+    got = {x["doc_id"] for x in decontamination.contamination(frame(spark, rows), bench).filter("contaminated").collect()}
+    assert got == want
