@@ -6,10 +6,10 @@ a sentence, or one that begins a sentence. Its windows of ``WINDOW`` tokens are
 open, and with all names open (at most ``MOST_NAMES``); an open place takes any word. So a verbatim copy is
 found in any case of letters, and a re-parameterised one whatever its names look like.
 
-A document's windows are made where they can match: every word must be one of the benchmark's
-(a bitmap of hashes of fixed size says so) but for places that some item window leaves open. Such a window
-is hashed once for each pattern of open places that the benchmark has and that fits, and joined
-with the item windows by hash. The values behind placeholders and open places (slots) of an alignment (a
+A document's windows are made where they can match: a bitmap of bounded size knows the pairs of tokens
+that stand side by side or one apart in an item. A pattern of open places that the benchmark has fits a
+window if all such pairs of its closed places are known. The window is hashed once for each pattern that
+fits, and joined with the item windows by hash. The values behind placeholders and open places (slots) of an alignment (a
 document's window place less the item's) must map the item's values to the document's one to one:
 readings of windows that break the mapping do not count.
 
@@ -36,10 +36,11 @@ from regionloom.session import checkpointed
 WINDOW = 5
 SHARE = 0.8
 RUN = 13
-MOST_NAMES = 3
+#: With two open places of five, two closed ones are always neighbours or one apart.
+MOST_NAMES = 2
 BROADCAST_BYTES = 64 << 20
-#: Bits of the token bitmap: 16 for each different token, between these bounds.
-BITMAP = (1 << 12, 1 << 22)
+#: Bits of the bitmap of pairs: 64 for each different pair, between these bounds.
+BITMAP = (1 << 12, 1 << 20)
 
 # fixed values: units of measure that follow a number
 UNITS = ["%", "percent", "km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "feet", "foot", "inch", "inches", "kg", "g", "mg", "lb", "lbs",
@@ -127,14 +128,20 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                        _slots(F.col("words_"), F.col("codes_"), F.col("open")).alias("item_slots"))
 
 
-def _bitmap(codes: DataFrame) -> list[int]:
-    """A bitmap of the numbers in ``c_``, as long integers; its size follows their count within ``BITMAP``."""
-    n = codes.select(F.approx_count_distinct("c_")).first()[0]
-    size = BITMAP[0]
-    while size < min(16 * n, BITMAP[1]):
+def _pair(a: Column, b: Column, gap: int) -> Column:
+    return F.xxhash64(a, b, F.lit(gap))
+
+
+def _bitmap(own: DataFrame) -> list[int]:
+    """A bitmap of the pairs of neighbours and of tokens one apart in ``codes_``, as long integers."""
+    at = [F.get("codes_", F.lit(j)) for j in range(WINDOW)]
+    pairs = F.array(*[_pair(at[j], at[j + gap], gap) for gap in (1, 2) for j in range(WINDOW - gap)])
+    pairs = own.select(F.explode(pairs).alias("p_"))
+    n, size = pairs.select(F.approx_count_distinct("p_")).first()[0], BITMAP[0]
+    while size < min(64 * n, BITMAP[1]):
         size *= 2
-    bit = F.pmod("c_", F.lit(size))
-    words = codes.select(F.shiftright(bit, 6).alias("w"), F.pmod(bit, F.lit(64)).cast("int").alias("b")).distinct()
+    word, bit = F.shiftrightunsigned("p_", 6).bitwiseAND(size // 64 - 1), F.col("p_").bitwiseAND(63)
+    words = pairs.select(word.alias("w"), bit.cast("int").alias("b")).distinct()
     words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m"))
     out = [0] * (size // 64)
     for r in words.collect():  # at most the bitmap's size
@@ -142,30 +149,42 @@ def _bitmap(codes: DataFrame) -> list[int]:
     return out
 
 
-def document_windows(docs: DataFrame, key: str, text: str, patterns: list[int], bitmap: list[int]) -> DataFrame:
-    """(key, pos, n, open, hash, slots): the windows of documents that can match, for each pattern of open places that fits."""
-    known = F.array(*[F.lit(x) for x in bitmap])
-    size = 64 * len(bitmap)
+def _fitting(patterns: list[int]) -> list[int]:
+    """For each set of known pairs of a window (bit 2j: places j and j+1, bit 2j+1: j and j+2) the numbers of the patterns that fit, as bits."""
+    needs = []
+    for m in patterns:
+        closed = lambda j: j < WINDOW and not m >> j & 1
+        needs.append(sum(1 << (2 * j + gap - 1) for j in range(WINDOW) for gap in (1, 2) if closed(j) and closed(j + gap)))
+    return [sum(1 << i for i, need in enumerate(needs) if need & ~known == 0) for known in range(4 ** (WINDOW - 1))]
 
-    def missing(c: Column) -> Column:
-        bit = F.pmod(c, F.lit(size))
-        return 1 - F.getbit(F.get(known, F.shiftright(bit, 6).cast("int")), F.pmod(bit, F.lit(64)).cast("int")).cast("int")
 
-    most = max(m.bit_count() for m in patterns)
+def document_windows(docs: DataFrame, key: str, text: str, patterns: list[int], bitmap: list[int]) -> DataFrame:
+    """(key, pos, n, open, hash, words, codes): the windows of documents that can match, for each pattern of open places that fits."""
+    bits = F.array(*[F.lit(x).cast("long") for x in bitmap])
+    fitting = F.array(*[F.lit(x) for x in _fitting(patterns)])
+    plain = 1 << patterns.index(0)
 
-    def unknown(flags: Column, i: Column) -> Column:
-        return sum((F.coalesce(F.get(flags, i + j), F.lit(0)) * (1 << j) for j in range(1, WINDOW)), F.get(flags, i))
+    def test(pair: Column) -> Column:
+        word = F.shiftrightunsigned(pair, 6).bitwiseAND(len(bitmap) - 1).cast("int")
+        return F.getbit(F.get(bits, word), pair.bitwiseAND(63).cast("int")).cast("int")
 
-    def candidates(words: Column, codes: Column, flags: Column) -> Column:
-        fit = F.filter(F.transform(_starts(words), lambda i: F.struct(i.alias("pos"), unknown(flags, i).alias("unknown"))), lambda x: F.bit_count(x["unknown"]) <= most)
-        return F.transform(fit, lambda x: F.struct(x["pos"].alias("pos"), x["unknown"].alias("unknown"), F.slice(words, x["pos"] + 1, F.lit(WINDOW)).alias("words"), F.slice(codes, x["pos"] + 1, F.lit(WINDOW)).alias("codes")))
+    def known(codes: Column) -> Column:
+        return F.transform(codes, lambda c, i: test(_pair(c, F.get(codes, i + 1), 1)) + 2 * test(_pair(c, F.get(codes, i + 2), 2)))
 
-    found = _let(_tokens(F.coalesce(F.col(text), F.lit(""))), lambda words: _let(_codes(words), lambda codes: _let(
-        F.transform(codes, missing), lambda flags: candidates(words, codes, flags))))
+    def candidates(words: Column, codes: Column, flags: Column) -> Column:
+        # the last pair of the last place reaches beyond the window and is asked for by no pattern
+        seen = lambda i: sum((F.get(flags, i + j) * 4 ** j for j in range(1, WINDOW - 1)), F.get(flags, i))
+        whole = F.filter(F.transform(_starts(words), lambda i: F.struct(i.alias("pos"), F.get(fitting, seen(i)).alias("fits"))), lambda x: x["fits"] != 0)
+        short = F.array(F.struct(F.lit(0).alias("pos"), F.lit(plain).alias("fits")))
+        found = F.when(F.size(words) >= WINDOW, whole).when(F.size(words) > 0, short)
+        cut = lambda c, x: F.slice(c, x["pos"] + 1, F.lit(WINDOW))
+        return F.transform(found, lambda x: F.struct(x["pos"].alias("pos"), x["fits"].alias("fits"), cut(words, x).alias("words"), cut(codes, x).alias("codes")))
+
+    found = _let(_tokens(F.coalesce(F.col(text), F.lit(""))), lambda words: _let(_codes(words), lambda codes: _let(known(codes), lambda flags: candidates(words, codes, flags))))
     rows = docs.select(key, F.explode(found).alias("w_")).select(key, "w_.*").withColumn("n", F.size("words"))
-    fits = F.filter(F.array(*[F.lit(m) for m in patterns]), lambda m: F.col("unknown").bitwiseAND(F.bitwise_not(m)) == 0)
-    rows = rows.withColumn("open", F.explode(fits))
-    return rows.select(key, "pos", "n", "open", _window_hash(F.col("codes"), F.col("open"), F.col("n")).alias("hash"), _slots(F.col("words"), F.col("codes"), F.col("open")).alias("slots"))
+    each = F.filter(F.array(*[F.struct(F.lit(1 << i).alias("bit"), F.lit(m).alias("open")) for i, m in enumerate(patterns)]), lambda p: F.col("fits").bitwiseAND(p["bit"]) != 0)
+    rows = rows.withColumn("open", F.explode(F.transform(each, lambda p: p["open"])))
+    return rows.select(key, "pos", "n", "open", _window_hash(F.col("codes"), F.col("open"), F.col("n")).alias("hash"), "words", "codes")
 
 
 def short_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -183,15 +202,17 @@ def short_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(key_, item_id, pos, hash, slots, item_pos, item_slots, places, item_windows) of equal template windows."""
     own = checkpointed(item_windows(benchmark))
-    patterns = sorted(r["open"] for r in own.select("open").distinct().collect()) or [0]  # at most 32
-    bitmap = _bitmap(own.select(F.explode("codes_").alias("c_")))
+    patterns = sorted({0} | {r["open"] for r in own.select("open").distinct().collect()})  # at most 16
+    bitmap = _bitmap(own)
     # a window that an item repeats stands for all its places
     items = own.groupBy("item_id", "hash").agg(
         F.min(F.struct("item_pos", "item_slots")).alias("s_"), F.collect_set("item_pos").alias("places")).select("item_id", "hash", "s_.*", "places")
     items = items.join(own.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows")), "item_id")
     weight = items.agg(F.sum(F.octet_length("item_slots") + 8 * F.size("places") + 64)).first()[0] or 0
     found = document_windows(docs, "key_", "text", patterns, bitmap)
-    return found.join(F.broadcast(items) if weight <= BROADCAST_BYTES else items, "hash")
+    found = found.join(F.broadcast(items) if weight <= BROADCAST_BYTES else items, "hash")
+    slots = _slots(F.col("words"), F.col("codes"), F.col("open"))
+    return found.withColumn("slots", slots).drop("words", "codes", "open")
 
 
 def consistent(matched: DataFrame) -> DataFrame:
