@@ -33,6 +33,8 @@ OUTPUT_SHARDS = 16
 SEED = 17
 #: Documents per bucket, the unit within which word offsets are summed.
 BUCKET_DOCS = 1024
+#: Most partitions of drawn slots.
+MOST_RUNS = 1 << 15
 WORD = r"[^\x20\x09-\x0D]+"
 _GAPS = r"[\x20\x09-\x0D]+"
 
@@ -127,7 +129,9 @@ def slots(sources: DataFrame, block: int = BLOCK, shards: int = OUTPUT_SHARDS) -
         .withColumn("last", F.least(F.col("first") + step, F.col("blocks")))
         .select("source_no", "source_size", "blocks", "n_slots", "pass_", "words", "first", "last")
     )
-    rows = rows.repartition(F.col("source_no"), F.col("pass_"), F.col("first"))
+    # a row makes up to ``step`` slots; with a stated number of partitions the planner doesn't merge them by their size
+    words = sources.agg(F.sum(F.greatest("source_size", "target"))).first()[0] or 0
+    rows = rows.repartition(max(1, min(MOST_RUNS, int(words / (block * step)) + sources.count())), "source_no", "pass_", "first")
     return rows.mapInPandas(_slots(block, shards), "source_no long, block long, pass_ int, slot long, shard int, take long")
 
 
