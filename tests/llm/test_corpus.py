@@ -181,6 +181,24 @@ def test_a_full_shard_cuts_at_most_one_small_group(spark, monkeypatch):
     assert (got.groupby(got["doc_id"] // 3)["shard"].nunique() > 1).sum() <= 3
 
 
+def test_every_group_votes(spark):
+    # many small groups and one of a third of all rows, on the shards of all
+    rows = [(20 * g + i, f"text {g} " + "x" * (g % 40)) for g in range(500) for i in range(20)]
+    rows += [(20000 + i, "a hot text of many copies") for i in range(5000)]
+    got = sharding.assign(frame(spark, rows)).toPandas()
+    load = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and load.max() - load.min() < 200
+    small = got[got["doc_id"] < 20000]
+    assert (small.groupby(small["doc_id"] // 20)["shard"].nunique() > 1).sum() <= 46  # an edge of a shard in each of two layouts
+    assert got[got["doc_id"] >= 20000]["shard"].nunique() <= 16
+
+
+def test_exchanges_and_room():
+    # 0 and 1 exchange what both ask for; the rest of what 0 asks for fits into the room of 1
+    assert sharding._flows({(0, 1): 100, (1, 0): 60}, [0.0, 20.0]) == [0.0, 80.0, 60.0, 0.0]
+    assert sharding._flows({(0, 1): 100}, [5.0, -3.0]) == [0.0, 0.0, 0.0, 0.0]
+
+
 def test_shards_of_odd_rows(spark, odd_rows, empty):
     docs = frame(spark, odd_rows).withColumnRenamed("lang", "shard").withColumnRenamed("source", "g1")
     got = sharding.shard_documents(docs).toPandas()
