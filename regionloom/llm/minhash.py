@@ -10,9 +10,10 @@ doc_id. Documents are dealt to ranges of doc_id of about ``RANGE_BYTES`` of text
 of a range also goes to the range before it, the very first to the last. So the texts move once.
 
 *Classes.* Signatures are cut into ``BANDS`` bands of ``ROWS`` bytes; documents that agree in a band meet
-in a cell, where their whole signatures are compared. The links of a maximum spanning forest per cell are
-verified by the exact Jaccard index of the shingles and joined to components. A link that fails may have
-hidden others: its cells choose anew among the pairs that are neither joined nor checked, and after
+in a cell. First each document is linked with one likely document that comes first in one of its cells, so
+large groups are joined at one row a document. In the cells that still hold several components the whole
+signatures are compared, and the links of a maximum spanning forest are chosen. All links are verified by the
+exact Jaccard index of the shingles and joined to components. A link that fails may have hidden others: its cells choose anew among the pairs that are neither joined nor checked, and after
 ``FORESTS`` rounds all that are left are checked. Equal signatures are one entry.
 
 Defined cases: a null text is empty; texts without words have the same fingerprint, ff in all
@@ -220,13 +221,24 @@ def _cell_links(choose):
             sig = np.frombuffer(b"".join(cell["sig"]), np.uint8).reshape(-1, PERMS)
             left, right = block == x, block != x
             right = right if right.any() else left
-            bad = [np.flatnonzero(np.isin(node, f)) if f is not None and len(f) else np.zeros(0, np.int64) for f in cell["failed"]]
+            bad = _failed_places(node, cell["failed"])
             for i, j in choose(sig, left, right, cell["root"].to_numpy(), bad):
                 out.add((int(min(node[i], node[j])), int(max(node[i], node[j]))))
         return pd.DataFrame(sorted(out), columns=["u", "v"], dtype="int64")
     return run
 
 
+def _failed_places(node: np.ndarray, failed) -> list[np.ndarray]:
+    """For each row of a cell the rows that it failed with; one end of a failed pair names the other."""
+    out: list[list[int]] = [[] for _ in node]
+    for i, names in enumerate(failed):
+        if names is not None and len(names):
+            for j in np.flatnonzero(np.isin(node, names)).tolist():
+                out[i].append(j)
+                out[j].append(i)
+    return [np.array(x, np.int64) for x in out]
+
+
 def _marked(ids: DataFrame) -> np.ndarray:
     """A table of ``MARKS`` bits, set at the hashes of the ids: what a text must pass before it is moved."""
     at = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)) + 1
@@ -272,36 +284,66 @@ def _checked(docs: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(pairs.mapInArrow(_jaccard_batches, "u long, v long, good boolean"))
 
 
+def _likely_batches(batches):
+    """Of pairs with both signatures those that are likely near duplicates."""
+    for batch in batches:
+        one, two = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, PERMS) for c in ("a", "b"))
+        yield batch.filter(pa.array(likeness(one, two) >= LIKELY)).select(["u", "v"])
+
+
+def _pivot_links(shared: DataFrame, per_sig: DataFrame) -> DataFrame:
+    """(u, v): each node v with the smallest likely one among the first nodes of its cells."""
+    pairs = shared.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
+    full = pairs.join(per_sig.select(F.col("node").alias("v"), F.col("sig").alias("b")).hint("merge"), "v").join(
+        per_sig.select(F.col("node").alias("u"), F.col("sig").alias("a")).hint("merge"), "u")
+    return full.mapInArrow(_likely_batches, "u long, v long").groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+
+
+def _mixed_cells(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, block, x, y): the rows of cells that hold several roots, once for each pair of blocks they are compared in.
+
+    In a cell of more than ``CELL`` rows those of the most frequent root have blocks of their own; as they are
+    joined already, these blocks meet the other rows' blocks only.
+    """
+    members = shared.select("key", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
+    wide = F.col("n") > CELL
+    blocks_of = lambda n: F.ceil(n / F.lit(CELL)).cast("int")
+    cells = (members.join(mixed.hint("merge"), "key").withColumn("top_", wide & (F.col("root") == F.col("top.root")))
+             .withColumn("few", F.when(wide, blocks_of(F.col("n") - F.col("top.n"))).otherwise(1))
+             .withColumn("many", F.when(wide, blocks_of(F.col("top.n"))).otherwise(0)))
+    block = F.when(F.col("top_"), F.col("few") + F.pmod(F.xxhash64("node"), F.greatest("many", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("few")))
+    meets = F.when(F.col("top_"), F.col("few")).otherwise(F.col("few") + F.col("many"))
+    return cells.withColumn("block", block.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1))).select(
+        "key", "node", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) of the documents that have an equal or near duplicate with a smaller doc_id."""
     named = checkpointed(prints(docs).filter("doc_id is not null"))
     per_sig = checkpointed(named.groupBy("sig").agg(F.min("doc_id").alias("node")))
     bands = per_sig.select("node", "sig").mapInArrow(_band_batches, "node long, key long")
-    sizes = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / F.lit(CELL)).cast("int")
-    cells = (bands.join(sizes.hint("merge"), "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", "node", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")))
-    cells = checkpointed(cells)
-    good, failed, roots = None, None, None
-    active = cells
+    firsts = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1").select("key", "pivot")
+    shared = checkpointed(bands.join(firsts.hint("merge"), "key"))
+    # copies of one text meet in nearly all their cells: one link each joins most of them, at one row a document
+    checked = _checked(docs, checkpointed(_pivot_links(shared, per_sig)))
+    good, failed = checked.filter("good").select("u", "v"), checked.filter("not good").select("u", "v")
+    roots = star_components(good, "u", "v")
+    cells = active = checkpointed(_mixed_cells(shared, roots))
     for turn in range(FORESTS + 1):
-        full = active.join(per_sig.hint("merge"), "node")
-        if turn:
-            over = failed.union(failed.select("v", "u")).groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("failed"))
-            full = full.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(over, "node", "left")
-        else:
-            full = full.withColumn("root", F.col("node")).withColumn("failed", F.lit(None).cast("array<long>"))
+        over = failed.groupBy(F.col("v").alias("node")).agg(F.collect_list("u").alias("failed"))
+        full = active.join(per_sig.hint("merge"), "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        full = full.join(over.hint("merge"), "node", "left")
         shards = max(1, -(-active.count() // 4000))
         full = full.withColumn("shard", F.pmod(F.xxhash64("key", "x", "y"), F.lit(shards)))
         choose = _forest if turn < FORESTS else _rest
         links = checkpointed(full.groupBy("shard").applyInPandas(_cell_links(choose), "u long, v long").distinct())
-        if turn and not links.limit(1).count():
+        if not links.limit(1).count():
             break
         checked = _checked(docs, links)
         bad = checked.filter("not good").select("u", "v")
-        passed = checked.filter("good").select("u", "v")
-        good, failed = (good.union(passed), failed.union(bad)) if turn else (passed, bad)
+        good, failed = good.union(checked.filter("good").select("u", "v")), failed.union(bad)
         roots = star_components(good, "u", "v")
         if turn == FORESTS or not bad.limit(1).count():
             break

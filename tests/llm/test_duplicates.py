@@ -198,6 +198,26 @@ def test_minhash_of_texts_and_their_edits(spark, documents, monkeypatch, sf):
     assert [classes[d] for d in ids] == [ids[top(i)] for i in range(len(ids))]
 
 
+def test_minhash_classes_of_cells_with_several_components(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CELL", 8)
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(70):  # a large group around one text, and texts that drift away from it
+        words = list(base)
+        for at in rng.choice(120, rng.integers(0, 7), replace=False):
+            words[at] = f"x{rng.integers(1000)}"
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(frame(spark, list(enumerate(texts)))).collect()}
+    root = list(range(len(texts)))
+    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jaccard(texts[a], texts[b]) >= 0.8]
+    for _ in texts:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    assert 1 < len(set(root)) < 60
+    assert [got.get(i, i) for i in range(len(texts))] == root
+
+
 def test_minhash_odd_rows(spark, odd_rows, empty):
     docs = frame(spark, odd_rows)
     got = minhash.fingerprints(docs).collect()
