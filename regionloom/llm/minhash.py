@@ -28,6 +28,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from regionloom.llm.components import star_components
@@ -94,8 +95,19 @@ def _ranges(docs: DataFrame) -> list[int]:
     return sorted({int(stats["low"]), *map(int, cuts)})
 
 
+def _packed(rows: pa.Table) -> bytes:
+    """Rows as one compressed Arrow stream: the texts are most of what this operator moves."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
 def _deal(bounds: list[int]):
-    """Each document to its range; the first of a range also to the range before, as the next document there."""
+    """Each document to its range; the first of a range also to the range before, as the next document there.
+
+    Documents of one batch and range travel as one packed row.
+    """
     edges = np.array(bounds, np.int64)
 
     def run(batches):
@@ -103,11 +115,17 @@ def _deal(bounds: list[int]):
             ids = batch["doc_id"].cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
             part = np.maximum(np.searchsorted(edges, ids, "right") - 1, 0)
             opens = np.flatnonzero(ids == edges[part])
-            rows = pa.array(np.concatenate([np.arange(len(ids)), opens]))
-            before = (part[opens] - 1) % len(edges)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch["doc_id"].cast(pa.int64()).take(rows), "text": batch["text"].take(rows),
-                "part": pa.array(np.concatenate([part, before])), "follows": pa.array(np.concatenate([np.zeros(len(ids), bool), np.ones(len(opens), bool)]))})
+            parts = np.concatenate([part, (part[opens] - 1) % len(edges)])
+            order = np.argsort(parts, kind="stable")
+            rows = np.concatenate([np.arange(len(ids)), opens])[order]
+            follows = (np.arange(len(parts)) >= len(ids))[order]
+            parts = parts[order]
+            cuts = np.flatnonzero(np.diff(parts)) + 1
+            for at in np.split(np.arange(len(parts)), cuts) if len(parts) else []:
+                take = pa.array(rows[at])
+                table = pa.table({"doc_id": batch["doc_id"].cast(pa.int64()).take(take), "text": batch["text"].cast(pa.large_string()).take(take),
+                                  "follows": pa.array(follows[at])})
+                yield pa.RecordBatch.from_pydict({"part": pa.array(parts[at[:1]]), "rows": pa.array([_packed(table)], pa.binary())})
     return run
 
 
@@ -117,6 +135,9 @@ _COLUMNS = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string
 
 def _compare(rows: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
     """Fingerprints of a range's documents, their edited texts and their next documents."""
+    if not len(rows):
+        return pd.DataFrame(columns=[c.split()[0] for c in _COLUMNS.split(", ")])
+    rows = pa.concat_tables([pa.ipc.open_stream(r).read_all() for r in rows["rows"]]).to_pandas()
     rows = rows.assign(key=rows["doc_id"].fillna(_LAST).astype("int64"), text=rows["text"].fillna(""))
     own = rows[~rows["follows"].astype(bool)].sort_values(["key", "text"], kind="stable")
     after = rows[rows["follows"].astype(bool)].sort_values(["key", "text"], kind="stable")
@@ -157,7 +178,7 @@ def fingerprints(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame
     if classes is None:
         classes = docs.sparkSession.createDataFrame([], "doc_id long, class_id long")
     bounds = _ranges(docs)
-    dealt = docs.mapInArrow(_deal(bounds), "doc_id long, text string, part long, follows boolean")
+    dealt = docs.mapInArrow(_deal(bounds), "part long, rows binary")
     named = classes.mapInArrow(_placed(bounds), "doc_id long, class_id long, part long")
     return dealt.groupBy("part").cogroup(named.groupBy("part")).applyInPandas(_compare, _COLUMNS)
 
@@ -252,18 +273,23 @@ def _marked(ids: DataFrame) -> np.ndarray:
 
 def _keep_marked(table: np.ndarray):
     def run(batches):
+        pack = zstandard.ZstdCompressor()
         for batch in batches:
             at = batch["at"].to_numpy()
-            yield batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).select(["doc_id", "text"])
+            kept = batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            zipped = [pack.compress((t or "").encode()) for t in kept["text"].to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": kept["doc_id"], "zipped": pa.array(zipped, pa.binary())})
     return run
 
 
 def _jaccard_batches(batches):
+    unpack = zstandard.ZstdDecompressor()
     for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):  # few sets at a time
         sets: list[list[np.ndarray]] = []
         for name in ("a", "b"):
             sets.append([])
-            for i, j, hashes, first in _shingles(batch[name]):
+            texts = pa.array([unpack.decompress(z).decode() for z in batch[name].to_pylist()], pa.large_string())
+            for i, j, hashes, first in _shingles(texts):
                 sets[-1] += [np.unique(hashes[first[r]:first[r + 1]]) for r in range(j - i)]
         common = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*sets)]
         good = [c >= THRESHOLD * (len(a) + len(b) - c) for c, a, b in zip(common, *sets)]
@@ -278,9 +304,9 @@ def _checked(docs: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(F.col("u").alias("doc_id")).union(links.select("v")).distinct()
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)))
-    texts = rows.mapInArrow(_keep_marked(_marked(ends)), "doc_id long, text string").dropDuplicates(["doc_id"])
-    pairs = links.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")).hint("merge"), "u").join(
-        texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")).hint("merge"), "v")
+    texts = rows.mapInArrow(_keep_marked(_marked(ends)), "doc_id long, zipped binary").dropDuplicates(["doc_id"])
+    pairs = links.join(texts.select(F.col("doc_id").alias("u"), F.col("zipped").alias("a")).hint("merge"), "u").join(
+        texts.select(F.col("doc_id").alias("v"), F.col("zipped").alias("b")).hint("merge"), "v")
     return checkpointed(pairs.mapInArrow(_jaccard_batches, "u long, v long, good boolean"))
 
 
