@@ -11,8 +11,12 @@ from regionloom.plans.bins import (
 
 
 def repeat_per_hit(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Each row of ``a`` once per overlapping ``b`` row."""
-    return overlap_pairs(a, b).select(*a.columns)
+    """Each row of ``a`` once per overlapping ``b`` row; hits are counted, then rows repeated, without pairs."""
+    step = 4096  # a row is repeated in parts, so that a pile-up needs no long array
+    counted = a.join(overlap_counts(a, b, out="n_"), KEY)
+    parts = counted.withColumn("p_", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_") - 1) / step))))
+    here = F.least(F.lit(step).cast("long"), F.col("n_") - F.col("p_") * step)
+    return parts.select(*a.columns, F.explode(F.sequence(F.lit(1).cast("long"), here)).alias("p_")).select(*a.columns)
 
 
 def left_with_slop(a: DataFrame, b: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
