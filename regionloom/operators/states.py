@@ -8,47 +8,49 @@ from regionloom.functions.coords import midpoint, region_id, slop
 from regionloom.functions.vectors import vflank_normalise
 from regionloom.operators.annotate import decimal_code
 from regionloom.operators.transforms import exact_percentiles
-from regionloom.plans.bins import KEY, overlap_anti, overlap_pairs
-from regionloom.plans.scan import numbered
+from regionloom.plans.bins import KEY, MERGE_SHIFT, hit_intervals, overlap_anti, overlap_pairs
+from regionloom.plans.ranked import first_overlap
+from regionloom.plans.scan import Running, carried_all, numbered
+from regionloom.plans.small import small_grid
 from regionloom.session import checkpointed
 
 NO_MARK = 9  # fixed value: code of a region without the mark
 MIDDLE = 4   # fixed value: code of a mark that does not change
 
 
-def mark_choice(mode: str) -> Column:
-    """The chosen code among the marks that overlap one region, as an aggregate.
+def chosen_marks(keys: DataFrame, marks: DataFrame, mode: str, by: list[str] | None = None) -> DataFrame:
+    """The code of the chosen mark (``b_code``) among those that overlap one region.
 
     ``width``: the smallest width difference (mark minus region), the later mark among equals.
     ``most_diff``: the code farthest from the middle, codes past 8 ignored, the first among equals.
+    For one region the widths of the marks decide, so both are orders of the marks alone.
     """
-    place = F.struct("b_start", "b_stop", "b_code")
     if mode == "width":
-        diff = (F.col("b_stop") - F.col("b_start")) - (F.col("stop") - F.col("start"))
-        return F.max(F.struct((-diff).alias("k"), place.alias("p"), F.col("b_code").alias("code"))).getField("code")
-    if mode == "most_diff":
-        far = F.abs(F.col("b_code") - MIDDLE)
-        far = F.when(far > MIDDLE, 0).otherwise(far)
-        return F.min(F.struct((-far).alias("k"), place.alias("p"), F.col("b_code").alias("code"))).getField("code")
-    raise ValueError(f"unknown mode {mode}")
+        ranked, order = marks.withColumn("by_", F.col("stop") - F.col("start")), ["by_", "-start", "-stop", "-code"]
+    elif mode == "most_diff":
+        far = F.abs(F.col("code") - MIDDLE)
+        ranked, order = marks.withColumn("by_", -F.when(far > MIDDLE, 0).otherwise(far)), ["by_", "start", "stop", "code"]
+    else:
+        raise ValueError(f"unknown mode {mode}")
+    return first_overlap(keys, ranked, order, by)
 
 
 def nearest_mark(regions: DataFrame, marks: DataFrame, sizes: DataFrame, n: int, mode: str) -> DataFrame:
     """A14 with J04: one code per region, 9 where no mark (grown by ``n``) overlaps."""
     keys = regions.select(*KEY).distinct()
-    found = overlap_pairs(keys, slop(marks.select(*KEY, "code"), sizes, n)).groupBy(*KEY).agg(mark_choice(mode).alias("code"))
+    found = chosen_marks(keys, slop(marks.select(*KEY, "code"), sizes, n), mode).select(*KEY, F.col("b_code").alias("code"))
     return keys.join(found, KEY, "left").fillna(NO_MARK, ["code"])
 
 
 def histone_overlaps(regions: DataFrame, marks: DataFrame, sizes: DataFrame, names: list[str], n: int, mode: str) -> DataFrame:
-    """The code of every mark for each region and their decimal code, all marks in one join.
+    """The code of every mark for each region and their decimal code, all marks in one search.
 
     ``marks`` has a column ``mark``; the first name is the most significant digit.
     """
     keys = regions.select(*KEY).distinct()
-    pairs = overlap_pairs(keys, slop(marks.select(*KEY, "mark", "code"), sizes, n))
-    chosen = pairs.groupBy(*KEY, "b_mark").agg(mark_choice(mode).alias("code"))
-    wide = chosen.groupBy(*KEY).agg(*[F.max(F.when(F.col("b_mark") == m, F.col("code"))).alias(m) for m in names])
+    asked = keys.withColumn("mark", F.explode(F.array(*[F.lit(m) for m in names])))
+    chosen = chosen_marks(asked, slop(marks.select(*KEY, "mark", "code"), sizes, n), mode, ["mark"])
+    wide = chosen.groupBy(*KEY).agg(*[F.max(F.when(F.col("mark") == m, F.col("b_code"))).alias(m) for m in names])
     full = keys.join(wide, KEY, "left").fillna(NO_MARK, names)
     return full.withColumn("id", region_id()).withColumn("state", decimal_code([F.col(m) for m in reversed(names)]))
 
@@ -152,11 +154,20 @@ def profiles(points: DataFrame, reads: DataFrame, sizes: DataFrame, group: str,
     size = 2 * extend // bins
     windows = points.select("chrom", F.col("start"), F.col("stop"), "gene_id").withColumn("mid", midpoint())
     windows = slop(windows.withColumns({"start": F.col("mid"), "stop": F.col("mid")}), sizes, extend)
-    spots = reads.groupBy("chrom", F.col("start"), (F.col("start") + 1).alias("stop"), group).agg(F.count("*").alias("w"))
-    hits = overlap_pairs(windows, spots)
-    bin_no = F.floor((F.col("b_start") - F.col("mid") + extend) / size)
-    counts = hits.groupBy("gene_id", F.col(f"b_{group}").alias(group)).agg(
-        F.array(*[F.sum(F.when(bin_no == i, F.col("b_w")).otherwise(0)).cast("double") for i in range(bins)]).alias("profile"))
+    edge = F.greatest("start", F.least(F.col("stop"), F.col("mid") - extend + F.col("i_") * size))
+    edges = windows.filter(F.col("chrom").isNotNull()).withColumn("i_", F.explode(F.sequence(F.lit(0), F.lit(bins)))).select(
+        "gene_id", "chrom", "i_", edge.alias("x_"))
+    # reads before each edge of a bin, by one running sum per group value: no pairs of points and reads
+    n = [f"n{g}_" for g in range(len(groups))]
+    spots = reads.filter(F.col("chrom").isNotNull() & F.col("start").isNotNull()).groupBy("chrom", F.col("start").alias("x_")).agg(
+        *[F.count_if(F.col(group) == v).alias(c) for v, c in zip(groups, n)])
+    asked = edges.select("chrom", "x_").distinct().withColumn("kind_", F.lit(0))
+    events = asked.unionByName(spots.withColumn("kind_", F.lit(1)), allowMissingColumns=True).withColumn("bin_", F.shiftright("x_", MERGE_SHIFT))
+    sums = carried_all(events, ["chrom"], "bin_", ["x_", "kind_"], [Running(F.coalesce(c, F.lit(0)), "sum", f"{c}upto_") for c in n])
+    rows = edges.join(sums.filter("kind_ = 0").select("chrom", "x_", *[f"{c}upto_" for c in n]), ["chrom", "x_"])
+    within = lambda c, i: F.sum(F.when(F.col("i_") == i + 1, F.col(c)).when(F.col("i_") == i, -F.col(c)).otherwise(0)).cast("double")
+    per = rows.groupBy("gene_id").agg(*[F.array(*[within(f"{c}upto_", i) for i in range(bins)]).alias(c) for c in n])
+    counts = per.select("gene_id", F.inline(F.array(*[F.struct(F.lit(v).alias(group), F.col(c).alias("profile")) for v, c in zip(groups, n)])))
     grid = points.select("gene_id", F.explode(F.array(*[F.lit(g) for g in groups])).alias(group))
     empty = F.array_repeat(F.lit(0.0), bins)
     return grid.join(counts, ["gene_id", group], "left").withColumn("profile", F.coalesce("profile", empty))
