@@ -222,6 +222,12 @@ def rich_domains(domains: DataFrame, peaks: DataFrame, least: int = 3) -> DataFr
     return domains.select(*KEY).join(overlap_counts(domains, peaks), KEY).filter(F.col("n") >= least)
 
 
+def _best_initial(df: DataFrame) -> DataFrame:
+    """Per interval the initial peak with the best score, the first one among equals."""
+    best = df.groupBy(*KEY).agg(F.min(F.struct("s_", "init_start", "init_stop")).alias("b_"))
+    return best.select(*KEY, "b_.s_", "b_.init_start", "b_.init_stop")
+
+
 def spread_genes(domains: DataFrame, initial: DataFrame, receiving: DataFrame, tss: DataFrame, sizes: DataFrame,
                  threshold: int, spread_bp: int, increase: bool = True) -> DataFrame:
     """Genes next to marks that moved in a domain larger than its first-day peak.
@@ -236,13 +242,16 @@ def spread_genes(domains: DataFrame, initial: DataFrame, receiving: DataFrame, t
     spread = pairs.filter(grown > threshold).select(
         *KEY, F.col("b_start").alias("init_start"), F.col("b_stop").alias("init_stop"), F.col("b_score").alias("score"))
     moves = (F.col("b_code") < MIDDLE) if increase else ((F.col("b_code") > MIDDLE) & (F.col("b_code") < NO_MARK))
+    # of a domain's initial peaks only the best one can be any gene's; the same holds for a receiving region
+    spread = _best_initial(spread.withColumn("s_", -F.col("score")))
     got = overlap_pairs(spread, receiving.select(*KEY, "code")).filter(moves)
-    got = got.select("chrom", F.col("b_start").alias("start"), F.col("b_stop").alias("stop"), "init_start", "init_stop", "score").distinct()
-    hits = overlap_pairs(tss.select(*KEY, "gene_id", "strand"), slop(got, sizes, spread_bp))
+    got = _best_initial(got.select("chrom", F.col("b_start").alias("start"), F.col("b_stop").alias("stop"), "s_", "init_start", "init_stop"))
+    near = first_overlap(tss, slop(got, sizes, spread_bp), ["s_", "init_start", "init_stop"])
+    hits = tss.select(*KEY, "gene_id", "strand").join(near, KEY)
     mid = F.col("b_init_start") + F.floor((F.col("b_init_stop") - F.col("b_init_start")) / 2)
     away = F.when(F.col("strand") == "-", mid - F.col("start")).otherwise(F.col("start") - mid)
     best = hits.groupBy("gene_id").agg(F.min(F.struct(
-        (-F.col("b_score")).alias("s"), "b_init_start", "b_init_stop", "chrom", "start", "strand", away.alias("init_to_tss"))).alias("b_"))
+        F.col("b_s_").alias("s"), "b_init_start", "b_init_stop", "chrom", "start", "strand", away.alias("init_to_tss"))).alias("b_"))
     return best.select("gene_id", "b_.chrom", "b_.start", "b_.strand", (-F.col("b_.s")).alias("score"), "b_.init_to_tss").orderBy("init_to_tss", "gene_id")
 
 
@@ -258,7 +267,8 @@ def fold_change_groups(regions: DataFrame, tss_groups: DataFrame) -> DataFrame:
 
     ``regions`` carries ``foldchange``, ``tss_groups`` a column ``group``.
     """
-    near = overlap_pairs(regions, tss_groups.select(*KEY, "group")).select(*regions.columns, F.col("b_group").alias("group")).distinct()
+    keys = small_grid(regions.select(*KEY).distinct(), tss_groups.select("group").distinct())
+    near = regions.join(hit_intervals(keys, tss_groups, by=["group"]), KEY).select(*regions.columns, "group").distinct()
     return near.unionByName(overlap_anti(regions, tss_groups).withColumn("group", F.lit("distal")))
 
 
