@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from regionloom.functions.coords import region_id, slop
 from regionloom.functions.vectors import vpearson
 from regionloom.operators.sets import mirrored
-from regionloom.plans.bins import KEY, merge_intervals, overlap_pairs
+from regionloom.plans.bins import KEY, merge_intervals, overlap_counts, overlap_pairs
+from regionloom.plans.ranked import largest_overlap
 from regionloom.plans.small import small_grid
 
 END = {"src": ["src_start", "src_stop"], "dst": ["dst_start", "dst_stop"]}
@@ -24,11 +25,9 @@ def most_overlapping(a: DataFrame, master: DataFrame) -> DataFrame:
 
     Intervals without a master keep their own coordinates. Adds m_start, m_stop.
     """
-    keys = a.select(*KEY).distinct()
-    best = overlap_pairs(keys, master.select(*KEY)).groupBy(*KEY).agg(
-        F.max(F.struct("overlap", -F.col("b_start"), -F.col("b_stop"))).alias("m_"))
-    return keys.join(best, KEY, "left").select(
-        *KEY, F.coalesce(-F.col("m_.col2"), "start").alias("m_start"), F.coalesce(-F.col("m_.col3"), "stop").alias("m_stop"))
+    best = largest_overlap(a, master)
+    return a.select(*KEY).distinct().join(best, KEY, "left").select(
+        *KEY, F.coalesce("b_start", "start").alias("m_start"), F.coalesce("b_stop", "stop").alias("m_stop"))
 
 
 def reconcile(links: DataFrame, master: DataFrame | None = None, min_overlap: int = 200) -> DataFrame:
@@ -130,6 +129,23 @@ def linked_genes(regions: DataFrame, links: DataFrame, tss: DataFrame, sizes: Da
         F.sum("score").alias("score"), F.sum("n_links").alias("n_links"))
 
 
+def linked_gene_scores(regions: DataFrame, links: DataFrame, tss: DataFrame, sizes: DataFrame, extend: int = 0,
+                       by: list[str] | None = None) -> DataFrame:
+    """Score per gene (and ``by``) of ``linked_genes`` with ``gene_scores``, without its region to gene rows.
+
+    A link's score counts once for each region at its near end, so regions are counted per near end first, and
+    scores added up per far end before any gene is looked for.
+    """
+    by = by or []
+    near = links.select("chrom", F.col("src_start").alias("start"), F.col("src_stop").alias("stop"), "dst_start", "dst_stop", "score")
+    hits = overlap_counts(near, regions.withColumn("by_", F.struct(*by) if by else F.lit(0)), by=["by_"], dense=True)
+    ends = near.join(hits, KEY).groupBy("by_", "chrom", F.col("dst_start").alias("start"), F.col("dst_stop").alias("stop")).agg(
+        F.sum(F.col("score") * F.col("n")).alias("score"))
+    grown = slop(ends, sizes, extend) if extend else ends
+    found = overlap_pairs(grown, tss.select(*KEY, "gene_id")).groupBy("by_", F.col("b_gene_id").alias("gene_id")).agg(F.sum("score").alias("score"))
+    return found.select(*[F.col(f"by_.{c}").alias(c) for c in by], "gene_id", "score")
+
+
 def gene_scores(linked: DataFrame, by: list[str] | None = None, genes: DataFrame | None = None,
                 min_score: float | None = None) -> DataFrame:
     """Score and number of linked regions per gene, optionally limited to listed genes and a score above a cut.

@@ -169,11 +169,11 @@ def multiplicity_enrichment(hits: DataFrame, links: DataFrame, tss: DataFrame, s
     its link score is above ``min_score`` and its vector follows the mean of the regions with at least n hits (J31).
     All motifs and counts are one job.
     """
-    from regionloom.operators.links import correlated_genes, gene_scores, linked_genes
+    from regionloom.operators.links import correlated_genes, linked_gene_scores
     from regionloom.operators.statistics import over_representation
     by = ["motif", "n"]
     regions = multiplicity_sets(hits.drop("vector"), max_count, min_regions)
-    genes = gene_scores(linked_genes(regions, links, tss, sizes, extend, by), by, min_score=min_score)
+    genes = linked_gene_scores(regions, links, tss, sizes, extend, by).filter(F.col("score") > min_score)
     kept = correlated_genes(genes, gene_vectors, nested_means(hits, "vector", points, max_count), r_min, r_sig, by=by)
     tested = over_representation(kept, background, sets, by)
     return tested.filter(F.col("p_value") < p_max).groupBy("motif").agg(F.max("n").alias("max_enriched"))
@@ -216,12 +216,12 @@ def syntax_enrichment(pairs: DataFrame, links: DataFrame, tss: DataFrame, sizes:
 
     ``pairs`` has the region's place. Arrangements with fewer than ``min_rows`` examples are left out.
     """
-    from regionloom.operators.links import gene_scores, linked_genes
+    from regionloom.operators.links import linked_gene_scores
     from regionloom.operators.statistics import over_representation
     rows = syntax_classes(pairs)
     big = rows.groupBy("class").agg(F.count("*").alias("n_")).filter(F.col("n_") >= min_rows).drop("n_")
     regions = rows.join(big, "class").select("chrom", "start", "stop", "class").distinct()
-    genes = gene_scores(linked_genes(regions, links, tss, sizes, extend, ["class"]), ["class"], min_score=min_score)
+    genes = linked_gene_scores(regions, links, tss, sizes, extend, ["class"]).filter(F.col("score") > min_score)
     return over_representation(genes, background, sets, ["class"])
 
 
