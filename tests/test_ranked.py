@@ -148,3 +148,43 @@ def test_linked_gene_scores_equal_the_rows_added_up(spark):
     out = links.linked_gene_scores(regions, tie, tss, sizes, 50, ["k"])
     assert "region_id" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in rows.collect()} and rows.count() > 10
+
+
+def linked_frames(spark, seed, gene):
+    """Regions of all lengths with copies, links with copies and null scores, and TSS rows named by ``gene``."""
+    r = random.Random(seed)
+    spots = lambda n, longest: [(c, s := r.randrange(3_000_000), s + r.choice([1, 90, 600, longest])) for c in ("chr1", "chr2") for _ in range(n)]
+    regions = [(*x, r.choice([1, 2, None])) for x in [*spots(300, 9000), *spots(4, 900_000)]]
+    near, far = [x for x in spots(150, 70_000) for _ in range(r.choice([1, 1, 2]))], spots(700, 40_000)
+    ties = [(c, s, e, f[1], f[2], r.choice([None, 0.1, 1.7, 2.3])) for (c, s, e), f in zip(near, far)]
+    tss = [(c, s, s + 1, gene(i)) for i, (c, s, _) in enumerate(spots(400, 1))]
+    tss += [(None, 5, 6, "g1"), ("chr1", None, None, "g2"), *tss[:5]]
+    sizes = spark.createDataFrame([("chr1", 3_000_000), ("chr2", 3_000_000)], "chrom string, size bigint")
+    links_ = spark.createDataFrame(ties, "chrom string, src_start bigint, src_stop bigint, dst_start bigint, dst_stop bigint, score double")
+    return frame(spark, regions + regions[:9], "k int"), links_, frame(spark, tss, "gene_id string"), sizes
+
+
+@pytest.mark.parametrize("gene", [lambda i: f"g{i}", lambda i: None if i % 50 == 3 else f"g{i % 600}"], ids=["single", "several"])
+@pytest.mark.parametrize("by", [[], ["k"]], ids=["all", "by"])
+def test_linked_gene_counts_equal_the_counted_rows(spark, gene, by):
+    regions, ties, tss, sizes = linked_frames(spark, 21, gene)
+    rows = links.linked_genes(regions, ties, tss, sizes, 700, by)
+    want = {tuple(r[:-2]): (r["score"], r["n_regions"]) for r in links.gene_scores(rows, by).collect()}
+    out = links.linked_gene_counts(regions, ties, tss, sizes, 700, by)
+    got = {tuple(r[:-2]): (r["score"], r["n_regions"]) for r in out.collect()}
+    assert got.keys() == want.keys() and len(want) > 100
+    for k, (score, n) in want.items():
+        assert got[k] == (score if score is None else pytest.approx(score), n)
+
+
+@pytest.mark.parametrize("gene", [lambda i: f"g{i}", lambda i: None if i % 50 == 3 else f"g{i % 600}"], ids=["single", "several"])
+def test_linked_pairs_are_each_made_once(spark, gene):
+    regions, ties, tss, sizes = linked_frames(spark, 22, gene)
+    want = sorted(map(repr, links.linked_genes(regions, ties, tss, sizes, 700).select("gene_id", "region_id").collect()))
+    assert sorted(map(repr, links.linked_pairs(regions, ties, tss, sizes, 700).collect())) == want and len(want) > 300
+
+
+def test_linked_gene_counts_make_no_pairs(spark):
+    regions, ties, tss, sizes = linked_frames(spark, 23, lambda i: f"g{i}")
+    plan = links.linked_gene_counts(regions, ties, tss, sizes, 700)._jdf.queryExecution().optimizedPlan().toString()
+    assert "region_id" not in plan and "b_start" not in plan
