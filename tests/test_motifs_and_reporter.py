@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from regionloom.operators import motifs as mo, reporter as rp
 from regionloom.operators.states import nearest_mark
@@ -140,3 +141,31 @@ def test_averages_skip_missing_replicates(spark):
     assert [(x.day, x.value) for x in out] == [("d0", 7.0)]
     assert rp.background_subtracted(rp.average_signal(df, 0.5)).count() == 0
     assert math.isclose(rp.trajectory_signal(rp.average_signal(df, 0.5)).first().value, 0.0)
+
+
+@pytest.mark.parametrize("lengths", [(16, 16), (7, 12), (3, 2), (1, 6)])
+def test_blocks_of_motifs_pass_as_their_pairs_do(lengths):
+    r = np.random.default_rng(3)
+    a, b = (r.normal(0, 1.5, (40, 4, n)) for n in lengths)
+    a[20:30] *= 0.05  # motifs without a strong column
+    b[20:32] *= 0.05
+    b[:10, :, :min(lengths)] = a[:10, :, :min(lengths)]
+    i, j = np.repeat(np.arange(40), 40), np.tile(np.arange(40), 40)
+    cor, ncor = mo._best_offsets(a[i], b[j], 0.4)
+    for cuts in ((0.6, 0.4), (0.2, 0.0)):
+        found = set(zip(*(x.tolist() for x in mo._passing(a, b, 0.4, *cuts))))
+        passing = (cor >= cuts[0]) & (ncor >= cuts[1])
+        assert passing.any() and {(x, y) for x, y in zip(i[passing].tolist(), j[passing].tolist())} <= found
+        assert min(lengths) == 1 or len(found) == passing.sum()
+
+
+def test_compared_motifs_are_each_pair_once_and_mirrored(spark):
+    r = np.random.default_rng(5)
+    rows = [(f"m{k % 38}", r.normal(0, 1.5, (4, 5 + k % 3)).tolist()) for k in range(40)]  # two names stand twice
+    df = spark.createDataFrame(rows, "motif string, weights array<array<double>>")
+    out = sorted((x.i, x.j, round(x.cor, 9), round(x.ncor, 9)) for x in mo.compare_motifs(df, 0.5, 0.3, blocks=4).collect())
+    pairs = df.selectExpr("motif i", "weights wi").crossJoin(df.selectExpr("motif j", "weights wj")).filter("i <= j")
+    scored = pairs.select("i", "j", mo.motif_correlation("wi", "wj").alias("s")).select("i", "j", "s.*").filter("cor >= 0.5 and ncor >= 0.3").collect()
+    want = [(x.i, x.j, round(x.cor, 9), round(x.ncor, 9)) for x in scored]
+    assert out == sorted(want + [(j, i, c, n) for i, j, c, n in want if i < j]) and len(out) > 60
+    assert "ArrowEvalPython" not in mo.compare_motifs(df, 0.5, 0.3, blocks=4)._jdf.queryExecution().executedPlan().toString()
