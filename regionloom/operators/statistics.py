@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from regionloom.functions.tails import fisher_greater, normal_two_sided, student_two_sided
+from regionloom.functions.tails import fisher_bounds, fisher_greater, normal_two_sided, student_two_sided
 from regionloom.plans.scan import PART, Running, carried, carried_all, numbered, ordered_parts, running_all, value_ranks, with_avg_rank
 
 
@@ -86,7 +86,8 @@ def ordered_over_representation(genes: DataFrame, background: DataFrame, sets: D
     """A66, ordered query: for each set the prefix of the ranked list with the smallest p.
 
     Only prefixes that end at a member of the set can be best; a set's members are as many
-    rows as the set has genes.
+    rows as the set has genes. Bounds of each prefix's p come first, and the p itself, a sum that is longer for
+    larger sets, only where its lower bound is not above the smallest upper bound of the set.
     """
     universe = background.select("gene_id").distinct()
     members = sets.join(universe, "gene_id", "left_semi").select("set_name", "gene_id").distinct()
@@ -95,9 +96,12 @@ def ordered_over_representation(genes: DataFrame, background: DataFrame, sets: D
     hits = ranked.join(members, "gene_id").withColumn("n_both", F.count("*").over(per_set))
     set_size = members.groupBy("set_name").agg(F.count("*").alias("n_set"))
     total = universe.agg(F.count("*").alias("n_total"))
-    rows = hits.join(set_size, "set_name").join(F.broadcast(total)).withColumn("p_value", fisher_greater(
-        "n_both", F.col("rank") - F.col("n_both"), F.col("n_set") - F.col("n_both"),
-        F.col("n_total") - F.col("rank") - F.col("n_set") + F.col("n_both")))
+    table = ("n_both", F.col("rank") - F.col("n_both"), F.col("n_set") - F.col("n_both"),
+             F.col("n_total") - F.col("rank") - F.col("n_set") + F.col("n_both"))
+    rows = hits.join(set_size, "set_name").join(F.broadcast(total)).withColumn("in_", fisher_bounds(*table))
+    least = F.min("in_.high").over(W.partitionBy("set_name"))
+    rows = rows.withColumn("least_", least).filter(F.col("in_").isNull() | (F.col("in_.low") <= F.col("least_")))
+    rows = rows.withColumn("p_value", fisher_greater(*table))
     return rows.groupBy("set_name").agg(F.min("p_value").alias("p_value"), F.min(F.struct("p_value", "rank")).getField("rank").alias("prefix"))
 
 

@@ -234,3 +234,41 @@ def test_pca_keeps_the_trace(spark):
     df = spark.createDataFrame(rows, "id string, sample string, value double")
     out = ss.sample_pca(df, "id", "sample", ["a", "b", "c", "d"], "value", 0.2).collect()
     assert len(out) == 12 and 0.9 < sum({r.component: r.variance_share for r in out}.values()) <= 1.0 + 1e-9
+
+
+def test_fisher_bounds_hold_the_tail_between_them(spark):
+    from regionloom.functions.tails import fisher_bounds, fisher_greater
+    r = random.Random(9)
+    rows = []
+    for _ in range(600):
+        total = r.choice([5, 40, 3000, 200_000])
+        marked, drawn = r.randint(0, total), r.randint(0, total)
+        mean = drawn * marked / total
+        k = min(drawn, marked, max(0, drawn + marked - total, round(r.gauss(mean, 1 + 3 * mean ** 0.5))))
+        rows.append((k, drawn - k, marked - k, total - drawn - marked + k))
+    table = ["n11", "n10", "n01", "n00"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in table))
+    out = df.select("n11", fisher_greater(*table).alias("p"), fisher_bounds(*table).alias("b")).collect()
+    assert all(x.b.low <= x.p * (1 + 1e-9) and x.p <= x.b.high * (1 + 1e-9) for x in out)
+    close = [x for x in out if 1e-100 < x.p < 0.2]
+    assert len(close) > 100 and all(x.b.high < 6 * x.b.low for x in close)
+
+
+def test_ordered_query_sums_few_tails(spark):
+    r = random.Random(4)
+    genes = [(f"g{i}", float(r.random())) for i in range(3000)]
+    sets = [(s, g) for s in ("a", "b") for g, at in genes if r.random() < (0.5 if s == "a" and at < 0.1 else 0.2)]
+    ranked = spark.createDataFrame(genes, "gene_id string, position double")
+    out = ss.ordered_over_representation(ranked, ranked.select("gene_id"), spark.createDataFrame(sets, "set_name string, gene_id string"))
+    names = [g for g, _ in sorted(genes, key=lambda x: x[1])]
+    want = {}
+    for s in ("a", "b"):
+        mine, n = {g for x, g in sets if x == s}, 0
+        for rank, g in enumerate(names, 1):
+            if g in mine:
+                n += 1
+                want[s] = min(want.get(s, (2.0, 0)), (tails.hypergeometric_tail(n, rank, len(mine), 3000), rank))
+    got = {x.set_name: (x.p_value, x.prefix) for x in out.collect()}
+    assert {s: p[1] for s, p in got.items()} == {s: p[1] for s, p in want.items()}
+    assert all(math.isclose(got[s][0], want[s][0], rel_tol=1e-8) for s in want)
+    assert "least_" in out._jdf.queryExecution().analyzed().toString()
