@@ -8,6 +8,7 @@ from regionloom.catalog import query
 from regionloom.catalog.views import r6
 from regionloom.functions.text import rule_id
 from regionloom.operators import reporter as rp
+from regionloom.session import checkpointed
 
 LIB = """SELECT l_partkey AS barcode, CASE l_linenumber WHEN 1 THEN 'plasmid' WHEN 2 THEN 'd0' WHEN 3 THEN 'd3' ELSE 'd6' END AS sample,
  CAST(sum(l_quantity) AS BIGINT) AS n FROM {lineitem} GROUP BY 1, 2"""
@@ -49,10 +50,9 @@ TRAJ = f"""{AVG}, c AS (SELECT rule, example_id, combos, day, value - avg(value)
 WITH {TRAJ}, m AS (SELECT rule, combos, quantile_cont(value, 0.5) AS m FROM c WHERE day = 'd0' GROUP BY ALL), e AS (SELECT rule, quantile_cont(value, 0.5) AS m FROM c WHERE day = 'd0' AND combos = '0,0' GROUP BY ALL)
 SELECT c.rule, example_id, c.combos, day, round(value - m.m, 6) + 0.0 AS own, round(value - e.m, 6) + 0.0 AS endog FROM c LEFT JOIN m ON c.rule = m.rule AND c.combos = m.combos LEFT JOIN e ON c.rule = e.rule""")
 def a61(t):
-    avg = rp.average_signal(assay(t), 9)
-    keys = ["rule", "example_id", "combos", "day"]
-    own = rp.trajectory_signal(avg).select(*keys, r6("value", "own"))
-    return own.join(rp.trajectory_signal(avg, "d0_endog_norm").select(*keys, r6("value", "endog")), keys)
+    avg = checkpointed(rp.average_signal(assay(t), 9))
+    out = rp.trajectory_signals(avg, {"own": "d0_norm", "endog": "d0_endog_norm"}).filter("day is not null")
+    return out.select("rule", "example_id", "combos", "day", r6("own"), r6("endog"))
 
 
 @query("a62_background_subtracted", f"""

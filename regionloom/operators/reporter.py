@@ -64,16 +64,25 @@ def trajectory_signal(avg: DataFrame, method: str = "d0_norm") -> DataFrame:
     ``d0_norm`` takes each combo's own median, ``d0_endog_norm`` that of ``0,0`` and
     ``d0_double_mut_norm`` that of ``1,1`` for all combos.
     """
+    return trajectory_signals(avg, {"value": method})
+
+
+def trajectory_signals(avg: DataFrame, methods: dict[str, str]) -> DataFrame:
+    """A61 by several methods, a column for each: the days are centred once and stored, only the medians differ."""
     mean = avg.groupBy("rule", "example_id", "combos").agg(F.avg("value").alias("m_"))
-    centred = avg.join(mean, ["rule", "example_id", "combos"]).withColumn("value", F.col("value") - F.col("m_")).drop("m_")
+    keys = ["rule", "example_id", "combos", "day"]
+    # stored once: each method's medians and the rows themselves read it
+    centred = checkpointed(avg.join(mean, keys[:3]).withColumn("c_", F.col("value") - F.col("m_")).select(*keys, "c_"))
     zero = centred.filter(F.col("day") == "d0")
-    if method == "d0_norm":
-        keys = ["rule", "combos"]
-    else:
-        zero = zero.filter(F.col("combos") == {"d0_endog_norm": "0,0", "d0_double_mut_norm": "1,1"}[method])
-        keys = ["rule"]
-    medians = exact_percentiles(zero, keys, "value", {"d0_": 0.5})
-    return centred.join(medians, keys, "left").withColumn("value", F.col("value") - F.col("d0_")).drop("d0_")
+    out = centred
+    for name, method in methods.items():
+        if method == "d0_norm":
+            by, rows = ["rule", "combos"], zero
+        else:
+            by, rows = ["rule"], zero.filter(F.col("combos") == {"d0_endog_norm": "0,0", "d0_double_mut_norm": "1,1"}[method])
+        medians = exact_percentiles(rows, by, "c_", {"d0_": 0.5})
+        out = out.join(medians, by, "left").withColumn(name, F.col("c_") - F.col("d0_")).drop("d0_")
+    return out.select(*keys, *methods)
 
 
 def background_subtracted(avg: DataFrame, need_all: bool = False) -> DataFrame:

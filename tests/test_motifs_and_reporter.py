@@ -169,3 +169,16 @@ def test_compared_motifs_are_each_pair_once_and_mirrored(spark):
     want = [(x.i, x.j, round(x.cor, 9), round(x.ncor, 9)) for x in scored]
     assert out == sorted(want + [(j, i, c, n) for i, j, c, n in want if i < j]) and len(out) > 60
     assert "ArrowEvalPython" not in mo.compare_motifs(df, 0.5, 0.3, blocks=4)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trajectory_signals_store_the_rows_once(spark):
+    df = spark.createDataFrame(assay("more", {"0,0": 5.0, "0,1": 2.5, "1,0": 2.5}) + assay("bare", {"0,0": 5.0, "0,1": 2.5, "1,0": 2.5}, missing_background=True),
+                               "rule string, example_id string, combos string, barcode int, day string, rep string, value double")
+    avg, keys = rp.average_signal(df, 0.5), ["rule", "example_id", "combos", "day"]
+    methods = {"own": "d0_norm", "endog": "d0_endog_norm", "double": "d0_double_mut_norm"}
+    both = rp.trajectory_signals(avg, methods)
+    got = {tuple(r[k] for k in keys): r for r in both.collect()}
+    for name, method in methods.items():
+        one = {tuple(r[k] for k in keys): r["value"] for r in rp.trajectory_signal(avg, method).collect()}
+        assert one.keys() == got.keys() and all(got[k][name] == v for k, v in one.items())
+    assert any(r["double"] is None for r in got.values()) and "rep" not in both._jdf.queryExecution().analyzed().toString()
