@@ -20,7 +20,7 @@ stretch between ends of sentences or lines that has just its tokens, numbers inc
 tokens match nothing.
 
 DataFrame operations only. Documents are not shuffled: the benchmark's windows are broadcast if
-their counted bytes are at most ``BROADCAST_BYTES`` and joined by hash otherwise. Only matched
+they are at most ``BROADCAST_WINDOWS`` of ``BROADCAST_BYTES`` and joined by hash otherwise. Only matched
 windows are shuffled, and grouped by document and item.
 
 Defined cases: null or empty documents are clean; null items are ignored; each row is judged by its own
@@ -39,6 +39,7 @@ RUN = 13
 #: With two open places of five, two closed ones are always neighbours or one apart.
 MOST_NAMES = 2
 BROADCAST_BYTES = 64 << 20
+BROADCAST_WINDOWS = 1 << 20
 #: Bits of the bitmap of pairs: 64 for each different pair, between these bounds.
 BITMAP = (1 << 12, 1 << 20)
 
@@ -208,9 +209,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = own.groupBy("item_id", "hash").agg(
         F.min(F.struct("item_pos", "item_slots")).alias("s_"), F.collect_set("item_pos").alias("places")).select("item_id", "hash", "s_.*", "places")
     items = items.join(own.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows")), "item_id")
-    weight = items.agg(F.sum(F.octet_length("item_slots") + 8 * F.size("places") + 64)).first()[0] or 0
+    size = items.agg(F.sum(F.octet_length("item_slots") + 8 * F.size("places") + 64).alias("weight"), F.count("*").alias("n")).first()
+    small = (size["weight"] or 0) <= BROADCAST_BYTES and size["n"] <= BROADCAST_WINDOWS
     found = document_windows(docs, "key_", "text", patterns, bitmap)
-    found = found.join(F.broadcast(items) if weight <= BROADCAST_BYTES else items, "hash")
+    found = found.join(F.broadcast(items) if small else items, "hash")
     slots = _slots(F.col("words"), F.col("codes"), F.col("open"))
     return found.withColumn("slots", slots).drop("words", "codes", "open")
 
