@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regionloom.operators.transforms import exact_percentiles
-from regionloom.plans.scan import PART, Running, carried, carried_all, numbered, ordered_parts, value_ranks, with_avg_rank
+from regionloom.plans.scan import BEFORE, PART, numbered, value_ranks, with_avg_rank
+from regionloom.session import checkpointed
 
 
 def vectors(long: DataFrame, key: str, axis: str, points: list, value: str = "value", fill: float | None = 0.0,
@@ -24,33 +27,37 @@ def quantile_normalise(long: DataFrame, samples: list[str]) -> DataFrame:
     has fewer values than the longest, both are read off by linear interpolation, first values at first
     ranks and last at last; a single value stands for every rank and gets the mean in the middle.
 
-    Rows are put in order once and carry their part along: the value behind, the number of values
-    and the last of equal values come from it, and no row is joined by its value.
+    Rows are put in order once, with their number in the part; a table with a row per part makes ranks of these, so
+    no row is moved to be ranked. A value's level is looked up once and comes back to the rows of each part
+    that holds the value, so a frequent value is spread as its rows are.
     """
-    one = F.lit(1).cast("long")
     mine = long.filter(F.col("sample").isin(samples))
-    rows = mine.filter(F.col("value").isNotNull()).withColumn("h_", F.xxhash64(*long.columns)).withColumn("value_", F.col("value").cast("double"))
-    parts = ordered_parts(rows, ["sample", "value_", "h_"])
-    ranked = carried_all(parts, ["sample"], PART, ["value_", "h_"], [Running(one, "sum", "k_"), Running(one, "total", "n_")])
-    ranked = ranked.withColumn("last_", F.col("n_") - 1).withColumn("at_", F.col("k_") - 1).drop("n_")
-    longest = ranked.agg(F.max("last_").alias("top_"))
-    ranked = carried(ranked.join(F.broadcast(longest)), ["sample"], PART, ["at_"], F.col("value_"), "min", "next_", inclusive=False, reverse=True)
+    rows = mine.filter(F.col("value").isNotNull()).withColumn("value_", F.col("value").cast("double"))
+    ranged = rows.repartitionByRange("sample", "value_", F.xxhash64(*long.columns)).sortWithinPartitions("sample", "value_")
+    ranged = checkpointed(ranged.withColumns({PART: F.spark_partition_id(), "o_": F.monotonically_increasing_id()}))
+    counts = ranged.groupBy("sample", PART).agg(F.count("*").alias("n_"), F.min("o_").alias("head_"))
+    each = W.partitionBy("sample")
+    behind = F.coalesce(F.sum("n_").over(each.orderBy(PART).rowsBetween(*BEFORE)), F.lit(0))
+    parts = counts.select("sample", PART, (behind - F.col("head_")).alias("shift_"), (F.sum("n_").over(each) - 1).alias("last_"))
+    parts = checkpointed(parts.join(F.broadcast(parts.agg(F.max("last_").alias("top_"), F.count_distinct("sample").alias("of_")))))
+    ranked = ranged.join(F.broadcast(parts), ["sample", PART]).withColumn("at_", F.col("o_") + F.col("shift_"))
     at, last, top = F.col("at_"), F.col("last_"), F.col("top_")
-    # places 0..top that a row answers for: those that fall on it or between it and the next one
+    # places 0..top that a row has a share in: those nearer than one rank of its sample
     first = lambda n: F.floor((n * top + last - 1) / last)
-    spots = F.when(last == 0, F.sequence(F.lit(0).cast("long"), top)).when(at == last, F.array(top)).otherwise(
-        F.when(first(at) < first(at + 1), F.sequence(first(at), first(at + 1) - 1)))
-    share = F.when((last == 0) | (at == last), 0.0).otherwise((F.col("spot_") * last - at * top) / top)
-    read = ranked.withColumn("spot_", F.explode(spots)).withColumn("x_", F.col("value_") + share * F.coalesce(F.col("next_") - F.col("value_"), F.lit(0.0)))
-    means = read.groupBy("spot_").agg(F.avg("x_").alias("m_"))
-    pairs = means.select("spot_", "m_", F.lit(None).cast("double").alias("n_")).unionByName(means.select((F.col("spot_") - 1).alias("spot_"), F.lit(None).cast("double").alias("m_"), F.col("m_").alias("n_")))
-    means = pairs.groupBy("spot_").agg(F.max("m_").alias("m_"), F.max("n_").alias("n_"))
+    spots = F.when(last == 0, F.sequence(F.lit(0).cast("long"), top)).when(last == top, F.array(at)).otherwise(
+        F.sequence(first(F.greatest(at - 1, F.lit(0))), F.least(first(at + 1) - 1, top)))
+    off = F.when((last == 0) | (last == top), 0.0).otherwise(F.abs(F.col("spot_") * last - at * top) / top)
+    read = ranked.withColumn("spot_", F.explode(spots)).withColumn("off_", off).filter("off_ < 1").withColumn("x_", (1 - F.col("off_")) * F.col("value_"))
+    means = read.groupBy("spot_").agg((F.sum("x_") / F.max("of_")).alias("m_"))
+    # the last of equal values, and the parts from its first to its last row
+    heads = ranked.groupBy("sample", "value_").agg(F.max("at_").alias("at_"), F.max("last_").alias("last_"), F.max("top_").alias("top_"),
+                                                   F.min(PART).alias("low_"), F.max(PART).alias("high_"))
     place = F.when(last == 0, top / 2).otherwise(at * top / last)
-    level = F.col("m_") + (F.col("place_") - F.col("spot_")) * (F.coalesce(F.col("n_"), F.col("m_")) - F.col("m_"))
-    here = ranked.withColumn("place_", place).withColumn("spot_", F.floor("place_")).join(means, "spot_").withColumn("level_", level)
-    ties = F.struct("value_", (-at).alias("k"), "level_")  # the smallest from here on is the last equal value
-    out = carried(here, ["sample"], PART, ["at_"], ties, "min", "tie_", reverse=True)
-    found = out.select(*long.columns, F.col("tie_.level_").alias("normalised"))
+    heads = heads.withColumn("place_", place).withColumn("spot_", F.explode(F.array_distinct(F.array(F.floor("place_"), F.ceil("place_")))))
+    near = heads.join(means, "spot_").withColumn("x_", (1 - F.abs(F.col("place_") - F.col("spot_"))) * F.col("m_"))
+    levels = near.groupBy("sample", "value_").agg(F.sum("x_").alias("normalised"), F.max("low_").alias("low_"), F.max("high_").alias("high_"))
+    levels = levels.select("sample", "value_", "normalised", F.explode(F.sequence("low_", "high_")).alias(PART))
+    found = ranged.join(levels, ["sample", PART, "value_"]).select(*long.columns, "normalised")
     return found.unionByName(mine.filter(F.col("value").isNull()).withColumn("normalised", F.lit(None).cast("double")))
 
 
@@ -78,16 +85,53 @@ def log2_normalised(counts: DataFrame, factors: DataFrame, sample: str, value: s
     return counts.join(factors, sample).withColumn("log2_signal", F.log2(F.col(value) / F.col("size_factor") + 1))
 
 
+def _co_moments(n: int):
+    """Per task and pair of samples (i <= j): number of ids with both, means, and centred squares and products."""
+    def run(batches):
+        for batch in (b for b in batches if b.num_rows):
+            flat = batch["vector"].flatten()
+            seen = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, n)
+            x = flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, n)
+            odd = seen & ~np.isfinite(x)
+            kept, x = seen.astype(float), np.where(seen & ~odd, x, 0.0)
+            # moved to a value of the sample, then to the mean: equal values stay exactly equal
+            low = x[seen.argmax(axis=0), np.arange(n)]
+            x = (x - low) * kept
+            rest = x.sum(axis=0) / np.maximum(kept.sum(axis=0), 1)
+            x = (x - rest) * kept
+            count, total, square, product = kept.T @ kept, x.T @ kept, (x * x).T @ kept, x.T @ x
+            blank = odd.astype(float).T @ kept
+            i, j = np.triu_indices(n)
+            size, a, b = np.maximum(count[i, j], 1), total[i, j], total[j, i]
+            spoilt = np.where(blank[i, j] + blank[j, i] > 0, np.nan, 0.0)
+            some = count[i, j] > 0
+            columns = {"i": i, "j": j, "n": count[i, j], "mx": (low + rest)[i] + a / size, "my": (low + rest)[j] + b / size,
+                       "xx": square[i, j] - a * a / size, "yy": square[j, i] - b * b / size, "xy": product[i, j] - a * b / size + spoilt}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v[some]) for k, v in columns.items()})
+    return run
+
+
 def correlation_matrix(long: DataFrame, key: str, sample: str, samples: list, value: str) -> DataFrame:
     """Pearson r and r squared of every sample pair, over ids seen in both.
 
-    One pass over the wide rows: every pair is one correlation aggregate.
+    One pass over the wide rows: a batch gives the moments of all pairs as matrix products, which are then added up
+    around common means.
     """
-    wide = long.groupBy(key).pivot(sample, samples).agg(F.max(value))
-    pairs = [(a, b) for i, a in enumerate(samples) for b in samples[i:]]
-    row = wide.agg(*[F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    items = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(items)).withColumn("r2", F.col("r") * F.col("r"))
+    wide = vectors(long, key, sample, samples, value, fill=None)
+    found = wide.select("vector").mapInArrow(_co_moments(len(samples)), "i long, j long, n double, mx double, my double, xx double, yy double, xy double")
+    pair = W.partitionBy("i", "j")
+    # counted from the smallest mean, so that equal means stay exactly equal
+    found = found.withColumn("low_x", F.min("mx").over(pair)).withColumn("low_y", F.min("my").over(pair))
+    middle = lambda m, low: F.col(low) + F.sum(F.col("n") * (F.col(m) - F.col(low))).over(pair) / F.sum("n").over(pair)
+    found = found.withColumns({"dx": F.col("mx") - middle("mx", "low_x"), "dy": F.col("my") - middle("my", "low_y")})
+    n, dx, dy = F.col("n"), F.col("dx"), F.col("dy")
+    sums = found.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum(F.col("xx") + n * dx * dx).alias("xx"),
+                                       F.sum(F.col("yy") + n * dy * dy).alias("yy"), F.sum(F.col("xy") + n * dx * dy).alias("xy"))
+    r = sums.select("i", "j", F.when(F.col("n") > 1, F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("r"))
+    names = [F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), F.lit(a).alias("a"), F.lit(samples[j]).alias("b"))
+             for i, a in enumerate(samples) for j in range(i, len(samples))]
+    pairs = long.sparkSession.range(1).select(F.inline(F.array(*names)))
+    return pairs.join(r, ["i", "j"], "left").select("a", "b", "r", (F.col("r") * F.col("r")).alias("r2"))
 
 
 def top_percent(long: DataFrame, key: str, value: str, percentile: float) -> DataFrame:
