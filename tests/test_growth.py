@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from regionloom.operators import matrix
+from regionloom.operators import matrix, statistics as ss
 
 
 def plan_of(df):
@@ -54,3 +55,48 @@ def test_sample_correlation_of_nan_is_nan(spark):
     out = matrix.correlation_matrix(spark.createDataFrame(data, "id int, sample string, value double"), "id", "sample", ["x", "yy"], "value")
     got = {(r.a, r.b): r.r for r in out.collect()}
     assert math.isnan(got["x", "yy"]) and got["yy", "yy"] == pytest.approx(1.0)
+
+
+def lasso_rows(spark):
+    rng = random.Random(7)
+    rows = [(rng.random() * 50, rng.random() / 10, rng.random(), float(i % 3)) for i in range(1500)]
+    return spark.createDataFrame([(a, b, c, d, 900 * a - 40 * b + d + rng.gauss(0, 300)) for a, b, c, d in rows], "a double, b double, c double, d double, y double").repartition(3, "d")
+
+
+def test_lasso_reads_the_rows_a_fixed_number_of_times(spark, monkeypatch):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    df, names = lasso_rows(spark), ["a", "b", "c", "d"]
+    rows = VectorAssembler(inputCols=names, outputCol="f").transform(df)
+    train, test = rows.randomSplit([0.8, 0.2], 42)
+    lasso = LinearRegression(featuresCol="f", labelCol="y", elasticNetParam=1.0)
+    grid = ParamGridBuilder().addGrid(lasso.regParam, [0.001, 0.01, 0.1]).build()
+    judge = RegressionEvaluator(labelCol="y", metricName="r2")
+    model = CrossValidator(estimator=lasso, estimatorParamMaps=grid, evaluator=judge, numFolds=5, seed=42).fit(train).bestModel
+
+    def fit(*_):
+        raise AssertionError("a pass over the rows for every fit")
+
+    monkeypatch.setattr(LinearRegression, "fit", fit)
+    monkeypatch.setattr(LinearRegression, "fitMultiple", fit)
+    out = ss.lasso_r2(df, names, "y").first()
+    assert out.r2 == pytest.approx(judge.evaluate(model.transform(test)), rel=1e-6) and out.reg_param == model.getRegParam()
+
+
+def test_lasso_fit_equals_the_library_where_the_penalty_bites(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    df, names = lasso_rows(spark), ["a", "b", "c", "d"]
+    model = LinearRegression(featuresCol="f", labelCol="y", elasticNetParam=1.0, regParam=20.0, tol=1e-10, maxIter=500).fit(VectorAssembler(inputCols=names, outputCol="f").transform(df))
+    total = ss._moments(df, [*names, "y"], F.lit(0), [0.0] * 5)[0]
+    fitted = ss._lasso(total, 20.0)
+    assert fitted[:4] == pytest.approx(model.coefficients.toArray(), rel=1e-4, abs=1e-4) and fitted[4] == pytest.approx(model.intercept, rel=1e-4)
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_lasso_takes_no_null(spark, bad):
+    df = lasso_rows(spark).withColumn("b", F.when(F.col("a") > 1, F.col("b")).otherwise(F.lit(bad)))
+    with pytest.raises(Exception, match="null or NaN in b"):
+        ss.lasso_r2(df, ["a", "b", "c", "d"], "y")
