@@ -124,10 +124,14 @@ def dose_response(rows: DataFrame, axis: str, least: float = 1.0) -> DataFrame:
     ``rows``: motif, sample, ``axis`` (0 is the background), prediction. Samples whose mean gain
     is not positive drop out; motifs need a median gain of at least ``least`` somewhere.
     """
-    base = rows.filter(F.col(axis) == 0).groupBy("motif", "sample").agg(F.min("prediction").alias("b_"))
-    gains = rows.filter(F.col(axis) > 0).join(base, ["motif", "sample"]).withColumn("gain", F.col("prediction") - F.col("b_"))
-    good = gains.groupBy("motif", "sample").agg(F.avg("gain").alias("g_")).filter("g_ > 0")
-    kept = gains.join(good, ["motif", "sample"], "left_semi")
+    over = F.when(F.col(axis) > 0, F.col("prediction"))
+    stats = rows.filter(F.col(axis) >= 0).groupBy("motif", "sample").agg(
+        F.min(F.when(F.col(axis) == 0, F.col("prediction"))).alias("b_"), F.min(over).alias("low_"), F.max(over).alias("high_"), F.avg(over).alias("mean_"))
+    # a sample that never falls below its background, or never rises above it, needs no mean, which is rounded
+    gains = F.when(F.col("high_") <= F.col("b_"), False).when(F.col("low_") >= F.col("b_"), True).otherwise(F.col("mean_") - F.col("b_") > 0)
+    good = stats.filter(gains).select("motif", "sample", "b_")
+    # a row per sample, dealt evenly: hashed by task, so that neither side is sorted
+    kept = rows.filter(F.col(axis) > 0).join(good.hint("shuffle_hash"), ["motif", "sample"]).withColumn("gain", F.col("prediction") - F.col("b_"))
     medians = exact_percentiles(kept, ["motif", axis], "gain", {"median": 0.5})
     strong = medians.groupBy("motif").agg(F.max("median").alias("top_")).filter(F.col("top_") >= least)
     return medians.join(strong, "motif", "left_semi")
