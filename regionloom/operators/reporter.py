@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from regionloom.operators.statistics import signed_rank, with_p_values
 from regionloom.operators.transforms import exact_percentiles
@@ -69,10 +69,10 @@ def trajectory_signal(avg: DataFrame, method: str = "d0_norm") -> DataFrame:
 
 def trajectory_signals(avg: DataFrame, methods: dict[str, str]) -> DataFrame:
     """A61 by several methods, a column for each: the days are centred once and stored, only the medians differ."""
-    mean = avg.groupBy("rule", "example_id", "combos").agg(F.avg("value").alias("m_"))
     keys = ["rule", "example_id", "combos", "day"]
+    mean = F.avg("value").over(W.partitionBy(*keys[:3]))  # a row per day
     # stored once: each method's medians and the rows themselves read it
-    centred = checkpointed(avg.join(mean, keys[:3]).withColumn("c_", F.col("value") - F.col("m_")).select(*keys, "c_"))
+    centred = checkpointed(avg.dropna(subset=keys[:3]).withColumn("c_", F.col("value") - mean).select(*keys, "c_"))
     zero = centred.filter(F.col("day") == "d0")
     out = centred
     for name, method in methods.items():
@@ -87,13 +87,13 @@ def trajectory_signals(avg: DataFrame, methods: dict[str, str]) -> DataFrame:
 
 def background_subtracted(avg: DataFrame, need_all: bool = False) -> DataFrame:
     """Minus the example's ``1,1`` value of the day; examples without it (or, on request, without all four combos) drop out."""
-    have = avg.groupBy("rule", "example_id").agg(
-        F.max((F.col("combos") == "1,1").cast("int")).alias("bg_"),
-        F.count_distinct(F.when(F.col("combos").isin(COMBOS), F.col("combos"))).alias("n_"))
-    good = have.filter((F.col("bg_") == 1) & ((F.col("n_") == 4) if need_all else F.lit(True)))
     base = avg.filter(F.col("combos") == "1,1").select("rule", "example_id", "day", F.col("value").alias("b_"))
-    return avg.join(good, ["rule", "example_id"], "left_semi").join(base, ["rule", "example_id", "day"]).withColumn(
-        "value", F.col("value") - F.col("b_")).drop("b_")
+    if need_all:
+        combo = F.when(F.col("combos").isin(COMBOS), F.col("combos"))
+        full = avg.groupBy("rule", "example_id").agg(F.count_distinct(combo).alias("n_")).filter("n_ = 4")
+        avg = avg.join(full, ["rule", "example_id"], "left_semi")
+    # an example without background has no base on any day
+    return avg.join(base, ["rule", "example_id", "day"]).withColumn("value", F.col("value") - F.col("b_")).drop("b_")
 
 
 def _any_significant(diffs: DataFrame, keys: list[str], rule: str, limit: float, out: str) -> DataFrame:
@@ -134,10 +134,10 @@ def call_rules(rows: DataFrame, rule_days: DataFrame, threshold: float = 0.5, p_
             F.coalesce(swap, F.lit(False)), F.when(F.col("day") == "d3", "d6").otherwise("d3")).otherwise(F.col("day")),
     })
 
-    mut = background_subtracted(avg)
+    mut = checkpointed(background_subtracted(avg))
     used = mut.join(rules.select("rule", F.col("day_used").alias("day")), ["rule", "day"])
     pick = lambda c: F.max(F.when(F.col("combos") == c, F.col("value")))
-    pivot = used.groupBy("rule", "example_id").agg(pick("0,0").alias("actual"), (pick("0,1") + pick("1,0")).alias("expected"))
+    pivot = checkpointed(used.groupBy("rule", "example_id").agg(pick("0,0").alias("actual"), (pick("0,1") + pick("1,0")).alias("expected")))
     means = pivot.groupBy("rule").agg(
         F.avg("actual").alias("actual"), F.avg("expected").alias("expected"), F.avg(F.col("actual") - F.col("expected")).alias("diff"))
     gaps = pivot.join(means.select("rule", F.col("expected").alias("e_")), "rule").filter(F.col("actual").isNotNull()).select(

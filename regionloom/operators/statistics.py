@@ -128,13 +128,13 @@ def enrichment_score(ranked: DataFrame, sets: DataFrame, group: str, score: str,
 def signed_rank(df: DataFrame, group: list[str], diff: str) -> DataFrame:
     """Wilcoxon signed-rank of the differences per group (zeros left out), normal approximation with tie correction."""
     rows = df.filter((F.col(diff) != 0)).select(*group, F.abs(F.col(diff)).alias("a_"), (F.col(diff) > 0).alias("up_"))
-    ranks = value_ranks(rows, group, "a_").select(*group, "a_", "avg_rank", "n_ties")
-    signed = rows.join(ranks, [*group, "a_"])
-    ties = ranks.groupBy(*group).agg(F.sum(F.pow("n_ties", F.lit(3)) - F.col("n_ties")).alias("t_"))
-    sums = signed.groupBy(*group).agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("up_"), F.col("avg_rank")).otherwise(0.0)).alias("w_up"),
-        F.sum(F.when(F.col("up_"), 0.0).otherwise(F.col("avg_rank"))).alias("w_down"))
-    sums = sums.join(ties, group) if group else sums.join(F.broadcast(ties))
+    # a rank times the rows that share it, by sign: no row is joined back to its rank
+    ranks = value_ranks(rows.dropna(subset=group) if group else rows, group, "a_", also=[F.count_if("up_").alias("n_up")])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = ranks.groupBy(*group).agg(
+        total("n_ties").alias("n"), F.sum(F.col("avg_rank") * F.col("n_up")).alias("w_up"),
+        F.sum(F.col("avg_rank") * (F.col("n_ties") - F.col("n_up"))).alias("w_down"),
+        F.sum(F.pow("n_ties", F.lit(3)) - F.col("n_ties")).alias("t_"))
     n = F.col("n").cast("double")
     se = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("t_") / 2) / 24)
     return sums.withColumn("z", (F.least("w_up", "w_down") - n * (n + 1) / 4) / F.nullif(se, F.lit(0.0))).drop("t_")

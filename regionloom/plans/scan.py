@@ -110,13 +110,13 @@ def numbered(df: DataFrame, group: list[str], order: list, out: str = "rn") -> D
     return running(df, group, order, F.lit(1).cast("long"), "sum", out)
 
 
-def value_ranks(df: DataFrame, group: list[str], value: str, descending: bool = False) -> DataFrame:
-    """One row per (group, value): ``n_ties``, ``n_before``, ``rank``, ``avg_rank``, ``n_group``.
+def value_ranks(df: DataFrame, group: list[str], value: str, descending: bool = False, also: list[Column] | None = None) -> DataFrame:
+    """One row per (group, value): ``n_ties``, ``n_before``, ``rank``, ``avg_rank``, ``n_group``, and the aggregates ``also``.
 
     Rows are counted per distinct value before anything is ordered, so a value that a third
     of all rows share costs one row here.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n_ties"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n_ties"), *(also or []))
     n = F.col("n_ties")
     order = [f"-{value}" if descending else value]
     cum = running_all(counts, group, order, [Running(n, "sum", "n_upto"), Running(n, "total", "n_group")])

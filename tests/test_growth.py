@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from regionloom.operators import matrix, statistics as ss
+from regionloom.operators import matrix, motifs as mo, reporter as rp, statistics as ss
 
 
 def plan_of(df):
@@ -100,3 +100,45 @@ def test_lasso_takes_no_null(spark, bad):
     df = lasso_rows(spark).withColumn("b", F.when(F.col("a") > 1, F.col("b")).otherwise(F.lit(bad)))
     with pytest.raises(Exception, match="null or NaN in b"):
         ss.lasso_r2(df, ["a", "b", "c", "d"], "y")
+
+
+def test_dose_response_meets_its_background_once(spark):
+    rng = random.Random(8)
+    data = [(m, s, d, float(rng.randrange(7)), ) for m in ("m", "n") for s in range(40) for d in (0, 1, 2, 2) if rng.random() < 0.9]
+    data += [("m", None, 0, 0.0), ("m", None, 1, 90.0), ("n", 99, 0, None), ("n", 99, 1, 90.0), ("n", 98, -1, -90.0)]
+    out = mo.dose_response(spark.createDataFrame(data, "motif string, sample int, count int, prediction double"), "count", -9.0)
+    assert plan_of(out).count("Join LeftSemi") == 1  # that of the strong motifs; samples are chosen as they meet their background
+    base, gains = {}, {}
+    for m, s, d, p in data:
+        if d == 0 and s is not None and p is not None:
+            base[m, s] = min(p, base.get((m, s), p))
+    for m, s, d, p in data:
+        if d > 0 and (m, s) in base:
+            gains.setdefault((m, s), []).append((d, p - base[m, s]))
+    per = {}
+    for (m, _), rows in gains.items():
+        if sum(g for _, g in rows) > 0:
+            for d, g in rows:
+                per.setdefault((m, d), []).append(g)
+    assert {(r.motif, r["count"]): r.median for r in out.collect()} == {k: pytest.approx(np.median(v)) for k, v in per.items()}
+
+
+def test_signed_ranks_are_not_joined_back(spark):
+    rng = random.Random(9)
+    data = [(rng.choice("ab"), rng.choice([None, 0.0, float(rng.randrange(-5, 7)), rng.random()])) for _ in range(300)] + [(None, 2.0)]
+    out = ss.signed_rank(spark.createDataFrame(data, "g string, d double"), ["g"], "d")
+    assert plan_of(out).count("Join ") == 1  # the table of parts; neither ranks nor ties meet the rows again
+    got = {r.g: (r.n, r.w_up, r.w_down) for r in out.collect()}
+    want = {}
+    for g in "ab":
+        xs = [d for x, d in data if x == g and d]
+        rank = lambda v: sum(abs(x) < abs(v) for x in xs) + (sum(abs(x) == abs(v) for x in xs) + 1) / 2
+        want[g] = (len(xs), sum(rank(x) for x in xs if x > 0), sum(rank(x) for x in xs if x < 0))
+    assert got == want
+
+
+def test_trajectory_means_need_no_join(spark):
+    data = [("r", f"e{i}", c, d, float(i + k)) for i in range(9) for c in ("0,0", None) for k, d in enumerate(("d0", "d3", None))]
+    avg = spark.createDataFrame(data, "rule string, example_id string, combos string, day string, value double")
+    got = {(r.example_id, r.day): r.value for r in rp.trajectory_signal(avg).collect()}
+    assert got == {(f"e{i}", d): pytest.approx(float(k)) for i in range(9) for k, d in enumerate(("d0", "d3", None))}
