@@ -156,16 +156,23 @@ def summit_windows(examples: DataFrame, summits: DataFrame) -> DataFrame:
 
 
 def region_summary(regions: DataFrame, atac_clusters: DataFrame, tss: DataFrame, rna: DataFrame, marks: DataFrame) -> DataFrame:
-    """One row per region: ATAC cluster, nearby gene's pattern and cluster, marks; regions without a TSS kept."""
-    with_gene = overlap_left(regions.withColumn("id", region_id()), tss.select(*KEY, "gene_id")).withColumnRenamed("b_gene_id", "gene_id")
-    out = with_gene.join(atac_clusters.withColumnRenamed("cluster", "atac_cluster"), "id", "left")
-    out = out.join(rna, "gene_id", "left").join(marks, "id", "left")
-    return out.drop("b_start", "b_stop", "overlap").fillna(9, [c for c in marks.columns if c != "id"])
+    """One row per region: ATAC cluster, nearby gene's pattern and cluster, marks; regions without a TSS kept.
+
+    What belongs to a region or a gene is joined to it before the two meet, so the pairs are not moved again.
+    """
+    known = regions.withColumn("id", region_id()).join(atac_clusters.withColumnRenamed("cluster", "atac_cluster"), "id", "left").join(marks, "id", "left")
+    known = known.fillna(9, [c for c in marks.columns if c != "id"])
+    genes = tss.select(*KEY, "gene_id").join(rna, "gene_id", "left")
+    out = overlap_left(known, genes).withColumnsRenamed({f"b_{c}": c for c in ("gene_id", *rna.columns)})
+    return out.drop("b_start", "b_stop", "overlap")
 
 
 def tss_subsets(tss: DataFrame, summary: DataFrame) -> DataFrame:
-    """TSS rows with the summary columns, labelled by subset."""
-    joined = tss.join(summary, "gene_id", "left")
+    """TSS rows with the summary columns, labelled by subset.
+
+    The TSS of a task's genes are hashed there, so the summary, which has a row per region and gene, is not sorted.
+    """
+    joined = tss.hint("shuffle_hash").join(summary, "gene_id", "left")
     subset = F.when(F.col("rna_cluster").isNotNull() & (F.col("atac_cluster") > 0), "rna_dynamic.atac_dynamic").when(
         F.col("rna_cluster").isNotNull(), "rna_dynamic.atac_stable").otherwise("rna_stable")
     return joined.withColumn("subset", subset)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from regionloom.operators import matrix, motifs as mo, reporter as rp, statistics as ss
+from regionloom.operators import annotate, matrix, motifs as mo, reporter as rp, statistics as ss
 
 
 def plan_of(df):
@@ -102,12 +102,14 @@ def test_lasso_takes_no_null(spark, bad):
         ss.lasso_r2(df, ["a", "b", "c", "d"], "y")
 
 
-def test_dose_response_meets_its_background_once(spark):
+def test_dose_response_meets_its_background_once(spark, monkeypatch):
+    plans, percentiles = [], mo.exact_percentiles
+    monkeypatch.setattr(mo, "exact_percentiles", lambda df, *a: plans.append(plan_of(df)) or percentiles(df, *a))
     rng = random.Random(8)
     data = [(m, s, d, float(rng.randrange(7)), ) for m in ("m", "n") for s in range(40) for d in (0, 1, 2, 2) if rng.random() < 0.9]
     data += [("m", None, 0, 0.0), ("m", None, 1, 90.0), ("n", 99, 0, None), ("n", 99, 1, 90.0), ("n", 98, -1, -90.0)]
     out = mo.dose_response(spark.createDataFrame(data, "motif string, sample int, count int, prediction double"), "count", -9.0)
-    assert plan_of(out).count("Join LeftSemi") == 1  # that of the strong motifs; samples are chosen as they meet their background
+    assert plans[0].count("Join ") == 1  # samples are chosen as they meet their background
     base, gains = {}, {}
     for m, s, d, p in data:
         if d == 0 and s is not None and p is not None:
@@ -137,8 +139,34 @@ def test_signed_ranks_are_not_joined_back(spark):
     assert got == want
 
 
-def test_trajectory_means_need_no_join(spark):
+def test_trajectory_means_need_no_join(spark, monkeypatch):
+    plans, stored = [], rp.checkpointed
+    monkeypatch.setattr(rp, "checkpointed", lambda df: plans.append(plan_of(df)) or stored(df))
     data = [("r", f"e{i}", c, d, float(i + k)) for i in range(9) for c in ("0,0", None) for k, d in enumerate(("d0", "d3", None))]
     avg = spark.createDataFrame(data, "rule string, example_id string, combos string, day string, value double")
     got = {(r.example_id, r.day): r.value for r in rp.trajectory_signal(avg).collect()}
+    assert "Join" not in plans[0]
     assert got == {(f"e{i}", d): pytest.approx(float(k)) for i in range(9) for k, d in enumerate(("d0", "d3", None))}
+
+
+def test_region_summary_joins_before_the_pairs(spark):
+    regions = spark.createDataFrame([("c", 10, 20), ("c", 15, 90), ("c", 500, 510), ("d", 1, 5)], "chrom string, start long, stop long")
+    tss = spark.createDataFrame([("c", 16, 17, "g1"), ("c", 18, 19, "g2"), ("c", 80, 81, None), ("d", 900, 901, "g3"), ("d", 2, 3, "g1")], "chrom string, start long, stop long, gene_id string")
+    atac = spark.createDataFrame([("c:10-20", 1), ("c:10-20", 0), ("d:1-5", 2)], "id string, cluster int")
+    rna = spark.createDataFrame([("g1", 5, "dynamic"), ("g2", 6, "stable"), ("g2", 7, "stable")], "gene_id string, rna_cluster int, rna_pattern string")
+    marks = spark.createDataFrame([("c:15-90", 3)], "id string, h3k27ac int")
+    out = annotate.region_summary(regions, atac, tss, rna, marks)
+    plan = plan_of(out)
+    assert plan.index("Union") < plan.index("Join")  # pairs and regions without one are put together last
+    cols = ["id", "gene_id", "atac_cluster", "rna_cluster", "rna_pattern", "h3k27ac"]
+    one = lambda i, a, m: [(i, "g1", a, 5, "dynamic", m), (i, "g2", a, 6, "stable", m), (i, "g2", a, 7, "stable", m)]
+    want = one("c:10-20", 1, 9) + one("c:10-20", 0, 9) + one("c:15-90", None, 3) + [
+        ("c:15-90", None, None, None, None, 3), ("c:500-510", None, None, None, None, 9), ("d:1-5", "g1", 2, 5, "dynamic", 9)]
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert rows(out.select(cols)) == sorted(want, key=repr)
+    subsets = annotate.tss_subsets(tss, out.select(cols).filter("gene_id is not null"))
+    assert "shuffle_hash" in plan_of(subsets)
+    label = lambda a, r: "rna_stable" if r is None else f"rna_dynamic.atac_{'dynamic' if a else 'stable'}"
+    expect = [(g, s, w[0], label(w[2], w[3])) for _, s, _, g in [tuple(r) for r in tss.collect()] for w in want if g and w[1] == g]
+    expect += [(None, 80, None, "rna_stable"), ("g3", 900, None, "rna_stable")]
+    assert rows(subsets.select("gene_id", "start", "id", "subset")) == sorted(expect, key=repr)
