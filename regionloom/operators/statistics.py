@@ -281,21 +281,25 @@ def _r2(total, fitted) -> float:
 def lasso_r2(df: DataFrame, features: list[str], target: str, seed: int = 42, folds: int = 5) -> DataFrame:
     """Cross-validated lasso; R squared on the held-out fifth. A null or NaN is an error.
 
-    All fits and their errors follow from sums of products, so the rows are read once for the training folds
-    and once for the held-out part; the fits themselves are of the size of the feature list.
+    The fits of all folds and penalties and their errors follow from sums of products, for which the training rows are
+    read once; only the model with the best penalty is fitted and judged on the rows themselves.
     """
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
     columns = [*features, target]
-    rows = df.select(*[F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.raise_error(F.lit(f"null or NaN in {c}")))
-                       .otherwise(F.col(c)).cast("double").alias(c) for c in df.columns if c in columns])
-    shift = [float(v or 0.0) for v in rows.agg(*[F.avg(c) for c in columns]).first()]
-    train, test = rows.randomSplit([0.8, 0.2], seed)
-    drawn = train.withColumn("u_", F.rand(seed))
+    valid = df.select(*[F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.raise_error(F.lit(f"null or NaN in {c}")))
+                        .otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+    shift = [float(v or 0.0) for v in valid.agg(*[F.avg(c) for c in columns]).first()]
+    train, test = valid.randomSplit([0.8, 0.2], seed)
     fold = F.lit(0)
     for i in range(1, folds):
         fold = F.when(F.col("u_") >= i * (1.0 / folds), i).otherwise(fold)
-    parts = _moments(drawn, columns, fold, shift)
-    whole, held = sum(parts.values()), _moments(test, columns, F.lit(0), shift)[0]
-    score = lambda penalty: sum(_r2(parts[f], _lasso(whole - parts[f], penalty)) for f in range(folds)) / folds
-    penalties = [0.001, 0.01, 0.1]
-    best = max(penalties, key=score)
-    return df.sparkSession.createDataFrame([(_r2(held, _lasso(whole, best)), best)], "r2 double, reg_param double")
+    parts = _moments(train.withColumn("u_", F.rand(seed)), columns, fold, shift)
+    whole = sum(parts.values())
+    score = lambda penalty: sum(_r2(parts[f], _lasso(whole - parts[f], penalty)) for f in parts) / len(parts)
+    best = max([0.001, 0.01, 0.1], key=score)
+    vectors = VectorAssembler(inputCols=features, outputCol="features_", handleInvalid="error")
+    model = LinearRegression(featuresCol="features_", labelCol=target, elasticNetParam=1.0, regParam=best).fit(vectors.transform(train))
+    r2 = RegressionEvaluator(labelCol=target, metricName="r2").evaluate(model.transform(vectors.transform(test)))
+    return df.sparkSession.createDataFrame([(float(r2), best)], "r2 double, reg_param double")
