@@ -46,6 +46,9 @@ LIKELY = THRESHOLD - 0.11
 #: Rounds that check one forest per cell; after them all pairs left are checked.
 FORESTS = 3
 MARKS = 1 << 26
+ZIP_LEVEL = 6
+#: Documents per block and links per shard of a check, and documents whose shingles are held at a time.
+BLOCK, LINKS, HELD = 2000, 1000, 250
 _RNG = np.random.default_rng(4)
 _MUL = _RNG.integers(1, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, PERMS, dtype=np.uint64)
@@ -98,7 +101,7 @@ def _ranges(docs: DataFrame) -> list[int]:
 def _packed(rows: pa.Table) -> bytes:
     """Rows as one compressed Arrow stream: the texts are most of what this operator moves."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZIP_LEVEL))) as out:
         out.write_table(rows)
     return sink.getvalue().to_pybytes()
 
@@ -271,43 +274,61 @@ def _marked(ids: DataFrame) -> np.ndarray:
     return table
 
 
-def _keep_marked(table: np.ndarray):
+def _keep_marked(table: np.ndarray, zip_texts: bool = False):
+    """The rows whose hash ``at`` is set in the table; with ``zip_texts`` doc_id and the compressed text of them."""
     def run(batches):
-        pack = zstandard.ZstdCompressor()
+        pack = zstandard.ZstdCompressor(level=ZIP_LEVEL)
         for batch in batches:
             at = batch["at"].to_numpy()
             kept = batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            if not zip_texts:
+                yield kept.drop_columns(["at"])
+                continue
             zipped = [pack.compress((t or "").encode()) for t in kept["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": kept["doc_id"], "zipped": pa.array(zipped, pa.binary())})
     return run
 
 
-def _jaccard_batches(batches):
+def _jaccard_shard(links: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    """Links of a shard with the result of their check, for a few documents' shingles at a time."""
     unpack = zstandard.ZstdDecompressor()
-    for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):  # few sets at a time
-        sets: list[list[np.ndarray]] = []
-        for name in ("a", "b"):
-            sets.append([])
-            texts = pa.array([unpack.decompress(z).decode() for z in batch[name].to_pylist()], pa.large_string())
-            for i, j, hashes, first in _shingles(texts):
-                sets[-1] += [np.unique(hashes[first[r]:first[r + 1]]) for r in range(j - i)]
-        common = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*sets)]
-        good = [c >= THRESHOLD * (len(a) + len(b) - c) for c, a, b in zip(common, *sets)]
-        yield pa.RecordBatch.from_pydict({"u": batch["u"], "v": batch["v"], "good": pa.array(good, pa.bool_())})
+    zipped = dict(zip(texts["doc_id"], texts["zipped"]))
+    held = [np.unique(links[c], return_inverse=True)[1] // HELD for c in ("u", "v")]
+    out = [pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64"), "good": pd.Series(dtype=bool)})]
+    for _, some in links.groupby(held, sort=False):
+        ids = np.union1d(some["u"], some["v"])
+        sets: list[np.ndarray] = []
+        for i, j, hashes, first in _shingles(pa.array([unpack.decompress(zipped[d]).decode() for d in ids], pa.large_string())):
+            sets += [np.unique(hashes[first[r]:first[r + 1]]) for r in range(j - i)]
+        good = []
+        for i, j in zip(np.searchsorted(ids, some["u"]), np.searchsorted(ids, some["v"])):
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            good.append(common >= THRESHOLD * (len(sets[i]) + len(sets[j]) - common))
+        out.append(pd.DataFrame({"u": some["u"].to_numpy(), "v": some["v"].to_numpy(), "good": np.array(good, bool)}))
+    return pd.concat(out[1:] or out)
+
+
+def _dealt_links(links: DataFrame, blocks: int, shards: int) -> DataFrame:
+    """(u, v, shard): documents are dealt to blocks, links to cells of two blocks, cells to shards."""
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    return links.select("u", "v", F.pmod(F.xxhash64(block("u"), block("v")), F.lit(shards)).alias("shard"))
 
 
 def _checked(docs: DataFrame, links: DataFrame) -> DataFrame:
     """(u, v, good): whether the exact Jaccard index of the linked documents' shingles is high enough.
 
-    Only texts of linked documents are moved (and the few whose mark another id has set).
+    Only texts of linked documents are moved (and the few whose mark another id has set): once to their
+    shards' list, and once to each shard that has links of theirs, however many these are.
     """
-    ends = links.select(F.col("u").alias("doc_id")).union(links.select("v")).distinct()
+    ends = lambda df, *more: df.select(F.col("u").alias("doc_id"), *more).union(df.select("v", *more))
+    marks = _marked(ends(links))
+    dealt = _dealt_links(links, -(-int(np.bitwise_count(marks).sum()) // BLOCK) or 1, -(-links.count() // LINKS) or 1)
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)))
-    texts = rows.mapInArrow(_keep_marked(_marked(ends)), "doc_id long, zipped binary").dropDuplicates(["doc_id"])
-    pairs = links.join(texts.select(F.col("doc_id").alias("u"), F.col("zipped").alias("a")).hint("merge"), "u").join(
-        texts.select(F.col("doc_id").alias("v"), F.col("zipped").alias("b")).hint("merge"), "v")
-    return checkpointed(pairs.mapInArrow(_jaccard_batches, "u long, v long, good boolean"))
+    texts = rows.mapInArrow(_keep_marked(marks, zip_texts=True), "doc_id long, zipped binary").dropDuplicates(["doc_id"])
+    wanted = ends(dealt, "shard").groupBy("doc_id").agg(F.collect_set("shard").alias("shards"))
+    moved = texts.join(wanted.hint("merge"), "doc_id").select(F.explode("shards").alias("shard"), "doc_id", "zipped")
+    return checkpointed(dealt.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(_jaccard_shard, "u long, v long, good boolean"))
 
 
 def _likely_batches(batches):
@@ -352,15 +373,19 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     bands = per_sig.select("node", "sig").mapInArrow(_band_batches, "node long, key long")
     firsts = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1").select("key", "pivot")
     shared = checkpointed(bands.join(firsts.hint("merge"), "key"))
+    # only signatures that meet another in a cell are compared
+    marked = per_sig.select("node", "sig", F.pmod(F.xxhash64("node"), F.lit(MARKS)).alias("at"))
+    meeting = checkpointed(marked.mapInArrow(_keep_marked(_marked(shared.select(F.col("node").alias("doc_id")))), "node long, sig binary"))
     # copies of one text meet in nearly all their cells: one link each joins most of them, at one row a document
-    checked = _checked(docs, checkpointed(_pivot_links(shared, per_sig)))
+    checked = _checked(docs, checkpointed(_pivot_links(shared, meeting)))
     good, failed = checked.filter("good").select("u", "v"), checked.filter("not good").select("u", "v")
     roots = star_components(good, "u", "v")
     cells = active = checkpointed(_mixed_cells(shared, roots))
     for turn in range(FORESTS + 1):
         over = failed.groupBy(F.col("v").alias("node")).agg(F.collect_list("u").alias("failed"))
-        full = active.join(per_sig.hint("merge"), "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        full = full.join(over.hint("merge"), "node", "left")
+        nodes = active.groupBy("node").agg(F.collect_list(F.struct("key", "block", "x", "y")).alias("cells"))
+        full = nodes.join(meeting.hint("merge"), "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        full = full.join(over.hint("merge"), "node", "left").withColumn("cell", F.explode("cells")).select("node", "sig", "root", "failed", "cell.*")
         shards = max(1, -(-active.count() // 4000))
         full = full.withColumn("shard", F.pmod(F.xxhash64("key", "x", "y"), F.lit(shards)))
         choose = _forest if turn < FORESTS else _rest
@@ -378,6 +403,6 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         torn = cells.join(ends, "node").groupBy("key", "x", "y", "pair").agg(F.count("*").alias("n")).filter("n > 1")
         active = checkpointed(cells.join(torn.select("key", "x", "y").distinct(), ["key", "x", "y"], "left_semi"))
     key = [F.xxhash64("sig").alias("s1"), F.hash("sig").alias("s2")]
-    names = per_sig.join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("class_id"))
+    names = per_sig.select("node", *key).join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("class_id"))
     return (named.select("doc_id", *key).join(names.hint("merge"), ["s1", "s2"])
             .filter("class_id <> doc_id").select("doc_id", "class_id"))

@@ -218,6 +218,25 @@ def test_minhash_classes_of_cells_with_several_components(spark, monkeypatch):
     assert [got.get(i, i) for i in range(len(texts))] == root
 
 
+def test_a_check_moves_a_text_once_to_each_shard(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(30):
+        words = [f"w{i}" for i in range(90)]
+        for at in rng.choice(90, rng.integers(0, 5), replace=False):
+            words[at] = f"x{rng.integers(1000)}"
+        texts.append(" ".join(words))
+    pairs = list(itertools.combinations(range(30), 2))
+    links = spark.createDataFrame(pairs, "u long, v long")
+    for blocks, most in ((1, 30), (2, 90)):
+        dealt = minhash._dealt_links(links, blocks, 40)
+        assert dealt.select("u", "shard").union(dealt.select("v", "shard")).distinct().count() <= most < len(pairs)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "LINKS", 50)
+    got = {(r["u"], r["v"]): r["good"] for r in minhash._checked(frame(spark, list(enumerate(texts))), links).collect()}
+    assert got == {(a, b): jaccard(texts[a], texts[b]) >= 0.8 for a, b in pairs} and len(set(got.values())) == 2
+
+
 def test_minhash_odd_rows(spark, odd_rows, empty):
     docs = frame(spark, odd_rows)
     got = minhash.fingerprints(docs).collect()
