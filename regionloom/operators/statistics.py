@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regionloom.functions.tails import fisher_bounds, fisher_greater, normal_two_sided, student_two_sided
 from regionloom.plans.scan import PART, Running, carried, carried_all, numbered, ordered_parts, running_all, value_ranks, with_avg_rank
+from regionloom.session import checkpointed
 
 
 def precision_recall(df: DataFrame, score: str, label: str, group: list[str] | None = None) -> DataFrame:
@@ -69,10 +70,13 @@ def over_representation(genes: DataFrame, background: DataFrame, sets: DataFrame
     by = by or []
     universe = background.select("gene_id").distinct()
     members = sets.join(universe, "gene_id", "left_semi").select("set_name", "gene_id").distinct()
-    listed = genes.join(universe, "gene_id", "left_semi").select(*by, "gene_id").distinct()
-    hits = listed.join(members, "gene_id").groupBy(*by, "set_name").agg(F.count("*").alias("n_both"))
+    listed = genes.select(*by, "gene_id").distinct().join(universe, "gene_id", "left_semi")
+    # a row per gene and set, and one per gene for the list itself, counted in one pass and kept, as the lists are the large part
+    marked = members.withColumn("own_", F.lit(1)).unionByName(universe.withColumn("own_", F.lit(0)), allowMissingColumns=True)
+    counted = checkpointed(listed.join(marked, "gene_id").groupBy(*by, "own_", "set_name").agg(F.count("*").alias("n_")))
+    hits = counted.filter("own_ = 1").select(*by, "set_name", F.col("n_").alias("n_both"))
     set_size = members.groupBy("set_name").agg(F.count("*").alias("n_set"))
-    list_size = listed.groupBy(*by).agg(F.count("*").alias("n_list"))
+    list_size = counted.filter("own_ = 0").select(*by, F.col("n_").alias("n_list"))
     total = universe.agg(F.count("*").alias("n_total"))
     rows = hits.join(set_size, "set_name")
     rows = (rows.join(list_size, by) if by else rows.join(F.broadcast(list_size))).join(F.broadcast(total))

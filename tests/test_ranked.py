@@ -188,3 +188,18 @@ def test_linked_gene_counts_make_no_pairs(spark):
     regions, ties, tss, sizes = linked_frames(spark, 23, lambda i: f"g{i}")
     plan = links.linked_gene_counts(regions, ties, tss, sizes, 700)._jdf.queryExecution().optimizedPlan().toString()
     assert "region_id" not in plan and "b_start" not in plan
+
+
+def test_linked_gene_scores_count_links_in_one_array_for_all_groups(spark):
+    # every link once for all values of ``by``, not once for each; copies, null groups, scores that are null, infinite or far larger than others
+    regions, ties, tss, sizes = linked_frames(spark, 22, lambda i: None if i % 50 == 3 else f"g{i % 300}")
+    odd = [("chr1", 10, 900, 5000 * i, 5000 * i + 4000, s) for i, s in enumerate([1e300, float("inf"), float("nan"), -2.5, None] * 9)]
+    ties = ties.unionByName(spark.createDataFrame(odd, ties.schema))
+    tss = tss.unionByName(frame(spark, [("chr1", s, s + 700, f"long{s % 3}") for s in range(0, 200_000, 9000)], "gene_id string"))
+    out = links.linked_gene_scores(regions, ties, tss, sizes, 700, ["k"])
+    rows = links.gene_scores(links.linked_genes(regions, ties, tss, sizes, 700, ["k"]), ["k"])
+    want, got = ({(r.k, r.gene_id): r.score for r in x.collect()} for x in (rows, out))
+    assert got.keys() == want.keys() and len(want) > 200 and None in want.values()
+    assert all(got[g] is None if s is None else got[g] == pytest.approx(s, nan_ok=True, rel=1e-9) for g, s in want.items())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "cell_" not in plan and "begun_" not in plan  # the grid of links and groups that filled the disk
