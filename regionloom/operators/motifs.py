@@ -224,7 +224,7 @@ def syntax_enrichment(pairs: DataFrame, links: DataFrame, tss: DataFrame, sizes:
     from regionloom.operators.statistics import over_representation
     rows = syntax_classes(pairs)
     big = rows.groupBy("class").agg(F.count("*").alias("n_")).filter(F.col("n_") >= min_rows).drop("n_")
-    regions = rows.join(big, "class").select("chrom", "start", "stop", "class").distinct()
+    regions = rows.join(F.broadcast(big), "class").select("chrom", "start", "stop", "class").distinct()
     genes = linked_gene_scores(regions, links, tss, sizes, extend, ["class"]).filter(F.col("score") > min_score)
     return over_representation(genes, background, sets, ["class"])
 
