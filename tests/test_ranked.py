@@ -203,3 +203,11 @@ def test_linked_gene_scores_count_links_in_one_array_for_all_groups(spark):
     assert all(got[g] is None if s is None else got[g] == pytest.approx(s, nan_ok=True, rel=1e-9) for g, s in want.items())
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "cell_" not in plan and "begun_" not in plan  # the grid of links and groups that filled the disk
+
+
+def test_salted_pairs_shuffle_their_rows_once(spark):
+    from regionloom.plans.bins import overlap_pairs
+    a, b = frame(spark, intervals(15, 200)), frame(spark, intervals(16, 200))
+    plan = overlap_pairs(a, b, hot_rows=50)._jdf.queryExecution().executedPlan().toString()
+    # the hot bins are broadcast; a shuffle for them moved every row a second time
+    assert not any("SortMergeJoin" in line and "LeftOuter" in line for line in plan.splitlines())
