@@ -11,10 +11,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from regionloom.plans.bins import KEY, _levels_in_use, _slots
+from regionloom.plans.bins import KEY, _levels_in_use, _salt, _slots
 from regionloom.plans.scan import _directed
 
 BIN = 8192  # wider than for pairs: a bin's work hardly grows faster than its rows
+HOT = 1 << 17  # rows of one side that are searched at once; a bin as wide as a chromosome holds more
 
 
 def first_hit(starts: np.ndarray, stops: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
@@ -50,16 +51,21 @@ def first_hit(starts: np.ndarray, stops: np.ndarray, lows: np.ndarray, highs: np
 
 
 def _met(a: DataFrame, b: DataFrame, by: list[str], width: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides in the bins where they can meet; ``b`` columns get the prefix ``b_``."""
+    """Both sides in the bins where they can meet, large bins in parts; ``b`` columns get the prefix ``b_``.
+
+    The choice among the parts is made afterwards, with that among the bins that an interval touches.
+    """
     fixed = ["chrom", *by]
     right = b.select(*[F.col(c).alias(c if c in fixed else f"b_{c}") for c in b.columns])
     left = _slots(a, width, _levels_in_use(b, width), False).drop("w_")
     right = _slots(right, width, _levels_in_use(a, width), True, "b_start", "b_stop")
-    keys = [*fixed, "slot_", "bin_"]
+    keys = [*fixed, "place_"]
+    place = F.struct("slot_", "bin_")
+    left, right = (df.withColumn("place_", place).drop("slot_", "bin_") for df in (left, right))
     known = F.lit(True)
     for c in fixed:
         known = known & F.col(c).isNotNull()
-    return left.filter(known), right.filter(known), keys
+    return *_salt(left.filter(known), right.filter(known), keys, HOT), [*keys, "salt_"]
 
 
 def _longs(table: pa.Table, *names: str) -> list[np.ndarray]:

@@ -211,3 +211,20 @@ def test_salted_pairs_shuffle_their_rows_once(spark):
     plan = overlap_pairs(a, b, hot_rows=50)._jdf.queryExecution().executedPlan().toString()
     # the hot bins are broadcast; a shuffle for them moved every row a second time
     assert not any("SortMergeJoin" in line and "LeftOuter" in line for line in plan.splitlines())
+
+
+def test_a_bin_as_wide_as_a_chromosome_is_searched_in_parts(spark, monkeypatch):
+    from regionloom.plans import ranked
+    monkeypatch.setattr(ranked, "HOT", 20)
+    a = [("chr1", 37 * i, 37 * i + 90) for i in range(150)] + [(None, 1, 5), ("chr1", None, 9)]
+    b = [("chr1", 0, 5_000_000), ("chr1", 10, 5_000_000), ("chr1", 300, 4_000_000), *[("chr1", 100 * i, 100 * i + 130) for i in range(60)]]
+    out = largest_overlap(frame(spark, a), frame(spark, b))
+    shared = lambda x, y: min(x[2], y[2]) - max(x[1], y[1])
+    want = {x: min((y for y in b if meet(x, y)), key=lambda y: (-shared(x, y), y[1], y[2]))[1:] for x in a[:150]}
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in out.collect()} == want
+    first = first_overlap(frame(spark, a), frame(spark, b), ["-start", "stop"])
+    want = {x: min((y for y in b if meet(x, y)), key=lambda y: (-y[1], y[2]))[1:] for x in a[:150]}
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in first.collect()} == want
+    # what reaches one search: no group has more rows of a side than HOT in the mean
+    left, _, keys = ranked._met(frame(spark, a).distinct(), frame(spark, b), [], ranked.BIN)
+    assert "salt_" in keys and max(r["count"] for r in left.groupBy(*keys).count().collect()) <= 40
